@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "mixing",
     "simhash",
+    "substring_dedup",
     "sharding",
 )
 
