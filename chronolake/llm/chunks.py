@@ -141,11 +141,12 @@ def first_bits(n: int, flags: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.packbits(flags[:n]).tobytes())
 
 
-def earlier(chunks: DataFrame, keys: Callable[[pa.RecordBatch, int], np.ndarray], passes: int = 1) -> DataFrame:
+def earlier(chunks: DataFrame, keys: Callable[..., np.ndarray], passes: int = 1, by_range: bool = False) -> DataFrame:
     """(chunk, masks): for each key a chunk sends, whether an earlier chunk has it.
 
-    ``keys`` gives a row's sorted distinct keys and must give the same on
-    every call. With ``passes`` over 1 the key space is taken a part at a time,
+    ``keys(batch, row)`` gives a row's sorted distinct keys, the same on every
+    call; with ``by_range``, ``keys(batch, row, low, high)`` gives those from
+    low to high, which spares a pass the sorting of all others. With ``passes`` over 1 the key space is taken a part at a time,
     each part's shuffle being dropped before the next, so disk and memory hold
     one part. ``masks`` are (bucket, n, zstd of packed bits) in key order.
     """
@@ -157,9 +158,10 @@ def earlier(chunks: DataFrame, keys: Callable[[pa.RecordBatch, int], np.ndarray]
     def send_pass(p: int) -> Callable:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, hi = p * per_pass, (p + 1) * per_pass
+            span = (np.uint64((lo << 64) // total), np.uint64(((hi << 64) // total) - 1))
             for b in batches:
                 for i in range(b.num_rows):
-                    u = keys(b, i)
+                    u = keys(b, i, *span) if by_range else keys(b, i)
                     cut = np.concatenate(([0], np.searchsorted(u, bounds), [len(u)]))[lo : hi + 1]
                     use = [k for k in range(per_pass) if cut[k + 1] > cut[k]]
                     if use:

@@ -8,6 +8,7 @@ MODULES = (
     "mixing",
     "simhash",
     "substring_dedup",
+    "suffix_dedup",
     "sharding",
 )
 
