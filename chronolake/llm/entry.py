@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "language_id",
     "mixing",
     "simhash",
     "substring_dedup",
