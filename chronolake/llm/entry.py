@@ -10,6 +10,7 @@ MODULES = (
     "simhash",
     "substring_dedup",
     "suffix_dedup",
+    "piecewise_hash",
     "sharding",
 )
 
