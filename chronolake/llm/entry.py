@@ -9,6 +9,7 @@ MODULES = (
     "mixing",
     "simhash",
     "substring_dedup",
+    "warc",
     "suffix_dedup",
     "piecewise_hash",
     "sharding",
