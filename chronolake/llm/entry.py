@@ -12,6 +12,7 @@ MODULES = (
     "warc",
     "suffix_dedup",
     "piecewise_hash",
+    "sentencepiece_viterbi",
     "sharding",
 )
 
