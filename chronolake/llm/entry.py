@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "embedding_dedup",
     "language_id",
     "mixing",
     "simhash",
