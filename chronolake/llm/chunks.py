@@ -27,43 +27,55 @@ from .common import materialize, partitions
 
 CHUNK_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK_SCHEMA = "chunk long, ids array<long>, sizes binary, body binary"
+CHUNK_SCHEMA = "chunk long, ids array<long>, sizes binary, body binary, extra binary"
 
 
-def pack_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def pack_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per chunk: ids, int64 text sizes in bytes, zstd of all texts.
 
     Null texts are empty; null ids come first. Rows that repeat an id stand in
-    one chunk, in the order of a hash of their text.
+    one chunk, in the order of a hash of their text. Columns named in
+    ``carry`` travel beside the texts; ``carried`` gives them back.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         ids: list = []
         parts: list[bytes] = []
+        extra: list[pa.RecordBatch] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            if carry:
+                with pa.ipc.new_stream(sink, extra[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    for x in extra:
+                        out.write_batch(x)
             sizes = np.array([len(p) for p in parts], np.int64)
             body = zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()), pa.array([body], pa.binary())], names=["chunk", "ids", "sizes", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()), pa.array([body], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "ids", "sizes", "body", "extra"])
 
         for b in batches:
             data, at = utf8(b.column(1))
             at = at.tolist()
+            beside = b.select(list(range(2, b.num_columns)))
+            begun = 0
             for i, key in enumerate(b.column(0).to_pylist()):
                 if parts and size + at[i + 1] - at[i] > chunk_bytes and key != ids[-1]:
+                    extra.append(beside.slice(begun, i - begun))
+                    begun = i
                     yield flush()
-                    chunk, ids, parts, size = chunk + 1, [], [], 0
+                    chunk, ids, parts, extra, size = chunk + 1, [], [], [], 0
                 ids.append(key)
                 parts.append(data[at[i] : at[i + 1]].tobytes())
                 size += at[i + 1] - at[i]
+            extra.append(beside.slice(begun))
         if parts:
             yield flush()
 
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *carry)
+    rows = rows.repartitionByRange(n, "_id").sortWithinPartitions("_id", F.xxhash64("_text"))
     return materialize(rows.mapInArrow(run, CHUNK_SCHEMA), codec="none")
 
 
@@ -87,6 +99,12 @@ def chunk_of(batch: pa.RecordBatch, i: int) -> Chunk:
     return Chunk(batch.column("ids")[i].values, batch.column("sizes")[i].as_py(), batch.column("body")[i].as_py())
 
 
+def carried(batch: pa.RecordBatch, i: int) -> list[pa.Array]:
+    """The carried columns of a chunk's documents."""
+    table = pa.ipc.open_stream(batch.column("extra")[i].as_py()).read_all().combine_chunks()
+    return [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns]
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

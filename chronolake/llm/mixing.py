@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import running_sum
+from .common import materialize, running_sum
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -81,5 +81,22 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mix_documents(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix itself: each document as many times as it is taken.
+
+    Rows that agree in doc_id, source and text are drawn as one; only ids,
+    sources, sizes and a hash of the text are ordered and summed.
+    """
+    names = docs.columns
+    tag = F.xxhash64("text")
+    units = docs.groupBy("doc_id", "source", tag.alias("tag"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("one")).agg(F.count("*").alias("n"))
+    units = materialize(units.withColumn("size", F.col("one") * F.col("n")))
+    drawn = sample_to_targets(with_quality(units, sf_dir), source_targets(units), ["doc_id", "tag"], "_weight").filter("times > 0")
+    drawn = materialize(drawn.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("tag").alias("_tag"), F.col("times").cast("int").alias("_times")))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_src")) & (tag == F.col("_tag"))
+    out = docs.join(drawn, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return out.select(*names)
+
+
 QUERIES = {"op3_mixing": op3_mixing}
 SQL: dict[str, str] = {}

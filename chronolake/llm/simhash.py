@@ -24,7 +24,7 @@ from .arrow import mix, utf8
 from .common import connected_components, materialize, partitions
 
 BITS, BLOCKS = 64, 9
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+GOLDEN = 0x9E3779B97F4A7C15
 THRESHOLD = 2
 
 
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 h = shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, seed)
                 out[i, 0] = majority(h)
                 for k in range(1, words):
-                    out[i, k] = majority(mix(h + np.uint64(k) * GOLDEN))
+                    out[i, k] = majority(mix(h + np.uint64(k * GOLDEN % (1 << 64))))
             fps = [x.tobytes() for x in out]
             node = out[:, 0] if words == 1 else np.array([xxhash.xxh64_intdigest(x, seed) for x in fps], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(np.ascontiguousarray(node).view(np.int64))], names=["id", "fp", "node"])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import mix, strings
-from .chunks import Chunk, Rolling, byte_values, chunk_of, earlier, marked, member, pack_chunks, repeated, spread, with_masks
+from .chunks import CHUNK_SCHEMA, Chunk, carried, Rolling, byte_values, chunk_of, earlier, marked, member, pack_chunks, repeated, spread, with_masks
 from .common import materialize, partitions
 
 WINDOW = 20
@@ -116,17 +116,19 @@ def _settled(w: Words, size: int, masks: list | None, total: int) -> np.ndarray:
     return spread(at[before], n[before] - size + 1, len(w.symbols))
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """(id, n_words, n_removed, kept text) for each row of ``docs``.
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, carry: tuple[str, ...] = (), spacing: bool = False) -> DataFrame:
+    """(id, n_words, n_removed, kept text) and ``carry`` for each row of ``docs``.
 
     A word goes if a window of ``size`` words over it has its word sequence
     start earlier: in a smaller id, or in the same text at an earlier word.
     Rows that repeat an id stand in the order of a hash of their texts, null
     ids before all others. Null and empty texts have no words. Words stay as
-    they are; those kept are joined by one space.
+    they are; those kept are joined by one space, or, with ``spacing``, keep
+    the white space between words that stood together, and a text that loses
+    nothing stays whole.
     """
     total = partitions(docs.sparkSession)
-    chunks = pack_chunks(docs, id_col, text_col)
+    chunks = pack_chunks(docs, id_col, text_col, carry=carry)
 
     def symbol_keys(b: pa.RecordBatch, i: int) -> np.ndarray:
         return np.unique(_symbols(Words(chunk_of(b, i)), size)[0])
@@ -134,9 +136,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = [np.packbits(_settled(Words(chunk_of(b, i)), size, b.column("masks")[i].as_py(), total)).tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("chunk", "ids", "sizes", "body")), pa.array(done, pa.binary())], names=["chunk", "ids", "sizes", "body", "done"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("chunk", "ids", "sizes", "body", "extra")), pa.array(done, pa.binary())], names=["chunk", "ids", "sizes", "body", "extra", "done"])
 
-    chunks = materialize(with_masks(chunks, earlier(chunks, symbol_keys)).mapInArrow(settle, "chunk long, ids array<long>, sizes binary, body binary, done binary"), chunks, codec="none")
+    chunks = materialize(with_masks(chunks, earlier(chunks, symbol_keys)).mapInArrow(settle, f"{CHUNK_SCHEMA}, done binary"), chunks, codec="none")
 
     def open_windows(b: pa.RecordBatch, i: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
         w = Words(chunk_of(b, i))
@@ -171,14 +173,22 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 body = c.bytes.tobytes()
                 starts, ends = w.starts.tolist(), w.ends.tolist()
                 kept = []
-                for lo, hi in zip(w.doc_start.tolist(), w.doc_end.tolist(), strict=True):
+                for d, (lo, hi) in enumerate(zip(w.doc_start.tolist(), w.doc_end.tolist(), strict=True)):
+                    if spacing:
+                        if not cut[lo:hi].any():
+                            kept.append(body[c.starts[d] : c.ends[d]])
+                            continue
+                        edge = np.flatnonzero(np.diff(np.concatenate(([True], cut[lo:hi], [True])).astype(np.int8))).tolist()
+                        kept.append(b" ".join([body[starts[lo + a] : ends[lo + z - 1]] for a, z in zip(edge[::2], edge[1::2], strict=True)]))
+                        continue
                     kept.append(b" ".join([body[starts[k] : ends[k]] for k in (np.flatnonzero(~cut[lo:hi]) + lo).tolist()]))
                 sums = np.concatenate(([0], np.cumsum(cut)))
                 words = w.doc_end - w.doc_start
-                yield pa.RecordBatch.from_arrays([c.ids, pa.array(words), pa.array(sums[w.doc_end] - sums[w.doc_start]), strings(kept)], names=["id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([c.ids, pa.array(words), pa.array(sums[w.doc_end] - sums[w.doc_start]), strings(kept), *(carried(b, i) if carry else [])], names=[f.split()[0] for f in fields])
 
-    out = with_masks(chunks, masks).mapInArrow(finish, "id long, n_words long, n_removed long, kept string")
-    return out.withColumnRenamed("id", id_col)
+    fields = ["_id long", "_words long", "_removed long", "_kept string", *(f"_carry{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))]
+    out = with_masks(chunks, masks).mapInArrow(finish, ", ".join(fields))
+    return out.toDF(id_col, "n_words", "n_removed", "kept", *carry)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

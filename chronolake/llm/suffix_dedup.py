@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import Chunk, Rolling, byte_values, chunk_of, earlier, marked, member, pack_chunks, repeated, runs, spread, with_masks
+from .chunks import CHUNK_SCHEMA, Chunk, Rolling, byte_values, chunk_of, earlier, marked, member, pack_chunks, repeated, runs, spread, with_masks
 from .common import materialize, partitions
 
 SIZE = 50
@@ -98,10 +98,10 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 far = marked(np.unique(keys), b.column("masks")[i].as_py(), buckets * SAMPLE_PASSES)
                 hit = at[_in_earlier(c, at, keys, far)]
                 done.append(np.packbits(spread(hit, PERIOD, len(c.bytes))).tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("chunk", "ids", "sizes", "body")), pa.array(done, pa.binary())], names=["chunk", "ids", "sizes", "body", "done"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("chunk", "ids", "sizes", "body", "extra")), pa.array(done, pa.binary())], names=["chunk", "ids", "sizes", "body", "extra", "done"])
 
     sampled = with_masks(chunks, earlier(chunks, sample_keys, SAMPLE_PASSES))
-    chunks = materialize(sampled.mapInArrow(settle, "chunk long, ids array<long>, sizes binary, body binary, done binary"), chunks, codec="lz4")
+    chunks = materialize(sampled.mapInArrow(settle, f"{CHUNK_SCHEMA}, done binary"), chunks, codec="lz4")
 
     def open_suffixes(b: pa.RecordBatch, i: int) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
         c = chunk_of(b, i)
