@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import mix, utf8
@@ -155,10 +155,71 @@ def byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
+BLOCK = 1 << 15
+
+
+def byte_windows(data: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the ``size`` bytes from each place; the last places have 0.
+
+    Equal to ``Rolling(byte_values()[data]).windows(size)``, a block at a time
+    so that all but the result stays in cache.
+    """
+    n = len(data)
+    out = np.zeros(n, np.uint64)
+    up, down = powers(BLOCK + size + 1)
+    values = byte_values()
+    buf, prefix = np.empty(BLOCK + size, np.uint64), np.zeros(BLOCK + size + 1, np.uint64)
+    for at in range(0, n - size + 1, BLOCK):
+        m = min(BLOCK, n - size + 1 - at)
+        part = buf[: m + size - 1]
+        np.take(values, data[at : at + m + size - 1], out=part, mode="clip")
+        part *= up[: len(part)]
+        np.cumsum(part, out=prefix[1 : len(part) + 1])
+        h = out[at : at + m]
+        np.subtract(prefix[size : size + m], prefix[:m], out=h)
+        h *= down[:m]
+        _mix_with(h, buf[:m])
+    return out
+
+
+def _mix_with(x: np.ndarray, spare: np.ndarray) -> None:
+    """``mix`` in place, with room of the same length."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(x, np.uint64(shift), out=spare)
+        x ^= spare
+        x *= np.uint64(factor)
+    np.right_shift(x, np.uint64(31), out=spare)
+    x ^= spare
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, those that occur more than once) from one sort."""
+    s = np.sort(keys)
+    if not len(s):
+        return s, s
+    same = s[1:] == s[:-1]
+    many = s[1:][same]
+    first = np.concatenate(([True], ~same))
+    return s[first], many[np.concatenate(([True], many[1:] != many[:-1]))] if len(many) else many
+
+
+def cover(flags: np.ndarray, size: int) -> np.ndarray:
+    """Places within ``size`` places from a set flag on, itself included."""
+    sums = np.cumsum(flags, dtype=np.int32)
+    out = sums.copy()
+    out[size:] -= sums[:-size] if size < len(sums) else 0
+    return out > 0
+
+
 def first_bits(n: int, flags: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.packbits(flags[:n]).tobytes())
 
 
+def buckets(spark: SparkSession) -> int:
+    """Buckets of one pass: one for every two tasks of a shuffle."""
+    return max(1, partitions(spark) // 2)
+
+
 def earlier(chunks: DataFrame, keys: Callable[..., np.ndarray], passes: int = 1, by_range: bool = False) -> DataFrame:
     """(chunk, masks): for each key a chunk sends, whether an earlier chunk has it.
 
@@ -168,8 +229,7 @@ def earlier(chunks: DataFrame, keys: Callable[..., np.ndarray], passes: int = 1,
     each part's shuffle being dropped before the next, so disk and memory hold
     one part. ``masks`` are (bucket, n, zstd of packed bits) in key order.
     """
-    spark = chunks.sparkSession
-    per_pass = partitions(spark)
+    per_pass = buckets(chunks.sparkSession)
     total = per_pass * passes
     bounds = np.array([(k << 64) // total for k in range(1, total)], np.uint64)
 
@@ -249,7 +309,8 @@ def member(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
         return out
     table = np.zeros(1 << 22, bool)
     table[(keys >> np.uint64(42)).astype(np.int64)] = True
-    try_at = np.flatnonzero(table[(h >> np.uint64(42)).astype(np.int64)])
+    maybe = [np.flatnonzero(table[(h[at : at + BLOCK] >> np.uint64(42)).view(np.int64)]) + at for at in range(0, len(h), BLOCK)]
+    try_at = np.concatenate(maybe) if maybe else np.zeros(0, np.int64)
     at = np.searchsorted(keys, h[try_at])
     at[at == len(keys)] = 0
     out[try_at] = keys[at] == h[try_at]

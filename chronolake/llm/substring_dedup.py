@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import mix, strings
-from .chunks import CHUNK_SCHEMA, Chunk, carried, Rolling, byte_values, chunk_of, earlier, marked, member, pack_chunks, repeated, spread, with_masks
-from .common import materialize, partitions
+from .chunks import CHUNK_SCHEMA, Chunk, Rolling, buckets, byte_values, carried, chunk_of, cover, distinct, earlier, marked, member, pack_chunks, spread, with_masks
+from .common import materialize
 
 WINDOW = 20
 LEVELS = (12, 15, 18)
@@ -127,7 +127,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the white space between words that stood together, and a text that loses
     nothing stays whole.
     """
-    total = partitions(docs.sparkSession)
+    total = buckets(docs.sparkSession)
     chunks = pack_chunks(docs, id_col, text_col, carry=carry)
 
     def symbol_keys(b: pa.RecordBatch, i: int) -> np.ndarray:
@@ -148,7 +148,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def window_keys(b: pa.RecordBatch, i: int) -> np.ndarray:
         _, h, live, _ = open_windows(b, i)
-        return np.unique(h[live])
+        return distinct(h[live])[0]
 
     masks = earlier(chunks, window_keys)
 
@@ -158,8 +158,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 w, h, live, gone = open_windows(b, i)
                 at = np.flatnonzero(live)
                 keys = h[at]
-                local = repeated(keys)
-                far = marked(np.unique(keys), b.column("masks")[i].as_py(), total)
+                u, local = distinct(keys)
+                far = marked(u, b.column("masks")[i].as_py(), total)
                 hit = member(keys, far)
                 twice = np.flatnonzero(member(keys, local))
                 # Places rise, so a key's first one is its first in the chunk.
@@ -168,7 +168,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 later[lead] = False
                 hit[twice[later]] = True
                 gone[at[hit]] = True
-                cut = spread(np.flatnonzero(gone), size, len(gone) + size)[: len(gone)]
+                cut = cover(gone, size)
                 c = chunk_of(b, i)
                 body = c.bytes.tobytes()
                 starts, ends = w.starts.tolist(), w.ends.tolist()

@@ -28,49 +28,48 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import CHUNK_SCHEMA, Chunk, Rolling, byte_values, chunk_of, earlier, marked, member, pack_chunks, repeated, runs, spread, with_masks
-from .common import materialize, partitions
+from .chunks import CHUNK_SCHEMA, Chunk, buckets, byte_windows, chunk_of, cover, distinct, earlier, marked, member, pack_chunks, runs, with_masks
+from .common import materialize
 
 SIZE = 50
 COVER, PERIOD = (0, 1, 3, 8, 12, 18), 31
-SAMPLE_PASSES, PASSES = 2, 6
+SAMPLE_PASSES, PASSES = 2, 4
 
 
 def _places(c: Chunk, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, valid) of the ``depth`` bytes from each place of the chunk."""
-    n = len(c.bytes)
-    h, valid = np.zeros(n, np.uint64), np.zeros(n, bool)
-    got = Rolling(byte_values()[c.bytes]).windows(depth)
-    h[: len(got)] = got
+    valid = np.zeros(len(c.bytes), bool)
     for a, b in zip(c.starts.tolist(), c.ends.tolist(), strict=True):
         if b - a >= depth:
             valid[a : b - depth + 1] = True
-    return h, valid
+    return byte_windows(c.bytes, depth), valid
 
 
 def _sample(c: Chunk, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, hash) of the cover sample."""
-    h, valid = _places(c, depth)
-    at = []
-    for a, b in zip(c.starts.tolist(), c.ends.tolist(), strict=True):
-        n = b - a - depth + 1
+    at, cover_set = [], np.array(COVER)
+    for a, n in zip(c.starts.tolist(), (c.sizes - depth + 1).tolist(), strict=True):
         if n > 0:
-            base = np.arange(a, a + n, PERIOD)
-            grid = (base[:, None] + np.array(COVER)).ravel()
+            grid = (np.arange(a, a + n, PERIOD)[:, None] + cover_set).ravel()
             at.append(grid[grid < a + n])
     at = np.concatenate(at) if at else np.zeros(0, np.int64)
-    return at, h[at]
-
-
-def _in_earlier(c: Chunk, at: np.ndarray, keys: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Which of the places ``at`` have their key in a document with a smaller id."""
-    hit = member(keys, far)
-    local = np.flatnonzero(member(keys, repeated(keys)))
-    rank = c.rank[np.searchsorted(c.ends, at[local], side="right")]
-    u, which = np.unique(keys[local], return_inverse=True)
-    low = np.full(len(u), len(c.sizes))
-    np.minimum.at(low, which, rank)
-    hit[local] |= rank > low[which]
+    return at, byte_windows(c.bytes, depth)[at]
+
+
+def _in_earlier(c: Chunk, at: np.ndarray, keys: np.ndarray, far: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` have their key in a document with a smaller id.
+
+    ``far``: keys of earlier chunks; ``many``: keys that occur more than once here.
+    """
+    maybe = np.union1d(far, many)
+    found = np.flatnonzero(member(keys, maybe))
+    which = np.searchsorted(maybe, keys[found])
+    rank = c.rank[np.searchsorted(c.ends, at[found], side="right")]
+    # Places rise, so the first place of a key has its lowest rank.
+    low = np.full(len(maybe), len(c.sizes))
+    low[which[::-1]] = rank[::-1]
+    hit = np.zeros(len(keys), bool)
+    hit[found] = (rank > low[which]) | member(maybe, far)[which]
     return hit
 
 
@@ -82,12 +81,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text. Null texts are empty; a null id is smaller than all others. Rows
     that repeat an id are not smaller than each other.
     """
-    buckets = partitions(docs.sparkSession)
+    per_pass = buckets(docs.sparkSession)
     chunks = pack_chunks(docs, id_col, text_col)
     depth = size + PERIOD - 1
 
     def sample_keys(b: pa.RecordBatch, i: int) -> np.ndarray:
-        return np.unique(_sample(chunk_of(b, i), depth)[1])
+        return distinct(_sample(chunk_of(b, i), depth)[1])[0]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,9 +94,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for i in range(b.num_rows):
                 c = chunk_of(b, i)
                 at, keys = _sample(c, depth)
-                far = marked(np.unique(keys), b.column("masks")[i].as_py(), buckets * SAMPLE_PASSES)
-                hit = at[_in_earlier(c, at, keys, far)]
-                done.append(np.packbits(spread(hit, PERIOD, len(c.bytes))).tobytes())
+                u, many = distinct(keys)
+                far = marked(u, b.column("masks")[i].as_py(), per_pass * SAMPLE_PASSES)
+                hit = np.zeros(len(c.bytes), bool)
+                hit[at[_in_earlier(c, at, keys, far, many)]] = True
+                done.append(np.packbits(cover(hit, PERIOD)).tobytes())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("chunk", "ids", "sizes", "body", "extra")), pa.array(done, pa.binary())], names=["chunk", "ids", "sizes", "body", "extra", "done"])
 
     sampled = with_masks(chunks, earlier(chunks, sample_keys, SAMPLE_PASSES))
@@ -112,7 +113,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def suffix_keys(b: pa.RecordBatch, i: int, lo: np.uint64, hi: np.uint64) -> np.ndarray:
         _, _, keys, _ = open_suffixes(b, i)
-        return np.unique(keys[(keys >= lo) & (keys <= hi)])
+        own = keys - lo
+        return distinct(keys[own <= hi - lo])[0]
 
     masks = earlier(chunks, suffix_keys, PASSES, by_range=True)
 
@@ -120,9 +122,10 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             for i in range(b.num_rows):
                 c, at, keys, gone = open_suffixes(b, i)
-                far = marked(np.unique(keys), b.column("masks")[i].as_py(), buckets * PASSES)
-                gone[at[_in_earlier(c, at, keys, far)]] = True
-                cut = spread(np.flatnonzero(gone), size, len(gone) + size)[: len(gone)]
+                u, many = distinct(keys)
+                far = marked(u, b.column("masks")[i].as_py(), per_pass * PASSES)
+                gone[at[_in_earlier(c, at, keys, far, many)]] = True
+                cut = cover(gone, size)
                 sums = np.concatenate(([0], np.cumsum(cut)))
                 kept, keep = [], ~cut
                 for lo, hi in zip(c.starts.tolist(), c.ends.tolist(), strict=True):
