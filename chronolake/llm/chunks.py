@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .arrow import mix, utf8
 from .common import materialize, partitions
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK_SCHEMA = "chunk long, ids array<long>, sizes binary, body binary, extra binary"
 
