@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .arrow import mix, utf8
 from .common import materialize, partitions
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK_SCHEMA = "chunk long, ids array<long>, sizes binary, body binary, extra binary"
 
@@ -215,9 +215,9 @@ def first_bits(n: int, flags: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.packbits(flags[:n]).tobytes())
 
 
-def buckets(spark: SparkSession) -> int:
-    """Buckets of one pass: one for every two tasks of a shuffle."""
-    return max(1, partitions(spark) // 2)
+def buckets(spark: SparkSession, passes: int = 1) -> int:
+    """Buckets of one pass: one for each task of a shuffle, half as many if there are several passes."""
+    return partitions(spark) if passes == 1 else max(1, partitions(spark) // 2)
 
 
 def earlier(chunks: DataFrame, keys: Callable[..., np.ndarray], passes: int = 1, by_range: bool = False) -> DataFrame:
@@ -229,7 +229,7 @@ def earlier(chunks: DataFrame, keys: Callable[..., np.ndarray], passes: int = 1,
     each part's shuffle being dropped before the next, so disk and memory hold
     one part. ``masks`` are (bucket, n, zstd of packed bits) in key order.
     """
-    per_pass = buckets(chunks.sparkSession)
+    per_pass = buckets(chunks.sparkSession, passes)
     total = per_pass * passes
     bounds = np.array([(k << 64) // total for k in range(1, total)], np.uint64)
 

@@ -2,7 +2,7 @@
 
 Text is escaped as SentencePiece does (a dummy space in front, spaces as the
 meta symbol) and cut before each run of meta symbols, which no piece crosses.
-Distinct words are encoded once a batch. Words of equal length advance
+Distinct words are encoded once and remembered. Words of equal length advance
 together: at each end, the substrings of each length are looked up by their
 hashes in the sorted keys of the pieces, and one vectorised maximum for each
 length stores the back-pointers. Characters that no piece covers become bytes.
@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ WORD = re.compile(f"{META}*[^{META}]+|{META}+")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN_PENALTY = 10.0
+SLICE_BYTES, MOST_WORDS = 1 << 20, 200_000
 
 
 class Model:
@@ -149,14 +151,14 @@ def encode_equal(m: Model, words: list[str]) -> list[np.ndarray]:
 
 
 def encode_words(m: Model, words: list[str]) -> dict[str, np.ndarray]:
-    """Ids of each distinct word; at most 4 million characters advance at once."""
+    """Ids of each distinct word; at most a million characters advance at once."""
     by_size: dict[int, list[str]] = {}
     for w in words:
         by_size.setdefault(len(w), []).append(w)
     out: dict[str, np.ndarray] = {}
     with np.errstate(over="ignore"):
         for size, own in by_size.items():
-            step = max(1, (1 << 22) // size)
+            step = max(1, (1 << 20) // size)
             for at in range(0, len(own), step):
                 out.update(zip(own[at : at + step], encode_equal(m, own[at : at + step]), strict=True))
     return out
@@ -173,6 +175,52 @@ def decode_ids(m: Model, ids: np.ndarray) -> bytes:
     return out[1:] if out[:1] == b" " else out
 
 
+def slices(b: pa.RecordBatch, column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``size`` bytes of text, or one row."""
+    _, at = utf8(b.column(column))
+    begun = 0
+    while begun < b.num_rows:
+        end = max(begun + 1, int(np.searchsorted(at, at[begun] + size, side="right")) - 1)
+        yield b.slice(begun, end - begun)
+        begun = end
+
+
+class WordTable:
+    """Ids of the distinct words met so far; forgotten when there are over ``MOST_WORDS``."""
+
+    def __init__(self, m: Model):
+        self.model = m
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.flat, self.offset = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def ids(self, column: pa.Array) -> pa.ListArray:
+        """The ids of each text of a column; null or empty: none."""
+        if len(self.numbers) > MOST_WORDS:
+            self.clear()
+        numbers, known = self.numbers, len(self.numbers)
+        docs = []
+        for t in column.to_pylist():
+            found = WORD.findall(META + t.replace(" ", META)) if t else []
+            docs.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int64, len(found)))
+        if len(numbers) > known:
+            new = list(islice(numbers, known, None))
+            coded = encode_words(self.model, new)
+            parts = [coded[w] for w in new]
+            self.flat = np.concatenate([self.flat, *parts])
+            self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum([len(p) for p in parts])])
+        every = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        n = np.diff(self.offset)[every]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        values = self.flat[np.arange(total) + np.repeat(self.offset[every] - (ends - n), n)]
+        sums = np.concatenate(([0], ends))
+        bounds = sums[np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)]
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
 def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, out: str = "piece_ids") -> DataFrame:
     """``docs`` with ``out`` (array<int>): whole texts as piece ids; null or empty: none.
 
@@ -180,29 +228,11 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, out: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        words = WordTable(model(path))
         for b in batches:
-            column = b.column(b.schema.get_field_index(text_col))
-            numbers: dict[str, int] = {}
-            docs_words: list[np.ndarray] = []
-            for t in column.to_pylist():
-                found = WORD.findall(META + t.replace(" ", META)) if t else []
-                docs_words.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int64, len(found)))
-            coded = encode_words(m, list(numbers))
-            parts = [coded[w] for w in numbers]
-            length = np.array([len(p) for p in parts], np.int64)
-            offset = np.concatenate(([0], np.cumsum(length)))
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            values, sizes = [], []
-            for d in docs_words:
-                n = length[d]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(d) else 0
-                values.append(flat[np.arange(total) + np.repeat(offset[d] - (ends - n), n)])
-                sizes.append(total)
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, out])
+            for part in slices(b, b.schema.get_field_index(text_col)):
+                ids = words.ids(part.column(part.schema.get_field_index(text_col)))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, out])
 
     clean = docs.drop(out)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema)
@@ -229,10 +259,11 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in batches:
+        words = WordTable(m)
+        for b in (part for whole in batches for part in slices(whole, 1)):
             data, at = utf8(b.column(1))
             n, ids_sha, text_sha, same = [], [], [], []
-            for i, x in enumerate(b.column(2)):
+            for i, x in enumerate(words.ids(b.column(1))):
                 ids = np.asarray(x.values).astype("<i4")
                 text = decode_ids(m, ids)
                 n.append(len(ids))
@@ -241,9 +272,9 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 same.append(text == data[at[i] : at[i + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(same)], names=["id", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
 
-    coded = encode(docs.select(id_col, text_col), text_col, path)
     kind = docs.schema[id_col].dataType.simpleString()
-    return coded.mapInArrow(run, f"id {kind}, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)
+    rows = docs.select(id_col, text_col)
+    return rows.mapInArrow(run, f"id {kind}, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text. Null texts are empty; a null id is smaller than all others. Rows
     that repeat an id are not smaller than each other.
     """
-    per_pass = buckets(docs.sparkSession)
+    per_pass = buckets(docs.sparkSession, PASSES)
     chunks = pack_chunks(docs, id_col, text_col)
     depth = size + PERIOD - 1
 
