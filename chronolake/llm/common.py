@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-LOCAL_DEFAULT = "/tmp/checkpoints"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -29,7 +28,7 @@ def work_dir(spark: SparkSession) -> str:
     folder is made only where it is unset, which is so in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named or named == LOCAL_DEFAULT:
+    if not named:
         named = getattr(work_dir, "own", None) or tempfile.mkdtemp(prefix="chronolake-")
         work_dir.own = named
     return named.rstrip("/")

@@ -10,6 +10,7 @@ segment number, verifies the total length and decodes the chunked framing.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -85,7 +86,8 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
 
     Records go out as they are through Spark's text writer, with the two line
     ends that close a record as its line separator, so any store that Spark
-    writes will do. A file holds at most ``file_records`` records. Rows that
+    writes will do. Files are gzipped and hold at most
+    ``file_records`` records. Rows that
     repeat a page_id become records of their own. Null payloads are empty.
     """
 
@@ -102,11 +104,13 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = pages.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", file_records).text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive file."""
+    """(headers, block) of each record of an archive file, gzipped or not."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         stop = data.find(END, at)
