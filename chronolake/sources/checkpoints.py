@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-DEFAULT = "/tmp/checkpoints"
 _own: list[str] = []
 
 
@@ -15,7 +14,7 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written and read back; a folder of its own is made only where none is set, as in tests."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where or where == DEFAULT:
+    if not where:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="chronolake-"))
         where = _own[0]
