@@ -155,3 +155,28 @@ def test_index_picks_up_what_is_new(spark, tmp_path):
     index.build_index(spark, src, "id long, text string", out, cp)
     got = sorted(tuple(r) for r in index.read_index(spark, out).collect())
     assert got == [("ab", 1), ("bc", 1), ("bc", 2), ("cd", 2)]
+
+
+def test_event_csv_is_sniffed(spark, tmp_path):
+    from chronolake.sources import logs
+
+    (tmp_path / "a.csv").write_text("Process Name;Event ID;Size (bytes)\np;1;20\n")
+    got = logs.read_event_csv(spark, str(tmp_path / "a.csv"), {"process": ["processname"], "bytes": ["size"], "path": ["file"]})
+    assert [tuple(r) for r in got.collect()] == [("p", "20", None)]
+
+
+def test_vectors_are_packed_and_checked(spark):
+    import pytest
+
+    from chronolake.sources import logs
+
+    good = spark.createDataFrame([(1, [1.0, 2.0])], "id long, vector array<float>")
+    assert logs.decode_vectors(logs.encode_vectors(good)).first()["vector"] == [1.0, 2.0]
+    for bad in ([0.0, 0.0], [float("nan")], []):
+        with pytest.raises(Exception, match="vector"):
+            logs.encode_vectors(spark.createDataFrame([(1, bad)], "id long, vector array<float>")).collect()
+
+
+def test_counter_deltas_never_fall(spark):
+    rows = spark.createDataFrame([(1, 1, 5.0), (1, 2, 9.0), (1, 3, 2.0)], "p int, t int, v double")
+    assert sorted(r["delta"] for r in telemetry.counter_deltas(rows, "p", ["t"], "v").collect()) == [0.0, 0.0, 4.0]
