@@ -274,7 +274,8 @@ def earlier(chunks: DataFrame, keys: Callable[..., np.ndarray], passes: int = 1,
 
     parts = []
     for p in range(passes):
-        sent = chunks.mapInArrow(send_pass(p), "bucket int, chunk long, block binary")
+        # More tasks than buckets, so that two buckets seldom share a task.
+        sent = chunks.mapInArrow(send_pass(p), "bucket int, chunk long, block binary").repartition(2 * partitions(chunks.sparkSession), "bucket")
         parts.append(materialize(sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, n int, bits binary"), codec="none"))
     masks = parts[0]
     for x in parts[1:]:
