@@ -167,4 +167,20 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_embedding_dedup": op5_embedding_dedup}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), u AS (
+            SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(e) > 0 AND list_dot_product(e, e) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_dot_product(a.e, b.e) >= 0.95 * a.n * b.n
+        ), r AS (
+            SELECT vec_id, vec_id AS m FROM v UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.vec_id WHERE r.m < l.b
+        ), c AS (
+            SELECT vec_id, min(m) AS component_id FROM r GROUP BY 1
+        )
+        SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c
+    """,
+}
