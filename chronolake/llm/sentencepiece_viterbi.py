@@ -57,8 +57,8 @@ class Model:
         #: An uncovered character scores below every piece.
         self.miss = float(scores[plain].min()) - UNKNOWN_PENALTY
         self.longest = max(len(self.pieces[i]) for i in plain)
-        #: By length: sorted keys of the pieces of that length, ids and scores beside them.
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: By length: sorted keys of the pieces of that length, ids and scores beside them, and which first 16 bits occur.
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in range(1, self.longest + 1):
             own = [i for i in plain if len(self.pieces[i]) == size]
             if own:
@@ -67,7 +67,9 @@ class Model:
                 order = np.argsort(keys)
                 if (np.diff(keys[order].view(np.int64)) == 0).any():
                     raise ValueError("two pieces share a key")
-                self.tables[size] = (keys[order], np.array(own, np.int32)[order], scores[own][order])
+                present = np.zeros(1 << 16, bool)
+                present[(keys >> np.uint64(48)).astype(np.int64)] = True
+                self.tables[size] = (keys[order], np.array(own, np.int32)[order], scores[own][order], present)
         bodies = [b""] * n
         for i in plain:
             bodies[i] = self.pieces[i].replace(META, " ").encode()
@@ -80,6 +82,13 @@ class Model:
         self.body = np.frombuffer(b"".join(bodies), np.uint8)
 
 
+    def uncovered(self, char: str) -> np.ndarray:
+        """The byte pieces of a character, or the unknown id if the model has none."""
+        if not self.has_bytes:
+            return np.array([self.unknown], np.int32)
+        return self.byte_ids[np.frombuffer(char.encode("utf-8", "surrogatepass"), np.uint8)]
+
+
 @lru_cache(maxsize=4)
 def model(path: str) -> Model:
     return Model(path)
@@ -110,15 +119,19 @@ def encode_equal(m: Model, words: list[str]) -> list[np.ndarray]:
         for k in range(min(end, m.longest), 0, -1):  # of equal sums the longest last piece wins
             if k not in m.tables:
                 continue
-            keys, ids, scores = m.tables[k]
+            keys, ids, scores, present = m.tables[k]
             h = mix(prefix[:, end] - prefix[:, end - k] * power[k])
-            at = np.searchsorted(keys, h)
+            some = np.flatnonzero(present[(h >> np.uint64(48)).view(np.int64)])
+            at = np.searchsorted(keys, h[some])
             at[at == len(keys)] = 0
-            total = np.where(keys[at] == h, best[:, end - k] + scores[at], -np.inf)
-            win = total > best[:, end]
-            best[win, end] = total[win]
-            back[win, end] = k
-            piece[win, end] = ids[at[win]]
+            same = keys[at] == h[some]
+            some, at = some[same], at[same]
+            total = best[some, end - k] + scores[at]
+            win = total > best[some, end]
+            some, at = some[win], at[win]
+            best[some, end] = total[win]
+            back[some, end] = k
+            piece[some, end] = ids[at]
     ends = np.full(n, size)
     taken: list[np.ndarray] = []
     steps: list[np.ndarray] = []
@@ -131,22 +144,15 @@ def encode_equal(m: Model, words: list[str]) -> list[np.ndarray]:
         ends = np.where(live, ends - back[rows, ends], 0)
     if not taken:
         return [np.zeros(0, np.int32)] * n
-    got, where = np.stack(taken[::-1], axis=1), np.stack(steps[::-1], axis=1)
-    out = []
-    for i in range(n):
-        row = got[i][got[i] != -2]
-        if (row == -1).any():
-            spots = where[i][got[i] != -2]
-            parts = []
-            for p, s in zip(row.tolist(), spots.tolist(), strict=True):
-                if p >= 0:
-                    parts.append(np.array([p], np.int32))
-                elif m.has_bytes:
-                    parts.append(m.byte_ids[np.frombuffer(words[i][s].encode("utf-8", "surrogatepass"), np.uint8)])
-                else:
-                    parts.append(np.array([m.unknown], np.int32))
-            row = np.concatenate(parts)
-        out.append(row.astype(np.int32))
+    got = np.stack(taken[::-1], axis=1)
+    real = got != -2
+    flat, stop = got[real].astype(np.int32), np.cumsum(real.sum(axis=1)).tolist()
+    out = [flat[a:z] for a, z in zip([0, *stop], stop, strict=False)]
+    if (flat == -1).any():
+        where = np.stack(steps[::-1], axis=1)
+        for i in np.flatnonzero((got == -1).any(axis=1)).tolist():
+            spots = where[i][real[i]].tolist()
+            out[i] = np.concatenate([np.array([p], np.int32) if p >= 0 else m.uncovered(words[i][s]) for p, s in zip(out[i].tolist(), spots, strict=True)])
     return out
 
 
@@ -185,6 +191,15 @@ def slices(b: pa.RecordBatch, column: int, size: int = SLICE_BYTES) -> Iterator[
         begun = end
 
 
+def split_words(text: str) -> list[str]:
+    """The words of a text; those after a single space, nearly all, without their meta symbol."""
+    plain = text.replace(META, " ")
+    words = plain.split(" ")
+    if "" not in words:
+        return words
+    return [w[1:] if w[1:2] not in ("", META) else w for w in WORD.findall(META + plain.replace(" ", META))]
+
+
 class WordTable:
     """Ids of the distinct words met so far; forgotten when there are over ``MOST_WORDS``."""
 
@@ -203,10 +218,10 @@ class WordTable:
         numbers, known = self.numbers, len(self.numbers)
         docs = []
         for t in column.to_pylist():
-            found = WORD.findall(META + t.replace(" ", META)) if t else []
+            found = split_words(t) if t else []
             docs.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int64, len(found)))
         if len(numbers) > known:
-            new = list(islice(numbers, known, None))
+            new = [w if w[0] == META else META + w for w in islice(numbers, known, None)]
             coded = encode_words(self.model, new)
             parts = [coded[w] for w in new]
             self.flat = np.concatenate([self.flat, *parts])
