@@ -104,8 +104,7 @@ def running_sum(df: DataFrame, order: list, sums: dict[str, str], within: str |
     local = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     for i, (name, c) in enumerate(sums.items()):
         joined = joined.withColumn(name, F.col(f"_o{i}") + F.coalesce(F.sum(c).over(local), F.lit(0)))
-    drop = [c for c in joined.columns if c in ("_part", "_opart", "_within") or c.startswith("_o")]
-    return joined.drop(*drop)
+    return joined.drop("_part", "_opart", "_within", *[f"_o{i}" for i in range(len(sums))])
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:

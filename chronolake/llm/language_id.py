@@ -117,8 +117,10 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> dic
     return {"labels": labels, "code": code, "odds": odds.astype(np.float32), "weights": np.clip(margin.min(axis=0), 0.05, None)}
 
 
-def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", label: str = "lang_pred", scale: float = 4.0) -> DataFrame:
-    """All columns of ``docs`` with ``label``, ``score`` (0 to 1) and ``ambiguous``.
+def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", label: str = "lang_pred", score: str = "score", unsure: str = "ambiguous", scale: float = 4.0) -> DataFrame:
+    """All columns of ``docs`` with ``label``, ``score`` (0 to 1) and ``unsure``.
+
+    Columns of ``docs`` with these names are replaced.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing
     was learned. The score is the share of exp(-loss) that the winner has; under
@@ -132,12 +134,12 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             column = b.column(b.schema.get_field_index(text_col))
             data, at = utf8(column)
             seen = pa.compute.match_substring_regex(column, r"\p{L}").fill_null(False).to_pylist()
-            names, scores, unsure = [], [], []
+            names, scores, doubts = [], [], []
             for i in range(b.num_rows):
                 if not seen[i] or not labels:
                     names.append("und")
                     scores.append(0.0)
-                    unsure.append(True)
+                    doubts.append(True)
                     continue
                 g = grams(data[at[i] : at[i + 1]])
                 count = np.bincount(g, minlength=BUCKETS)
@@ -148,12 +150,12 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 best = int(loss.argmin())
                 names.append(labels[best])
                 scores.append(float(share[best] / share.sum()))
-                unsure.append(scores[-1] < AMBIGUOUS)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], names=[*b.schema.names, label, "score", "ambiguous"])
+                doubts.append(scores[-1] < AMBIGUOUS)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(doubts, pa.bool_())], names=[*b.schema.names, label, score, unsure])
 
-    clean = docs.drop(label, "score", "ambiguous")
+    clean = docs.drop(label, score, unsure)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema)
-    return clean.mapInArrow(run, f"{fields}, {label} string, score double, ambiguous boolean")
+    return clean.mapInArrow(run, f"{fields}, `{label}` string, `{score}` double, `{unsure}` boolean")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -170,9 +172,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without the texts whose language is undetermined (``und``)."""
+    """``docs`` without the texts whose language is undetermined (``und``).
+
+    Those are null or have no letter. If no document has a label, nothing is
+    learned, and texts with a letter stay.
+    """
     names = docs.columns
-    return predict(docs, fit(docs), label="_lang_pred").filter(F.col("_lang_pred") != "und").select(*names)
+    out = predict(docs, fit(docs), label="_lang_pred", score="_lang_score", unsure="_lang_unsure")
+    return out.filter((F.col("_lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select(*names)
 
 
 QUERIES = {"op6_language_id": op6_language_id}

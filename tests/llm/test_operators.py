@@ -249,6 +249,17 @@ def test_language_id_odd_rows(spark, odd, docs):
             assert g["lang_pred"] in ("en", "fr", "und") and 0 <= g["score"] <= 1
 
 
+def test_keep_known_leaves_other_columns_alone(spark, odd):
+    from pyspark.sql.functions import lit
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    out = language_id.keep_known(docs)
+    assert out.columns == docs.columns
+    assert out.filter("score <> size").count() == 0  # both number the rows
+    bare = docs.withColumn("lang", lit(None).cast("string"))
+    assert language_id.keep_known(bare).count() == out.count()
+
+
 def test_codewords():
     for k in (1, 2, 4, 5, 6, 40):
         c = language_id.codewords(k)
