@@ -107,11 +107,12 @@ def running_sum(df: DataFrame, order: list, sums: dict[str, str], within: str |
     return joined.drop("_part", "_opart", "_within", *[f"_o{i}" for i in range(len(sums))])
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the undirected ``edges`` (a, b), root the
     smallest node of its component.
 
-    Large-star and small-star rounds alternate until a round changes nothing.
+    Large-star and small-star rounds alternate until a round changes nothing,
+    however many that takes.
     Each is a minimum by node (partial aggregates, so a hub costs a row per
     task) and a join back, which adaptive execution splits where a hub is hot.
     Every round is written, so lineage stays one round long. No edges: no rows.
@@ -120,7 +121,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).filter("v <> m").distinct()
     )
     seen = None
-    for _ in range(rounds):
+    while True:
         both = star.unionAll(star.select(F.col("m").alias("v"), F.col("v").alias("m")))
         low = both.groupBy("v").agg(F.min("m").alias("low")).select(F.col("v").alias("u"), F.least("u", "low").alias("low"))
         large = both.filter("m > v").select(F.col("v").alias("u"), F.col("m").alias("w")).join(low, "u").select(F.col("w").alias("v"), F.col("low").alias("m"))

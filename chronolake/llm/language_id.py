@@ -177,9 +177,11 @@ def keep_known(docs: DataFrame) -> DataFrame:
     Those are null or have no letter. If no document has a label, nothing is
     learned, and texts with a letter stay.
     """
-    names = docs.columns
-    out = predict(docs, fit(docs), label="_lang_pred", score="_lang_score", unsure="_lang_unsure")
-    return out.filter((F.col("_lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select(*names)
+    model = fit(docs)
+    if not model["labels"]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    out = predict(docs, model, label="_lang_pred", score="_lang_score", unsure="_lang_unsure")
+    return out.filter(F.col("_lang_pred") != "und").select(*docs.columns)
 
 
 QUERIES = {"op6_language_id": op6_language_id}
