@@ -6,6 +6,8 @@ is 1 with those of the others, so all of them follow from one table of 3-gram
 counts by language, which Spark sums over all labelled training documents.
 A text's margins are decoded by loss: the codeword with the least weighted
 logistic loss wins, and a near tie with the runner-up is flagged as ambiguous.
+``keep_known`` also rejects: a text far less likely in the languages it decodes
+to than labelled documents of its length is in no language that was learned.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ BUCKETS = 1 << 13
 #: The most languages that can be learned: the rest, by number of documents, would have no codeword.
 MAX_LANGUAGES = 200
 AMBIGUOUS = 0.6
+#: Rejection: 3-grams of a stretch that is decoded by itself, labelled documents that a length class needs, their quantile, and how far beyond it (in nats a 3-gram).
+STRETCH, CLASS_LEAST, QUANTILE, BEYOND = 64, 100, 0.99, 2.0
+SCALE = 4.0
 
 #: Bytes as features: A-Z lower-cased, a-z and all bytes of multi-byte characters kept, the rest one gap.
 FOLD = np.zeros(256, np.uint64)
@@ -103,21 +108,21 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> dic
     rows = sorted(rows, key=lambda r: r["label"])
     labels = [r["label"] for r in rows]
     if not labels:
-        return {"labels": [], "code": np.zeros((0, 1)), "odds": np.zeros((BUCKETS, 1)), "weights": np.ones(1)}
+        return {"labels": [], "code": np.zeros((0, 1)), "odds": np.zeros((BUCKETS, 1)), "weights": np.ones(1), "logs": np.zeros((BUCKETS, 1))}
     counts = np.array([r["counts"] for r in rows], float)
     rates = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
     code = codewords(len(labels)).astype(float)
     if len(labels) == 1:
-        return {"labels": labels, "code": code, "odds": np.zeros((BUCKETS, 1)), "weights": np.ones(1)}
+        return {"labels": labels, "code": code, "odds": np.zeros((BUCKETS, 1)), "weights": np.ones(1), "logs": np.log(rates).T}
     ones = code.T @ rates / code.sum(axis=0)[:, None]
     zeros = (1 - code).T @ rates / (1 - code).sum(axis=0)[:, None]
     odds = np.log(ones / zeros).T
     # A bit counts by how well its classifier tells its own languages apart: the least margin of any.
     margin = (rates @ odds) * (2 * code - 1)
-    return {"labels": labels, "code": code, "odds": odds.astype(np.float32), "weights": np.clip(margin.min(axis=0), 0.05, None)}
+    return {"labels": labels, "code": code, "odds": odds.astype(np.float32), "weights": np.clip(margin.min(axis=0), 0.05, None), "logs": np.log(rates).T.astype(np.float32)}
 
 
-def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", label: str = "lang_pred", score: str = "score", unsure: str = "ambiguous", scale: float = 4.0) -> DataFrame:
+def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", label: str = "lang_pred", score: str = "score", unsure: str = "ambiguous", scale: float = SCALE) -> DataFrame:
     """All columns of ``docs`` with ``label``, ``score`` (0 to 1) and ``unsure``.
 
     Columns of ``docs`` with these names are replaced.
@@ -171,17 +176,68 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def misfit(g: np.ndarray, model: dict) -> float:
+    """How unlikely the 3-grams are in the languages that decoding gives: the mean of -log(rate).
+
+    Stretches are decoded apart, each by the codeword with the least weighted
+    loss, so a text in two languages fits about as well as one in either. A
+    last stretch of under half the length joins the one before.
+    """
+    if not len(g):
+        return 0.0
+    starts = np.arange(0, max(len(g) - STRETCH // 2, 1), STRETCH)
+    size = np.diff(np.append(starts, len(g)))
+    m = np.add.reduceat(model["odds"][g].astype(float), starts, axis=0) / size[:, None] * SCALE
+    w = model["weights"] / model["weights"].sum()
+    # log(1 + e^-m) = log(1 + e^m) - m, so the losses differ by the margins on a codeword's ones.
+    best = ((m * w) @ model["code"].T).argmax(axis=1)
+    return float(-model["logs"][g, np.repeat(best, size)].mean())
+
+
+def misfits(docs: DataFrame, model: dict, text_col: str = "text", name: str = "_misfit", length: str = "_length") -> DataFrame:
+    """All columns of ``docs`` with the misfit of each text and its length class: the bits of its number of 3-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = utf8(b.column(b.schema.get_field_index(text_col)))
+            found = [grams(data[at[i] : at[i + 1]]) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([misfit(g, model) for g in found], pa.float64()), pa.array([len(g).bit_length() for g in found], pa.int32())], names=[*b.schema.names, name, length])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{fields}, `{name}` double, `{length}` int")
+
+
+def levels(docs: DataFrame, model: dict, text_col: str = "text", label_col: str = "lang") -> dict[int, float]:
+    """The greatest misfit that passes, by length class.
+
+    ``BEYOND`` over the ``QUANTILE`` of all labelled documents of the class. A
+    class with under ``CLASS_LEAST`` of them takes the level of the next
+    shorter class that has one; with none, nothing of it is rejected. One row
+    a class comes to the driver.
+    """
+    seen = misfits(docs.filter(F.col(label_col).isNotNull()).select(F.col(text_col).alias("text")), model).select("_misfit", "_length")
+    rows = seen.groupBy("_length").agg(F.count("*").alias("n"), F.percentile_approx("_misfit", QUANTILE, 10_000).alias("q")).collect()
+    own = {r["_length"]: r["q"] + BEYOND for r in rows if r["n"] >= CLASS_LEAST}
+    return {k: own[max(x for x in own if x <= k)] for k in range(min(own), 40)} if own else {}
+
+
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without the texts whose language is undetermined (``und``).
+    """``docs`` without the texts whose language is undetermined.
 
-    Those are null or have no letter. If no document has a label, nothing is
-    learned, and texts with a letter stay.
+    Those are null or have no letter (``und``), or no learned language fits
+    them: their misfit is beyond the level of their length class. If no document has a
+    label, nothing is learned, and texts with a letter stay; with one label
+    there is nothing to decode, and no level either.
     """
     model = fit(docs)
     if not model["labels"]:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    out = predict(docs, model, label="_lang_pred", score="_lang_score", unsure="_lang_unsure")
-    return out.filter(F.col("_lang_pred") != "und").select(*docs.columns)
+    level = levels(docs, model) if len(model["labels"]) > 1 else {}
+    out = predict(docs, model, label="_lang_pred", score="_lang_score", unsure="_lang_unsure").filter(F.col("_lang_pred") != "und")
+    if level:
+        most = F.coalesce(F.create_map(*[F.lit(x) for k, v in sorted(level.items()) for x in (k, v)])[F.col("_length")], F.lit(float("inf")))
+        out = misfits(out, model).filter(F.col("_misfit") <= most)
+    return out.select(*docs.columns)
 
 
 QUERIES = {"op6_language_id": op6_language_id}
