@@ -26,6 +26,8 @@ from .common import connected_components, materialize, partitions
 BITS, BLOCKS = 64, 9
 GOLDEN = 0x9E3779B97F4A7C15
 THRESHOLD = 2
+#: Near-copies (keep_one): words of a shingle, words of a fingerprint, those compared, bits that may differ in them, least set that can be similar to another.
+SHINGLE, WIDE, SCREEN, LOOSE, LEAST = 5, 16, 4, 72, 4
 
 
 def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -256,18 +258,213 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def set_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
+    """``words`` words of 64 majority bits of distinct hashes; ties fall by the place of the bit."""
+    out = np.zeros(words, np.uint64)
+    for k in range(words):
+        out[k] = majority(mix(h + np.uint64(k * GOLDEN % (1 << 64))))
+        if len(h) % 2 == 0 and len(h) <= 64:
+            bits = np.unpackbits(mix(h + np.uint64(k * GOLDEN % (1 << 64))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            tie = np.packbits((2 * bits.sum(axis=0, dtype=np.int64) == len(h)).astype(np.uint8), bitorder="little").view("<u8")[0]
+            out[k] |= tie & np.uint64(0x5A96A5693C5AC396)
+    return out
+
+
+def _marks(docs: DataFrame, row_col: str, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, th, node, n, fp) of each row: node is a hash of the set of distinct five-word shingles, n its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, size, fps = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32), []
+            for i, t in enumerate(b.column(3).cast(pa.binary())):
+                h = np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", SHINGLE))
+                node[i], size[i] = xxhash.xxh64_intdigest(h.tobytes()), len(h)
+                fps.append(set_fingerprint(h, WIDE).tobytes() if len(h) >= LEAST else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(node.view(np.int64)), pa.array(size), pa.array(fps, pa.binary())], names=["row", "id", "th", "node", "n", "fp"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    read = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return read.mapInArrow(run, f"row long, id {kind}, th long, node long, n int, fp binary")
+
+
+def _near(fps: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows ``a`` and ``b`` (which broadcast) may be similar: by bits and by set sizes."""
+    d = np.bitwise_count(fps[a, 0] ^ fps[b, 0]).astype(np.uint16)
+    for k in range(1, SCREEN):
+        d += np.bitwise_count(fps[a, k] ^ fps[b, k])
+    return (d <= LOOSE) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+
+
+def _candidates(anchor: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, fps: np.ndarray, failed: dict[int, set]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, more): row numbers of candidates of different roots at one anchor.
+
+    An anchor of up to 64 rows gives every pair. A larger one gives a spanning
+    forest of its candidates, and ``more`` where a tree may stand for other
+    pairs: those are asked for again when the tree's links have been checked.
+    """
+    edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
+    size = np.diff(edge)
+    end, large = np.repeat(edge[1:], size), np.repeat(size > 64, size)
+    rows, cols, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    k, live = 1, np.flatnonzero(~large & (np.arange(len(anchor)) + 1 < end))
+    while len(live):
+        near = live[(root[live] != root[live + k]) & _near(fps, n, live, live + k)]
+        rows.append(near)
+        cols.append(near + k)
+        more.append(np.zeros(len(near), bool))
+        k += 1
+        live = live[live + k < end[live]]
+    for s, e in zip(edge[:-1][size > 64].tolist(), edge[1:][size > 64].tolist(), strict=True):
+        names, count = np.unique(root[s:e], return_counts=True)
+        # Of two rows of different roots one at least is not of the commonest root.
+        starts = np.arange(s, e) if count.max() == 1 else np.flatnonzero(root[s:e] != names[count.argmax()]) + s
+        left = np.ones(e - s, bool)
+        for v in starts.tolist():
+            if not left[v - s]:
+                continue
+            left[v - s] = False
+            tree, edges = [v], []
+            while tree:
+                front, tree = tree, []
+                for at in range(0, len(front), 64):
+                    part = np.array(front[at : at + 64])
+                    rest = np.flatnonzero(left) + s
+                    if not len(rest):
+                        break
+                    hit = (root[part][:, None] != root[rest][None, :]) & _near(fps, n, part[:, None], rest[None, :])
+                    for i, x in enumerate(node[part].tolist()):
+                        if x in failed:
+                            hit[i] &= ~np.isin(node[rest], list(failed[x]))
+                    found = np.flatnonzero(hit.any(axis=0))
+                    edges += zip(part[hit[:, found].argmax(axis=0)].tolist(), rest[found].tolist(), strict=True)
+                    left[rest[found] - s] = False
+                    tree += rest[found].tolist()
+            if edges:
+                rows.append(np.array([x for x, _ in edges]))
+                cols.append(np.array([x for _, x in edges]))
+                more.append(np.full(len(edges), len(edges) > 1))
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(more)
+
+
+def candidate_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b, more) of ``nodes`` (node, root, n, fp, failed): pairs that may be similar.
+
+    Fingerprints of ``WIDE`` words meet where any 16 aligned bits agree; ``SCREEN`` of their words
+    travel along and are compared. ``failed`` are nodes found not to be similar.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                c = b.slice(at, 1000)
+                fps = utf8(c.column(3))[0].view("<u8").reshape(c.num_rows, WIDE)
+                index, a = segment_anchors(np.ascontiguousarray(fps))
+                head = pa.array([x.tobytes() for x in fps[:, :SCREEN]], pa.binary())
+                index = pa.array(index)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), *[x.take(index) for x in (c.column(0), c.column(1), c.column(2), head, c.column(4))]], names=["anchor", "node", "root", "n", "fp", "failed"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by anchor; the last anchor of a batch may go on.
+        held: list[list] = []
+
+        def pairs(parts: list[list]) -> Iterator[pa.RecordBatch]:
+            a, node, root, n, fps = (np.concatenate([x[k] for x in parts]) for k in range(5))
+            failed = {x: set(y) for p in parts for x, y in p[5]}
+            i, j, more = _candidates(a, node, root, n, fps, failed)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(more)], names=["a", "b", "more"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            data = utf8(b.column(4))[0].view("<u8").reshape(b.num_rows, SCREEN)
+            sent = [(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(5).to_pylist(), strict=True) if y] if b.column(5).null_count < b.num_rows else []
+            now = [*[b.column(k).to_numpy() for k in range(4)], data, sent]
+            first, last = now[0][0], now[0][-1]
+            if held and held[-1][0][-1] != first:
+                yield from pairs(held)
+                held = []
+            cut = int(np.searchsorted(now[0], last))
+            if cut:
+                yield from pairs([*held, [*[x[:cut] for x in now[:5]], sent]])
+                held = []
+            held.append([*[x[cut:].copy() for x in now[:5]], sent])
+        if held:
+            yield from pairs(held)
+
+    n = partitions(nodes.sparkSession)
+    sent = nodes.select("node", "root", "n", "fp", "failed").mapInArrow(spread, "anchor long, node long, root long, n int, fp binary, failed array<long>")
+    dealt = sent.repartition(n, "anchor").sortWithinPartitions("anchor", "node")
+    return dealt.mapInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets (sorted, distinct) have a Jaccard similarity of 0.8 or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, ok): each pair of nodes by the shingle sets of its two texts (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None)
+        for b in batches:
+            ok = []
+            for a, x, y in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+                if last[0] != a:
+                    last = (a, np.unique(shingle_hashes(x.as_buffer().to_pybytes(), SHINGLE)))
+                ok.append(similar(last[1], np.unique(shingle_hashes(y.as_buffer().to_pybytes(), SHINGLE))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.col("text_a").cast("binary"), F.col("text_b").cast("binary")).mapInArrow(run, "a long, b long, ok boolean")
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
+    """(node, root) of the components that verified links make.
+
+    ``nodes``: (node, rep, n, fp), rep a row that has the node's set. Rounds
+    go on until no pair of different components is left to be checked.
+    """
+    wide = nodes.filter(F.col("n") >= LEAST)
+    live = wide.withColumn("root", F.col("node")).withColumn("failed", F.lit(None).cast("array<long>"))
+    checked = None
+    while True:
+        found = materialize(candidate_pairs(live))
+        new = found if checked is None else found.join(checked, ["a", "b"], "left_anti")
+        ends = new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = docs.select(F.col(row_col).alias("rep"), F.col(text_col).alias("text")).join(wide.join(ends, "node", "left_semi").select("rep", "node"), "rep").select("node", "text")
+        done = verified(new, materialize(texts))
+        checked = materialize(done if checked is None else checked.unionAll(done))
+        roots = materialize(connected_components(checked.filter("ok").select("a", "b")))
+        again = found.filter("more").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if not again.limit(1).count():
+            return roots
+        wrong = checked.filter("not ok")
+        failed = wrong.unionAll(wrong.select("b", "a", "ok")).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
+        live = wide.join(again, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(failed, "node", "left")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near-copies of similarity 0.8 or more in five-word shingles.
+    """``docs`` without near-copies: sets of five-word shingles of Jaccard similarity 0.8 or more.
+
+    Rows with equal sets are one node. Fingerprints of the sets find
+    candidates only: those that agree in any of 64 segments of 16 bits and
+    differ in ``LOOSE`` of 256 bits or fewer. The sets themselves decide every
+    link. A set of under ``LEAST`` shingles is similar to its equals alone.
 
-    A similarity of 0.8 is about 15 % of all bits, far beyond what anchors of
-    one word can cover, so fingerprints here have six words; they meet at the
-    anchors of their 24 segments of 16 bits and are linked at 58 differing
-    bits of 384 or fewer. Of each component the smallest id stays. Rows with a
-    null id are kept; of rows that repeat the id that stays, all are kept.
+    Of each component the smallest id stays. Rows with a null id are kept; of
+    rows that repeat the id that stays, all are kept.
     """
-    classes = near_duplicates(docs, id_col, text_col, shingle=5, threshold=58, words=6)
-    go = classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_go")).distinct()
-    return docs.join(go, docs[id_col] == F.col("_go"), "left_anti")
+    docs = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    marks = materialize(_marks(docs, "_row", id_col, text_col))
+    nodes = materialize(marks.groupBy("node").agg(F.min("row").alias("rep"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("id").alias("low")))
+    roots = similar_links(nodes, docs, "_row", text_col)
+    rooted = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("least")), "root").select("node", "least")
+    go = marks.join(lowest, "node").filter("id <> least").select(F.col("id").alias("_go")).distinct()
+    return docs.join(go, docs[id_col] == F.col("_go"), "left_anti").drop("_row")
 
 
 QUERIES = {"op4_simhash": op4_simhash}
