@@ -454,17 +454,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     differ in ``LOOSE`` of 256 bits or fewer. The sets themselves decide every
     link. A set of under ``LEAST`` shingles is similar to its equals alone.
 
-    Of each component the smallest id stays. Rows with a null id are kept; of
-    rows that repeat the id that stays, all are kept.
+    Of each component one row stays: the smallest id, null ids last, ties by
+    a hash of the text and then by the place of the row.
     """
     docs = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
     marks = materialize(_marks(docs, "_row", id_col, text_col))
-    nodes = materialize(marks.groupBy("node").agg(F.min("row").alias("rep"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("id").alias("low")))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "th", "row")
+    nodes = materialize(marks.groupBy("node").agg(F.min("row").alias("rep"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min(order).alias("best")))
     roots = similar_links(nodes, docs, "_row", text_col)
-    rooted = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("least")), "root").select("node", "least")
-    go = marks.join(lowest, "node").filter("id <> least").select(F.col("id").alias("_go")).distinct()
-    return docs.join(go, docs[id_col] == F.col("_go"), "left_anti").drop("_row")
+    rooted = nodes.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))
+    return docs.join(stay, "_row", "left_semi").drop("_row")
 
 
 QUERIES = {"op4_simhash": op4_simhash}

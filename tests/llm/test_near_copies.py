@@ -65,3 +65,9 @@ def test_large_group_is_checked_until_nothing_is_left(spark):
             a, b = sorted((root[i], root[j]))
             root = [a if r == b else r for r in root]
     assert {i for i, _ in kept(spark, enumerate(texts))} == set(root)
+
+
+def test_one_row_of_each_group(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (None, c), (None, c), (5, c), (3, a), (None, "alone without an id here")]
+    assert sorted(kept(spark, rows), key=str) == sorted([(3, a), (7, b), (5, c), (None, "alone without an id here")], key=str)
