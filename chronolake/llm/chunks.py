@@ -1,8 +1,10 @@
 """Documents packed into chunks, and an exchange of 64-bit keys between them.
 
 A chunk holds whole documents in doc_id order, at most ``CHUNK_BYTES`` of text
-unless one document is longer or rows repeat an id. Chunk numbers rise with
-doc_id, so "occurs before" is "in an earlier chunk, or earlier in this one".
+unless one document is longer. Chunk numbers rise with doc_id, so "occurs
+before" is "in an earlier chunk, or earlier in this one". Rows that repeat an
+id may span chunks and tasks; those chunks hold no other id, so "in a smaller
+id" is "in an earlier chunk that begins with another id, or earlier in this one".
 
 ``earlier`` is the exchange. Each chunk sends every key once, sorted, as one
 packed block to each bucket (a range of keys); a bucket sorts its blocks and
@@ -34,7 +36,9 @@ def pack_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per chunk: ids, int64 text sizes in bytes, zstd of all texts.
 
     Null texts are empty; null ids come first. Rows that repeat an id stand in
-    one chunk, in the order of a hash of their text. Columns named in
+    the order of a hash of their text, in one chunk or in several that have no
+    other id: so do the first and the last id of each task, as they may go on
+    in the next one. Columns named in
     ``carry`` travel beside the texts; ``carried`` gives them back.
     """
 
@@ -43,17 +47,24 @@ def pack_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ids: list = []
         parts: list[bytes] = []
         extra: list[pa.RecordBatch] = []
-        size = 0
+        size = start = 0
+        # Whether the chunk's id may have rows in the one before; ``start`` is where the last id's rows begin.
+        alone, last = True, None
 
-        def flush() -> pa.RecordBatch:
+        def flush(k: int) -> pa.RecordBatch:
+            """The first ``k`` documents as a chunk; the others stay."""
+            nonlocal chunk, ids, parts, extra, size, start
             sink = pa.BufferOutputStream()
             if carry:
-                with pa.ipc.new_stream(sink, extra[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    for x in extra:
-                        out.write_batch(x)
-            sizes = np.array([len(p) for p in parts], np.int64)
-            body = zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()), pa.array([body], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "ids", "sizes", "body", "extra"])
+                table = pa.Table.from_batches(extra)
+                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(table.slice(0, k))
+                extra = table.slice(k).to_batches()
+            sizes = np.array([len(p) for p in parts[:k]], np.int64)
+            body = zstandard.ZstdCompressor(level=1).compress(b"".join(parts[:k]))
+            row = pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([ids[:k]], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()), pa.array([body], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "ids", "sizes", "body", "extra"])
+            chunk, ids, parts, size, start = chunk + 1, ids[k:], parts[k:], size - int(sizes.sum()), 0
+            return row
 
         for b in batches:
             data, at = utf8(b.column(1))
@@ -61,21 +72,36 @@ def pack_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             beside = b.select(list(range(2, b.num_columns)))
             begun = 0
             for i, key in enumerate(b.column(0).to_pylist()):
-                if parts and size + at[i + 1] - at[i] > chunk_bytes and key != ids[-1]:
-                    extra.append(beside.slice(begun, i - begun))
-                    begun = i
-                    yield flush()
-                    chunk, ids, parts, extra, size = chunk + 1, [], [], [], 0
+                other, full = key != last, size + at[i + 1] - at[i] > chunk_bytes
+                if parts and (full or (other and alone)):
+                    if carry:
+                        extra.append(beside.slice(begun, i - begun))
+                        begun = i
+                    if not other and start:
+                        yield flush(start)
+                        full = size + at[i + 1] - at[i] > chunk_bytes
+                        alone = True
+                    if other or full:
+                        yield flush(len(parts))
+                        alone = not other
+                if other:
+                    start = len(ids)
                 ids.append(key)
                 parts.append(data[at[i] : at[i + 1]].tobytes())
                 size += at[i + 1] - at[i]
-            extra.append(beside.slice(begun))
+                last = key
+            if carry:
+                extra.append(beside.slice(begun))
+        if start:
+            yield flush(start)
         if parts:
-            yield flush()
+            yield flush(len(parts))
 
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *carry)
-    rows = rows.repartitionByRange(n, "_id").sortWithinPartitions("_id", F.xxhash64("_text"))
+    # The last key deals copies that repeat an id, too.
+    order = ("_id", F.xxhash64("_text"), "_place")
+    rows = rows.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_place")
     return materialize(rows.mapInArrow(run, CHUNK_SCHEMA), codec="none")
 
 
@@ -220,14 +246,15 @@ def buckets(spark: SparkSession, passes: int = 1) -> int:
     return partitions(spark) if passes == 1 else max(1, partitions(spark) // 2)
 
 
-def earlier(chunks: DataFrame, keys: Callable[..., np.ndarray], passes: int = 1, by_range: bool = False) -> DataFrame:
+def earlier(chunks: DataFrame, keys: Callable[..., np.ndarray], passes: int = 1, by_range: bool = False, by_id: bool = False) -> DataFrame:
     """(chunk, masks): for each key a chunk sends, whether an earlier chunk has it.
 
     ``keys(batch, row)`` gives a row's sorted distinct keys, the same on every
     call; with ``by_range``, ``keys(batch, row, low, high)`` gives those from
     low to high, which spares a pass the sorting of all others. With ``passes`` over 1 the key space is taken a part at a time,
     each part's shuffle being dropped before the next, so disk and memory hold
-    one part. ``masks`` are (bucket, n, zstd of packed bits) in key order.
+    one part. With ``by_id`` chunks that begin with the same id are not earlier
+    than each other. ``masks`` are (bucket, n, zstd of packed bits) in key order.
     """
     per_pass = buckets(chunks.sparkSession, passes)
     total = per_pass * passes
@@ -244,7 +271,7 @@ def earlier(chunks: DataFrame, keys: Callable[..., np.ndarray], passes: int = 1,
                     use = [k for k in range(per_pass) if cut[k + 1] > cut[k]]
                     if use:
                         blocks = [u[cut[k] : cut[k + 1]].tobytes() for k in use]
-                        yield pa.RecordBatch.from_arrays([pa.array([lo + k for k in use], pa.int32()), pa.array([b.column("chunk")[i].as_py()] * len(use), pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "chunk", "block"])
+                        yield pa.RecordBatch.from_arrays([pa.array([lo + k for k in use], pa.int32()), pa.array([b.column("chunk")[i].as_py()] * len(use), pa.int64()), pa.array([b.column("ids")[i].values[0].as_py()] * len(use), pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "chunk", "head", "block"])
 
         return send
 
@@ -256,15 +283,20 @@ def earlier(chunks: DataFrame, keys: Callable[..., np.ndarray], passes: int = 1,
         del s
         seen = np.zeros(len(many), bool)
         chunk, size, bits = [], [], []
+        heads, last, waiting = t.column("head").to_pylist(), None, []
         for i in order.tolist():
             u = blocks[i]
+            if not by_id or heads[i] != last:
+                for x in waiting:
+                    seen[x] = True
+                last, waiting = heads[i], []
             out = np.zeros(len(u), bool)
             if len(many):
                 at = np.searchsorted(many, u)
                 at[at == len(many)] = 0
                 hit = np.flatnonzero(many[at] == u)
                 out[hit] = seen[at[hit]]
-                seen[at[hit]] = True
+                waiting.append(at[hit])
             if out.any():
                 chunk.append(t.column("chunk")[i].as_py())
                 size.append(len(u))
@@ -274,7 +306,7 @@ def earlier(chunks: DataFrame, keys: Callable[..., np.ndarray], passes: int = 1,
 
     parts = []
     for p in range(passes):
-        sent = chunks.mapInArrow(send_pass(p), "bucket int, chunk long, block binary")
+        sent = chunks.mapInArrow(send_pass(p), "bucket int, chunk long, head long, block binary")
         parts.append(materialize(sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, n int, bits binary"), codec="none"))
     masks = parts[0]
     for x in parts[1:]:

@@ -101,7 +101,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 done.append(np.packbits(cover(hit, PERIOD)).tobytes())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("chunk", "ids", "sizes", "body", "extra")), pa.array(done, pa.binary())], names=["chunk", "ids", "sizes", "body", "extra", "done"])
 
-    sampled = with_masks(chunks, earlier(chunks, sample_keys, SAMPLE_PASSES))
+    sampled = with_masks(chunks, earlier(chunks, sample_keys, SAMPLE_PASSES, by_id=True))
     chunks = materialize(sampled.mapInArrow(settle, f"{CHUNK_SCHEMA}, done binary"), chunks, codec="lz4")
 
     def open_suffixes(b: pa.RecordBatch, i: int) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +116,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         own = keys - lo
         return distinct(keys[own <= hi - lo])[0]
 
-    masks = earlier(chunks, suffix_keys, PASSES, by_range=True)
+    masks = earlier(chunks, suffix_keys, PASSES, by_range=True, by_id=True)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
