@@ -21,13 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import mix, utf8
-from .common import connected_components, materialize, partitions
+from .common import connected_components, discard, materialize, partitions
 
 BITS, BLOCKS = 64, 9
 GOLDEN = 0x9E3779B97F4A7C15
 THRESHOLD = 2
-#: Near-copies (keep_one): words of a shingle, words of a fingerprint, those compared, bits that may differ in them, least set that can be similar to another.
-SHINGLE, WIDE, SCREEN, LOOSE, LEAST = 5, 16, 4, 72, 4
+#: Rows of a group that are compared one place at a time, rows of a block of a hot anchor, and the side of rows that are compared with all of their group.
+CROWD, HOT, WHOLE = 64, 2048, 2
+#: Near-copies (keep_one): words of a shingle, words of a fingerprint, least set that can be similar to another.
+SHINGLE, WIDE, LEAST = 5, 16, 4
+#: Words of a fingerprint that travel to anchors, bits that may differ in them, and in all words.
+SCREEN, LOOSE, FAR = 3, 54, 230
 
 
 def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -118,11 +122,31 @@ def replicas(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(index), np.concatenate(found)) if index else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def segment_anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index, anchor): every 16 bits of a wide fingerprint are their own anchor."""
-    parts = fps.view("<u2").reshape(len(fps), -1).astype(np.uint64)
-    k = parts.shape[1]
-    return np.repeat(np.arange(len(fps)), k), (parts | (np.arange(k, dtype=np.uint64) << np.uint64(16))).ravel()
+def segments(nodes: int) -> tuple[int, int]:
+    """(bits of a segment, number of segments) for so many wide fingerprints.
+
+    A segment has 16 bits up to 2**20 fingerprints and then 4 more for every
+    16 times as many, so that unlike fingerprints at an anchor stay few. Two
+    that differ in 15.2 % of their bits (similarity 0.8) agree in some segment
+    with a chance of 99.1 % at any width.
+    """
+    width = min(32, 16 + 4 * max(0, int(np.ceil((np.log2(max(nodes, 1)) - 20) / 4))))
+    return width, int(np.ceil(np.log(0.009) / np.log(1 - 0.848**width)))
+
+
+def segment_anchors(fps: np.ndarray, width: int = 16, count: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(index, anchor): each segment of a wide fingerprint is its own anchor.
+
+    Segments take their bits in turn from fixed orders of all bits.
+    """
+    bits = fps.shape[1] * BITS
+    rng = np.random.default_rng(bits)
+    order = np.concatenate([rng.permutation(bits) for _ in range(-(-width * count // bits))])[: width * count]
+    own = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")[:, order].reshape(len(fps), count, width)
+    parts = np.zeros((len(fps), count), np.uint64)
+    for k in range(width):
+        parts |= own[:, :, k].astype(np.uint64) << np.uint64(k)
+    return np.repeat(np.arange(len(fps)), count), (parts | (np.arange(count, dtype=np.uint64) << np.uint64(width))).ravel()
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,90 +172,119 @@ def _forest(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[keep], col[keep]
 
 
-def _links(anchor: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of linked rows that share an anchor; rows are sorted by it.
+def _links(group: np.ndarray, side: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of linked rows that share a group; rows are sorted by it.
 
-    Rows of one anchor are compared with those k places on, for all rows at
-    once. An anchor of over 64 rows is compared a pair of blocks at a time,
+    Rows of one group are compared with those k places on, for all rows at
+    once. A group of over ``CROWD`` rows is compared a pair of blocks at a time,
     and a spanning forest stands for the links of each pair of blocks: the
     components are the same and links stay near linear.
     """
-    n = len(anchor)
-    edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
-    size = np.diff(edge)
-    end = np.repeat(edge[1:], size)
-    large = np.repeat(size > 64, size)
-    rows, cols = [], []
-    live = np.flatnonzero(~large & (np.arange(n) + 1 < end))
-    k = 1
-    while len(live):
-        near = live[_distance(fps[live], fps[live + k]) <= threshold]
-        rows.append(near)
-        cols.append(near + k)
-        k += 1
-        live = live[live + k < end[live]]
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in _small_pairs(group):
+        near = (_distance(fps[i], fps[j]) <= threshold) & _meet(side[i], side[j])
+        rows.append(i[near])
+        cols.append(j[near])
     block = 256
-    for s, m in zip(edge[:-1][size > 64].tolist(), size[size > 64].tolist(), strict=True):
-        for i in range(s, s + m, block):
-            a = fps[i : min(i + block, s + m)]
+    for s, e in _large_groups(group):
+        for i in range(s, e, block):
+            a = np.arange(i, min(i + block, e))
             for j in range(s, i + 1, block):
-                b = fps[j : min(j + block, s + m)]
-                near = _distance(a[:, None, :], b[None, :, :]) <= threshold
+                b = np.arange(j, min(j + block, e))
+                near = (_distance(fps[a][:, None, :], fps[b][None, :, :]) <= threshold) & _meet(side[a][:, None], side[b][None, :])
                 r, c = np.nonzero(np.tril(near, -1) if i == j else near)
                 r, c = _forest(r + i, c + j)
                 rows.append(r)
                 cols.append(c)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *rows]), np.concatenate([none, *cols])
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of these sides are compared: not two of the same half of a dealt group."""
+    return (a != b) | (a == WHOLE)
+
+
+def _edges(group: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+
+
+def _small_pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs of the groups of up to ``CROWD`` rows, by how far apart they stand."""
+    edge = _edges(group)
+    size = np.diff(edge)
+    end = np.repeat(np.where(size > CROWD, 0, edge[1:]), size)
+    k, live = 1, np.flatnonzero(np.arange(len(group)) + 1 < end)
+    while len(live):
+        yield live, live + k
+        k += 1
+        live = live[live + k < end[live]]
+
+
+def _large_groups(group: np.ndarray) -> Iterator[tuple[int, int]]:
+    edge = _edges(group)
+    big = np.flatnonzero(np.diff(edge) > CROWD)
+    yield from zip(edge[big].tolist(), edge[big + 1].tolist(), strict=True)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that end where a value of their first column ends; rows come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if held and held[-1].column(0)[-1].as_py() != key[0]:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+        if cut:
+            yield from pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks().to_batches()
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def near_links(nodes: DataFrame, threshold: int, wide: bool) -> DataFrame:
-    """Links (a, b) of nodes whose components are those of all pairs that meet.
+def words_of(column: pa.Array, words: int) -> np.ndarray:
+    return utf8(column)[0].view("<u8").reshape(len(column), words)
 
-    ``nodes``: (node long, fp binary), fingerprints distinct. Anchors are
-    dealt by key; a partition sorts its replicas and compares each anchor's
-    own. Fingerprints of one word meet if within ``threshold`` (2 or less).
+
+def near_links(nodes: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) of nodes whose components are those of all pairs within ``threshold`` (2 or less).
+
+    ``nodes``: (node long, fp binary of one word), distinct. Anchors are dealt
+    by key; a partition sorts its replicas and compares each anchor's own. An
+    anchor of over ``HOT`` fingerprints is dealt in blocks, and each pair of
+    blocks is a group of its own.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, _ = utf8(b.column(1))
-            fps = data.view("<u8").reshape(b.num_rows, -1)
+            fps = words_of(b.column(1), 1)
             for at in range(0, len(fps), 10_000):
-                part = fps[at : at + 10_000]
-                index, a = segment_anchors(np.ascontiguousarray(part)) if wide else replicas(part[:, 0], threshold)
-                index = pa.array(index + at)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), b.column(0).take(index), b.column(1).take(index)], names=["anchor", "node", "fp"])
+                index, a = replicas(fps[at : at + 10_000, 0], threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), b.column(0).take(pa.array(index + at))], names=["anchor", "node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by anchor; the last anchor of a batch may go on.
-        rest = None
-
-        def links(a: np.ndarray, node: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            r, c = _links(a, fps, threshold)
+        for b in whole_groups(batches):
+            group, side, node = (b.column(k).to_numpy() for k in range(3))
+            r, c = _links(group, side, node.view(np.uint64).reshape(-1, 1), threshold)
             if len(r):
                 pairs = np.unique(np.sort(np.stack([node[r], node[c]], axis=1), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            data, _ = utf8(b.column(2))
-            now = [b.column(0).to_numpy(), b.column(1).to_numpy(), data.view("<u8").reshape(b.num_rows, -1)]
-            now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            rest = [x[cut:].copy() for x in now]
-            if cut:
-                yield from links(*[x[:cut] for x in now])
-        if rest is not None:
-            yield from links(*rest)
-
     n = partitions(nodes.sparkSession)
-    dealt = nodes.select("node", "fp").mapInArrow(spread, "anchor long, node long, fp binary").repartition(n, "anchor").sortWithinPartitions("anchor")
+    sent = nodes.select("node", "fp").mapInArrow(spread, "anchor long, node long")
+    hot = sent.groupBy("anchor").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks")).filter("blocks > 1")
+    own = sent.join(hot, "anchor", "left").withColumn("own", F.expr("cast(pmod(xxhash64(node, 7), coalesce(blocks, 1)) as int)"))
+    own = own.withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")))
+    group = F.when(F.col("blocks").isNull(), F.col("anchor")).otherwise(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")))
+    side = F.when(F.col("own") == F.col("other"), WHOLE).otherwise((F.col("own") > F.col("other")).cast("int"))
+    dealt = own.select(group.alias("group"), side.cast("int").alias("side"), "node").repartition(n, "group").sortWithinPartitions("group")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = THRESHOLD, words: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = THRESHOLD) -> DataFrame:
     """(``id_col``, fp binary, node, component_id), one row per document.
 
     Documents with equal fingerprints are one node, so copies cost one row
@@ -239,12 +292,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``threshold`` differing bits or fewer; null ids are passed over, and a
     component without any other id has null. Rows that repeat an id keep a
     row each. Null and empty texts have fingerprint 0 and link like others.
-    Fingerprints of one word are linked without loss; wider ones if they also
-    agree in 16 aligned bits.
+    No link within ``threshold`` (2 or less) is lost.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle, words))
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle))
     nodes = fps.groupBy("node", "fp").agg(F.min(id_col).alias("low"))
-    links = materialize(near_links(nodes, threshold, words > 1))
+    links = materialize(near_links(nodes, threshold))
     roots = connected_components(links)
     rooted = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -287,115 +339,142 @@ def _marks(docs: DataFrame, row_col: str, id_col: str, text_col: str) -> DataFra
     return read.mapInArrow(run, f"row long, id {kind}, th long, node long, n int, fp binary")
 
 
-def _near(fps: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _near(fps: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, loose: int = LOOSE) -> np.ndarray:
     """Whether rows ``a`` and ``b`` (which broadcast) may be similar: by bits and by set sizes."""
+    return (_bits(fps, a, b) <= loose) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+
+
+def _bits(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = np.bitwise_count(fps[a, 0] ^ fps[b, 0]).astype(np.uint16)
-    for k in range(1, SCREEN):
+    for k in range(1, fps.shape[1]):
         d += np.bitwise_count(fps[a, k] ^ fps[b, k])
-    return (d <= LOOSE) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
-
+    return d
 
-def _candidates(anchor: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, fps: np.ndarray, failed: dict[int, set]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, more): row numbers of candidates of different roots at one anchor.
 
-    An anchor of up to 64 rows gives every pair. A larger one gives a spanning
-    forest of its candidates, and ``more`` where a tree may stand for other
-    pairs: those are asked for again when the tree's links have been checked.
-    """
-    edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
-    size = np.diff(edge)
-    end, large = np.repeat(edge[1:], size), np.repeat(size > 64, size)
-    rows, cols, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    k, live = 1, np.flatnonzero(~large & (np.arange(len(anchor)) + 1 < end))
-    while len(live):
-        near = live[(root[live] != root[live + k]) & _near(fps, n, live, live + k)]
-        rows.append(near)
-        cols.append(near + k)
-        more.append(np.zeros(len(near), bool))
-        k += 1
-        live = live[live + k < end[live]]
-    for s, e in zip(edge[:-1][size > 64].tolist(), edge[1:][size > 64].tolist(), strict=True):
-        names, count = np.unique(root[s:e], return_counts=True)
-        # Of two rows of different roots one at least is not of the commonest root.
-        starts = np.arange(s, e) if count.max() == 1 else np.flatnonzero(root[s:e] != names[count.argmax()]) + s
-        left = np.ones(e - s, bool)
-        for v in starts.tolist():
-            if not left[v - s]:
-                continue
-            left[v - s] = False
-            tree, edges = [v], []
-            while tree:
-                front, tree = tree, []
-                for at in range(0, len(front), 64):
-                    part = np.array(front[at : at + 64])
-                    rest = np.flatnonzero(left) + s
-                    if not len(rest):
-                        break
-                    hit = (root[part][:, None] != root[rest][None, :]) & _near(fps, n, part[:, None], rest[None, :])
-                    for i, x in enumerate(node[part].tolist()):
-                        if x in failed:
-                            hit[i] &= ~np.isin(node[rest], list(failed[x]))
-                    found = np.flatnonzero(hit.any(axis=0))
-                    edges += zip(part[hit[:, found].argmax(axis=0)].tolist(), rest[found].tolist(), strict=True)
-                    left[rest[found] - s] = False
-                    tree += rest[found].tolist()
-            if edges:
-                rows.append(np.array([x for x, _ in edges]))
-                cols.append(np.array([x for _, x in edges]))
-                more.append(np.full(len(edges), len(edges) > 1))
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(more)
-
-
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b, more) of ``nodes`` (node, root, n, fp, failed): pairs that may be similar.
-
-    Fingerprints of ``WIDE`` words meet where any 16 aligned bits agree; ``SCREEN`` of their words
-    travel along and are compared. ``failed`` are nodes found not to be similar.
-    """
+def _replicas(nodes: DataFrame, width: int, count: int, *more: str) -> DataFrame:
+    """(anchor, node, n, head, ``more``) of ``nodes``: a row for each segment, ``head`` the words that are compared."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 c = b.slice(at, 1000)
-                fps = utf8(c.column(3))[0].view("<u8").reshape(c.num_rows, WIDE)
-                index, a = segment_anchors(np.ascontiguousarray(fps))
+                fps = words_of(c.column(2), WIDE)
+                index, a = segment_anchors(np.ascontiguousarray(fps), width, count)
                 head = pa.array([x.tobytes() for x in fps[:, :SCREEN]], pa.binary())
                 index = pa.array(index)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), *[x.take(index) for x in (c.column(0), c.column(1), c.column(2), head, c.column(4))]], names=["anchor", "node", "root", "n", "fp", "failed"])
+                beside = [c.column(k).take(index) for k in range(3, 3 + len(more))]
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), c.column(0).take(index), c.column(1).take(index), head.take(index), *beside], names=["anchor", "node", "n", "head", *more])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by anchor; the last anchor of a batch may go on.
-        held: list[list] = []
+    fields = "".join(f", {x} {nodes.schema[x].dataType.simpleString()}" for x in more)
+    return nodes.select("node", "n", "fp", *more).mapInArrow(spread, f"anchor long, node long, n int, head binary{fields}")
+
+
+def nearest(nodes: DataFrame, width: int, count: int) -> DataFrame:
+    """(a, b, d): for each node b, at each anchor, the nearest of the nodes before it that may be similar.
 
-        def pairs(parts: list[list]) -> Iterator[pa.RecordBatch]:
-            a, node, root, n, fps = (np.concatenate([x[k] for x in parts]) for k in range(5))
-            failed = {x: set(y) for p in parts for x, y in p[5]}
-            i, j, more = _candidates(a, node, root, n, fps, failed)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(more)], names=["a", "b", "more"])
+    Rows of an anchor stand in the order of their nodes. A row is compared with
+    the ``CROWD`` rows before it and the first ``CROWD`` of its anchor, so an
+    anchor streams through its task however long it is. Where that is less
+    than all before it, all nodes of the anchor are named with a null ``a``.
+    """
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for b in batches:
             if not b.num_rows:
                 continue
-            data = utf8(b.column(4))[0].view("<u8").reshape(b.num_rows, SCREEN)
-            sent = [(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(5).to_pylist(), strict=True) if y] if b.column(5).null_count < b.num_rows else []
-            now = [*[b.column(k).to_numpy() for k in range(4)], data, sent]
-            first, last = now[0][0], now[0][-1]
-            if held and held[-1][0][-1] != first:
-                yield from pairs(held)
-                held = []
-            cut = int(np.searchsorted(now[0], last))
-            if cut:
-                yield from pairs([*held, [*[x[:cut] for x in now[:5]], sent]])
-                held = []
-            held.append([*[x[cut:].copy() for x in now[:5]], sent])
-        if held:
-            yield from pairs(held)
+            now = [*(b.column(k).to_numpy() for k in range(3)), words_of(b.column(3), SCREEN)]
+            old = 0
+            if held is not None:
+                old = len(held[0])
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            anchor, node, n, fps = now
+            edge = _edges(anchor)
+            place = np.arange(len(anchor)) - np.repeat(edge[:-1], np.diff(edge))
+            best, who = np.full(len(anchor), LOOSE + 1, np.uint16), np.full(len(anchor), -1)
+
+            def attempt(i: np.ndarray, j: np.ndarray) -> None:
+                d = _bits(fps, i, j)
+                win = (d < best[i]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+                best[i[win]], who[i[win]] = d[win], j[win]
+
+            fresh = np.arange(old, len(anchor))
+            for k in range(1, CROWD + 1):
+                fresh = fresh[place[fresh] >= k]
+                if not len(fresh):
+                    break
+                attempt(fresh, fresh - k)
+            fresh = np.arange(old, len(anchor))
+            for k in range(CROWD):
+                fresh = fresh[place[fresh] > CROWD + k]
+                if not len(fresh):
+                    break
+                attempt(fresh, fresh - place[fresh] + k)
+            got = np.flatnonzero(who >= 0)
+            crowd = np.flatnonzero(np.repeat(np.diff(edge) > 2 * CROWD, np.diff(edge)))
+            a = pa.array(np.concatenate([node[who[got]], np.zeros(len(crowd), np.int64)]), mask=np.arange(len(got) + len(crowd)) >= len(got))
+            yield pa.RecordBatch.from_arrays([a, pa.array(np.concatenate([node[got], node[crowd]])), pa.array(np.concatenate([best[got], np.zeros(len(crowd), np.uint16)]).astype(np.int32))], names=["a", "b", "d"])
+            last = edge[-2]
+            stay = np.arange(last, len(anchor))
+            if len(stay) > 2 * CROWD:
+                stay = np.concatenate([stay[:CROWD], stay[-CROWD:]])
+                # Their places stay over 2 * CROWD by one held row more.
+                stay = np.insert(stay, CROWD, last + CROWD)
+            held = [x[stay].copy() for x in now]
+
+    n = partitions(nodes.sparkSession)
+    dealt = _replicas(nodes, width, count).repartition(n, "anchor").sortWithinPartitions("anchor", "node")
+    return dealt.mapInArrow(compare, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
+
+def pairs_between(nodes: DataFrame, width: int, count: int) -> DataFrame:
+    """(a, b): all pairs of ``nodes`` (node, n, fp, root) of different roots that meet and may be similar.
+
+    An anchor of over ``HOT`` rows is dealt: rows of its commonest root in
+    blocks, the others in blocks, and each pair of blocks with others in it is
+    a group of its own. Rows of the commonest root are not compared with each other.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            group, side, node, root, n = (t.column(k).to_numpy() for k in range(5))
+            fps = words_of(t.column(5), SCREEN)
+            for i, j in _small_pairs(group):
+                near = (root[i] != root[j]) & _meet(side[i], side[j])
+                i, j = i[near], j[near]
+                near = _near(fps, n, i, j)
+                if near.any():
+                    yield out(node[i[near]], node[j[near]])
+            for s, e in _large_groups(group):
+                b = np.arange(s, e)
+                for at in range(s, e, 256):
+                    a = np.arange(at, min(at + 256, e))
+                    near = (root[a][:, None] != root[b][None, :]) & _meet(side[a][:, None], side[b][None, :]) & (a[:, None] < b[None, :])
+                    r, c = np.nonzero(near)
+                    near = _near(fps, n, a[r], b[c])
+                    if near.any():
+                        yield out(node[a[r[near]]], node[b[c[near]]])
+
+    def out(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    sent = _replicas(nodes, width, count, "root")
+    per_root = sent.groupBy("anchor", "root").agg(F.count("*").alias("c"))
+    hot = per_root.groupBy("anchor").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("main")).filter(F.col("all") > HOT)
+    hot = hot.select("anchor", "main", F.expr(f"cast(ceil(most / {HOT}) as int)").alias("m"), F.expr(f"cast(ceil((all - most) / {HOT}) as int)").alias("o"))
+    far = sent.join(hot, "anchor", "left").withColumn("is_main", F.expr("root = main"))
+    own = far.withColumn("own", F.expr("cast(pmod(xxhash64(node, 7), greatest(if(is_main, m, o), 1)) as int)"))
+    # (block of the others, block of the commonest root, or of the others from -1 down)
+    groups = F.expr(f"""case when main is null then array(struct(0 as i, 0 as j, {WHOLE} as side))
+        when o = 0 then cast(array() as array<struct<i: int, j: int, side: int>>)
+        when is_main then transform(sequence(0, o - 1), x -> struct(x as i, own as j, 0 as side))
+        else concat(transform(sequence(0, m - 1), x -> struct(own as i, x as j, 1 as side)),
+                    transform(sequence(0, o - 1), x -> struct(least(own, x) as i, -1 - greatest(own, x) as j, case when own = x then {WHOLE} when own < x then 0 else 1 end as side))) end""")
+    own = own.withColumn("g", F.explode(groups))
+    group = F.when(F.col("main").isNull(), F.col("anchor")).otherwise(F.xxhash64("anchor", "g.i", "g.j"))
+    dealt = own.select(group.alias("group"), F.col("g.side").alias("side"), "node", "root", "n", "head")
     n = partitions(nodes.sparkSession)
-    sent = nodes.select("node", "root", "n", "fp", "failed").mapInArrow(spread, "anchor long, node long, root long, n int, fp binary, failed array<long>")
-    dealt = sent.repartition(n, "anchor").sortWithinPartitions("anchor", "node")
-    return dealt.mapInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return dealt.repartition(n, "group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long").distinct()
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -404,55 +483,76 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, ok): each pair of nodes by the shingle sets of its two texts (node, text)."""
+def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): the pairs whose whole fingerprints differ in ``FAR`` bits or fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            keep = pa.array(_distance(words_of(t.column(2), WIDE), words_of(t.column(3), WIDE)) <= FAR)
+            yield t.select([0, 1]).filter(keep)
+
+    left, right = (nodes.select(F.col("node").alias(k), F.col("fp").alias(f"fp_{k}")) for k in "ab")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(run, "a long, b long")
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, set binary) of (node, text): sorted distinct hashes of five-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, None)
         for b in batches:
-            ok = []
-            for a, x, y in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
-                if last[0] != a:
-                    last = (a, np.unique(shingle_hashes(x.as_buffer().to_pybytes(), SHINGLE)))
-                ok.append(similar(last[1], np.unique(shingle_hashes(y.as_buffer().to_pybytes(), SHINGLE))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+            for at in range(0, b.num_rows, 256):
+                c = b.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes(), SHINGLE)).tobytes() for t in c.column(1)]
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    return texts.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, set binary")
+
 
-    left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.col("text_a").cast("binary"), F.col("text_b").cast("binary")).mapInArrow(run, "a long, b long, ok boolean")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the pairs of nodes whose shingle sets (node, set) are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(t.column(2), t.column(3), strict=True)]
+            yield t.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    left, right = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
     """(node, root) of the components that verified links make.
 
-    ``nodes``: (node, rep, n, fp), rep a row that has the node's set. Rounds
-    go on until no pair of different components is left to be checked.
+    ``nodes``: (node, rep, n, fp), rep a row that has the node's set. First
+    each node is checked with the nearest of those before it, which joins
+    most of a group of copies by one link a node; then all pairs between
+    what is still apart.
     """
     wide = nodes.filter(F.col("n") >= LEAST)
-    live = wide.withColumn("root", F.col("node")).withColumn("failed", F.lit(None).cast("array<long>"))
-    checked = None
-    while True:
-        found = materialize(candidate_pairs(live))
-        new = found if checked is None else found.join(checked, ["a", "b"], "left_anti")
-        ends = new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = docs.select(F.col(row_col).alias("rep"), F.col(text_col).alias("text")).join(wide.join(ends, "node", "left_semi").select("rep", "node"), "rep").select("node", "text")
-        done = verified(new, materialize(texts))
-        checked = materialize(done if checked is None else checked.unionAll(done))
-        roots = materialize(connected_components(checked.filter("ok").select("a", "b")))
-        again = found.filter("more").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if not again.limit(1).count():
-            return roots
-        wrong = checked.filter("not ok")
-        failed = wrong.unionAll(wrong.select("b", "a", "ok")).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
-        live = wide.join(again, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(failed, "node", "left")
+    width, count = segments(wide.count())
+    found = materialize(nearest(wide, width, count))
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
+    live = materialize(wide.join(ends, "node", "left_semi").select("node", "rep", "n", "fp"))
+    texts = docs.select(F.col(row_col).alias("rep"), F.col(text_col).alias("text")).join(live.select("rep", "node"), "rep")
+    sets = materialize(shingle_sets(texts), codec="none")
+    first = found.filter("a is not null").groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
+    links = materialize(verified(close(first, live), sets))
+    roots = materialize(connected_components(links))
+    rooted = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = materialize(close(pairs_between(rooted, width, count), live))
+    more = materialize(verified(rest, sets))
+    out = connected_components(links.unionAll(more))
+    for old in (found, live, sets, roots, rest):
+        discard(old)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near-copies: sets of five-word shingles of Jaccard similarity 0.8 or more.
 
     Rows with equal sets are one node. Fingerprints of the sets find
-    candidates only: those that agree in any of 64 segments of 16 bits and
-    differ in ``LOOSE`` of 256 bits or fewer. The sets themselves decide every
-    link. A set of under ``LEAST`` shingles is similar to its equals alone.
+    candidates only: those that agree in any segment (``segments``), in most
+    bits and nearly in size. The sets themselves decide every link. A set of under ``LEAST`` shingles is similar to its equals alone.
 
     Of each component one row stays: the smallest id, null ids last, ties by
     a hash of the text and then by the place of the row.

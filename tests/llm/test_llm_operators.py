@@ -170,7 +170,7 @@ def test_large_anchor_links_like_brute_force():
     rng = np.random.default_rng(1)
     f = (rng.integers(0, 1 << 6, 700).astype(np.uint64) << np.uint64(20)).reshape(-1, 1)
     f = np.unique(np.concatenate([f, rng.integers(0, 1 << 62, (300, 1), dtype=np.uint64)]), axis=0)
-    r, c = simhash._links(np.zeros(len(f), np.int64), f, 2)
+    r, c = simhash._links(np.zeros(len(f), np.int64), np.full(len(f), simhash.WHOLE), f, 2)
     near = simhash._distance(f[:, None, :], f[None, :, :]) <= 2
 
     def classes(pairs):
