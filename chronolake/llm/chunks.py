@@ -1,4 +1,4 @@
-"""Documents packed into chunks, and an exchange of 64-bit keys between them.
+"""Documents packed into chunks, and an exact exchange of windows between them.
 
 A chunk holds whole documents in doc_id order, at most ``CHUNK_BYTES`` of text
 unless one document is longer. Chunk numbers rise with doc_id, so "occurs
@@ -6,11 +6,12 @@ before" is "in an earlier chunk, or earlier in this one". Rows that repeat an
 id may span chunks and tasks; those chunks hold no other id, so "in a smaller
 id" is "in an earlier chunk that begins with another id, or earlier in this one".
 
-``earlier`` is the exchange. Each chunk sends every key once, sorted, as one
-packed block to each bucket (a range of keys); a bucket sorts its blocks and
-answers each with one bit per key: set if an earlier chunk has the key. A key
-that a third of all rows share costs one entry for each chunk, and only a
-bucket's own keys are ever in one task's memory.
+``earlier`` is the exchange. A window goes to the bucket of its minimizer, the
+least hash of the grams in it, so equal windows meet, and neighbours, which
+mostly have the same one, travel as one string of text. A bucket thus has the
+windows' bytes and compares those: hashes only choose what is compared. A chunk
+sends equal strings once, so a passage that a third of all rows share costs one
+string for each chunk. Buckets are as many as the bytes of all chunks ask for.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import mix, utf8
 from .common import materialize, partitions
 
 CHUNK_BYTES = 1 << 20
+#: Bytes of strings that a bucket should get, and of strings for a byte of text at most.
+BUCKET_BYTES, BLOW_UP = 16 << 20, 4
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK_SCHEMA = "chunk long, ids array<long>, sizes binary, body binary, extra binary"
+CHUNK_SCHEMA = "chunk long, n long, ids array<long>, sizes binary, body binary, extra binary"
 
 
 def pack_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -62,7 +65,7 @@ def pack_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 extra = table.slice(k).to_batches()
             sizes = np.array([len(p) for p in parts[:k]], np.int64)
             body = zstandard.ZstdCompressor(level=1).compress(b"".join(parts[:k]))
-            row = pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([ids[:k]], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()), pa.array([body], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "ids", "sizes", "body", "extra"])
+            row = pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([ids[:k]], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()), pa.array([body], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "n", "ids", "sizes", "body", "extra"])
             chunk, ids, parts, size, start = chunk + 1, ids[k:], parts[k:], size - int(sizes.sum()), 0
             return row
 
@@ -153,7 +156,8 @@ class Rolling:
 
     A stretch hashes to the sum of value * base**i over it, times base**-start,
     modulo 2**64, then mixed; equal stretches have equal hashes wherever they
-    stand, and different ones collide with a chance of about 2**-57 at most.
+    stand. Some different ones have too (Thue-Morse words, whatever the base):
+    what must be exact compares the stretches as well.
     """
 
     def __init__(self, values: np.ndarray):
@@ -218,17 +222,6 @@ def _mix_with(x: np.ndarray, spare: np.ndarray) -> None:
     x ^= spare
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct keys, those that occur more than once) from one sort."""
-    s = np.sort(keys)
-    if not len(s):
-        return s, s
-    same = s[1:] == s[:-1]
-    many = s[1:][same]
-    first = np.concatenate(([True], ~same))
-    return s[first], many[np.concatenate(([True], many[1:] != many[:-1]))] if len(many) else many
-
-
 def cover(flags: np.ndarray, size: int) -> np.ndarray:
     """Places within ``size`` places from a set flag on, itself included."""
     sums = np.cumsum(flags, dtype=np.int32)
@@ -241,76 +234,207 @@ def first_bits(n: int, flags: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.packbits(flags[:n]).tobytes())
 
 
-def buckets(spark: SparkSession, passes: int = 1) -> int:
-    """Buckets of one pass: one for each task of a shuffle, half as many if there are several passes."""
-    return partitions(spark) if passes == 1 else max(1, partitions(spark) // 2)
+def buckets(chunks: DataFrame) -> int:
+    """The number of buckets that the bytes of all chunks ask for."""
+    total = chunks.agg(F.sum("n")).first()[0] or 0
+    return max(partitions(chunks.sparkSession), -(-total * BLOW_UP // BUCKET_BYTES))
+
+
+def minima(h: np.ndarray, size: int) -> np.ndarray:
+    """The least of the ``size`` values from each place; the last places take what there is."""
+    out, have = h.copy(), 1
+    while have < size:
+        step = min(have, size - have)
+        n = max(len(out) - step, 0)
+        out[:n] = np.minimum(out[:n], out[step:])
+        have += step
+    return out
 
 
-def earlier(chunks: DataFrame, keys: Callable[..., np.ndarray], passes: int = 1, by_range: bool = False, by_id: bool = False) -> DataFrame:
-    """(chunk, masks): for each key a chunk sends, whether an earlier chunk has it.
+class Runs:
+    """The windows of a chunk as strings for buckets.
 
-    ``keys(batch, row)`` gives a row's sorted distinct keys, the same on every
-    call; with ``by_range``, ``keys(batch, row, low, high)`` gives those from
-    low to high, which spares a pass the sorting of all others. With ``passes`` over 1 the key space is taken a part at a time,
-    each part's shuffle being dropped before the next, so disk and memory hold
-    one part. With ``by_id`` chunks that begin with the same id are not earlier
-    than each other. ``masks`` are (bucket, n, zstd of packed bits) in key order.
+    Windows are given in the order of their places: byte spans in ``text``,
+    the document's rank, whether a window may follow the one before in a
+    string, the minimizer, and a tag that the receiver gets with each string.
     """
-    per_pass = buckets(chunks.sparkSession, passes)
-    total = per_pass * passes
-    bounds = np.array([(k << 64) // total for k in range(1, total)], np.uint64)
-
-    def send_pass(p: int) -> Callable:
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lo, hi = p * per_pass, (p + 1) * per_pass
-            span = (np.uint64((lo << 64) // total), np.uint64(((hi << 64) // total) - 1))
-            for b in batches:
-                for i in range(b.num_rows):
-                    u = keys(b, i, *span) if by_range else keys(b, i)
-                    cut = np.concatenate(([0], np.searchsorted(u, bounds), [len(u)]))[lo : hi + 1]
-                    use = [k for k in range(per_pass) if cut[k + 1] > cut[k]]
-                    if use:
-                        blocks = [u[cut[k] : cut[k + 1]].tobytes() for k in use]
-                        yield pa.RecordBatch.from_arrays([pa.array([lo + k for k in use], pa.int32()), pa.array([b.column("chunk")[i].as_py()] * len(use), pa.int64()), pa.array([b.column("ids")[i].values[0].as_py()] * len(use), pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "chunk", "head", "block"])
-
-        return send
+
+    def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np.ndarray, follows: np.ndarray, least: np.ndarray, total: int, tag: np.ndarray | None = None):
+        self.windows = len(starts)
+        if not len(starts):
+            self.unique = self.first = self.count = np.zeros(0, np.int64)
+            return
+        bucket = ((mix(least.copy()) >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)).astype(np.int64)
+        new = np.ones(len(starts), bool)
+        new[1:] = ~follows[1:] | (bucket[1:] != bucket[:-1])
+        first = np.flatnonzero(new)
+        order = np.argsort(bucket[first], kind="stable")
+        count = np.diff(np.append(first, len(starts)))
+        self.first, self.count = first[order], count[order]
+        begin = starts[self.first]
+        size = ends[self.first + self.count - 1] - begin
+        stop = np.cumsum(size)
+        self.text = text[np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]))]
+        self.size, self.stop = size, stop
+        self.bucket, self.rank = bucket[self.first], rank[self.first]
+        self.tag = tag[self.first] if tag is not None else np.zeros(len(first), np.uint8)
+        body, seen = self.text.tobytes(), {}
+        #: For each string the first equal one.
+        self.like = np.array([seen.setdefault(body[a:z], i) for i, (a, z) in enumerate(zip((stop - size).tolist(), stop.tolist(), strict=True))])
+        if tag is not None:
+            # Equal strings of different tags are cut into different windows.
+            _, lead, group = np.unique(self.like * 256 + self.tag, return_index=True, return_inverse=True)
+            self.like = lead[group]
+        self.unique = np.flatnonzero(self.like == np.arange(len(first)))
+
+    def blocks(self) -> Iterator[tuple[int, int, bytes]]:
+        """(bucket, strings, packed block) of each bucket that gets any."""
+        if not len(self.unique):
+            return
+        edge = np.flatnonzero(np.diff(self.bucket[self.unique], prepend=-1, append=-1))
+        press = zstandard.ZstdCompressor(level=1)
+        begin = self.stop - self.size
+        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            u = self.unique[a:z]
+            body = b"".join([self.text[x:y].tobytes() for x, y in zip(begin[u].tolist(), self.stop[u].tolist(), strict=True)])
+            yield int(self.bucket[u[0]]), len(u), press.compress(self.size[u].astype("<i4").tobytes() + self.rank[u].astype("<i4").tobytes() + self.tag[u].astype(np.uint8).tobytes() + body)
+
+    def hits(self, masks: list | None, strict: bool) -> np.ndarray:
+        """For each window whether it occurs earlier, from the buckets' answers.
+
+        With ``strict`` earlier means in a document of a lower rank, else
+        anywhere before.
+        """
+        out = np.zeros(self.windows, bool)
+        if not self.windows:
+            return out
+        n = self.count[self.unique]
+        at = np.repeat(self.first[self.unique] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        edge = np.concatenate(([0], np.cumsum(n)))
+        for m in masks or []:
+            lo, hi = np.searchsorted(self.bucket[self.unique], [m["bucket"], m["bucket"] + 1])
+            if edge[hi] - edge[lo] != m["n"]:
+                raise ValueError("a chunk's windows differ from those it sent")
+            out[at[edge[lo] : edge[hi]]] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(m["bits"]), np.uint8), count=m["n"]).astype(bool)
+        again = np.flatnonzero(self.like != np.arange(len(self.like)))
+        for i, k in zip(again.tolist(), self.like[again].tolist(), strict=True):
+            later = not strict or self.rank[i] > self.rank[k]
+            out[self.first[i] : self.first[i] + self.count[i]] = True if later else out[self.first[k] : self.first[k] + self.count[k]]
+        return out
+
+
+def tied(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, group): windows that equal another one, by group and then place.
+
+    ``h`` are hashes that agree where windows do. Windows of one length are
+    sorted by their bytes; others by their hashes, each compared with the first of
+    its hash, and where hashes agree and bytes do not, by their bytes.
+    """
+    s = np.sort(h)
+    many = np.unique(s[1:][s[1:] == s[:-1]])
+    use = np.flatnonzero(member(h, many))
+    none = np.zeros(0, np.int64)
+    if not len(use):
+        return none, none
+    size = ends[use] - starts[use]
+    if (size == size[0]).all() and size[0] <= 256:
+        rows = np.lib.stride_tricks.sliding_window_view(text, int(size[0]))[starts[use]].view(f"S{int(size[0])}").ravel()
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        new = np.concatenate(([True], rows[1:] != rows[:-1]))
+        use = use[order]
+    else:
+        use = use[np.argsort(h[use], kind="stable")]
+        new = np.concatenate(([True], h[use][1:] != h[use][:-1]))
+        lead = use[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        wrong = ~same_bytes(text, starts[use], ends[use], starts[lead], ends[lead])
+        if wrong.any():
+            group = np.cumsum(new) - 1
+            bad = np.isin(group, group[wrong])
+            body = text.tobytes()
+            names: dict = {}
+            own = [names.setdefault((g, body[starts[i] : ends[i]]), len(names)) for g, i in zip(group[bad].tolist(), use[bad].tolist(), strict=True)]
+            group[bad] = np.array(own) + len(use)
+            order = np.argsort(group, kind="stable")
+            use, group = use[order], group[order]
+            new = np.concatenate(([True], group[1:] != group[:-1]))
+    group = np.cumsum(new) - 1
+    real = np.bincount(group)[group] > 1
+    return use[real], group[real]
+
+
+def same_bytes(text: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether the stretches from ``a`` and from ``b`` have the same bytes."""
+    size = a_end - a
+    same = size == b_end - b
+    at = np.lib.stride_tricks.as_strided(np.concatenate((text, np.zeros(8, np.uint8))).view(np.uint8), (len(text) + 1, 8), (1, 1))
+    live, k = np.flatnonzero(same & (a != b)), 0
+    while len(live):
+        # The last step goes back so that it ends with the stretch; short ones are masked.
+        left = size[live] - k
+        back = np.where((left < 8) & (size[live] >= 8), 8 - left, 0)
+        x = at[a[live] + k - back].view("<u8").ravel() ^ at[b[live] + k - back].view("<u8").ravel()
+        short = size[live] < 8
+        if short.any():
+            x[short] &= (np.uint64(1) << (np.uint64(8) * size[live][short].astype(np.uint64))) - np.uint64(1)
+        same[live[x != 0]] = False
+        k += 8
+        live = live[(x == 0) & (size[live] > k)]
+    return same
+
+
+def earlier(chunks: DataFrame, runs: Callable[[pa.RecordBatch, int], Runs], cut: Callable, strict: bool, total: int) -> DataFrame:
+    """(chunk, masks): for each window that a chunk sends, whether it occurs earlier.
+
+    ``runs(batch, row)`` gives a row's windows, the same on every call.
+    ``cut(text, begins, ends, tags)`` gives the windows of a bucket's strings:
+    starts, ends, hashes and the number of each one's string. With ``strict``
+    a window occurs earlier if a document of a smaller id has it; chunks that
+    begin with the same id are not earlier than each other. ``masks`` are
+    (bucket, n, zstd of packed bits) for what ``Runs.hits`` reads.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                rows = list(runs(b, i).blocks())
+                if rows:
+                    k, n, block = zip(*rows, strict=True)
+                    head = b.column("ids")[i].values[0].as_py()
+                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array([b.column("chunk")[i].as_py()] * len(k), pa.int64()), pa.array([head] * len(k), pa.int64()), pa.array(n, pa.int32()), pa.array(block, pa.binary())], names=["bucket", "chunk", "head", "strings", "block"])
 
     def answer(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("chunk").to_numpy())
-        blocks = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("block")]
-        s = np.sort(np.concatenate(blocks))
-        many = np.unique(s[1:][s[1:] == s[:-1]])
-        del s
-        seen = np.zeros(len(many), bool)
-        chunk, size, bits = [], [], []
-        heads, last, waiting = t.column("head").to_pylist(), None, []
-        for i in order.tolist():
-            u = blocks[i]
-            if not by_id or heads[i] != last:
-                for x in waiting:
-                    seen[x] = True
-                last, waiting = heads[i], []
-            out = np.zeros(len(u), bool)
-            if len(many):
-                at = np.searchsorted(many, u)
-                at[at == len(many)] = 0
-                hit = np.flatnonzero(many[at] == u)
-                out[hit] = seen[at[hit]]
-                waiting.append(at[hit])
-            if out.any():
-                chunk.append(t.column("chunk")[i].as_py())
-                size.append(len(u))
-                bits.append(first_bits(len(u), out))
+        t = t.sort_by("chunk")
+        size, rank, tag, body, owner = [], [], [], [], []
+        group, last = -1, ()
+        press = zstandard.ZstdDecompressor()
+        for i, (head, n, block) in enumerate(zip(t.column("head").to_pylist(), t.column("strings").to_pylist(), t.column("block"), strict=True)):
+            data = np.frombuffer(press.decompress(block.as_buffer().to_pybytes()), np.uint8)
+            if (head,) != last:
+                group, last = group + 1, (head,)
+            size.append(data[: 4 * n].view("<i4"))
+            rank.append(data[4 * n : 8 * n].view("<i4").astype(np.int64) + (group << 32))
+            tag.append(data[8 * n : 9 * n])
+            body.append(data[9 * n :])
+            owner.append(np.full(n, i))
+        size, rank, tag, owner = (np.concatenate(x) for x in (size, rank, tag, owner))
+        stop = np.cumsum(size, dtype=np.int64)
+        text = np.concatenate(body)
+        starts, ends, h, string = cut(text, stop - size, stop, tag)
+        use, tie = tied(text, starts, ends, h)
+        hit = np.zeros(len(starts), bool)
+        if len(use):
+            new = np.concatenate(([True], tie[1:] != tie[:-1]))
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+            own = rank[string[use]]
+            hit[use] = own > own[lead] if strict else ~new
+        edge = np.searchsorted(owner[string], np.arange(t.num_rows + 1))
+        mine = [i for i in range(t.num_rows) if hit[edge[i] : edge[i + 1]].any()]
         k = t.column("bucket")[0].as_py()
-        return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array([k] * len(chunk), pa.int32()), "n": pa.array(size, pa.int32()), "bits": pa.array(bits, pa.binary())})
-
-    parts = []
-    for p in range(passes):
-        sent = chunks.mapInArrow(send_pass(p), "bucket int, chunk long, head long, block binary")
-        parts.append(materialize(sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, n int, bits binary"), codec="none"))
-    masks = parts[0]
-    for x in parts[1:]:
-        masks = masks.unionAll(x)
+        return pa.table({"chunk": t.column("chunk").take(pa.array(mine, pa.int64())), "bucket": pa.array([k] * len(mine), pa.int32()), "n": pa.array([int(edge[i + 1] - edge[i]) for i in mine], pa.int32()), "bits": pa.array([first_bits(int(edge[i + 1] - edge[i]), hit[edge[i] : edge[i + 1]]) for i in mine], pa.binary())})
+
+    sent = chunks.mapInArrow(send, "bucket int, chunk long, head long, strings int, block binary").repartition(max(partitions(chunks.sparkSession), total // 4), "bucket")
+    masks = materialize(sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, n int, bits binary"), codec="none")
     return masks.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "bits"))).alias("masks"))
 
 
@@ -318,22 +442,6 @@ def with_masks(chunks: DataFrame, masks: DataFrame) -> DataFrame:
     return chunks.join(masks.withColumnRenamed("chunk", "_chunk"), F.col("chunk") == F.col("_chunk"), "left").drop("_chunk")
 
 
-def marked(u: np.ndarray, masks: list | None, total: int) -> np.ndarray:
-    """The keys of ``u`` (as sent) that an earlier chunk has, sorted."""
-    if not masks:
-        return u[:0]
-    bounds = np.array([(k << 64) // total for k in range(1, total)], np.uint64)
-    cut = np.concatenate(([0], np.searchsorted(u, bounds), [len(u)]))
-    out = []
-    for m in masks:
-        k, n = m["bucket"], m["n"]
-        if cut[k + 1] - cut[k] != n:
-            raise ValueError("a chunk's keys differ from those it sent")
-        bits = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(m["bits"]), np.uint8), count=n).astype(bool)
-        out.append(u[cut[k] : cut[k + 1]][bits])
-    return np.concatenate(out)
-
-
 def member(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each of ``h`` is in the sorted ``keys``; a bit table first."""
     out = np.zeros(len(h), bool)
@@ -349,12 +457,6 @@ def member(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(h: np.ndarray) -> np.ndarray:
-    """The values that occur more than once, sorted."""
-    s = np.sort(h)
-    return np.unique(s[1:][s[1:] == s[:-1]])
-
-
 def runs(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The number of maximal runs of set ``flags`` in each stretch."""
     begin = flags.copy()

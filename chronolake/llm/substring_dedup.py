@@ -3,17 +3,18 @@
 A text is a sequence of word symbols. A round names maximal runs of one symbol,
 then, with a coin for each symbol that is fixed for the round, names each pair
 of a heads symbol and the tails symbol after it. A name is a 64-bit hash of
-what it stands for, the same in every task, so a round needs no exchange and
-equal stretches get equal symbols inside, whatever surrounds them. Symbols of a
-few high levels go through the key exchange of ``chunks``: one that occurs
-earlier reveals a long repeat, whose inner windows need no look of their own.
-What no shared symbol settles (the ends of repeats, short ones, and all that is
-unique) is verified by an exchange of the windows themselves.
+what it stands for, the same in every task, so a round is global without an
+exchange and equal stretches get equal symbols inside, whatever surrounds them.
+Symbols of a high level are exchanged: one that occurs earlier reveals a long
+repeat, its words are compared with those of the earlier one, and its inner
+windows need no look of their own. What no shared symbol settles (the ends of
+repeats, short ones, and all that is unique) goes by an exchange of the
+windows themselves, which compares their words as well. No name is trusted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +22,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import mix, strings
-from .chunks import CHUNK_SCHEMA, Chunk, Rolling, buckets, byte_values, carried, chunk_of, cover, distinct, earlier, marked, member, pack_chunks, spread, with_masks
+from .chunks import CHUNK_SCHEMA, Chunk, Rolling, Runs, buckets, byte_values, carried, chunk_of, cover, earlier, minima, pack_chunks, powers, spread, with_masks
 from .common import materialize
 
-WINDOW = 20
-LEVELS = (12, 15, 18)
+WINDOW, LEVEL = 20, 14
+#: Words of a gram; the least of a window's is its minimizer.
+GRAM = 3
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def word_symbols(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, words being in order and not empty."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    value = byte_values()[text[np.repeat(starts, size) + inside]]
+    value *= powers(int(size.max()))[0][inside]
+    return mix(np.add.reduceat(value, np.cumsum(size) - size) + size.astype(np.uint64))
+
+
 class Words:
-    """The words of a chunk: byte spans, symbols and documents."""
+    """The words of a chunk: byte spans, symbols and documents.
+
+    ``line`` is the text with one space after each word and nothing else;
+    ``line_at`` has where each word starts in it, and its length at last.
+    """
 
     def __init__(self, c: Chunk):
         ink = ~SPACE[c.bytes]
@@ -44,19 +61,49 @@ class Words:
         stop[last] = ink[last]
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
         self.doc = np.searchsorted(c.ends, self.starts, side="right")
-        self.symbols = Rolling(byte_values()[c.bytes]).at(self.starts, self.ends)
+        self.symbols = word_symbols(c.bytes, self.starts, self.ends)
         per = np.bincount(self.doc, minlength=len(c.sizes))
         self.doc_end = np.cumsum(per)
         self.doc_start = self.doc_end - per
-
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, valid) of the window that starts at each word."""
-        n, valid = len(self.symbols), np.zeros(len(self.symbols), bool)
-        h = np.zeros(n, np.uint64)
-        got = Rolling(self.symbols).windows(size)
-        h[: len(got)] = got
-        valid[: len(got)] = self.doc_end[self.doc[: len(got)]] - np.arange(len(got)) >= size
-        return h, valid
+        size = self.ends - self.starts
+        self.line_at = np.concatenate(([0], np.cumsum(size + 1)))
+        self.line = np.full(int(self.line_at[-1]), 0x20, np.uint8)
+        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        self.line[np.repeat(self.line_at[:-1], size) + inside] = c.bytes[np.repeat(self.starts, size) + inside]
+
+    def runs(self, size: int, done: np.ndarray, total: int) -> tuple[Runs, np.ndarray]:
+        """(runs, first words) of the windows of ``size`` words that are not ``done``."""
+        n = len(self.symbols)
+        at = np.flatnonzero((self.doc_end[self.doc] - np.arange(n) >= size) & ~done)
+        follows = np.ones(len(at), bool)
+        follows[1:] = (self.doc[at][1:] == self.doc[at][:-1]) & (at[1:] == at[:-1] + 1)
+        width = min(GRAM, size)
+        gram = np.zeros(n, np.uint64)
+        got = Rolling(self.symbols).windows(width)
+        gram[: len(got)] = got
+        least = minima(gram, size - width + 1)[at] if n else gram
+        return Runs(self.line, self.line_at[at], self.line_at[at + size] if n else at, self.doc[at], follows, least, total), at
+
+
+def cut_windows(size: int) -> Callable:
+    """The windows of ``size`` words of a bucket's strings."""
+
+    def cut(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, ...]:
+        stop = np.flatnonzero(text == 0x20)
+        start = np.concatenate(([0], stop[:-1] + 1))
+        last = np.searchsorted(stop, ends)
+        n = last - np.searchsorted(stop, begins) - size + 1
+        string = np.repeat(np.arange(len(n)), n)
+        word = np.repeat(np.searchsorted(stop, begins) - (np.cumsum(n) - n), n) + np.arange(len(string))
+        h = Rolling(word_symbols(text, start, stop)).windows(size)
+        return start[word], stop[word + size - 1] + 1, h[word], string
+
+    return cut
+
+
+def whole_strings(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each string of a bucket as one window."""
+    return begins, ends, word_symbols(text, begins, ends), np.arange(len(begins))
 
 
 def name(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -94,26 +141,12 @@ def recompress(symbols: np.ndarray, doc: np.ndarray, levels: tuple[int, ...]) ->
     return out
 
 
-def _symbols(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """High-level symbols of at least ``size`` words: names, places, lengths."""
-    out = [[], [], []]
-    for k, (s, at, n) in enumerate(recompress(w.symbols, w.doc, LEVELS)):
-        long = n >= size
-        for x, v in zip(out, (name(s[long], n[long].astype(np.uint64), 1000 + k), at[long], n[long]), strict=True):
-            x.append(v)
-    return tuple(np.concatenate(x) for x in out)
-
-
-def _settled(w: Words, size: int, masks: list | None, total: int) -> np.ndarray:
-    """Windows inside a symbol that occurs earlier."""
-    s, at, n = _symbols(w, size)
-    u, which = np.unique(s, return_inverse=True)
-    before = member(s, marked(u, masks, total))
-    # In this chunk: any but the first place of the symbol.
-    first = np.full(len(u), len(w.symbols))
-    np.minimum.at(first, which, at)
-    before |= at > first[which]
-    return spread(at[before], n[before] - size + 1, len(w.symbols))
+def long_symbols(w: Words, size: int, total: int) -> tuple[Runs, np.ndarray, np.ndarray]:
+    """(runs, first words, lengths) of the symbols of level ``LEVEL`` of at least ``size`` words."""
+    s, at, n = recompress(w.symbols, w.doc, (LEVEL,))[0]
+    long = n >= size
+    s, at, n = s[long], at[long], n[long]
+    return Runs(w.line, w.line_at[at], w.line_at[at + n], w.doc[at], np.zeros(len(at), bool), s, total), at, n
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, carry: tuple[str, ...] = (), spacing: bool = False) -> DataFrame:
@@ -127,49 +160,36 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the white space between words that stood together, and a text that loses
     nothing stays whole.
     """
-    total = buckets(docs.sparkSession)
     chunks = pack_chunks(docs, id_col, text_col, carry=carry)
-
-    def symbol_keys(b: pa.RecordBatch, i: int) -> np.ndarray:
-        return np.unique(_symbols(Words(chunk_of(b, i)), size)[0])
+    total = buckets(chunks)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [np.packbits(_settled(Words(chunk_of(b, i)), size, b.column("masks")[i].as_py(), total)).tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("chunk", "ids", "sizes", "body", "extra")), pa.array(done, pa.binary())], names=["chunk", "ids", "sizes", "body", "extra", "done"])
-
-    chunks = materialize(with_masks(chunks, earlier(chunks, symbol_keys)).mapInArrow(settle, f"{CHUNK_SCHEMA}, done binary"), chunks, codec="none")
+            done = []
+            for i in range(b.num_rows):
+                w = Words(chunk_of(b, i))
+                sent, at, n = long_symbols(w, size, total)
+                hit = sent.hits(b.column("masks")[i].as_py(), False)
+                done.append(np.packbits(spread(at[hit], n[hit] - size + 1, len(w.symbols))).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(k.split()[0]) for k in CHUNK_SCHEMA.split(", ")), pa.array(done, pa.binary())], names=[*(k.split()[0] for k in CHUNK_SCHEMA.split(", ")), "done"])
 
-    def open_windows(b: pa.RecordBatch, i: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-        w = Words(chunk_of(b, i))
-        h, valid = w.windows(size)
-        done = np.unpackbits(np.frombuffer(b.column("done")[i].as_py(), np.uint8), count=len(h)).astype(bool)
-        return w, h, valid & ~done, done
+    symbols = with_masks(chunks, earlier(chunks, lambda b, i: long_symbols(Words(chunk_of(b, i)), size, total)[0], whole_strings, False, total))
+    chunks = materialize(symbols.mapInArrow(settle, f"{CHUNK_SCHEMA}, done binary"), chunks, codec="none")
 
-    def window_keys(b: pa.RecordBatch, i: int) -> np.ndarray:
-        _, h, live, _ = open_windows(b, i)
-        return distinct(h[live])[0]
+    def unsettled(b: pa.RecordBatch, i: int) -> tuple[Chunk, Words, Runs, np.ndarray, np.ndarray]:
+        c = chunk_of(b, i)
+        w = Words(c)
+        done = np.unpackbits(np.frombuffer(b.column("done")[i].as_py(), np.uint8), count=len(w.symbols)).astype(bool)
+        return c, w, *w.runs(size, done, total), done
 
-    masks = earlier(chunks, window_keys)
+    masks = earlier(chunks, lambda b, i: unsettled(b, i)[2], cut_windows(size), False, total)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                w, h, live, gone = open_windows(b, i)
-                at = np.flatnonzero(live)
-                keys = h[at]
-                u, local = distinct(keys)
-                far = marked(u, b.column("masks")[i].as_py(), total)
-                hit = member(keys, far)
-                twice = np.flatnonzero(member(keys, local))
-                # Places rise, so a key's first one is its first in the chunk.
-                _, lead = np.unique(keys[twice], return_index=True)
-                later = np.ones(len(twice), bool)
-                later[lead] = False
-                hit[twice[later]] = True
-                gone[at[hit]] = True
+                c, w, rest, at, gone = unsettled(b, i)
+                gone[at[rest.hits(b.column("masks")[i].as_py(), False)]] = True
                 cut = cover(gone, size)
-                c = chunk_of(b, i)
                 body = c.bytes.tobytes()
                 starts, ends = w.starts.tolist(), w.ends.tolist()
                 kept = []

@@ -1,137 +1,135 @@
 """Exact substring dedup of bytes by difference-cover blockwise suffix sorting.
 
-Suffixes matter to a depth of ``size`` bytes. The order is built a block at a
+Suffixes matter to a depth of ``size`` bytes. They are sorted a block at a
 time, as in blockwise suffix-array construction over a difference cover:
 
 1. The cover sample holds the suffixes that start at a place p of their
    document with p modulo 31 in D = {0, 1, 3, 8, 12, 18}, a difference cover:
    any two places have a common shift below 31 that takes both into the
-   sample. Sample suffixes are ranked first, to a depth of size + 30 bytes.
+   sample. Sample suffixes are ranked first, by their first size + 30 bytes.
 2. Long ties are resolved by those ranks alone. Where a text repeats a stretch
    of size + 60 bytes or more, each period of 31 places has a sample place at
-   which both copies are in the sample; if its rank also occurs in an earlier
-   document, the 31 suffixes from there on are settled and never sorted.
-3. The other suffixes fall into buckets, ranges of a 64-bit order of their
-   first ``size`` bytes. A pass sorts one range of buckets, ``PASSES`` in all,
-   and drops its shuffle before the next, so memory and disk hold one block.
-
-Ranks and order are those of hashed prefixes, not of the alphabet: dedup asks
-which suffixes agree and which document comes first, and any order that keeps
-equal prefixes together answers that.
+   which both copies are in the sample. If an earlier document has one of the
+   same rank, the 31 suffixes from there on are settled and never sorted.
+3. The other suffixes are sorted by their first ``size`` bytes, a bucket at a
+   time. A bucket holds the suffixes of some minimizers and is as large as
+   ``chunks.BUCKET_BYTES`` says, so memory holds one bucket.
+
+In a bucket, suffixes whose hash no other has are set apart first: they tie
+with none. The rest are sorted by their bytes; equal ones have one rank. Dedup
+asks which suffixes tie and which document of a tie is first, so ranks are not
+numbered across buckets, and their order by minimizer is as good as any.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import CHUNK_SCHEMA, Chunk, buckets, byte_windows, chunk_of, cover, distinct, earlier, marked, member, pack_chunks, runs, with_masks
+from .arrow import mix
+from .chunks import CHUNK_SCHEMA, Chunk, Runs, buckets, byte_windows, chunk_of, cover, earlier, minima, pack_chunks, runs, with_masks
 from .common import materialize
 
 SIZE = 50
 COVER, PERIOD = (0, 1, 3, 8, 12, 18), 31
-SAMPLE_PASSES, PASSES = 2, 4
+#: Bytes of a gram; the least of a suffix's is its minimizer.
+GRAM = 16
 
 
-def _places(c: Chunk, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, valid) of the ``depth`` bytes from each place of the chunk."""
-    valid = np.zeros(len(c.bytes), bool)
-    for a, b in zip(c.starts.tolist(), c.ends.tolist(), strict=True):
-        if b - a >= depth:
-            valid[a : b - depth + 1] = True
-    return byte_windows(c.bytes, depth), valid
+def grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` bytes from each place; the last places take zeros."""
+    at = np.lib.stride_tricks.as_strided(np.concatenate((data, np.zeros(GRAM, np.uint8))), (len(data) + 8, 8), (1, 1))
+    words = np.ascontiguousarray(at).view("<u8").ravel()
+    h = words[: len(data)] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= words[8 : len(data) + 8]
+    return mix(h)
 
 
-def _sample(c: Chunk, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the cover sample."""
-    at, cover_set = [], np.array(COVER)
-    for a, n in zip(c.starts.tolist(), (c.sizes - depth + 1).tolist(), strict=True):
-        if n > 0:
-            grid = (np.arange(a, a + n, PERIOD)[:, None] + cover_set).ravel()
-            at.append(grid[grid < a + n])
-    at = np.concatenate(at) if at else np.zeros(0, np.int64)
-    return at, byte_windows(c.bytes, depth)[at]
+def in_cover(places: np.ndarray) -> np.ndarray:
+    table = np.zeros(PERIOD, bool)
+    table[list(COVER)] = True
+    return table[places % PERIOD]
 
 
-def _in_earlier(c: Chunk, at: np.ndarray, keys: np.ndarray, far: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Which of the places ``at`` have their key in a document with a smaller id.
+def suffixes(c: Chunk, depth: int, total: int, done: np.ndarray | None = None) -> tuple[Runs, np.ndarray]:
+    """(runs, places): suffixes of ``depth`` bytes that are not ``done``; without ``done``, those of the cover sample."""
+    n = len(c.bytes)
+    place = np.arange(n) - np.repeat(c.starts, c.sizes)
+    live = np.repeat(c.sizes, c.sizes) - place >= depth
+    live &= in_cover(place) if done is None else ~done
+    at = np.flatnonzero(live)
+    doc = np.searchsorted(c.ends, at, side="right")
+    follows = np.ones(len(at), bool)
+    follows[1:] = (doc[1:] == doc[:-1]) if done is None else (doc[1:] == doc[:-1]) & (at[1:] == at[:-1] + 1)
+    least = minima(grams(c.bytes), depth - GRAM + 1)[at] if n else np.zeros(0, np.uint64)
+    tag = (place[at] % PERIOD).astype(np.uint8) if done is None else None
+    return Runs(c.bytes, at, at + depth, c.rank[doc], follows, least, total, tag), at
 
-    ``far``: keys of earlier chunks; ``many``: keys that occur more than once here.
-    """
-    maybe = np.union1d(far, many)
-    found = np.flatnonzero(member(keys, maybe))
-    which = np.searchsorted(maybe, keys[found])
-    rank = c.rank[np.searchsorted(c.ends, at[found], side="right")]
-    # Places rise, so the first place of a key has its lowest rank.
-    low = np.full(len(maybe), len(c.sizes))
-    low[which[::-1]] = rank[::-1]
-    hit = np.zeros(len(keys), bool)
-    hit[found] = (rank > low[which]) | member(maybe, far)[which]
-    return hit
+
+def cut_suffixes(depth: int, sample: bool) -> Callable:
+    """The windows of a bucket's strings: every place, or those in the cover, counted from the tag."""
+
+    def cut(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, ...]:
+        n = ends - begins - depth + 1
+        string = np.repeat(np.arange(len(n)), n)
+        inside = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
+        if sample:
+            keep = in_cover(inside + tags[string])
+            string, inside = string[keep], inside[keep]
+        at = begins[string] + inside
+        return at, at + depth, byte_windows(text, depth)[at], string
+
+    return cut
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary) for each row of ``docs``.
 
-    A byte goes if a string of ``size`` bytes over it also starts in a text
-    with a smaller id; strings are judged on the input and lie inside one
-    text. Null texts are empty; a null id is smaller than all others. Rows
-    that repeat an id are not smaller than each other.
+    A byte goes if a string of ``size`` bytes (``GRAM`` at least) over it also
+    starts in a text with a smaller id; strings are judged on the input, lie
+    inside one text and are compared byte by byte. Null texts are empty; a null
+    id is smaller than all others. Rows that repeat an id are not smaller than
+    each other.
     """
-    per_pass = buckets(docs.sparkSession, PASSES)
     chunks = pack_chunks(docs, id_col, text_col)
-    depth = size + PERIOD - 1
-
-    def sample_keys(b: pa.RecordBatch, i: int) -> np.ndarray:
-        return distinct(_sample(chunk_of(b, i), depth)[1])[0]
+    total, depth = buckets(chunks), size + PERIOD - 1
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = []
             for i in range(b.num_rows):
                 c = chunk_of(b, i)
-                at, keys = _sample(c, depth)
-                u, many = distinct(keys)
-                far = marked(u, b.column("masks")[i].as_py(), per_pass * SAMPLE_PASSES)
+                sample, at = suffixes(c, depth, total)
                 hit = np.zeros(len(c.bytes), bool)
-                hit[at[_in_earlier(c, at, keys, far, many)]] = True
+                hit[at[sample.hits(b.column("masks")[i].as_py(), True)]] = True
                 done.append(np.packbits(cover(hit, PERIOD)).tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("chunk", "ids", "sizes", "body", "extra")), pa.array(done, pa.binary())], names=["chunk", "ids", "sizes", "body", "extra", "done"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k.split()[0]) for k in CHUNK_SCHEMA.split(", ")), pa.array(done, pa.binary())], names=[*(k.split()[0] for k in CHUNK_SCHEMA.split(", ")), "done"])
 
-    sampled = with_masks(chunks, earlier(chunks, sample_keys, SAMPLE_PASSES, by_id=True))
+    sampled = with_masks(chunks, earlier(chunks, lambda b, i: suffixes(chunk_of(b, i), depth, total)[0], cut_suffixes(depth, True), True, total))
     chunks = materialize(sampled.mapInArrow(settle, f"{CHUNK_SCHEMA}, done binary"), chunks, codec="lz4")
 
-    def open_suffixes(b: pa.RecordBatch, i: int) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
+    def unsettled(b: pa.RecordBatch, i: int) -> tuple[Chunk, Runs, np.ndarray, np.ndarray]:
         c = chunk_of(b, i)
-        h, valid = _places(c, size)
-        done = np.unpackbits(np.frombuffer(b.column("done")[i].as_py(), np.uint8), count=len(h)).astype(bool)
-        at = np.flatnonzero(valid & ~done)
-        return c, at, h[at], done
-
-    def suffix_keys(b: pa.RecordBatch, i: int, lo: np.uint64, hi: np.uint64) -> np.ndarray:
-        _, _, keys, _ = open_suffixes(b, i)
-        own = keys - lo
-        return distinct(keys[own <= hi - lo])[0]
+        done = np.unpackbits(np.frombuffer(b.column("done")[i].as_py(), np.uint8), count=len(c.bytes)).astype(bool)
+        return c, *suffixes(c, size, total, done), done
 
-    masks = earlier(chunks, suffix_keys, PASSES, by_range=True, by_id=True)
+    masks = earlier(chunks, lambda b, i: unsettled(b, i)[1], cut_suffixes(size, False), True, total)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                c, at, keys, gone = open_suffixes(b, i)
-                u, many = distinct(keys)
-                far = marked(u, b.column("masks")[i].as_py(), per_pass * PASSES)
-                gone[at[_in_earlier(c, at, keys, far, many)]] = True
-                cut = cover(gone, size)
-                sums = np.concatenate(([0], np.cumsum(cut)))
-                kept, keep = [], ~cut
+                c, rest, at, gone = unsettled(b, i)
+                gone[at[rest.hits(b.column("masks")[i].as_py(), True)]] = True
+                gone = cover(gone, size)
+                sums = np.concatenate(([0], np.cumsum(gone)))
+                kept, keep = [], ~gone
                 for lo, hi in zip(c.starts.tolist(), c.ends.tolist(), strict=True):
                     kept.append(c.bytes[lo:hi][keep[lo:hi]].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [c.ids, pa.array(c.sizes), pa.array(sums[c.ends] - sums[c.starts]), pa.array(runs(cut, c.starts, c.ends)), pa.array(kept, pa.binary())],
+                    [c.ids, pa.array(c.sizes), pa.array(sums[c.ends] - sums[c.starts]), pa.array(runs(gone, c.starts, c.ends)), pa.array(kept, pa.binary())],
                     names=["id", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
