@@ -24,11 +24,14 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediates.
 
-    It is ``spark.checkpoint.dir`` where the session has one; a temporary
-    folder is made only where it is unset, which is so in tests.
+    It is ``spark.checkpoint.dir`` where the session has one. Where it is
+    unset, a local master, as in tests, gets a temporary folder; on a cluster
+    that is an error, as executors would not see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = getattr(work_dir, "own", None) or tempfile.mkdtemp(prefix="chronolake-")
         work_dir.own = named
     return named.rstrip("/")
@@ -83,28 +86,37 @@ def running_sum(df: DataFrame, order: list, sums: dict[str, str], within: str |
     ``order`` (columns that order all rows) and, with ``within``, summed apart
     for each value of that column. Every row goes to a range partition; a
     total for each (partition, ``within``) gives the offsets, one row each, so
-    one value that holds most rows is spread over many tasks.
+    one value that holds most rows is spread over many tasks. Other columns
+    of ``df`` stay as they are, whatever their names.
     """
     spark = df.sparkSession
+    part, opart, inside = own_names(df, "part", "opart", "within")
     keys = ([F.col(within)] if within else []) + [F.col(c) if isinstance(c, str) else c for c in order]
     n = partitions(spark)
-    ranged = materialize(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()))
-    group = ["_part"] + ([within] if within else [])
-    totals = ranged.groupBy(*group).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = materialize(df.repartitionByRange(n, *keys).withColumn(part, F.spark_partition_id()))
+    group = [part] + ([within] if within else [])
+    total, offset = ([f"{part}_{k}_{i}" for i in range(len(sums))] for k in ("t", "o"))
+    totals = ranged.groupBy(*group).agg(*[F.sum(c).alias(t) for t, c in zip(total, sums.values(), strict=True)])
+    before = (Window.partitionBy(within) if within else Window.partitionBy()).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each range, and with ``within`` for each value in it.
+    offsets = totals.select(F.col(part).alias(opart), *([F.col(within).alias(inside)] if within else []), *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(o) for t, o in zip(total, offset, strict=True)])
+    same = F.col(part) == F.col(opart)
     if within:
-        before = Window.partitionBy(within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(sums))])
-    if within:
-        offsets = offsets.withColumnRenamed(within, "_within").withColumnRenamed("_part", "_opart")
-        joined = ranged.join(offsets, (F.col("_part") == F.col("_opart")) & F.col(within).eqNullSafe(F.col("_within")), "left")
-    else:
-        offsets = offsets.withColumnRenamed("_part", "_opart")
-        joined = ranged.join(offsets, F.col("_part") == F.col("_opart"), "left")
+        same = same & F.col(within).eqNullSafe(F.col(inside))
+    joined = ranged.join(offsets, same, "left")
     local = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    for i, (name, c) in enumerate(sums.items()):
-        joined = joined.withColumn(name, F.col(f"_o{i}") + F.coalesce(F.sum(c).over(local), F.lit(0)))
-    return joined.drop("_part", "_opart", "_within", *[f"_o{i}" for i in range(len(sums))])
+    for o, (name, c) in zip(offset, sums.items(), strict=True):
+        joined = joined.withColumn(name, F.col(o) + F.coalesce(F.sum(c).over(local), F.lit(0)))
+    return joined.drop(part, opart, inside, *offset)
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that ``df`` has no column of, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    tail = 0
+    while any(f"_{n}_{tail}" in have or any(c.startswith(f"_{n}_{tail}_") for c in have) for n in names):
+        tail += 1
+    return [f"_{n}_{tail}" for n in names]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

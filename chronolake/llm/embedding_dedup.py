@@ -1,10 +1,12 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
 Reference points (pivots) are taken from the data. A vector is described by its
-``PREFIX`` nearest pivots in order, and stands in the inverted list of each.
-Two vectors are candidates if they share at least ``SHARED`` pivots; a
-candidate pair is verified by its cosine in double precision, in the list of
-the first pivot it shares, so it counts once.
+``PREFIX`` nearest pivots in order. Two vectors are candidates if they share at
+least two of them. So inverted lists are those of pairs of pivots: a vector
+stands in the list of each pair of its prefix, and lists stay short as the
+square of the number of pivots grows. A candidate pair is verified by its
+cosine in double precision, in the list of the first two pivots it shares, so
+it counts once.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from .common import connected_components, materialize
 from .simhash import _forest
 
 COSINE = 0.95
-#: Vectors sampled as pivots: this many times the root of their number, within the bounds, and none near another.
+#: Vectors sampled as pivots: this many times the root of their number, within the bounds of the sample, and none near another.
 PIVOT_RATE, MIN_PIVOTS, MAX_PIVOTS, APART = 4.0, 64, 4096, 0.8
-PREFIX, SHARED = 8, 2
-BLOCK = 512
+PREFIX = 8
+BLOCK = 1024
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -35,8 +37,9 @@ def _units(column: pa.Array) -> np.ndarray:
 def choose_pivots(vectors: DataFrame) -> np.ndarray:
     """Unit pivots: a sample by hash of the distinct vectors, none within ``APART``.
 
-    At most ``MAX_PIVOTS`` vectors come to the driver. Lists stay short where
-    many vectors are alike, as their pivots would be alike too.
+    The sample that the index is fitted on is bounded: at most ``MAX_PIVOTS``
+    vectors come to the driver. Lists stay short where many vectors are alike,
+    as their pivots would be alike too.
     """
     n = vectors.count()
     take = int(min(MAX_PIVOTS, max(MIN_PIVOTS, np.ceil(PIVOT_RATE * np.sqrt(n)))))
@@ -53,42 +56,46 @@ def choose_pivots(vectors: DataFrame) -> np.ndarray:
     return x[keep]
 
 
-POSTING = "pivot int, node long, copies long, vector array<double>, prefix array<int>"
-
-
 def postings(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """The inverted lists: a row for each vector and pivot of its prefix."""
+    """The inverted lists (low, high, node, copies, vector, prefix): a row for each vector and pair of pivots of its prefix.
+
+    A single pivot pairs with itself. Prefixes are sorted, as a pair is
+    counted in the list of the two least pivots it shares.
+    """
     size = min(PREFIX, len(pivots))
+    i, j = np.triu_indices(size, 1) if size > 1 else (np.zeros(1, int), np.zeros(1, int))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
                 near = _units(part.column(2)) @ pivots.T
-                top = np.argpartition(-near, size - 1, axis=1)[:, :size]
-                order = np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable")
-                top = np.take_along_axis(top, order, axis=1).astype(np.int32)
-                row = pa.array(np.repeat(np.arange(part.num_rows), size))
+                top = np.sort(np.argpartition(-near, size - 1, axis=1)[:, :size], axis=1).astype(np.int32)
+                row = pa.array(np.repeat(np.arange(part.num_rows), len(i)))
                 prefix = pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, size, dtype=np.int32)), pa.array(top.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(top.ravel()), *(c.take(row) for c in (*part.columns, prefix))], names=["pivot", "node", "copies", "vector", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(top[:, i].ravel()), pa.array(top[:, j].ravel()), *(c.take(row) for c in (*part.columns, prefix))], names=["low", "high", "node", "copies", "vector", "prefix"])
 
-    return vectors.select("node", "copies", "vector").mapInArrow(run, POSTING)
+    kind = vectors.schema["vector"].dataType.simpleString()
+    return vectors.select("node", "copies", "vector").mapInArrow(run, f"low int, high int, node long, copies long, vector {kind}, prefix array<int>")
 
 
-def verified(lists: DataFrame, threshold: float, shared: int, block: int = BLOCK) -> DataFrame:
+def verified(lists: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(a, b, n): a link of a forest where b is set, else n more links of a.
 
     A list of over ``block`` rows is dealt into blocks, and each pair of
     blocks is a group of its own; a task never holds a whole long list.
     """
-    # A row for each pivot: at most MAX_PIVOTS.
-    blocks = lists.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = lists.join(F.broadcast(blocks), "pivot").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
+    # A row for each long list.
+    hot = lists.groupBy("low", "high").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = lists.join(hot, ["low", "high"], "left").withColumn("own", F.expr("cast(pmod(xxhash64(node, 1), coalesce(blocks, 1)) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")))
+    dealt = dealt.withColumn("from", F.least("own", "other")).withColumn("to", F.greatest("own", "other")).drop("other", "blocks")
 
     def verify(t: pa.Table) -> pa.Table:
-        pivot, same = t.column("pivot")[0].as_py(), t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
+        low, high, same = t.column("low")[0].as_py(), t.column("high")[0].as_py(), t.column("from")[0].as_py() == t.column("to")[0].as_py()
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        if t.num_rows < 2:
+            return none
         t = t.combine_chunks()
         node, copies, own = (t.column(c).to_numpy() for c in ("node", "copies", "own"))
         x = _units(t.column("vector").chunk(0))
@@ -103,17 +110,18 @@ def verified(lists: DataFrame, threshold: float, shared: int, block: int = BLOCK
             r, c = i[r], right[c]
             if same:
                 r, c = r[r < c], c[r < c]
-            if not len(r):
-                continue
-            both = (prefix[r][:, :, None] == prefix[c][:, None, :]).any(axis=2)
-            first = np.where(both, prefix[r], np.iinfo(np.int32).max).min(axis=1)
-            use = (both.sum(axis=1) >= shared) & (first == pivot)
-            r, c = r[use], c[use]
-            np.add.at(counts, r, copies[c])
-            np.add.at(counts, c, copies[r])
-            r, c = _forest(r, c)
-            rows.append(node[r])
-            cols.append(node[c])
+            for part in range(0, len(r), 1 << 16):
+                u, v = r[part : part + (1 << 16)], c[part : part + (1 << 16)]
+                both = (prefix[u][:, :, None] == prefix[v][:, None, :]).any(axis=2)
+                # Prefixes are sorted: the list is that of the first two shared ones if none below is shared but ``low``.
+                below = (both & (prefix[u] < high)).sum(axis=1)
+                use = below == (1 if low < high else 0)
+                u, v = u[use], v[use]
+                np.add.at(counts, u, copies[v])
+                np.add.at(counts, v, copies[u])
+                u, v = _forest(u, v)
+                rows.append(node[u])
+                cols.append(node[v])
         has = np.flatnonzero(counts)
         a = np.concatenate([node[has], *rows]).astype(np.int64)
         links = np.concatenate(cols).astype(np.int64) if cols else np.zeros(0, np.int64)
@@ -121,10 +129,10 @@ def verified(lists: DataFrame, threshold: float, shared: int, block: int = BLOCK
         n = pa.array(np.concatenate([counts[has], np.zeros(len(links), np.int64)]))
         return pa.table({"a": pa.array(a), "b": b, "n": n})
 
-    return dealt.groupBy("pivot", "lo", "hi").applyInArrow(verify, "a long, b long, n long")
+    return dealt.groupBy("low", "high", "from", "to").applyInArrow(verify, "a long, b long, n long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = COSINE, shared: int = SHARED) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = COSINE) -> DataFrame:
     """(id, n_links, component_id, kept), one row for each row of ``df``.
 
     Equal vectors are one node with a count of copies; a node is known by a
@@ -132,12 +140,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     non-finite components link with nothing, nor do vectors of different
     lengths. Rows that repeat an id count as vectors of their own; null ids
     are passed over in component_id. Pairs below ``threshold`` are never
-    linked; those at or above are if they share enough pivots.
+    linked; those at or above are if they share two of their nearest pivots.
     """
     # Negative zero is zero, so that equal vectors have equal hashes.
     v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = materialize(df.select(F.col(id_col).alias("id"), v.alias("vector"), sound.alias("sound")).withColumn("node", F.when(F.col("sound"), F.xxhash64("vector"))))
+    kind = df.schema[vector_col].dataType.simpleString()
+    rows = materialize(df.select(F.col(id_col).alias("id"), (v.cast(kind) if kind == "array<float>" else v).alias("vector"), sound.alias("sound")).withColumn("node", F.when(F.col("sound"), F.xxhash64("vector"))))
     nodes = materialize(rows.filter("sound").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
     found = None
     # Lengths of vectors: one in any one table of embeddings, a few at most.
@@ -145,7 +154,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         own = nodes.filter(F.size("vector") == size)
         pivots = choose_pivots(own)
         lists = materialize(postings(own, pivots))
-        part = verified(lists, threshold, min(shared, len(pivots)))
+        part = verified(lists, threshold)
         found = part if found is None else found.unionAll(part)
     if found is None:
         return df.select(F.col(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))

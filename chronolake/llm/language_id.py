@@ -1,11 +1,13 @@
 """Language identification with error-correcting output codes.
 
 Every language has a codeword; one binary n-gram classifier predicts each bit.
-A classifier compares, by log odds, the byte 3-grams of the languages whose bit
-is 1 with those of the others, so all of them follow from one table of 3-gram
-counts by language, which Spark sums over all labelled training documents.
+A classifier starts from the log odds of byte 3-grams in the languages whose
+bit is 1 against the others, and is then fitted to its bit by logistic
+regression: in each round every labelled training document is read, tasks sum
+their gradients, and a step that does not lower the loss is taken back and halved.
 A text's margins are decoded by loss: the codeword with the least weighted
-logistic loss wins, and a near tie with the runner-up is flagged as ambiguous.
+logistic loss wins, a bit weighing by how seldom its classifier errs on the
+training documents, and a near tie with the runner-up is flagged as ambiguous.
 ``keep_known`` also rejects: a text far less likely in the languages it decodes
 to than labelled documents of its length is in no language that was learned.
 """
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .arrow import utf8
 
 BUCKETS = 1 << 13
-#: The most languages that can be learned: the rest, by number of documents, would have no codeword.
-MAX_LANGUAGES = 200
+#: Rounds of fitting, the first step, and the least error that a bit's weight takes for true.
+ROUNDS, STEP, LEAST_ERROR = 4, 0.3, 1e-4
 AMBIGUOUS = 0.6
 #: Rejection: 3-grams of a stretch that is decoded by itself, labelled documents that a length class needs, their quantile, and how far beyond it (in nats a 3-gram).
 STRETCH, CLASS_LEAST, QUANTILE, BEYOND = 64, 100, 0.99, 2.0
@@ -97,15 +99,52 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
             return m
 
 
-def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> dict:
+def gradients(docs: DataFrame, labels: list[str], n: list[int], code: np.ndarray, odds: np.ndarray, text_col: str, label_col: str) -> tuple[np.ndarray, ...]:
+    """(gradient, curvature, loss, error) of the bits' logistic losses over all labelled documents.
+
+    Every language has the same weight in all. A task sends one row of sums, and
+    they are added up in 16 groups; that many rows come to the driver.
+    """
+    row, bits = {x: i for i, x in enumerate(labels)}, code.shape[1]
+    share = 1.0 / (np.array(n) * len(labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slope, bend, rest = np.zeros((BUCKETS, bits)), np.zeros(BUCKETS), np.zeros((2, bits))
+        for b in batches:
+            data, at = utf8(b.column(1))
+            for i, label in enumerate(b.column(0).to_pylist()):
+                g = grams(data[at[i] : at[i + 1]])
+                if not len(g):
+                    continue
+                use, count = np.unique(g, return_counts=True)
+                x, k = count / len(g), row[label]
+                sign = 2 * code[k] - 1
+                m = sign * (x @ odds[use]) * SCALE
+                slope[use] += x[:, None] * (share[k] * SCALE * sign / (1 + np.exp(np.minimum(m, 700))))
+                bend[use] += share[k] * SCALE * SCALE * x * x / 4
+                rest += share[k] * np.stack([np.logaddexp(0, -m), m <= 0])
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([slope.ravel(), bend, rest.ravel()]).tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    def add(t: pa.Table) -> pa.Table:
+        return pa.table({"sums": pa.array([sum(np.asarray(x.values) for x in t.column("sums")).tolist()], pa.list_(pa.float64()))})
+
+    sent = docs.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).mapInArrow(run, "sums array<double>")
+    salted = sent.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
+    rows = salted.groupBy("salt").applyInArrow(lambda t: add(t.drop(["salt"])), "sums array<double>").collect()
+    total = sum(np.array(r["sums"]) for r in rows)
+    slope, bend, rest = np.split(total, [BUCKETS * bits, BUCKETS * (bits + 1)])
+    return slope.reshape(BUCKETS, bits), bend, *rest.reshape(2, bits)
+
+
+def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", rounds: int = ROUNDS) -> dict:
     """The model: labels, codewords, log odds (buckets x bits) and bit weights.
 
-    Learns from rows with a label; at most ``MAX_LANGUAGES`` labels, those
-    with the most rows, ties by name. What comes to the driver is one row of
-    ``BUCKETS`` counts for each of them. No labelled row: an empty model.
+    Learns every label from all rows that have one. What comes to the driver is
+    one row of ``BUCKETS`` counts for each label, and in each round 16 rows of
+    as many sums for each bit. No labelled row: an empty model.
     """
-    rows = gram_counts(docs.filter(F.col(label_col).isNotNull()), text_col, label_col).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).collect()
-    rows = sorted(rows, key=lambda r: r["label"])
+    known = docs.filter(F.col(label_col).isNotNull())
+    rows = sorted(gram_counts(known, text_col, label_col).collect(), key=lambda r: r["label"])
     labels = [r["label"] for r in rows]
     if not labels:
         return {"labels": [], "code": np.zeros((0, 1)), "odds": np.zeros((BUCKETS, 1)), "weights": np.ones(1), "logs": np.zeros((BUCKETS, 1))}
@@ -116,10 +155,16 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> dic
         return {"labels": labels, "code": code, "odds": np.zeros((BUCKETS, 1)), "weights": np.ones(1), "logs": np.log(rates).T}
     ones = code.T @ rates / code.sum(axis=0)[:, None]
     zeros = (1 - code).T @ rates / (1 - code).sum(axis=0)[:, None]
-    odds = np.log(ones / zeros).T
-    # A bit counts by how well its classifier tells its own languages apart: the least margin of any.
-    margin = (rates @ odds) * (2 * code - 1)
-    return {"labels": labels, "code": code, "odds": odds.astype(np.float32), "weights": np.clip(margin.min(axis=0), 0.05, None), "logs": np.log(rates).T.astype(np.float32)}
+    odds, step, best = np.log(ones / zeros).T, STEP, None
+    for _ in range(rounds + 1):
+        slope, bend, loss, error = gradients(known, labels, [r["n"] for r in rows], code, odds, text_col, label_col)
+        if best is None or loss.sum() < best[1].sum():
+            best = (odds, loss, error, slope / (bend + bend.mean())[:, None])
+        else:
+            step /= 2
+        odds = best[0] + step * best[3]
+    weights = np.log((1 - best[2] + LEAST_ERROR) / (best[2] + LEAST_ERROR))
+    return {"labels": labels, "code": code, "odds": best[0].astype(np.float32), "weights": np.clip(weights, 0.05, None), "logs": np.log(rates).T.astype(np.float32)}
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", label: str = "lang_pred", score: str = "score", unsure: str = "ambiguous", scale: float = SCALE) -> DataFrame:

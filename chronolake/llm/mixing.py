@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, running_sum
+from .common import materialize, own_names, running_sum
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -47,19 +47,21 @@ def sample_to_targets(sized: DataFrame, targets: DataFrame, order: list[str], we
     the sizes of a source summed in that order, a document is taken once more
     while the middle of its words lies below the rest. What a source takes
     then differs from its target by at most half a document. Weights that are
-    null or not above 0 count as 1. Rows that agree in all of ``order`` are
-    ordered by a hash of the row, so copies stay apart.
+    null or not above 0 count as 1. u is drawn from a hash of ``order`` and of
+    the row, so rows that repeat an id, or have none, have keys of their own;
+    rows that agree in everything have one key and stand side by side.
     """
-    t = targets.withColumnRenamed(source, "_src")
-    u = (F.pmod(F.xxhash64(*[F.col(c) for c in order], F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    key, tie, before, src, e, left = own_names(sized, "key", "tie", "before", "src", "epochs", "left")
+    t = targets.withColumnRenamed(source, src)
+    keyed = sized.withColumn(tie, F.xxhash64(*[F.col(c) for c in sized.columns]))
+    u = (F.pmod(F.xxhash64(*[F.col(c) for c in order], F.col(tie), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     w = F.when(F.col(weight) > 0, F.col(weight)).otherwise(F.lit(1.0))
-    keyed = sized.withColumn("_key", -F.log(u) / w).withColumn("_tie", F.xxhash64(*[F.col(c) for c in sized.columns]))
-    summed = running_sum(keyed, ["_key", *order, "_tie"], {"_before": size}, within=source)
-    out = summed.join(t, F.col(source).eqNullSafe(F.col("_src")), "left")
+    summed = running_sum(keyed.withColumn(key, -F.log(u) / w), [key, *order, tie], {before: size}, within=source)
+    out = summed.join(t, F.col(source).eqNullSafe(F.col(src)), "left")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    out = out.withColumn("_e", epochs).withColumn("_left", F.col("target") - F.col("_e") * F.col("source_size"))
-    once = (F.col("_before") + F.col(size) / 2.0 < F.col("_left")).cast("long")
-    return out.withColumn("times", F.col("_e") + once).withColumn("taken", F.col(size) * F.col("times")).drop("_key", "_tie", "_before", "_src", "_e", "_left")
+    out = out.withColumn(e, epochs).withColumn(left, F.col("target") - F.col(e) * F.col("source_size"))
+    once = (F.col(before) + F.col(size) / 2.0 < F.col(left)).cast("long")
+    return out.withColumn("times", F.col(e) + once).withColumn("taken", F.col(size) * F.col("times")).drop(key, tie, before, src, e, left)
 
 
 def with_quality(docs: DataFrame, sf_dir: str) -> DataFrame:

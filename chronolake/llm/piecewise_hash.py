@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import Rolling, byte_values
-from .common import partitions
+from .common import materialize, partitions
 
 REACH, LEAST, LENGTH, RUN = 7, 3, 64, 7
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -78,39 +79,14 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(part, id, text, ahead): rows dealt into ranges of ids.
+PRINTS = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
+EDGES = f"part int, last boolean, text string, {PRINTS}"
 
-    ``ahead`` rows stand last in their range and repeat the first row of the
-    next one (the last range: of the first). Ranges come from quantiles of the
-    ids, 4 for each task. Null ids come first; rows that repeat an id stand in
-    the order of a hash of their text.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = 4 * partitions(spark)
-    # One number for each range comes to the driver.
-    cuts = sorted({int(x) for x in rows.filter("id is not null").select(F.col("id").cast("double").alias("x")).approxQuantile("x", [k / n for k in range(1, n)], 0.1 / n)})
-    part = F.lit(0)
-    if cuts:
-        part = F.when(F.col("id").isNull(), 0).otherwise(_place(cuts, 0, len(cuts)))
-    rows = rows.withColumn("part", part.cast("int")).withColumn("tie", F.xxhash64("text"))
-    firsts = rows.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tie")).alias("first"))
-    order = Window.orderBy("part")
-    # One row for each range.
-    firsts = firsts.withColumn("to", F.lag("part").over(order)).withColumn("to", F.coalesce("to", F.max("part").over(Window.partitionBy())))
-    ahead = rows.join(F.broadcast(firsts.select(F.col("first.id").alias("fid"), F.col("first.tie").alias("ftie"), "to")), F.col("id").eqNullSafe(F.col("fid")) & (F.col("tie") == F.col("ftie")))
-    ahead = ahead.dropDuplicates(["to"]).select(F.col("to").alias("part"), "id", "tie", "text", F.lit(True).alias("ahead"))
-    both = rows.select("part", "id", "tie", "text", F.lit(False).alias("ahead")).unionByName(ahead)
-    return both.repartition(partitions(spark), "part").sortWithinPartitions("part", "ahead", F.col("id").asc_nulls_first(), "tie")
-
-
-def _place(cuts: list[int], lo: int, hi: int) -> Column:
-    """The number of ``cuts`` that are at most the id, by bisection."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(F.col("id") < cuts[mid], _place(cuts, lo, mid)).otherwise(_place(cuts, mid + 1, hi))
+
+def edited(text: str, ahead: str) -> bytes:
+    """``text`` with its last half, rounded down, replaced by as much of the start of ``ahead``."""
+    half = len(text) // 2
+    return (text[: len(text) - half] + ahead[:half]).encode()
 
 
 def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,27 +95,59 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
     The edited text keeps the first code points and takes the last
     floor(n_chars / 2) from the start of the next document's text, as many as
     it has. After the last document comes the first; a single document is its
-    own next. Null texts are empty.
+    own next. Null texts are empty. Null ids come first; rows that repeat an id
+    stand in the order of a hash of their text.
+
+    Rows go to ranges of (id, hash of the text), so no id must fit a task. A
+    range gives the rows of all but its last document, whose next one is in
+    another range, and the texts of its first and last ones; a join of those,
+    two for each range, gives the rest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
+        part = TaskContext.get().partitionId()
+        held = None
         for b in batches:
             out: list[tuple] = []
-            for part, key, text, ahead in zip(*(b.column(c).to_pylist() for c in ("part", "id", "text", "ahead")), strict=True):
-                print_ = fingerprint(text.encode())
-                if held is not None and held[0] == part:
-                    _, hid, htext, hprint = held
-                    half = len(htext) // 2
-                    edited = (htext[: len(htext) - half] + text[:half]).encode()
-                    out.append((hid, len(htext), hashlib.sha256(edited).hexdigest(), hprint, fingerprint(edited), print_))
-                held = None if ahead else (part, key, text, print_)
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = [pa.int64(), pa.int64(), *[pa.string()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"])
-
-    rows = in_order(docs, id_col, text_col).select("part", "id", "text", "ahead")
-    return rows.mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string").withColumnRenamed("id", id_col)
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                mark = fingerprint(text.encode())
+                if held is None:
+                    out.append((part, False, text, None, None, None, mark, None, None))
+                else:
+                    change = edited(held[1], text)
+                    out.append((None, None, None, held[0], len(held[1]), hashlib.sha256(change).hexdigest(), held[2], fingerprint(change), mark))
+                held = (key, text, mark)
+            yield table(out, EDGES)
+        if held is not None:
+            yield table([(part, True, held[1], held[0], len(held[1]), None, held[2], None, None)], EDGES)
+
+    def table(rows: list[tuple], fields: str) -> pa.RecordBatch:
+        kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+        names, types = zip(*(f.split() for f in fields.split(", ")), strict=True)
+        cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(cols, types, strict=True)], names=list(names))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, text, mark, ahead, ahead_mark in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                change = edited(text, ahead)
+                out.append((key, len(text), hashlib.sha256(change).hexdigest(), mark, fingerprint(change), ahead_mark))
+            yield table(out, PRINTS)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = (F.col("id").asc_nulls_first(), "tie", "place")
+    ranged = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    found = materialize(ranged.select("id", "text").mapInArrow(run, EDGES))
+    first = found.filter("not last").select(F.col("part").alias("to"), F.col("text").alias("ahead"), F.col("fingerprint").alias("ahead_mark"))
+    # One row, without its text, for each range.
+    near = Window.orderBy("to")
+    after = first.select("to").withColumn("from", F.lag("to").over(near)).withColumn("from", F.coalesce("from", F.max("to").over(Window.partitionBy())))
+    last = found.filter("last").select("part", "id", "text", "fingerprint")
+    ends = last.join(after, F.col("part") == F.col("from")).join(first, "to").select("id", "text", "fingerprint", "ahead", "ahead_mark").mapInArrow(close, PRINTS)
+    names = [f.split()[0] for f in PRINTS.split(", ")]
+    return found.filter("part is null").select(*names).unionByName(ends).withColumnRenamed("id", id_col)
 
 
 def op8_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

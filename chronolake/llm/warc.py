@@ -60,13 +60,23 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return CRLF.join(lines) + END + block
 
 
-def page_records(key: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
-    """The records of one page: a revisit, a response, or a response in segments."""
+DATE = "2024-01-01T00:00:00Z"
+
+
+def uri(url: str | None) -> str:
+    return (url or "").replace("\r", "").replace("\n", "")
+
+
+def page_records(key: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES, refers_url: str | None = None) -> list[bytes]:
+    """The records of one page: a revisit, a response, or a response in segments.
+
+    A revisit names the URI and date of the response, and its page in a header of our own.
+    """
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    base = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", (url or "").replace("\r", "").replace("\n", "")), ("WARC-Payload-Digest", digest), ("X-Page-Id", "" if page_id is None else str(page_id))]
+    base = [("WARC-Date", DATE), ("WARC-Target-URI", uri(url)), ("WARC-Payload-Digest", digest), ("X-Page-Id", "" if page_id is None else str(page_id))]
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:page:{key}>"), *base, ("WARC-Profile", PROFILE), ("X-Refers-To-Page-Id", str(refers_to)), ("Content-Type", "application/http; msgtype=response")], block)]
+        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:page:{key}>"), *base, ("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", uri(refers_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-Id", str(refers_to)), ("Content-Type", "application/http; msgtype=response")], block)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     head = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:page:{key}>"), *base, ("Content-Type", "application/http; msgtype=response")]
     if len(block) <= segment_bytes:
@@ -82,7 +92,7 @@ def page_records(key: str, page_id: int | None, url: str | None, payload: bytes,
 
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, file_records: int = FILE_RECORDS) -> None:
-    """Write (page_id, url, payload binary, refers_to) rows as archives in ``path``.
+    """Write (page_id, url, payload binary, refers_to, refers_url) rows as archives in ``path``.
 
     Records go out as they are through Spark's text writer, with the two line
     ends that close a record as its line separator, so any store that Spark
@@ -95,15 +105,15 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
         part, row = TaskContext.get().partitionId(), 0
         for b in batches:
             out: list[bytes] = []
-            for page_id, url, payload, ref in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                out += page_records(f"{page_id}:{part}-{row}", page_id, url, payload or b"", ref, segment_bytes)
+            for page_id, url, payload, ref, ref_url in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                out += page_records(f"{page_id}:{part}-{row}", page_id, url, payload or b"", ref, segment_bytes, ref_url)
                 row += 1
                 if len(out) >= 256:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    records = pages.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "record binary")
+    records = pages.select("page_id", "url", "payload", "refers_to", "refers_url").mapInArrow(run, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
 
 
@@ -154,22 +164,21 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """Whole records: segments grouped by origin, ordered and verified.
+    """Whole records: segments grouped by origin, ordered and verified; ``blocks`` has them in order.
 
     Only segmented records are shuffled. A group is one record's segments; a
     missing or repeated number, or a total that differs, gives ``whole`` false
     and the record is kept with what there is.
     """
-    single = records.filter("segment is null").select("id", "kind", "page_id", "refers_to", "digest", "block", F.lit(True).alias("whole"))
+    single = records.filter("segment is null").select("id", "kind", "page_id", "refers_to", "digest", F.array("block").alias("blocks"), F.lit(True).alias("whole"))
     parts = records.filter("segment is not null").groupBy("id").agg(
         F.min(F.when(F.col("segment") == 1, F.struct("kind", "page_id", "refers_to", "digest"))).alias("head"),
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
         F.max("total").alias("total"),
     )
-    block = F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.block))")
     numbers = F.expr("transform(parts, p -> p.segment) = sequence(1, size(parts))")
-    parts = parts.withColumn("block", block).withColumn("whole", numbers & (F.octet_length("block") == F.col("total")))
-    return single.unionByName(parts.select("id", "head.kind", "head.page_id", "head.refers_to", "head.digest", "block", F.coalesce("whole", F.lit(False)).alias("whole")))
+    length = F.expr("aggregate(parts, 0L, (n, p) -> n + octet_length(p.block)) = total")
+    return single.unionByName(parts.select("id", "head.kind", "head.page_id", "head.refers_to", "head.digest", F.col("parts.block").alias("blocks"), F.coalesce(numbers & length, F.lit(False)).alias("whole")))
 
 
 def payloads(whole: DataFrame) -> DataFrame:
@@ -183,10 +192,10 @@ def payloads(whole: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for page_id, kind, ref, digest, block, ok in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            for page_id, kind, ref, digest, blocks, ok in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if not ok:
                     raise ValueError(f"segments of page {page_id} don't add up")
-                head, _, body = block.partition(END)
+                head, _, body = b"".join(blocks).partition(END)
                 http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(CRLF)[1:])}
                 stated = base64.b32decode(digest.removeprefix("sha1:")).hex()
                 if kind == "revisit":
@@ -200,20 +209,29 @@ def payloads(whole: DataFrame) -> DataFrame:
             cols = zip(*rows, strict=True) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    return whole.select("page_id", "kind", "refers_to", "digest", "block", "whole").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return whole.select("page_id", "kind", "refers_to", "digest", "blocks", "whole").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def with_revisits(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
-    """(page_id, url, payload, refers_to) of pages (page_id, url, html).
+    """(page_id, url, payload, refers_to, refers_url) of pages (page_id, url, html).
 
     Of rows with equal payloads of at least ``least`` bytes, those with the
     largest page_id are responses and the others refer to it; a null page_id
     is smaller than all. If all ids of a group are null, all are responses.
+
+    Smaller payloads are not shuffled. References are found without payloads,
+    and join them by digest and page, so a payload that many pages share is
+    spread over tasks.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
-    shared = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("_digest"), "keeper")
-    out = rows.join(shared, F.col("digest") == F.col("_digest"), "left")
-    return out.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    small = F.octet_length("payload") < least
+    large = rows.filter(~small).withColumn("digest", F.sha1("payload"))
+    keeper = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.max_by("url", "page_id").alias("refers_url"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
+    refers = large.select("digest", "page_id").distinct().join(keeper, "digest").filter("page_id is null or page_id <> refers_to")
+    refers = refers.select(F.col("digest").alias("_digest"), F.col("page_id").alias("_page"), "refers_to", "refers_url")
+    out = large.join(refers, (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_page")), "left")
+    plain = rows.filter(small).select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
+    return out.select("page_id", "url", "payload", "refers_to", "refers_url").unionByName(plain)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
-from chronolake.llm import entry, language_id, mixing, piecewise_hash, sentencepiece_viterbi, simhash, substring_dedup, suffix_dedup, warc
+from chronolake.llm import embedding_dedup, entry, language_id, mixing, piecewise_hash, sentencepiece_viterbi, simhash, substring_dedup, suffix_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 Q = entry.queries()
@@ -218,15 +218,25 @@ def test_embeddings(spark, odd):
     assert bag(rows(Q["op5_embedding_dedup"](spark, odd)), "vec_id", "n_links", "component_id", "kept") == want
 
 
-def test_embedding_recall(spark):
-    sf = "/root/testdata/check_s"
-    import pyarrow.dataset as ds
-
-    t = ds.dataset(f"{sf}/embeddings.parquet").to_table(columns=["vec_id", "embedding"]).to_pandas()
-    x = np.stack(t.embedding.values).astype(float)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    true = (x @ x.T >= 0.95).sum(axis=1) - 1
-    got = Q["op5_embedding_dedup"](spark, sf).toPandas().set_index("vec_id").n_links.loc[t.vec_id].to_numpy()
+@pytest.mark.parametrize(("size", "n"), [(64, 3000), (64, 9000), (384, 3000)])
+def test_embedding_recall(spark, size, n):
+    """Made vectors in clusters with cosines of 0.9 to 0.99 among them, most near the threshold."""
+    rng = np.random.default_rng(size + n)
+    centres = rng.normal(size=(n // 12, size))
+    spread = rng.uniform(0.12, 0.28, len(centres))
+    own = rng.integers(0, len(centres), n)
+    x = centres[own] + spread[own][:, None] * rng.normal(size=(n, size))
+    x[: n // 4] = rng.normal(size=(n // 4, size))
+    x = x.astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = u @ u.T
+    true = (near >= 0.95).sum(axis=1) - 1
+    assert 0.2 < ((near > 0.95) & (near < 0.97)).sum() / max(true.sum(), 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = np.zeros(n, int)
+    for r in embedding_dedup.near_duplicates(df).select("vec_id", "n_links").collect():
+        got[r["vec_id"]] = r["n_links"]
+    print("recall", size, n, got.sum() / true.sum())
     assert (got <= true).all() and got.sum() >= 0.9 * true.sum()
 
 
