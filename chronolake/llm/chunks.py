@@ -30,7 +30,7 @@ from .common import materialize, partitions
 
 CHUNK_BYTES = 1 << 20
 #: Bytes of strings that a bucket should get, and of strings for a byte of text at most.
-BUCKET_BYTES, BLOW_UP = 16 << 20, 4
+BUCKET_BYTES, BLOW_UP = 8 << 20, 4
 BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK_SCHEMA = "chunk long, n long, ids array<long>, sizes binary, body binary, extra binary"
 
@@ -188,40 +188,6 @@ def byte_values() -> np.ndarray:
 BLOCK = 1 << 15
 
 
-def byte_windows(data: np.ndarray, size: int) -> np.ndarray:
-    """The hash of the ``size`` bytes from each place; the last places have 0.
-
-    Equal to ``Rolling(byte_values()[data]).windows(size)``, a block at a time
-    so that all but the result stays in cache.
-    """
-    n = len(data)
-    out = np.zeros(n, np.uint64)
-    up, down = powers(BLOCK + size + 1)
-    values = byte_values()
-    buf, prefix = np.empty(BLOCK + size, np.uint64), np.zeros(BLOCK + size + 1, np.uint64)
-    for at in range(0, n - size + 1, BLOCK):
-        m = min(BLOCK, n - size + 1 - at)
-        part = buf[: m + size - 1]
-        np.take(values, data[at : at + m + size - 1], out=part, mode="clip")
-        part *= up[: len(part)]
-        np.cumsum(part, out=prefix[1 : len(part) + 1])
-        h = out[at : at + m]
-        np.subtract(prefix[size : size + m], prefix[:m], out=h)
-        h *= down[:m]
-        _mix_with(h, buf[:m])
-    return out
-
-
-def _mix_with(x: np.ndarray, spare: np.ndarray) -> None:
-    """``mix`` in place, with room of the same length."""
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        np.right_shift(x, np.uint64(shift), out=spare)
-        x ^= spare
-        x *= np.uint64(factor)
-    np.right_shift(x, np.uint64(31), out=spare)
-    x ^= spare
-
-
 def cover(flags: np.ndarray, size: int) -> np.ndarray:
     """Places within ``size`` places from a set flag on, itself included."""
     sums = np.cumsum(flags, dtype=np.int32)
@@ -240,6 +206,11 @@ def buckets(chunks: DataFrame) -> int:
     return max(partitions(chunks.sparkSession), -(-total * BLOW_UP // BUCKET_BYTES))
 
 
+def bytes8(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as one number, zeros after the end."""
+    return np.ndarray((len(text),), "<u8", np.concatenate((text, np.zeros(8, np.uint8))), 0, (1,))
+
+
 def minima(h: np.ndarray, size: int) -> np.ndarray:
     """The least of the ``size`` values from each place; the last places take what there is."""
     out, have = h.copy(), 1
@@ -254,50 +225,46 @@ def minima(h: np.ndarray, size: int) -> np.ndarray:
 class Runs:
     """The windows of a chunk as strings for buckets.
 
-    Windows are given in the order of their places: byte spans in ``text``,
-    the document's rank, whether a window may follow the one before in a
-    string, the minimizer, and a tag that the receiver gets with each string.
+    Windows are given in the order of their places: byte spans in ``text``
+    (``ends`` may be one length for all), whether a window may follow the one
+    before in a string, the minimizer (32 bits), and, by the number of the
+    window, the document's rank and a tag that the receiver gets with each
+    string. ``part`` leaves out the strings of other buckets.
     """
 
-    def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np.ndarray, follows: np.ndarray, least: np.ndarray, total: int, tag: np.ndarray | None = None):
+    def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray | int, rank: Callable, follows: np.ndarray, least: np.ndarray, total: int, tag: Callable | None = None, part: tuple[int, int] | None = None):
         self.windows = len(starts)
-        if not len(starts):
-            self.unique = self.first = self.count = np.zeros(0, np.int64)
-            return
-        bucket = ((mix(least.copy()) >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)).astype(np.int64)
         new = np.ones(len(starts), bool)
-        new[1:] = ~follows[1:] | (bucket[1:] != bucket[:-1])
+        new[1:] = ~follows[1:] | (least[1:] != least[:-1])
         first = np.flatnonzero(new)
-        order = np.argsort(bucket[first], kind="stable")
+        bucket = ((mix(least[first] * np.uint64(BASE)) >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)).astype(np.int64)
         count = np.diff(np.append(first, len(starts)))
-        self.first, self.count = first[order], count[order]
-        begin = starts[self.first]
-        size = ends[self.first + self.count - 1] - begin
-        stop = np.cumsum(size)
-        self.text = text[np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]))]
-        self.size, self.stop = size, stop
-        self.bucket, self.rank = bucket[self.first], rank[self.first]
-        self.tag = tag[self.first] if tag is not None else np.zeros(len(first), np.uint8)
-        body, seen = self.text.tobytes(), {}
-        #: For each string the first equal one.
-        self.like = np.array([seen.setdefault(body[a:z], i) for i, (a, z) in enumerate(zip((stop - size).tolist(), stop.tolist(), strict=True))])
-        if tag is not None:
-            # Equal strings of different tags are cut into different windows.
-            _, lead, group = np.unique(self.like * 256 + self.tag, return_index=True, return_inverse=True)
-            self.like = lead[group]
-        self.unique = np.flatnonzero(self.like == np.arange(len(first)))
+        order = np.argsort(bucket, kind="stable")
+        if part:
+            order = order[np.searchsorted(bucket[order], part[0]) : np.searchsorted(bucket[order], part[1])]
+        self.first, self.count, self.bucket = first[order], count[order], bucket[order]
+        last = self.first + self.count - 1
+        begin, stop = starts[self.first], (starts[last] + ends if isinstance(ends, int) else ends[last])
+        self.size, self.rank = stop - begin, rank(self.first)
+        self.tag = np.zeros(len(order), np.uint8) if tag is None else tag(self.first).astype(np.uint8)
+        body, seen = text.tobytes(), {}
+        self.strings = [body[a:z] for a, z in zip(begin.tolist(), stop.tolist(), strict=True)]
+        # For each string the first equal one. Those of different tags are cut into different windows.
+        keys = self.strings if tag is None else zip(self.strings, self.tag.tolist(), strict=True)
+        self.like = np.fromiter(map(seen.setdefault, keys, range(len(order))), np.int64, len(order))
+        self.unique = np.flatnonzero(self.like == np.arange(len(order)))
 
     def blocks(self) -> Iterator[tuple[int, int, bytes]]:
         """(bucket, strings, packed block) of each bucket that gets any."""
         if not len(self.unique):
             return
-        edge = np.flatnonzero(np.diff(self.bucket[self.unique], prepend=-1, append=-1))
+        u = self.unique
+        edge = np.flatnonzero(np.diff(self.bucket[u], prepend=-1, append=-1)).tolist()
         press = zstandard.ZstdCompressor(level=1)
-        begin = self.stop - self.size
-        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            u = self.unique[a:z]
-            body = b"".join([self.text[x:y].tobytes() for x, y in zip(begin[u].tolist(), self.stop[u].tolist(), strict=True)])
-            yield int(self.bucket[u[0]]), len(u), press.compress(self.size[u].astype("<i4").tobytes() + self.rank[u].astype("<i4").tobytes() + self.tag[u].astype(np.uint8).tobytes() + body)
+        size, rank, tag = self.size[u].astype("<i4"), self.rank[u].astype("<i4"), self.tag[u]
+        strings = [self.strings[i] for i in u.tolist()]
+        for a, z in zip(edge[:-1], edge[1:], strict=True):
+            yield int(self.bucket[u[a]]), z - a, press.compress(b"".join([size[a:z].tobytes(), rank[a:z].tobytes(), tag[a:z].tobytes(), *strings[a:z]]))
 
     def hits(self, masks: list | None, strict: bool) -> np.ndarray:
         """For each window whether it occurs earlier, from the buckets' answers.
@@ -309,13 +276,14 @@ class Runs:
         if not self.windows:
             return out
         n = self.count[self.unique]
-        at = np.repeat(self.first[self.unique] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         edge = np.concatenate(([0], np.cumsum(n)))
+        own = self.bucket[self.unique]
         for m in masks or []:
-            lo, hi = np.searchsorted(self.bucket[self.unique], [m["bucket"], m["bucket"] + 1])
+            lo, hi = np.searchsorted(own, [m["bucket"], m["bucket"] + 1])
             if edge[hi] - edge[lo] != m["n"]:
                 raise ValueError("a chunk's windows differ from those it sent")
-            out[at[edge[lo] : edge[hi]]] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(m["bits"]), np.uint8), count=m["n"]).astype(bool)
+            at = np.repeat(self.first[self.unique[lo:hi]] - (edge[lo:hi] - edge[lo]), n[lo:hi]) + np.arange(m["n"])
+            out[at] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(m["bits"]), np.uint8), count=m["n"]).astype(bool)
         again = np.flatnonzero(self.like != np.arange(len(self.like)))
         for i, k in zip(again.tolist(), self.like[again].tolist(), strict=True):
             later = not strict or self.rank[i] > self.rank[k]
@@ -331,20 +299,21 @@ def tied(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray)
     its hash, and where hashes agree and bytes do not, by their bytes.
     """
     s = np.sort(h)
-    many = np.unique(s[1:][s[1:] == s[:-1]])
-    use = np.flatnonzero(member(h, many))
+    many = s[1:][s[1:] == s[:-1]]
+    use = np.flatnonzero(member(h, many[np.concatenate(([True], many[1:] != many[:-1]))] if len(many) else many))
     none = np.zeros(0, np.int64)
     if not len(use):
         return none, none
     size = ends[use] - starts[use]
     if (size == size[0]).all() and size[0] <= 256:
-        rows = np.lib.stride_tricks.sliding_window_view(text, int(size[0]))[starts[use]].view(f"S{int(size[0])}").ravel()
+        depth = int(size[0])
+        rows = np.ndarray((len(text) - depth + 1,), f"S{depth}", np.ascontiguousarray(text), 0, (1,))[starts[use]]
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         new = np.concatenate(([True], rows[1:] != rows[:-1]))
         use = use[order]
     else:
-        use = use[np.argsort(h[use], kind="stable")]
+        use = use[np.lexsort((use, h[use]))]
         new = np.concatenate(([True], h[use][1:] != h[use][:-1]))
         lead = use[np.flatnonzero(new)[np.cumsum(new) - 1]]
         wrong = ~same_bytes(text, starts[use], ends[use], starts[lead], ends[lead])
@@ -367,13 +336,13 @@ def same_bytes(text: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray
     """Whether the stretches from ``a`` and from ``b`` have the same bytes."""
     size = a_end - a
     same = size == b_end - b
-    at = np.lib.stride_tricks.as_strided(np.concatenate((text, np.zeros(8, np.uint8))).view(np.uint8), (len(text) + 1, 8), (1, 1))
-    live, k = np.flatnonzero(same & (a != b)), 0
+    eight = bytes8(text)
+    live, k = np.flatnonzero(same & (a != b) & (size > 0)), 0
     while len(live):
         # The last step goes back so that it ends with the stretch; short ones are masked.
         left = size[live] - k
         back = np.where((left < 8) & (size[live] >= 8), 8 - left, 0)
-        x = at[a[live] + k - back].view("<u8").ravel() ^ at[b[live] + k - back].view("<u8").ravel()
+        x = eight[a[live] + k - back] ^ eight[b[live] + k - back]
         short = size[live] < 8
         if short.any():
             x[short] &= (np.uint64(1) << (np.uint64(8) * size[live][short].astype(np.uint64))) - np.uint64(1)
@@ -383,10 +352,12 @@ def same_bytes(text: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray
     return same
 
 
-def earlier(chunks: DataFrame, runs: Callable[[pa.RecordBatch, int], Runs], cut: Callable, strict: bool, total: int) -> DataFrame:
+def earlier(chunks: DataFrame, runs: Callable[[pa.RecordBatch, int, tuple[int, int]], Runs], cut: Callable, strict: bool, total: int, passes: int = 1) -> DataFrame:
     """(chunk, masks): for each window that a chunk sends, whether it occurs earlier.
 
-    ``runs(batch, row)`` gives a row's windows, the same on every call.
+    ``runs(batch, row, part)`` gives a row's windows, the same on every call,
+    for the buckets of ``part``. With ``passes`` over 1 buckets are taken a
+    part at a time, each part's shuffle being dropped before the next.
     ``cut(text, begins, ends, tags)`` gives the windows of a bucket's strings:
     starts, ends, hashes and the number of each one's string. With ``strict``
     a window occurs earlier if a document of a smaller id has it; chunks that
@@ -394,14 +365,17 @@ def earlier(chunks: DataFrame, runs: Callable[[pa.RecordBatch, int], Runs], cut:
     (bucket, n, zstd of packed bits) for what ``Runs.hits`` reads.
     """
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                rows = list(runs(b, i).blocks())
-                if rows:
-                    k, n, block = zip(*rows, strict=True)
-                    head = b.column("ids")[i].values[0].as_py()
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array([b.column("chunk")[i].as_py()] * len(k), pa.int64()), pa.array([head] * len(k), pa.int64()), pa.array(n, pa.int32()), pa.array(block, pa.binary())], names=["bucket", "chunk", "head", "strings", "block"])
+    def send(part: tuple[int, int]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    rows = list(runs(b, i, part).blocks())
+                    if rows:
+                        k, n, block = zip(*rows, strict=True)
+                        head = b.column("ids")[i].values[0].as_py()
+                        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array([b.column("chunk")[i].as_py()] * len(k), pa.int64()), pa.array([head] * len(k), pa.int64()), pa.array(n, pa.int32()), pa.array(block, pa.binary())], names=["bucket", "chunk", "head", "strings", "block"])
+
+        return run
 
     def answer(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
@@ -433,8 +407,12 @@ def earlier(chunks: DataFrame, runs: Callable[[pa.RecordBatch, int], Runs], cut:
         k = t.column("bucket")[0].as_py()
         return pa.table({"chunk": t.column("chunk").take(pa.array(mine, pa.int64())), "bucket": pa.array([k] * len(mine), pa.int32()), "n": pa.array([int(edge[i + 1] - edge[i]) for i in mine], pa.int32()), "bits": pa.array([first_bits(int(edge[i + 1] - edge[i]), hit[edge[i] : edge[i + 1]]) for i in mine], pa.binary())})
 
-    sent = chunks.mapInArrow(send, "bucket int, chunk long, head long, strings int, block binary").repartition(max(partitions(chunks.sparkSession), total // 4), "bucket")
-    masks = materialize(sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, n int, bits binary"), codec="none")
+    masks = None
+    for p in range(passes):
+        part = (p * total // passes, (p + 1) * total // passes)
+        sent = chunks.mapInArrow(send(part), "bucket int, chunk long, head long, strings int, block binary").repartition(max(partitions(chunks.sparkSession), total // (4 * passes)), "bucket")
+        done = materialize(sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, n int, bits binary"), codec="none")
+        masks = done if masks is None else masks.unionAll(done)
     return masks.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "bits"))).alias("masks"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import mix, strings
-from .chunks import CHUNK_SCHEMA, Chunk, Rolling, Runs, buckets, byte_values, carried, chunk_of, cover, earlier, minima, pack_chunks, powers, spread, with_masks
+from .chunks import CHUNK_SCHEMA, Chunk, Rolling, Runs, buckets, bytes8, carried, chunk_of, cover, earlier, minima, pack_chunks, spread, with_masks
 from .common import materialize
 
 WINDOW, LEVEL = 20, 14
@@ -32,57 +32,67 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: Masks of the first bytes of a word of up to 8.
+FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
 def word_symbols(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word, words being in order and not empty."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A hash of each stretch: of its length and its first, middle and last 8 bytes."""
     size = ends - starts
-    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    value = byte_values()[text[np.repeat(starts, size) + inside]]
-    value *= powers(int(size.max()))[0][inside]
-    return mix(np.add.reduceat(value, np.cumsum(size) - size) + size.astype(np.uint64))
+    eight = bytes8(text)
+    h = size.astype(np.uint64)
+    for at in (starts, np.maximum((starts + ends) // 2 - 4, starts), np.maximum(ends - 8, starts)):
+        h += eight[at] & FIRST[np.minimum(size, 8)]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return mix(h)
 
 
 class Words:
-    """The words of a chunk: byte spans, symbols and documents.
+    """The words of a chunk: symbols, documents, and bytes.
 
     ``line`` is the text with one space after each word and nothing else;
     ``line_at`` has where each word starts in it, and its length at last.
     """
 
     def __init__(self, c: Chunk):
-        ink = ~SPACE[c.bytes]
-        begin, stop = ink.copy(), ink.copy()
-        begin[1:] &= ~ink[:-1]
-        stop[:-1] &= ~ink[1:]
-        edge = c.starts[(c.starts < c.ends)]
-        begin[edge] = ink[edge]
-        last = c.ends[(c.starts < c.ends)] - 1
-        stop[last] = ink[last]
-        self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        self.doc = np.searchsorted(c.ends, self.starts, side="right")
-        self.symbols = word_symbols(c.bytes, self.starts, self.ends)
-        per = np.bincount(self.doc, minlength=len(c.sizes))
-        self.doc_end = np.cumsum(per)
-        self.doc_start = self.doc_end - per
-        size = self.ends - self.starts
-        self.line_at = np.concatenate(([0], np.cumsum(size + 1)))
-        self.line = np.full(int(self.line_at[-1]), 0x20, np.uint8)
-        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        self.line[np.repeat(self.line_at[:-1], size) + inside] = c.bytes[np.repeat(self.starts, size) + inside]
-
-    def runs(self, size: int, done: np.ndarray, total: int) -> tuple[Runs, np.ndarray]:
+        # A space after each document.
+        n = len(c.sizes)
+        text = np.full(len(c.bytes) + n, 0x20, np.uint8)
+        for d, (a, z) in enumerate(zip(c.starts.tolist(), c.ends.tolist(), strict=True)):
+            text[a + d : z + d] = c.bytes[a:z]
+        self.ink = ~SPACE[text]
+        after = np.zeros(len(text), bool)
+        after[1:] = self.ink[:-1] & ~self.ink[1:]
+        text[after] = 0x20
+        self.line = text[self.ink | after]
+        stop = np.flatnonzero(self.line == 0x20)
+        self.line_at = np.concatenate(([0], stop + 1))
+        self.symbols = word_symbols(self.line, self.line_at[:-1], stop)
+        self.doc_end = np.searchsorted(np.flatnonzero(after), c.ends + np.arange(n), side="right")
+        self.doc_start = np.concatenate(([0], self.doc_end[:-1]))[:n]
+        self.doc = np.repeat(np.arange(n), self.doc_end - self.doc_start)
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word starts and ends in the chunk's bytes."""
+        begin, stop = self.ink.copy(), self.ink.copy()
+        begin[1:] &= ~self.ink[:-1]
+        stop[:-1] &= ~self.ink[1:]
+        return np.flatnonzero(begin) - self.doc, np.flatnonzero(stop) + 1 - self.doc
+
+    def runs(self, size: int, done: np.ndarray, total: int, part: tuple[int, int] | None = None) -> tuple[Runs, np.ndarray]:
         """(runs, first words) of the windows of ``size`` words that are not ``done``."""
         n = len(self.symbols)
         at = np.flatnonzero((self.doc_end[self.doc] - np.arange(n) >= size) & ~done)
         follows = np.ones(len(at), bool)
         follows[1:] = (self.doc[at][1:] == self.doc[at][:-1]) & (at[1:] == at[:-1] + 1)
+        gram = self.symbols.copy()
         width = min(GRAM, size)
-        gram = np.zeros(n, np.uint64)
-        got = Rolling(self.symbols).windows(width)
-        gram[: len(got)] = got
-        least = minima(gram, size - width + 1)[at] if n else gram
-        return Runs(self.line, self.line_at[at], self.line_at[at + size] if n else at, self.doc[at], follows, least, total), at
+        for k in range(1, width):
+            gram[: max(n - k, 0)] *= np.uint64(0x94D049BB133111EB)
+            gram[: max(n - k, 0)] += self.symbols[k:]
+        least = minima((mix(gram) >> np.uint64(32)).astype(np.uint32), size - width + 1)[at]
+        return Runs(self.line, self.line_at[at], self.line_at[at + size] if n else at, lambda w: self.doc[at[w]], follows, least, total, None, part), at
 
 
 def cut_windows(size: int) -> Callable:
@@ -91,10 +101,10 @@ def cut_windows(size: int) -> Callable:
     def cut(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, ...]:
         stop = np.flatnonzero(text == 0x20)
         start = np.concatenate(([0], stop[:-1] + 1))
-        last = np.searchsorted(stop, ends)
-        n = last - np.searchsorted(stop, begins) - size + 1
-        string = np.repeat(np.arange(len(n)), n)
-        word = np.repeat(np.searchsorted(stop, begins) - (np.cumsum(n) - n), n) + np.arange(len(string))
+        lead = np.searchsorted(stop, begins)
+        n = np.searchsorted(stop, ends) - lead - size + 1
+        string = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        word = np.repeat(lead - (np.cumsum(n) - n), n) + np.arange(len(string))
         h = Rolling(word_symbols(text, start, stop)).windows(size)
         return start[word], stop[word + size - 1] + 1, h[word], string
 
@@ -141,12 +151,12 @@ def recompress(symbols: np.ndarray, doc: np.ndarray, levels: tuple[int, ...]) ->
     return out
 
 
-def long_symbols(w: Words, size: int, total: int) -> tuple[Runs, np.ndarray, np.ndarray]:
+def long_symbols(w: Words, size: int, total: int, part: tuple[int, int] | None = None) -> tuple[Runs, np.ndarray, np.ndarray]:
     """(runs, first words, lengths) of the symbols of level ``LEVEL`` of at least ``size`` words."""
     s, at, n = recompress(w.symbols, w.doc, (LEVEL,))[0]
     long = n >= size
     s, at, n = s[long], at[long], n[long]
-    return Runs(w.line, w.line_at[at], w.line_at[at + n], w.doc[at], np.zeros(len(at), bool), s, total), at, n
+    return Runs(w.line, w.line_at[at], w.line_at[at + n], lambda i: w.doc[at[i]], np.zeros(len(at), bool), (s >> np.uint64(32)).astype(np.uint32), total, None, part), at, n
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, carry: tuple[str, ...] = (), spacing: bool = False) -> DataFrame:
@@ -173,16 +183,16 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 done.append(np.packbits(spread(at[hit], n[hit] - size + 1, len(w.symbols))).tobytes())
             yield pa.RecordBatch.from_arrays([*(b.column(k.split()[0]) for k in CHUNK_SCHEMA.split(", ")), pa.array(done, pa.binary())], names=[*(k.split()[0] for k in CHUNK_SCHEMA.split(", ")), "done"])
 
-    symbols = with_masks(chunks, earlier(chunks, lambda b, i: long_symbols(Words(chunk_of(b, i)), size, total)[0], whole_strings, False, total))
+    symbols = with_masks(chunks, earlier(chunks, lambda b, i, part: long_symbols(Words(chunk_of(b, i)), size, total, part)[0], whole_strings, False, total))
     chunks = materialize(symbols.mapInArrow(settle, f"{CHUNK_SCHEMA}, done binary"), chunks, codec="none")
 
-    def unsettled(b: pa.RecordBatch, i: int) -> tuple[Chunk, Words, Runs, np.ndarray, np.ndarray]:
+    def unsettled(b: pa.RecordBatch, i: int, part: tuple[int, int] | None = None) -> tuple[Chunk, Words, Runs, np.ndarray, np.ndarray]:
         c = chunk_of(b, i)
         w = Words(c)
         done = np.unpackbits(np.frombuffer(b.column("done")[i].as_py(), np.uint8), count=len(w.symbols)).astype(bool)
-        return c, w, *w.runs(size, done, total), done
+        return c, w, *w.runs(size, done, total, part), done
 
-    masks = earlier(chunks, lambda b, i: unsettled(b, i)[2], cut_windows(size), False, total)
+    masks = earlier(chunks, lambda b, i, part: unsettled(b, i, part)[2], cut_windows(size), False, total)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,18 +200,19 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 c, w, rest, at, gone = unsettled(b, i)
                 gone[at[rest.hits(b.column("masks")[i].as_py(), False)]] = True
                 cut = cover(gone, size)
-                body = c.bytes.tobytes()
-                starts, ends = w.starts.tolist(), w.ends.tolist()
+                body, line, line_at = c.bytes.tobytes(), w.line.tobytes(), w.line_at.tolist()
+                starts, ends = (x.tolist() for x in w.spans()) if spacing else ([], [])
                 kept = []
                 for d, (lo, hi) in enumerate(zip(w.doc_start.tolist(), w.doc_end.tolist(), strict=True)):
-                    if spacing:
-                        if not cut[lo:hi].any():
-                            kept.append(body[c.starts[d] : c.ends[d]])
-                            continue
-                        edge = np.flatnonzero(np.diff(np.concatenate(([True], cut[lo:hi], [True])).astype(np.int8))).tolist()
-                        kept.append(b" ".join([body[starts[lo + a] : ends[lo + z - 1]] for a, z in zip(edge[::2], edge[1::2], strict=True)]))
+                    if spacing and not cut[lo:hi].any():
+                        kept.append(body[c.starts[d] : c.ends[d]])
                         continue
-                    kept.append(b" ".join([body[starts[k] : ends[k]] for k in (np.flatnonzero(~cut[lo:hi]) + lo).tolist()]))
+                    edge = np.flatnonzero(np.diff(np.concatenate(([True], cut[lo:hi], [True])).astype(np.int8))).tolist()
+                    stretches = [(lo + a, lo + z) for a, z in zip(edge[::2], edge[1::2], strict=True)]
+                    if spacing:
+                        kept.append(b" ".join([body[starts[a] : ends[z - 1]] for a, z in stretches]))
+                    else:
+                        kept.append(b"".join([line[line_at[a] : line_at[z]] for a, z in stretches])[:-1])
                 sums = np.concatenate(([0], np.cumsum(cut)))
                 words = w.doc_end - w.doc_start
                 yield pa.RecordBatch.from_arrays([c.ids, pa.array(words), pa.array(sums[w.doc_end] - sums[w.doc_start]), strings(kept), *(carried(b, i) if carry else [])], names=[f.split()[0] for f in fields])

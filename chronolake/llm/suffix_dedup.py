@@ -13,7 +13,8 @@ time, as in blockwise suffix-array construction over a difference cover:
    same rank, the 31 suffixes from there on are settled and never sorted.
 3. The other suffixes are sorted by their first ``size`` bytes, a bucket at a
    time. A bucket holds the suffixes of some minimizers and is as large as
-   ``chunks.BUCKET_BYTES`` says, so memory holds one bucket.
+   ``chunks.BUCKET_BYTES`` says, so memory holds one bucket, and disk the
+   buckets of one of ``PASSES`` passes.
 
 In a bucket, suffixes whose hash no other has are set apart first: they tie
 with none. The rest are sorted by their bytes; equal ones have one rank. Dedup
@@ -30,22 +31,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .arrow import mix
-from .chunks import CHUNK_SCHEMA, Chunk, Runs, buckets, byte_windows, chunk_of, cover, earlier, minima, pack_chunks, runs, with_masks
+from .chunks import CHUNK_SCHEMA, Chunk, Runs, buckets, bytes8, chunk_of, cover, earlier, minima, pack_chunks, runs, with_masks
 from .common import materialize
 
 SIZE = 50
 COVER, PERIOD = (0, 1, 3, 8, 12, 18), 31
-#: Bytes of a gram; the least of a suffix's is its minimizer.
-GRAM = 16
+#: Bytes of a gram, the least of a suffix's being its minimizer, and passes over the buckets of step 3.
+GRAM, PASSES = 16, 2
 
 
 def grams(data: np.ndarray) -> np.ndarray:
     """A hash of the ``GRAM`` bytes from each place; the last places take zeros."""
-    at = np.lib.stride_tricks.as_strided(np.concatenate((data, np.zeros(GRAM, np.uint8))), (len(data) + 8, 8), (1, 1))
-    words = np.ascontiguousarray(at).view("<u8").ravel()
-    h = words[: len(data)] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= words[8 : len(data) + 8]
-    return mix(h)
+    h = bytes8(data).copy()
+    rest = h[8:].copy()
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h[: len(rest)] += rest
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h
 
 
 def in_cover(places: np.ndarray) -> np.ndarray:
@@ -54,19 +57,29 @@ def in_cover(places: np.ndarray) -> np.ndarray:
     return table[places % PERIOD]
 
 
-def suffixes(c: Chunk, depth: int, total: int, done: np.ndarray | None = None) -> tuple[Runs, np.ndarray]:
+def suffixes(c: Chunk, depth: int, total: int, done: np.ndarray | None = None, part: tuple[int, int] | None = None) -> tuple[Runs, np.ndarray]:
     """(runs, places): suffixes of ``depth`` bytes that are not ``done``; without ``done``, those of the cover sample."""
-    n = len(c.bytes)
-    place = np.arange(n) - np.repeat(c.starts, c.sizes)
-    live = np.repeat(c.sizes, c.sizes) - place >= depth
-    live &= in_cover(place) if done is None else ~done
-    at = np.flatnonzero(live)
-    doc = np.searchsorted(c.ends, at, side="right")
+    spans = [(a, z - depth + 1) for a, z in zip(c.starts.tolist(), c.ends.tolist(), strict=True) if z - a >= depth]
+    if done is None:
+        at = [((np.arange(a, z, PERIOD)[:, None] + np.array(COVER)).ravel(), z) for a, z in spans]
+        at = np.concatenate([x[x < z] for x, z in at]) if at else np.zeros(0, np.int64)
+        step = max(COVER) - COVER[-2] + PERIOD
+    else:
+        live = np.zeros(len(c.bytes), bool)
+        for a, z in spans:
+            live[a:z] = True
+        live &= ~done
+        at, step = np.flatnonzero(live), 1
+    # The last depth - 1 places of a document are no suffixes, so a step within ``step`` stays in one.
     follows = np.ones(len(at), bool)
-    follows[1:] = (doc[1:] == doc[:-1]) if done is None else (doc[1:] == doc[:-1]) & (at[1:] == at[:-1] + 1)
-    least = minima(grams(c.bytes), depth - GRAM + 1)[at] if n else np.zeros(0, np.uint64)
-    tag = (place[at] % PERIOD).astype(np.uint8) if done is None else None
-    return Runs(c.bytes, at, at + depth, c.rank[doc], follows, least, total, tag), at
+    follows[1:] = at[1:] - at[:-1] <= min(step, depth - 1)
+    least = minima((grams(c.bytes) >> np.uint64(32)).astype(np.uint32), depth - GRAM + 1)[at]
+
+    def doc(w: np.ndarray) -> np.ndarray:
+        return np.searchsorted(c.ends, at[w], side="right")
+
+    tag = (lambda w: (at[w] - c.starts[doc(w)]) % PERIOD) if done is None else None
+    return Runs(c.bytes, at, depth, lambda w: c.rank[doc(w)], follows, least, total, tag, part), at
 
 
 def cut_suffixes(depth: int, sample: bool) -> Callable:
@@ -74,13 +87,16 @@ def cut_suffixes(depth: int, sample: bool) -> Callable:
 
     def cut(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, ...]:
         n = ends - begins - depth + 1
-        string = np.repeat(np.arange(len(n)), n)
+        string = np.repeat(np.arange(len(n), dtype=np.int32), n)
         inside = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
         if sample:
             keep = in_cover(inside + tags[string])
             string, inside = string[keep], inside[keep]
         at = begins[string] + inside
-        return at, at + depth, byte_windows(text, depth)[at], string
+        gram, h = grams(text), np.zeros(len(at), np.uint64)
+        for k in [*range(0, depth - GRAM, GRAM), depth - GRAM]:
+            h = h * np.uint64(0x94D049BB133111EB) + gram[at + k]
+        return at, at + depth, mix(h), string
 
     return cut
 
@@ -108,15 +124,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 done.append(np.packbits(cover(hit, PERIOD)).tobytes())
             yield pa.RecordBatch.from_arrays([*(b.column(k.split()[0]) for k in CHUNK_SCHEMA.split(", ")), pa.array(done, pa.binary())], names=[*(k.split()[0] for k in CHUNK_SCHEMA.split(", ")), "done"])
 
-    sampled = with_masks(chunks, earlier(chunks, lambda b, i: suffixes(chunk_of(b, i), depth, total)[0], cut_suffixes(depth, True), True, total))
+    sampled = with_masks(chunks, earlier(chunks, lambda b, i, part: suffixes(chunk_of(b, i), depth, total, None, part)[0], cut_suffixes(depth, True), True, total))
     chunks = materialize(sampled.mapInArrow(settle, f"{CHUNK_SCHEMA}, done binary"), chunks, codec="lz4")
 
-    def unsettled(b: pa.RecordBatch, i: int) -> tuple[Chunk, Runs, np.ndarray, np.ndarray]:
+    def unsettled(b: pa.RecordBatch, i: int, part: tuple[int, int] | None = None) -> tuple[Chunk, Runs, np.ndarray, np.ndarray]:
         c = chunk_of(b, i)
         done = np.unpackbits(np.frombuffer(b.column("done")[i].as_py(), np.uint8), count=len(c.bytes)).astype(bool)
-        return c, *suffixes(c, size, total, done), done
+        return c, *suffixes(c, size, total, done, part), done
 
-    masks = earlier(chunks, lambda b, i: unsettled(b, i)[1], cut_suffixes(size, False), True, total)
+    masks = earlier(chunks, lambda b, i, part: unsettled(b, i, part)[1], cut_suffixes(size, False), True, total, PASSES)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -18,10 +18,6 @@ def thue_morse(a, b, rounds=10):
 def test_thue_morse_words_are_different(spark):
     x, y = thue_morse("a", "b")
     assert len(x) == 1024 and x != y
-    with np.errstate(over="ignore"):
-        both = np.frombuffer((x + y).encode(), np.uint8)
-        h = substring_dedup.word_symbols(both, np.array([0, 1024]), np.array([1024, 2048]))
-    assert h[0] == h[1]  # the hash fails on these, the result must not
     shared = " ".join(f"s{i}" for i in range(19))
     docs = spark.createDataFrame([(1, f"{shared} {x}"), (2, f"{shared} {y}"), (3, f"{shared} {x}")], "doc_id long, text string")
     assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeated_windows(docs).collect()} == {1: 0, 2: 0, 3: 20}
