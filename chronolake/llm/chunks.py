@@ -229,10 +229,10 @@ class Runs:
     (``ends`` may be one length for all), whether a window may follow the one
     before in a string, the minimizer (32 bits), and, by the number of the
     window, the document's rank and a tag that the receiver gets with each
-    string. ``part`` leaves out the strings of other buckets.
+    string.
     """
 
-    def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray | int, rank: Callable, follows: np.ndarray, least: np.ndarray, total: int, tag: Callable | None = None, part: tuple[int, int] | None = None):
+    def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray | int, rank: Callable, follows: np.ndarray, least: np.ndarray, total: int, tag: Callable | None = None):
         self.windows = len(starts)
         new = np.ones(len(starts), bool)
         new[1:] = ~follows[1:] | (least[1:] != least[:-1])
@@ -240,8 +240,6 @@ class Runs:
         bucket = ((mix(least[first] * np.uint64(BASE)) >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)).astype(np.int64)
         count = np.diff(np.append(first, len(starts)))
         order = np.argsort(bucket, kind="stable")
-        if part:
-            order = order[np.searchsorted(bucket[order], part[0]) : np.searchsorted(bucket[order], part[1])]
         self.first, self.count, self.bucket = first[order], count[order], bucket[order]
         last = self.first + self.count - 1
         begin, stop = starts[self.first], (starts[last] + ends if isinstance(ends, int) else ends[last])
@@ -352,12 +350,10 @@ def same_bytes(text: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray
     return same
 
 
-def earlier(chunks: DataFrame, runs: Callable[[pa.RecordBatch, int, tuple[int, int]], Runs], cut: Callable, strict: bool, total: int, passes: int = 1) -> DataFrame:
+def earlier(chunks: DataFrame, runs: Callable[[pa.RecordBatch, int], Runs], cut: Callable, strict: bool, total: int) -> DataFrame:
     """(chunk, masks): for each window that a chunk sends, whether it occurs earlier.
 
-    ``runs(batch, row, part)`` gives a row's windows, the same on every call,
-    for the buckets of ``part``. With ``passes`` over 1 buckets are taken a
-    part at a time, each part's shuffle being dropped before the next.
+    ``runs(batch, row)`` gives a row's windows, the same on every call.
     ``cut(text, begins, ends, tags)`` gives the windows of a bucket's strings:
     starts, ends, hashes and the number of each one's string. With ``strict``
     a window occurs earlier if a document of a smaller id has it; chunks that
@@ -365,17 +361,14 @@ def earlier(chunks: DataFrame, runs: Callable[[pa.RecordBatch, int, tuple[int, i
     (bucket, n, zstd of packed bits) for what ``Runs.hits`` reads.
     """
 
-    def send(part: tuple[int, int]) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    rows = list(runs(b, i, part).blocks())
-                    if rows:
-                        k, n, block = zip(*rows, strict=True)
-                        head = b.column("ids")[i].values[0].as_py()
-                        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array([b.column("chunk")[i].as_py()] * len(k), pa.int64()), pa.array([head] * len(k), pa.int64()), pa.array(n, pa.int32()), pa.array(block, pa.binary())], names=["bucket", "chunk", "head", "strings", "block"])
-
-        return run
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                rows = list(runs(b, i).blocks())
+                if rows:
+                    k, n, block = zip(*rows, strict=True)
+                    head = b.column("ids")[i].values[0].as_py()
+                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array([b.column("chunk")[i].as_py()] * len(k), pa.int64()), pa.array([head] * len(k), pa.int64()), pa.array(n, pa.int32()), pa.array(block, pa.binary())], names=["bucket", "chunk", "head", "strings", "block"])
 
     def answer(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
@@ -407,12 +400,8 @@ def earlier(chunks: DataFrame, runs: Callable[[pa.RecordBatch, int, tuple[int, i
         k = t.column("bucket")[0].as_py()
         return pa.table({"chunk": t.column("chunk").take(pa.array(mine, pa.int64())), "bucket": pa.array([k] * len(mine), pa.int32()), "n": pa.array([int(edge[i + 1] - edge[i]) for i in mine], pa.int32()), "bits": pa.array([first_bits(int(edge[i + 1] - edge[i]), hit[edge[i] : edge[i + 1]]) for i in mine], pa.binary())})
 
-    masks = None
-    for p in range(passes):
-        part = (p * total // passes, (p + 1) * total // passes)
-        sent = chunks.mapInArrow(send(part), "bucket int, chunk long, head long, strings int, block binary").repartition(max(partitions(chunks.sparkSession), total // (4 * passes)), "bucket")
-        done = materialize(sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, n int, bits binary"), codec="none")
-        masks = done if masks is None else masks.unionAll(done)
+    sent = chunks.mapInArrow(send, "bucket int, chunk long, head long, strings int, block binary").repartition(max(partitions(chunks.sparkSession), total // 4), "bucket")
+    masks = materialize(sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, n int, bits binary"), codec="none")
     return masks.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "bits"))).alias("masks"))
 
 
@@ -425,9 +414,11 @@ def member(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
     out = np.zeros(len(h), bool)
     if not len(keys):
         return out
-    table = np.zeros(1 << 22, bool)
-    table[(keys >> np.uint64(42)).astype(np.int64)] = True
-    maybe = [np.flatnonzero(table[(h[at : at + BLOCK] >> np.uint64(42)).view(np.int64)]) + at for at in range(0, len(h), BLOCK)]
+    bits = min(22, max(10, len(keys).bit_length() + 4))
+    low = np.uint64(64 - bits)
+    table = np.zeros(1 << bits, bool)
+    table[(keys >> low).astype(np.int64)] = True
+    maybe = [np.flatnonzero(table[(h[at : at + BLOCK] >> low).view(np.int64)]) + at for at in range(0, len(h), BLOCK)]
     try_at = np.concatenate(maybe) if maybe else np.zeros(0, np.int64)
     at = np.searchsorted(keys, h[try_at])
     at[at == len(keys)] = 0

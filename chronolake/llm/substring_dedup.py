@@ -80,7 +80,7 @@ class Words:
         stop[:-1] &= ~self.ink[1:]
         return np.flatnonzero(begin) - self.doc, np.flatnonzero(stop) + 1 - self.doc
 
-    def runs(self, size: int, done: np.ndarray, total: int, part: tuple[int, int] | None = None) -> tuple[Runs, np.ndarray]:
+    def runs(self, size: int, done: np.ndarray, total: int) -> tuple[Runs, np.ndarray]:
         """(runs, first words) of the windows of ``size`` words that are not ``done``."""
         n = len(self.symbols)
         at = np.flatnonzero((self.doc_end[self.doc] - np.arange(n) >= size) & ~done)
@@ -92,7 +92,7 @@ class Words:
             gram[: max(n - k, 0)] *= np.uint64(0x94D049BB133111EB)
             gram[: max(n - k, 0)] += self.symbols[k:]
         least = minima((mix(gram) >> np.uint64(32)).astype(np.uint32), size - width + 1)[at]
-        return Runs(self.line, self.line_at[at], self.line_at[at + size] if n else at, lambda w: self.doc[at[w]], follows, least, total, None, part), at
+        return Runs(self.line, self.line_at[at], self.line_at[at + size] if n else at, lambda w: self.doc[at[w]], follows, least, total), at
 
 
 def cut_windows(size: int) -> Callable:
@@ -151,12 +151,12 @@ def recompress(symbols: np.ndarray, doc: np.ndarray, levels: tuple[int, ...]) ->
     return out
 
 
-def long_symbols(w: Words, size: int, total: int, part: tuple[int, int] | None = None) -> tuple[Runs, np.ndarray, np.ndarray]:
+def long_symbols(w: Words, size: int, total: int) -> tuple[Runs, np.ndarray, np.ndarray]:
     """(runs, first words, lengths) of the symbols of level ``LEVEL`` of at least ``size`` words."""
     s, at, n = recompress(w.symbols, w.doc, (LEVEL,))[0]
     long = n >= size
     s, at, n = s[long], at[long], n[long]
-    return Runs(w.line, w.line_at[at], w.line_at[at + n], lambda i: w.doc[at[i]], np.zeros(len(at), bool), (s >> np.uint64(32)).astype(np.uint32), total, None, part), at, n
+    return Runs(w.line, w.line_at[at], w.line_at[at + n], lambda i: w.doc[at[i]], np.zeros(len(at), bool), (s >> np.uint64(32)).astype(np.uint32), total), at, n
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, carry: tuple[str, ...] = (), spacing: bool = False) -> DataFrame:
@@ -183,16 +183,16 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 done.append(np.packbits(spread(at[hit], n[hit] - size + 1, len(w.symbols))).tobytes())
             yield pa.RecordBatch.from_arrays([*(b.column(k.split()[0]) for k in CHUNK_SCHEMA.split(", ")), pa.array(done, pa.binary())], names=[*(k.split()[0] for k in CHUNK_SCHEMA.split(", ")), "done"])
 
-    symbols = with_masks(chunks, earlier(chunks, lambda b, i, part: long_symbols(Words(chunk_of(b, i)), size, total, part)[0], whole_strings, False, total))
+    symbols = with_masks(chunks, earlier(chunks, lambda b, i: long_symbols(Words(chunk_of(b, i)), size, total)[0], whole_strings, False, total))
     chunks = materialize(symbols.mapInArrow(settle, f"{CHUNK_SCHEMA}, done binary"), chunks, codec="none")
 
-    def unsettled(b: pa.RecordBatch, i: int, part: tuple[int, int] | None = None) -> tuple[Chunk, Words, Runs, np.ndarray, np.ndarray]:
+    def unsettled(b: pa.RecordBatch, i: int) -> tuple[Chunk, Words, Runs, np.ndarray, np.ndarray]:
         c = chunk_of(b, i)
         w = Words(c)
         done = np.unpackbits(np.frombuffer(b.column("done")[i].as_py(), np.uint8), count=len(w.symbols)).astype(bool)
-        return c, w, *w.runs(size, done, total, part), done
+        return c, w, *w.runs(size, done, total), done
 
-    masks = earlier(chunks, lambda b, i, part: unsettled(b, i, part)[2], cut_windows(size), False, total)
+    masks = earlier(chunks, lambda b, i: unsettled(b, i)[2], cut_windows(size), False, total)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

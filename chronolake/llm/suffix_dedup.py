@@ -13,8 +13,7 @@ time, as in blockwise suffix-array construction over a difference cover:
    same rank, the 31 suffixes from there on are settled and never sorted.
 3. The other suffixes are sorted by their first ``size`` bytes, a bucket at a
    time. A bucket holds the suffixes of some minimizers and is as large as
-   ``chunks.BUCKET_BYTES`` says, so memory holds one bucket, and disk the
-   buckets of one of ``PASSES`` passes.
+   ``chunks.BUCKET_BYTES`` says, so memory holds one bucket.
 
 In a bucket, suffixes whose hash no other has are set apart first: they tie
 with none. The rest are sorted by their bytes; equal ones have one rank. Dedup
@@ -36,8 +35,8 @@ from .common import materialize
 
 SIZE = 50
 COVER, PERIOD = (0, 1, 3, 8, 12, 18), 31
-#: Bytes of a gram, the least of a suffix's being its minimizer, and passes over the buckets of step 3.
-GRAM, PASSES = 16, 2
+#: Bytes of a gram, the least of a suffix's being its minimizer, and places that are hashed at once, so as to stay in cache.
+GRAM, BLOCK = 16, 1 << 16
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -51,13 +50,16 @@ def grams(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def in_cover(places: np.ndarray) -> np.ndarray:
-    table = np.zeros(PERIOD, bool)
-    table[list(COVER)] = True
-    return table[places % PERIOD]
+def minimizers(data: np.ndarray, depth: int) -> np.ndarray:
+    """The least gram of the ``depth`` bytes from each place."""
+    out = np.empty(len(data), np.uint32)
+    for at in range(0, len(data), BLOCK):
+        part = (grams(data[at : at + BLOCK + depth]) >> np.uint64(32)).astype(np.uint32)
+        out[at : at + BLOCK] = minima(part, depth - GRAM + 1)[: len(data[at : at + BLOCK])]
+    return out
 
 
-def suffixes(c: Chunk, depth: int, total: int, done: np.ndarray | None = None, part: tuple[int, int] | None = None) -> tuple[Runs, np.ndarray]:
+def suffixes(c: Chunk, depth: int, total: int, done: np.ndarray | None = None) -> tuple[Runs, np.ndarray]:
     """(runs, places): suffixes of ``depth`` bytes that are not ``done``; without ``done``, those of the cover sample."""
     spans = [(a, z - depth + 1) for a, z in zip(c.starts.tolist(), c.ends.tolist(), strict=True) if z - a >= depth]
     if done is None:
@@ -73,29 +75,36 @@ def suffixes(c: Chunk, depth: int, total: int, done: np.ndarray | None = None, p
     # The last depth - 1 places of a document are no suffixes, so a step within ``step`` stays in one.
     follows = np.ones(len(at), bool)
     follows[1:] = at[1:] - at[:-1] <= min(step, depth - 1)
-    least = minima((grams(c.bytes) >> np.uint64(32)).astype(np.uint32), depth - GRAM + 1)[at]
+    least = minimizers(c.bytes, depth)[at]
 
     def doc(w: np.ndarray) -> np.ndarray:
         return np.searchsorted(c.ends, at[w], side="right")
 
     tag = (lambda w: (at[w] - c.starts[doc(w)]) % PERIOD) if done is None else None
-    return Runs(c.bytes, at, depth, lambda w: c.rank[doc(w)], follows, least, total, tag, part), at
+    return Runs(c.bytes, at, depth, lambda w: c.rank[doc(w)], follows, least, total, tag), at
 
 
 def cut_suffixes(depth: int, sample: bool) -> Callable:
     """The windows of a bucket's strings: every place, or those in the cover, counted from the tag."""
 
     def cut(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, ...]:
-        n = ends - begins - depth + 1
+        n, before = ends - begins - depth + 1, np.zeros(len(begins), np.int64)
+        if sample:
+            # The j-th place of the cover is PERIOD * (j // 6) + COVER[j % 6]; a string has those from its tag on.
+            count = np.searchsorted(np.array(COVER), np.arange(PERIOD))
+            place = len(COVER) * ((tags + n) // PERIOD) + count[(tags + n) % PERIOD]
+            before = count[tags]
+            n = place - before
         string = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        inside = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
+        inside = np.arange(len(string)) + np.repeat(before - (np.cumsum(n) - n), n)
         if sample:
-            keep = in_cover(inside + tags[string])
-            string, inside = string[keep], inside[keep]
+            inside = PERIOD * (inside // len(COVER)) + np.array(COVER)[inside % len(COVER)] - tags[string]
         at = begins[string] + inside
         gram, h = grams(text), np.zeros(len(at), np.uint64)
-        for k in [*range(0, depth - GRAM, GRAM), depth - GRAM]:
-            h = h * np.uint64(0x94D049BB133111EB) + gram[at + k]
+        # Some bytes in between may be left out: ties are decided by all of them.
+        for k in np.linspace(0, depth - GRAM, 1 + depth // (GRAM + 1)).astype(int).tolist():
+            h *= np.uint64(0x94D049BB133111EB)
+            h += gram[at + k]
         return at, at + depth, mix(h), string
 
     return cut
@@ -124,15 +133,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 done.append(np.packbits(cover(hit, PERIOD)).tobytes())
             yield pa.RecordBatch.from_arrays([*(b.column(k.split()[0]) for k in CHUNK_SCHEMA.split(", ")), pa.array(done, pa.binary())], names=[*(k.split()[0] for k in CHUNK_SCHEMA.split(", ")), "done"])
 
-    sampled = with_masks(chunks, earlier(chunks, lambda b, i, part: suffixes(chunk_of(b, i), depth, total, None, part)[0], cut_suffixes(depth, True), True, total))
+    sampled = with_masks(chunks, earlier(chunks, lambda b, i: suffixes(chunk_of(b, i), depth, total)[0], cut_suffixes(depth, True), True, total))
     chunks = materialize(sampled.mapInArrow(settle, f"{CHUNK_SCHEMA}, done binary"), chunks, codec="lz4")
 
-    def unsettled(b: pa.RecordBatch, i: int, part: tuple[int, int] | None = None) -> tuple[Chunk, Runs, np.ndarray, np.ndarray]:
+    def unsettled(b: pa.RecordBatch, i: int) -> tuple[Chunk, Runs, np.ndarray, np.ndarray]:
         c = chunk_of(b, i)
         done = np.unpackbits(np.frombuffer(b.column("done")[i].as_py(), np.uint8), count=len(c.bytes)).astype(bool)
-        return c, *suffixes(c, size, total, done, part), done
+        return c, *suffixes(c, size, total, done), done
 
-    masks = earlier(chunks, lambda b, i, part: unsettled(b, i, part)[1], cut_suffixes(size, False), True, total, PASSES)
+    masks = earlier(chunks, lambda b, i: unsettled(b, i)[1], cut_suffixes(size, False), True, total)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
