@@ -116,8 +116,9 @@ def gradients(docs: DataFrame, labels: list[str], n: list[int], code: np.ndarray
                 g = grams(data[at[i] : at[i + 1]])
                 if not len(g):
                     continue
-                use, count = np.unique(g, return_counts=True)
-                x, k = count / len(g), row[label]
+                count = np.bincount(g, minlength=BUCKETS)
+                use = np.flatnonzero(count)
+                x, k = count[use] / len(g), row[label]
                 sign = 2 * code[k] - 1
                 m = sign * (x @ odds[use]) * SCALE
                 slope[use] += x[:, None] * (share[k] * SCALE * sign / (1 + np.exp(np.minimum(m, 700))))
@@ -240,13 +241,19 @@ def misfit(g: np.ndarray, model: dict) -> float:
 
 
 def misfits(docs: DataFrame, model: dict, text_col: str = "text", name: str = "_misfit", length: str = "_length") -> DataFrame:
-    """All columns of ``docs`` with the misfit of each text and its length class: the bits of its number of 3-grams."""
+    """All columns of ``docs`` with the misfit of each text and its length class: the bits of its number of 3-grams.
+
+    The misfit of a text without a letter, or a null one, is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = utf8(b.column(b.schema.get_field_index(text_col)))
+            column = b.column(b.schema.get_field_index(text_col))
+            data, at = utf8(column)
             found = [grams(data[at[i] : at[i + 1]]) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([misfit(g, model) for g in found], pa.float64()), pa.array([len(g).bit_length() for g in found], pa.int32())], names=[*b.schema.names, name, length])
+            seen = pa.compute.match_substring_regex(column, r"\p{L}").fill_null(False).to_pylist()
+            fits = [misfit(g, model) if k else None for g, k in zip(found, seen, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fits, pa.float64()), pa.array([len(g).bit_length() for g in found], pa.int32())], names=[*b.schema.names, name, length])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, `{name}` double, `{length}` int")
@@ -277,12 +284,11 @@ def keep_known(docs: DataFrame) -> DataFrame:
     model = fit(docs)
     if not model["labels"]:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    level = levels(docs, model) if len(model["labels"]) > 1 else {}
-    out = predict(docs, model, label="_lang_pred", score="_lang_score", unsure="_lang_unsure").filter(F.col("_lang_pred") != "und")
-    if level:
-        most = F.coalesce(F.create_map(*[F.lit(x) for k, v in sorted(level.items()) for x in (k, v)])[F.col("_length")], F.lit(float("inf")))
-        out = misfits(out, model).filter(F.col("_misfit") <= most)
-    return out.select(*docs.columns)
+    if len(model["labels"]) == 1:
+        return predict(docs, model, label="_lang_pred", score="_lang_score", unsure="_lang_unsure").filter(F.col("_lang_pred") != "und").select(*docs.columns)
+    level = levels(docs, model)
+    most = F.coalesce(F.create_map(*[F.lit(x) for k, v in sorted(level.items()) for x in (k, v)])[F.col("_length")], F.lit(float("inf"))) if level else F.lit(float("inf"))
+    return misfits(docs, model).filter(F.col("_misfit") <= most).select(*docs.columns)
 
 
 QUERIES = {"op6_language_id": op6_language_id}

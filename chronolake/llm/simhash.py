@@ -536,13 +536,14 @@ def similar_links(nodes: DataFrame, docs: DataFrame, row_col: str, text_col: str
     texts = docs.select(F.col(row_col).alias("rep"), F.col(text_col).alias("text")).join(live.select("rep", "node"), "rep")
     sets = materialize(shingle_sets(texts), codec="none")
     first = found.filter("a is not null").groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
-    links = materialize(verified(close(first, live), sets))
+    first = materialize(close(first, live))
+    links = materialize(verified(first, sets))
     roots = materialize(connected_components(links))
     rooted = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rest = materialize(close(pairs_between(rooted, width, count), live))
     more = materialize(verified(rest, sets))
     out = connected_components(links.unionAll(more))
-    for old in (found, live, sets, roots, rest):
+    for old in (found, live, sets, roots, rest, first):
         discard(old)
     return out
 
