@@ -30,8 +30,8 @@ THRESHOLD = 2
 CROWD, HOT, WHOLE = 64, 2048, 2
 #: Near-copies (keep_one): words of a shingle, words of a fingerprint, least set that can be similar to another.
 SHINGLE, WIDE, LEAST = 5, 16, 4
-#: Words of a fingerprint that travel to anchors, bits that may differ in them, and in all words.
-SCREEN, LOOSE, FAR = 3, 54, 230
+#: Words of a fingerprint by which the nearest is looked for, bits that may differ in them, and in all words; small sets differ more.
+SCREEN, LOOSE, FAR, SMALL, SMALL_FAR = 3, 54, 200, 8, 250
 
 
 def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -339,9 +339,14 @@ def _marks(docs: DataFrame, row_col: str, id_col: str, text_col: str) -> DataFra
     return read.mapInArrow(run, f"row long, id {kind}, th long, node long, n int, fp binary")
 
 
-def _near(fps: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, loose: int = LOOSE) -> np.ndarray:
-    """Whether rows ``a`` and ``b`` (which broadcast) may be similar: by bits and by set sizes."""
-    return (_bits(fps, a, b) <= loose) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+def _near(fps: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows ``a`` and ``b`` may be similar: by set sizes and by the bits of whole fingerprints.
+
+    At a similarity of 0.8 some 156 of 1024 bits differ, 12 being the standard
+    deviation; in sets of up to ``SMALL`` shingles up to 192.
+    """
+    low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    return (_bits(fps, a, b) <= np.where(low <= SMALL, SMALL_FAR, FAR)) & (5 * low >= 4 * high)
 
 
 def _bits(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -351,8 +356,8 @@ def _bits(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
-def _replicas(nodes: DataFrame, width: int, count: int, *more: str) -> DataFrame:
-    """(anchor, node, n, head, ``more``) of ``nodes``: a row for each segment, ``head`` the words that are compared."""
+def _replicas(nodes: DataFrame, width: int, count: int, words: int, *more: str) -> DataFrame:
+    """(anchor, node, n, head, ``more``) of ``nodes``: a row for each segment, ``head`` the ``words`` that are compared."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -360,7 +365,7 @@ def _replicas(nodes: DataFrame, width: int, count: int, *more: str) -> DataFrame
                 c = b.slice(at, 1000)
                 fps = words_of(c.column(2), WIDE)
                 index, a = segment_anchors(np.ascontiguousarray(fps), width, count)
-                head = pa.array([x.tobytes() for x in fps[:, :SCREEN]], pa.binary())
+                head = pa.array([x.tobytes() for x in fps[:, :words]], pa.binary())
                 index = pa.array(index)
                 beside = [c.column(k).take(index) for k in range(3, 3 + len(more))]
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), c.column(0).take(index), c.column(1).take(index), head.take(index), *beside], names=["anchor", "node", "n", "head", *more])
@@ -423,7 +428,7 @@ def nearest(nodes: DataFrame, width: int, count: int) -> DataFrame:
             held = [x[stay].copy() for x in now]
 
     n = partitions(nodes.sparkSession)
-    dealt = _replicas(nodes, width, count).repartition(n, "anchor").sortWithinPartitions("anchor", "node")
+    dealt = _replicas(nodes, width, count, SCREEN).repartition(n, "anchor").sortWithinPartitions("anchor", "node")
     return dealt.mapInArrow(compare, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
@@ -437,28 +442,33 @@ def pairs_between(nodes: DataFrame, width: int, count: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            group, side, node, root, n = (t.column(k).to_numpy() for k in range(5))
-            fps = words_of(t.column(5), SCREEN)
+            group, side, anchor, node, root, n = (t.column(k).to_numpy() for k in range(6))
+            fps = words_of(t.column(6), WIDE)
+
+            def out(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for at in range(0, len(i), 1 << 12):
+                    x, y = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
+                    use = _near(fps, n, x, y)
+                    x, y = x[use], y[use]
+                    if len(x):
+                        # A pair that meets at several anchors is named at the first.
+                        own = [segment_anchors(np.ascontiguousarray(fps[k]), width, count)[1].reshape(-1, count) for k in (x, y)]
+                        first = own[0][np.arange(len(x)), (own[0] == own[1]).argmax(axis=1)] == anchor[x].view(np.uint64)
+                        x, y = node[x[first]], node[y[first]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
             for i, j in _small_pairs(group):
-                near = (root[i] != root[j]) & _meet(side[i], side[j])
-                i, j = i[near], j[near]
-                near = _near(fps, n, i, j)
-                if near.any():
-                    yield out(node[i[near]], node[j[near]])
+                use = (root[i] != root[j]) & _meet(side[i], side[j])
+                yield from out(i[use], j[use])
             for s, e in _large_groups(group):
                 b = np.arange(s, e)
                 for at in range(s, e, 256):
                     a = np.arange(at, min(at + 256, e))
-                    near = (root[a][:, None] != root[b][None, :]) & _meet(side[a][:, None], side[b][None, :]) & (a[:, None] < b[None, :])
-                    r, c = np.nonzero(near)
-                    near = _near(fps, n, a[r], b[c])
-                    if near.any():
-                        yield out(node[a[r[near]]], node[b[c[near]]])
+                    use = (root[a][:, None] != root[b][None, :]) & _meet(side[a][:, None], side[b][None, :]) & (a[:, None] < b[None, :])
+                    r, c = np.nonzero(use)
+                    yield from out(a[r], b[c])
 
-    def out(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    sent = _replicas(nodes, width, count, "root")
+    sent = _replicas(nodes, width, count, WIDE, "root")
     per_root = sent.groupBy("anchor", "root").agg(F.count("*").alias("c"))
     hot = per_root.groupBy("anchor").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("main")).filter(F.col("all") > HOT)
     hot = hot.select("anchor", "main", F.expr(f"cast(ceil(most / {HOT}) as int)").alias("m"), F.expr(f"cast(ceil((all - most) / {HOT}) as int)").alias("o"))
@@ -472,9 +482,9 @@ def pairs_between(nodes: DataFrame, width: int, count: int) -> DataFrame:
                     transform(sequence(0, o - 1), x -> struct(least(own, x) as i, -1 - greatest(own, x) as j, case when own = x then {WHOLE} when own < x then 0 else 1 end as side))) end""")
     own = own.withColumn("g", F.explode(groups))
     group = F.when(F.col("main").isNull(), F.col("anchor")).otherwise(F.xxhash64("anchor", "g.i", "g.j"))
-    dealt = own.select(group.alias("group"), F.col("g.side").alias("side"), "node", "root", "n", "head")
+    dealt = own.select(group.alias("group"), F.col("g.side").alias("side"), "anchor", "node", "root", "n", "head")
     n = partitions(nodes.sparkSession)
-    return dealt.repartition(n, "group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long").distinct()
+    return dealt.repartition(n, "group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -483,16 +493,21 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): the pairs whose whole fingerprints differ in ``FAR`` bits or fewer."""
+def closest(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, next): for each b of ``found`` (a, b) the a that differs least in whole fingerprints, and the one after it or null.
+
+    ``found`` has at most one a for each b and anchor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep = pa.array(_distance(words_of(t.column(2), WIDE), words_of(t.column(3), WIDE)) <= FAR)
-            yield t.select([0, 1]).filter(keep)
+            d = _distance(words_of(t.column(2), WIDE), words_of(t.column(3), WIDE))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(d)], names=["a", "b", "d"])
 
     left, right = (nodes.select(F.col("node").alias(k), F.col("fp").alias(f"fp_{k}")) for k in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(run, "a long, b long")
+    measured = found.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(run, "a long, b long, d int")
+    ranked = measured.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("d", "a"))).alias("near"))
+    return ranked.select(F.col("near")[0]["a"].alias("a"), "b", F.get(F.col("near"), F.lit(1))["a"].alias("next"))
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -524,9 +539,9 @@ def similar_links(nodes: DataFrame, docs: DataFrame, row_col: str, text_col: str
     """(node, root) of the components that verified links make.
 
     ``nodes``: (node, rep, n, fp), rep a row that has the node's set. First
-    each node is checked with the nearest of those before it, which joins
-    most of a group of copies by one link a node; then all pairs between
-    what is still apart.
+    each node is checked with the nearest of those before it, or else the
+    second nearest, which joins most of a group of copies by one link a node;
+    then all pairs between what is still apart.
     """
     wide = nodes.filter(F.col("n") >= LEAST)
     width, count = segments(wide.count())
@@ -535,12 +550,13 @@ def similar_links(nodes: DataFrame, docs: DataFrame, row_col: str, text_col: str
     live = materialize(wide.join(ends, "node", "left_semi").select("node", "rep", "n", "fp"))
     texts = docs.select(F.col(row_col).alias("rep"), F.col(text_col).alias("text")).join(live.select("rep", "node"), "rep")
     sets = materialize(shingle_sets(texts), codec="none")
-    first = found.filter("a is not null").groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
-    first = materialize(close(first, live))
-    links = materialize(verified(first, sets))
+    first = materialize(closest(found.filter("a is not null"), live))
+    links = materialize(verified(first.select("a", "b"), sets))
+    second = first.filter("next is not null").join(links, "b", "left_anti").select(F.col("next").alias("a"), "b")
+    links = links.unionAll(materialize(verified(second, sets)))
     roots = materialize(connected_components(links))
     rooted = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = materialize(close(pairs_between(rooted, width, count), live))
+    rest = materialize(pairs_between(rooted, width, count))
     more = materialize(verified(rest, sets))
     out = connected_components(links.unionAll(more))
     for old in (found, live, sets, roots, rest, first):
@@ -565,7 +581,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     roots = similar_links(nodes, docs, "_row", text_col)
     rooted = nodes.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))
-    return docs.join(stay, "_row", "left_semi").drop("_row")
+    return materialize(docs.join(stay, "_row", "left_semi").drop("_row"), docs, marks, nodes)
 
 
 QUERIES = {"op4_simhash": op4_simhash}
