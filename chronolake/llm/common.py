@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROW_GROUP = 16 << 20
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -59,7 +60,7 @@ def materialize(df: DataFrame, *replaces: DataFrame, codec: str = "zstd") -> Dat
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/table-{uuid.uuid4().hex}"
-    with _conf(spark, **{CLEANUP: "true"}):
+    with _conf(spark, **{CLEANUP: "true"}, **BATCH):
         # Small row groups: a writer holds one in memory, and a reader one of long binary values.
         df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -218,7 +218,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([c.ids, pa.array(words), pa.array(sums[w.doc_end] - sums[w.doc_start]), strings(kept), *(carried(b, i) if carry else [])], names=[f.split()[0] for f in fields])
 
     fields = ["_id long", "_words long", "_removed long", "_kept string", *(f"_carry{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))]
-    out = with_masks(chunks, masks).mapInArrow(finish, ", ".join(fields))
+    out = materialize(with_masks(chunks, masks).mapInArrow(finish, ", ".join(fields)), chunks)
     return out.toDF(id_col, "n_words", "n_removed", "kept", *carry)
 
 
