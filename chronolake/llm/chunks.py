@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import mix, utf8
+from .arrow import frugal, mix, utf8
 from .common import materialize, partitions
 
 CHUNK_BYTES = 1 << 20
@@ -105,7 +105,7 @@ def pack_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The last key deals copies that repeat an id, too.
     order = ("_id", F.xxhash64("_text"), "_place")
     rows = rows.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_place")
-    return materialize(rows.mapInArrow(run, CHUNK_SCHEMA), codec="none")
+    return materialize(rows.mapInArrow(frugal(run), CHUNK_SCHEMA), codec="none")
 
 
 class Chunk:
@@ -400,7 +400,7 @@ def earlier(chunks: DataFrame, runs: Callable[[pa.RecordBatch, int], Runs], cut:
         k = t.column("bucket")[0].as_py()
         return pa.table({"chunk": t.column("chunk").take(pa.array(mine, pa.int64())), "bucket": pa.array([k] * len(mine), pa.int32()), "n": pa.array([int(edge[i + 1] - edge[i]) for i in mine], pa.int32()), "bits": pa.array([first_bits(int(edge[i + 1] - edge[i]), hit[edge[i] : edge[i + 1]]) for i in mine], pa.binary())})
 
-    sent = chunks.mapInArrow(send, "bucket int, chunk long, head long, strings int, block binary").repartition(max(partitions(chunks.sparkSession), total // 4), "bucket")
+    sent = chunks.mapInArrow(frugal(send), "bucket int, chunk long, head long, strings int, block binary").repartition(max(partitions(chunks.sparkSession), total // 4), "bucket")
     masks = materialize(sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, n int, bits binary"), codec="none")
     return masks.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "bits"))).alias("masks"))
 

@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import utf8
+from .arrow import frugal, utf8
 
 BUCKETS = 1 << 13
 #: Rounds of fitting, the first step, and the least error that a bit's weight takes for true.
@@ -77,7 +77,7 @@ def gram_counts(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
         return pa.table({"label": t.column("label")[:1], "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "counts": pa.array([counts.tolist()], pa.list_(pa.int64()))})
 
     kind = "label string, n long, counts array<long>"
-    sent = docs.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).mapInArrow(run, kind)
+    sent = docs.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).mapInArrow(frugal(run), kind)
     # Halfway sums first, so that one label's rows from many tasks do not meet in one.
     salted = sent.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
     half = salted.groupBy("label", "salt").applyInArrow(lambda t: add(t.drop(["salt"])), kind)
@@ -129,7 +129,7 @@ def gradients(docs: DataFrame, labels: list[str], n: list[int], code: np.ndarray
     def add(t: pa.Table) -> pa.Table:
         return pa.table({"sums": pa.array([sum(np.asarray(x.values) for x in t.column("sums")).tolist()], pa.list_(pa.float64()))})
 
-    sent = docs.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).mapInArrow(run, "sums array<double>")
+    sent = docs.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).mapInArrow(frugal(run), "sums array<double>")
     salted = sent.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
     rows = salted.groupBy("salt").applyInArrow(lambda t: add(t.drop(["salt"])), "sums array<double>").collect()
     total = sum(np.array(r["sums"]) for r in rows)
@@ -206,7 +206,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     clean = docs.drop(label, score, unsure)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema)
-    return clean.mapInArrow(run, f"{fields}, `{label}` string, `{score}` double, `{unsure}` boolean")
+    return clean.mapInArrow(frugal(run), f"{fields}, `{label}` string, `{score}` double, `{unsure}` boolean")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -256,7 +256,7 @@ def misfits(docs: DataFrame, model: dict, text_col: str = "text", name: str = "_
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fits, pa.float64()), pa.array([len(g).bit_length() for g in found], pa.int32())], names=[*b.schema.names, name, length])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{name}` double, `{length}` int")
+    return docs.mapInArrow(frugal(run), f"{fields}, `{name}` double, `{length}` int")
 
 
 def levels(docs: DataFrame, model: dict, text_col: str = "text", label_col: str = "lang") -> dict[int, float]:

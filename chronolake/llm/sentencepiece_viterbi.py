@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .arrow import mix, utf8
+from .arrow import frugal, mix, utf8
 
 META = "▁"
 WORD = re.compile(f"{META}*[^{META}]+|{META}+")
@@ -251,7 +251,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, out: str
 
     clean = docs.drop(out)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema)
-    return clean.mapInArrow(run, f"{fields}, `{out}` array<int>")
+    return clean.mapInArrow(frugal(run), f"{fields}, `{out}` array<int>")
 
 
 def decode(encoded: DataFrame, ids_col: str = "piece_ids", path: str = MODEL, out: str = "decoded") -> DataFrame:
@@ -266,7 +266,7 @@ def decode(encoded: DataFrame, ids_col: str = "piece_ids", path: str = MODEL, ou
 
     clean = encoded.drop(out)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema)
-    return clean.mapInArrow(run, f"{fields}, `{out}` string")
+    return clean.mapInArrow(frugal(run), f"{fields}, `{out}` string")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:
@@ -289,7 +289,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"id {kind}, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(run), f"id {kind}, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

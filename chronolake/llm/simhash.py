@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import mix, utf8
+from .arrow import frugal, mix, utf8
 from .common import connected_components, discard, materialize, partitions
 
 BITS, BLOCKS = 64, 9
@@ -32,6 +32,8 @@ CROWD, HOT, WHOLE = 64, 2048, 2
 SHINGLE, WIDE, LEAST = 5, 16, 4
 #: Words of a fingerprint by which the nearest is looked for, bits that may differ in them, and in all words; small sets differ more.
 SCREEN, LOOSE, FAR, SMALL, SMALL_FAR = 3, 54, 200, 8, 250
+#: Words that are added to the fingerprints of what has candidates, and bits that may then differ: 468 of 3072 do at a similarity of 0.8, 20 being the standard deviation.
+MORE, SHARP = 32, 545
 
 
 def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -81,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(np.ascontiguousarray(node).view(np.int64))], names=["id", "fp", "node"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fp binary, node long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(run), f"id {kind}, fp binary, node long").withColumnRenamed("id", id_col)
 
 
 def _decoder() -> np.ndarray:
@@ -274,14 +276,14 @@ def near_links(nodes: DataFrame, threshold: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
     n = partitions(nodes.sparkSession)
-    sent = nodes.select("node", "fp").mapInArrow(spread, "anchor long, node long")
+    sent = nodes.select("node", "fp").mapInArrow(frugal(spread), "anchor long, node long")
     hot = sent.groupBy("anchor").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks")).filter("blocks > 1")
     own = sent.join(hot, "anchor", "left").withColumn("own", F.expr("cast(pmod(xxhash64(node, 7), coalesce(blocks, 1)) as int)"))
     own = own.withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")))
     group = F.when(F.col("blocks").isNull(), F.col("anchor")).otherwise(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")))
     side = F.when(F.col("own") == F.col("other"), WHOLE).otherwise((F.col("own") > F.col("other")).cast("int"))
     dealt = own.select(group.alias("group"), side.cast("int").alias("side"), "node").repartition(n, "group").sortWithinPartitions("group")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(frugal(compare), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = THRESHOLD) -> DataFrame:
@@ -310,15 +312,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def set_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
-    """``words`` words of 64 majority bits of distinct hashes; ties fall by the place of the bit."""
+def set_fingerprint(h: np.ndarray, words: int, start: int = 0) -> np.ndarray:
+    """``words`` words from ``start`` on, of 64 majority bits of distinct hashes; ties fall by the place of the bit."""
     out = np.zeros(words, np.uint64)
-    for k in range(words):
-        out[k] = majority(mix(h + np.uint64(k * GOLDEN % (1 << 64))))
+    for k in range(start, start + words):
+        out[k - start] = majority(mix(h + np.uint64(k * GOLDEN % (1 << 64))))
         if len(h) % 2 == 0 and len(h) <= 64:
             bits = np.unpackbits(mix(h + np.uint64(k * GOLDEN % (1 << 64))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             tie = np.packbits((2 * bits.sum(axis=0, dtype=np.int64) == len(h)).astype(np.uint8), bitorder="little").view("<u8")[0]
-            out[k] |= tie & np.uint64(0x5A96A5693C5AC396)
+            out[k - start] |= tie & np.uint64(0x5A96A5693C5AC396)
     return out
 
 
@@ -336,7 +338,7 @@ def _marks(docs: DataFrame, row_col: str, id_col: str, text_col: str) -> DataFra
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    return read.mapInArrow(run, f"row long, id {kind}, th long, node long, n int, fp binary")
+    return read.mapInArrow(frugal(run), f"row long, id {kind}, th long, node long, n int, fp binary")
 
 
 def _near(fps: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -371,7 +373,7 @@ def _replicas(nodes: DataFrame, width: int, count: int, words: int, *more: str)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), c.column(0).take(index), c.column(1).take(index), head.take(index), *beside], names=["anchor", "node", "n", "head", *more])
 
     fields = "".join(f", {x} {nodes.schema[x].dataType.simpleString()}" for x in more)
-    return nodes.select("node", "n", "fp", *more).mapInArrow(spread, f"anchor long, node long, n int, head binary{fields}")
+    return nodes.select("node", "n", "fp", *more).mapInArrow(frugal(spread), f"anchor long, node long, n int, head binary{fields}")
 
 
 def nearest(nodes: DataFrame, width: int, count: int) -> DataFrame:
@@ -429,7 +431,7 @@ def nearest(nodes: DataFrame, width: int, count: int) -> DataFrame:
 
     n = partitions(nodes.sparkSession)
     dealt = _replicas(nodes, width, count, SCREEN).repartition(n, "anchor").sortWithinPartitions("anchor", "node")
-    return dealt.mapInArrow(compare, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
+    return dealt.mapInArrow(frugal(compare), "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def pairs_between(nodes: DataFrame, width: int, count: int) -> DataFrame:
@@ -484,7 +486,7 @@ def pairs_between(nodes: DataFrame, width: int, count: int) -> DataFrame:
     group = F.when(F.col("main").isNull(), F.col("anchor")).otherwise(F.xxhash64("anchor", "g.i", "g.j"))
     dealt = own.select(group.alias("group"), F.col("g.side").alias("side"), "anchor", "node", "root", "n", "head")
     n = partitions(nodes.sparkSession)
-    return dealt.repartition(n, "group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
+    return dealt.repartition(n, "group").sortWithinPartitions("group").mapInArrow(frugal(compare), "a long, b long")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -493,34 +495,41 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def closest(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, next): for each b of ``found`` (a, b) the a that differs least in whole fingerprints, and the one after it or null.
-
-    ``found`` has at most one a for each b and anchor.
-    """
+def measured(pairs: DataFrame, sharp: DataFrame) -> DataFrame:
+    """(a, b, d): the bits that differ in the long fingerprints of each pair, where so few do that it may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            d = _distance(words_of(t.column(2), WIDE), words_of(t.column(3), WIDE))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(d)], names=["a", "b", "d"])
+            d = _distance(words_of(t.column(3), WIDE + MORE), words_of(t.column(4), WIDE + MORE))
+            keep = pa.array((d <= SHARP) | (t.column(2).to_numpy() <= SMALL))
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (t.column(0), t.column(1), pa.array(d))], names=["a", "b", "d"])
+
+    left = sharp.select(F.col("node").alias("a"), F.col("fp").alias("fp_a"))
+    right = sharp.select(F.col("node").alias("b"), "n", F.col("fp").alias("fp_b"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n", "fp_a", "fp_b").mapInArrow(frugal(run), "a long, b long, d int")
 
-    left, right = (nodes.select(F.col("node").alias(k), F.col("fp").alias(f"fp_{k}")) for k in "ab")
-    measured = found.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(run, "a long, b long, d int")
-    ranked = measured.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("d", "a"))).alias("near"))
+
+def closest(found: DataFrame, sharp: DataFrame) -> DataFrame:
+    """(a, b, next): for each b of ``found`` (a, b) the a that differs least in long fingerprints, and the one after it or null.
+
+    ``found`` has at most one a for each b and anchor. A b without an a that may be similar is left out.
+    """
+    ranked = measured(found, sharp).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("d", "a"))).alias("near"))
     return ranked.select(F.col("near")[0]["a"].alias("a"), "b", F.get(F.col("near"), F.lit(1))["a"].alias("next"))
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(node, set binary) of (node, text): sorted distinct hashes of five-word shingles."""
+    """(node, set binary, more binary) of (node, text): sorted distinct hashes of five-word shingles, and ``MORE`` words of fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 c = b.slice(at, 256)
-                sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes(), SHINGLE)).tobytes() for t in c.column(1)]
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+                sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes(), SHINGLE)) for t in c.column(1)]
+                more = [set_fingerprint(h, MORE, WIDE).tobytes() for h in sets]
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array(more, pa.binary())], names=["node", "set", "more"])
 
-    return texts.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, set binary")
+    return texts.select("node", F.col("text").cast("binary")).mapInArrow(frugal(run), "node long, set binary, more binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -532,7 +541,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield t.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     left, right = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
@@ -550,16 +559,17 @@ def similar_links(nodes: DataFrame, docs: DataFrame, row_col: str, text_col: str
     live = materialize(wide.join(ends, "node", "left_semi").select("node", "rep", "n", "fp"))
     texts = docs.select(F.col(row_col).alias("rep"), F.col(text_col).alias("text")).join(live.select("rep", "node"), "rep")
     sets = materialize(shingle_sets(texts), codec="none")
-    first = materialize(closest(found.filter("a is not null"), live))
+    sharp = materialize(live.join(sets.select("node", "more"), "node").select("node", "n", F.concat("fp", "more").alias("fp")))
+    first = materialize(closest(found.filter("a is not null"), sharp))
     links = materialize(verified(first.select("a", "b"), sets))
     second = first.filter("next is not null").join(links, "b", "left_anti").select(F.col("next").alias("a"), "b")
     links = links.unionAll(materialize(verified(second, sets)))
     roots = materialize(connected_components(links))
     rooted = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = materialize(pairs_between(rooted, width, count))
-    more = materialize(verified(rest, sets))
+    rest = materialize(measured(pairs_between(rooted, width, count), sharp))
+    more = materialize(verified(rest.select("a", "b"), sets))
     out = connected_components(links.unionAll(more))
-    for old in (found, live, sets, roots, rest, first):
+    for old in (found, live, sets, sharp, roots, rest, first):
         discard(old)
     return out
 

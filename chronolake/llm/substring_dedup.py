@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import mix, strings
+from .arrow import frugal, mix, strings
 from .chunks import CHUNK_SCHEMA, Chunk, Rolling, Runs, buckets, bytes8, carried, chunk_of, cover, earlier, minima, pack_chunks, spread, with_masks
 from .common import materialize
 
@@ -184,7 +184,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([*(b.column(k.split()[0]) for k in CHUNK_SCHEMA.split(", ")), pa.array(done, pa.binary())], names=[*(k.split()[0] for k in CHUNK_SCHEMA.split(", ")), "done"])
 
     symbols = with_masks(chunks, earlier(chunks, lambda b, i: long_symbols(Words(chunk_of(b, i)), size, total)[0], whole_strings, False, total))
-    chunks = materialize(symbols.mapInArrow(settle, f"{CHUNK_SCHEMA}, done binary"), chunks, codec="none")
+    chunks = materialize(symbols.mapInArrow(frugal(settle), f"{CHUNK_SCHEMA}, done binary"), chunks, codec="none")
 
     def unsettled(b: pa.RecordBatch, i: int) -> tuple[Chunk, Words, Runs, np.ndarray, np.ndarray]:
         c = chunk_of(b, i)
@@ -218,7 +218,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([c.ids, pa.array(words), pa.array(sums[w.doc_end] - sums[w.doc_start]), strings(kept), *(carried(b, i) if carry else [])], names=[f.split()[0] for f in fields])
 
     fields = ["_id long", "_words long", "_removed long", "_kept string", *(f"_carry{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))]
-    out = materialize(with_masks(chunks, masks).mapInArrow(finish, ", ".join(fields)), chunks)
+    out = materialize(with_masks(chunks, masks).mapInArrow(frugal(finish), ", ".join(fields)), chunks)
     return out.toDF(id_col, "n_words", "n_removed", "kept", *carry)
 
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .arrow import mix
+from .arrow import frugal, mix
 from .chunks import CHUNK_SCHEMA, Chunk, Runs, buckets, bytes8, chunk_of, cover, earlier, minima, pack_chunks, runs, with_masks
 from .common import materialize
 
@@ -134,7 +134,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*(b.column(k.split()[0]) for k in CHUNK_SCHEMA.split(", ")), pa.array(done, pa.binary())], names=[*(k.split()[0] for k in CHUNK_SCHEMA.split(", ")), "done"])
 
     sampled = with_masks(chunks, earlier(chunks, lambda b, i: suffixes(chunk_of(b, i), depth, total)[0], cut_suffixes(depth, True), True, total))
-    chunks = materialize(sampled.mapInArrow(settle, f"{CHUNK_SCHEMA}, done binary"), chunks, codec="lz4")
+    chunks = materialize(sampled.mapInArrow(frugal(settle), f"{CHUNK_SCHEMA}, done binary"), chunks, codec="lz4")
 
     def unsettled(b: pa.RecordBatch, i: int) -> tuple[Chunk, Runs, np.ndarray, np.ndarray]:
         c = chunk_of(b, i)
@@ -158,7 +158,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     names=["id", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
-    out = with_masks(chunks, masks).mapInArrow(finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = with_masks(chunks, masks).mapInArrow(frugal(finish), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 
