@@ -70,14 +70,14 @@ def id_card_15(text: Column) -> Column:
     return F.coalesce(text.rlike("^[0-9]{15}$") & month.between(1, 12) & day.between(1, 31), F.lit(False))
 
 
-#: Kinds of entities: pattern and score. Order is by score, then name.
+#: Kinds of entities: pattern and score. Prefixes and lengths of MOBILE and BANK_CARD are fixed values of the number plans.
 PATTERNS = {
     "EMAIL": (r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", 0.5),
     "IP": (r"\b((?:[0-9]{1,3}\.){3}[0-9]{1,3})\b", 0.4),
     "PHONE": (r"(\+?[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4})", 0.5),
-    "MOBILE": (r"(?:^|[^0-9])(1[3-9][0-9]{9})(?:[^0-9]|$)", 0.5),
-    "ID_CARD": (r"(?:^|[^0-9])([0-9]{17}[0-9Xx])(?:[^0-9Xx]|$)", 0.4),
-    "BANK_CARD": (r"(?:^|[^0-9])([3-6][0-9]{15,18})(?:[^0-9]|$)", 0.3),
+    "MOBILE": (r"(?<![0-9])(1[3-9][0-9]{9})(?![0-9])", 0.5),
+    "ID_CARD": (r"(?<![0-9])([0-9]{17}[0-9Xx])(?![0-9Xx])", 0.4),
+    "BANK_CARD": (r"(?<![0-9])([3-6][0-9]{15,18})(?![0-9])", 0.3),
 }
 
 
@@ -91,7 +91,8 @@ def entities(text: Column) -> Column:
         if kind == "ID_CARD":
             found = F.filter(found, id_card)
         out.append(F.transform(found, _entity(kind, score)))
-    return F.concat(*out)
+    # Every kind has an @ or a digit, so most texts are settled by one short pattern.
+    return F.when(text.rlike("[@0-9]"), F.concat(*out)).otherwise(F.array().cast("array<struct<kind: string, value: string, score: double>>"))
 
 
 def _entity(kind: str, score: float):

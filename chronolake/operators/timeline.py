@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import written
+
 PAGE_LIMIT = 10_000
 
 
@@ -88,9 +90,13 @@ def evenly_spaced(df: DataFrame, k: int, order: list[str]) -> DataFrame:
 
 
 def row_numbers(df: DataFrame, order: list[str], name: str = "_row") -> DataFrame:
-    """Number all rows from 0 in ``order`` without one task that sees them all."""
+    """Number all rows from 0 in ``order`` without one task that sees them all.
+
+    Rows are written in range partitions first: the totals and the numbers must
+    see the same ranges, and two exchanges would each sample their own.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    parts = written(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
     local = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     totals = parts.groupBy("_p").agg(F.count("*").alias("_c"))
     before = totals.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))

@@ -11,10 +11,16 @@ _own: list[str] = []
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written and read back; a folder of its own is made only where none is set, as in tests."""
+    """``df`` written and read back.
+
+    Where no folder is set, a local master, as in tests, gets one of its own; on
+    a cluster that is an error, as executors would not see each other's files.
+    """
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="chronolake-"))
         where = _own[0]

@@ -180,3 +180,33 @@ def test_vectors_are_packed_and_checked(spark):
 def test_counter_deltas_never_fall(spark):
     rows = spark.createDataFrame([(1, 1, 5.0), (1, 2, 9.0), (1, 3, 2.0)], "p int, t int, v double")
     assert sorted(r["delta"] for r in telemetry.counter_deltas(rows, "p", ["t"], "v").collect()) == [0.0, 0.0, 4.0]
+
+
+def test_row_numbers_are_gapless_beside_a_payload(spark):
+    from pyspark.sql import functions as F
+
+    from chronolake.operators.timeline import row_numbers
+
+    df = spark.range(0, 1_000_000, 1, 8).select((F.xxhash64("id") % 1_000_000_007).alias("at"), "id", F.repeat(F.lit("payload "), 3).alias("body"))
+    got = row_numbers(df, ["at", "id"]).agg(F.count_distinct("_row").alias("n"), F.min("_row").alias("low"), F.max("_row").alias("high")).first()
+    assert tuple(got) == (1_000_000, 0, 999_999)
+
+
+def test_neighbouring_numbers_are_all_found(spark):
+    from pyspark.sql import functions as F
+
+    from chronolake.functions import privacy
+
+    df = spark.createDataFrame([("13800138000 13900139000,13700137000x",), ("no entity at all",), (None,)], "text string")
+    found = [[e["value"] for e in r["e"]] for r in df.select(privacy.entities(F.col("text")).alias("e")).collect()]
+    assert found == [["13800138000", "13900139000", "13700137000"], [], []]
+
+
+def test_bigrams_of_characters_beyond_the_first_plane(spark):
+    from pyspark.sql import functions as F
+
+    from chronolake.functions.text import bigrams
+
+    texts = ["a\U00020000b\U00020001", "ab ab", "x", "", None]
+    got = [r["b"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(bigrams(F.col("t")).alias("b")).collect()]
+    assert got == [["a\U00020000", "\U00020000b", "b\U00020001"], ["ab", "ba"], [], [], []]
