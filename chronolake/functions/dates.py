@@ -31,3 +31,14 @@ def limit_bytes(text: Column) -> Column:
     """Bytes of a limit in GB; blank, unlimited, 0 or unreadable: null."""
     n = F.trim(text).try_cast("double")
     return F.when(n > 0, (n * float(1 << 30)).cast("long"))
+
+
+def retry_time(text: Column) -> Column:
+    """UTC text, to the second, of an RFC 3339 time or of a UTC time without a zone; another form: an error; null stays.
+
+    Wants a session in UTC.
+    """
+    zoned = F.to_utc_timestamp(F.to_timestamp(F.when(text.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"), text)), "UTC")
+    plain = F.when(text.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"), text.try_cast("timestamp"))
+    out = F.date_format(F.coalesce(zoned, plain), "yyyy-MM-dd HH:mm:ss")
+    return F.when(text.isNotNull(), F.coalesce(out, F.raise_error(F.lit("neither RFC 3339 nor YYYY-MM-DD HH:MM:SS"))))

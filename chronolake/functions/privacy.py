@@ -115,3 +115,40 @@ def normalize_digits(text: Column) -> Column:
     """Full-width digits to ASCII; spaces and dashes between digits dropped."""
     wide = "".join(chr(0xFF10 + i) for i in range(10))
     return F.regexp_replace(F.translate(text, wide, "0123456789"), r"(?<=[0-9])[ -]+(?=[0-9])", "")
+
+
+#: A JSON string literal, with the colon that follows it if it is a key.
+LITERAL = r'"(?:[^"\\]|\\.)*+"(?:\s*:)?'
+
+
+def leaves(json: Column) -> Column:
+    """The string literals of a JSON text that are values, at any depth; keys and numbers are not."""
+    return F.filter(F.regexp_extract_all(json, F.lit(LITERAL), F.lit(0)), lambda x: ~x.endswith(":"))
+
+
+def json_contains(json: Column, words: list[str]) -> Column:
+    """Whether a string value of a JSON text contains a word of the list; null: false.
+
+    Values are searched as they are written, escapes included.
+    """
+    return F.coalesce(F.exists(leaves(json), lambda x: x.rlike(word_pattern(words))), F.lit(False))
+
+
+def json_masked(json: Column, words: list[str]) -> Column:
+    """The JSON text with the words masked in its string values, at any depth."""
+    gaps, found = F.split(json, LITERAL, -1), F.regexp_extract_all(json, F.lit(LITERAL), F.lit(0))
+    new = F.transform(found, lambda x: F.when(x.endswith(":"), x).otherwise(masked(x, words)))
+    return F.array_join(F.zip_with(gaps, new, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+
+
+def redacted_boxes(boxes: Column, words: list[str], mode: str) -> Column:
+    """Texts under a mode: ``remove`` drops those with a hit (none left: null), ``mask`` masks them."""
+    if mode == "mask":
+        return F.transform(boxes, lambda b: masked(b, words))
+    left = F.filter(boxes, lambda b: ~contains_any(b, words))
+    return F.when(F.size(left) > 0, left)
+
+
+def record_hit(title: Column, url: Column, boxes: Column, words: list[str]) -> Column:
+    """Whether any field of a record contains a word: mode ``reject`` refuses it whole."""
+    return contains_any(title, words) | contains_any(url, words) | F.coalesce(F.exists(boxes, lambda b: contains_any(b, words)), F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,3 +153,48 @@ def path_category(path: Column, rules: list[tuple[str, str]], default: str = "ot
     for part, name in reversed(rules):
         out = F.when(p.contains(part), F.lit(name)).otherwise(out)
     return out
+
+
+#: The code-point ranges of CJK ideographs.
+CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]"
+
+
+def is_cjk(char: Column) -> Column:
+    """Whether a character is a CJK ideograph."""
+    return char.rlike(f"^{CJK}$")
+
+
+def percent_decoded(url: Column) -> Column:
+    """UTF-8 text of a percent-encoded URL: a plus and a stray percent sign stay, broken bytes become U+FFFD."""
+    safe = F.replace(F.regexp_replace(url, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.try_url_decode(safe)
+
+
+def title_score(text: Column) -> Column:
+    """How title-like a text is: length, entropy and share of letters; URLs and single characters: 0.
+
+    The entropy of a text of under 16 characters is scaled to what such a text can have at most.
+    """
+    t = F.trim(text)
+    n = F.length(t).cast("double")
+    h = entropy(t)
+    z = (F.when(n < 16, h / F.log2(n) * 4.0).otherwise(h) - 4.0) / 1.5
+    letters = F.regexp_count(t, F.lit(r"\p{L}")) / n
+    score = F.log(n + 1.0) * F.exp(-0.5 * z * z) * letters / F.log(n + math.e)
+    return F.when((n <= 1) | t.rlike("^https?://"), 0.0).otherwise(score)
+
+
+def title_entity(title: Column, editor: Column, apps: tuple[str, ...] = ("Google Chrome", "Microsoft Edge", "Mozilla Firefox"), editors: tuple[str, ...] = ("Visual Studio Code", "Code", "Cursor")) -> Column:
+    """What a title is about: a repository, an editor's project, the last part, or the title cut to 64 characters."""
+    repo = F.regexp_extract(title, r"(?:^|[\s:/·])[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+)", 1)
+    parts = F.filter(F.transform(F.split(title, r"\s+[-|]\s+"), lambda p: F.trim(p)), lambda p: (p != "") & ~F.lower(p).isin([e.lower() for e in editors]))
+    pieces = F.filter(F.transform(F.split(title, r"\s+[-|·]\s+"), lambda p: F.trim(p)), lambda p: p != "")
+    last = F.try_element_at(pieces, F.lit(-1))
+    fits = (F.size(pieces) > 1) & F.length(last).between(2, 48) & ~F.lower(last).isin([a.lower() for a in apps])
+    short = F.when(F.length(title) > 64, F.concat(F.substring(title, 1, 61), F.lit("..."))).otherwise(title)
+    return F.when(repo != "", repo).when(editor & (F.size(parts) >= 2), F.try_element_at(parts, F.lit(-1))).when(fits, last).otherwise(short)
+
+
+def anchor_hash(text: Column) -> Column:
+    """SHA-256 of an anchor's text: equal hashes reuse its scores."""
+    return F.sha2(text, 256)

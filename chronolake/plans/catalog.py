@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, lifecycle, privacy, relations, search, telemetry, timeline, vectors  # noqa: F401
+from . import archive, lifecycle, privacy, records, relations, search, telemetry, timeline, vectors  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -23,9 +23,10 @@ def record_sensitive(r: Roles) -> DataFrame:
     return r.texts().select("id", (pv.contains_any(F.col("text"), WORDS) | pv.contains_any(F.col("process_name"), ["src7"])).alias("sensitive"))
 
 
-@query("fil12_json_sensitive", "SELECT event_id AS id FROM events WHERE regexp_matches(props, '(?i)(77|88)')")
+@query("fil12_json_sensitive", f"SELECT doc_id AS id FROM documents WHERE {HIT} OR regexp_matches(source, '(?i)(credit card|worthless|password|there)')")
 def json_sensitive(r: Roles) -> DataFrame:
-    return r.table("events").filter(pv.contains_any(F.col("props"), ["77", "88"])).select(F.col("event_id").alias("id"))
+    json = F.to_json(F.struct(F.struct(F.col("text").alias("password")).alias("there"), F.array("process_name").alias("worthless")))
+    return r.texts().filter(pv.json_contains(json, WORDS)).select("id")
 
 
 @query("fil16_redact_remove", f"SELECT doc_id AS id, CASE WHEN {HIT} THEN '[censored]' ELSE text END AS text FROM documents")
