@@ -1,4 +1,4 @@
-"""Training-data operators: ten Spark jobs over documents, pages and embeddings.
+"""Training-data operators: thirteen Spark jobs over documents, pages and embeddings.
 
 Nothing outside this subpackage imports it. ``entry`` maps query names to
 callables; each operator lives in a module of its own.

@@ -15,6 +15,9 @@ MODULES = (
     "piecewise_hash",
     "sentencepiece_viterbi",
     "sharding",
+    "quality",
+    "whitening",
+    "phrases",
 )
 
 
