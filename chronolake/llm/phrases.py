@@ -21,12 +21,14 @@ No phrase or sketch comes to the driver, and none is broadcast.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -258,7 +260,7 @@ def matches(text: str, phrases: list[str]) -> Iterator[tuple[str, int]]:
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """((lang, phrase, size, f) of every phrase of 1 to 5 words with f >= least, (lang, n) of all words).
+    """((lang, phrase, f, size) of every phrase of 1 to 5 words with f >= least, (lang, n) of all words).
 
     Both are written tables. Null texts are empty; null languages are ``und``.
     ``least`` is at most 255, as hits travel in a byte.
@@ -273,21 +275,29 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     masks = materialize(reached(cells(parts, bits, outer), least, bits, outer))
 
     def scan(shard: pa.Table, answers: pa.Table) -> pa.Table:
-        lang, phrase, size, count = [], [], [], []
-        if answers.num_rows:
-            name = shard.column("lang")[0].as_py()
-            body = shard.column("body")[0].as_py()
+        name, found = None, []
+        if answers.num_rows and shard.num_rows:
+            name, body = shard.column("lang")[0].as_py(), shard.column("body")[0].as_py()
             have = dict(zip(answers.column("bucket").to_pylist(), answers.column("mask").to_pylist(), strict=True))
-            for p, n in matches(body.decode(), candidates(Shard(name, body), bits, outer, have)) if shard.num_rows else ():
-                phrase.append(p[1:-1])
-                size.append(p.count(" ") - 1)
-                count.append(n)
-            lang = [name] * len(phrase)
-        return pa.table({"lang": pa.array(lang, pa.string()), "phrase": pa.array(phrase, pa.string()), "size": pa.array(size, pa.int32()), "f": pa.array(count, pa.int64())})
+            found = [(p[1:-1], n) for p, n in matches(body.decode(), candidates(Shard(name, body), bits, outer, have)) if n]
+        # A row for each bucket of phrases: a shard's counts travel packed, and are unpacked where they are summed.
+        bucket = np.array([zlib.crc32(p.encode()) for p, _ in found], np.int64) & ((1 << outer) - 1)
+        order = np.argsort(bucket, kind="stable")
+        new = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        ends = pa.array(np.append(new, len(order)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array([found[i][c] for i in order.tolist()], t)) for c, t in enumerate((pa.string(), pa.int64()))]
+        return pa.table({"lang": pa.array([name] * len(new), pa.string()), "part": pa.array(bucket[order][new], pa.int64()), "phrases": lists[0], "counts": lists[1]})
+
+    def add(t: pa.Table) -> pa.Table:
+        flat = pa.table({c: pa.chunked_array([x.flatten() for x in t.column(name).chunks]) for c, name in (("phrase", "phrases"), ("f", "counts"))})
+        total = flat.group_by("phrase").aggregate([("f", "sum")])
+        total = total.filter(pa.compute.greater_equal(total.column("f_sum"), least))
+        return pa.table({"lang": pa.array([t.column("lang")[0].as_py()] * total.num_rows, pa.string()), "phrase": total.column("phrase"), "f": total.column("f_sum")})
 
     both = parts.select("shard", "lang", "body").groupBy("shard").cogroup(masks.groupBy("shard"))
-    sent = both.applyInArrow(scan, "lang string, phrase string, size int, f long")
-    counts = sent.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("f").alias("f")).filter(F.col("f") >= least)
+    sent = both.applyInArrow(scan, "lang string, part long, phrases array<string>, counts array<long>")
+    counts = sent.groupBy("lang", "part").applyInArrow(add, "lang string, phrase string, f long")
+    counts = counts.withColumn("size", F.size(F.split("phrase", " ")))
     return materialize(counts, parts, masks), total
 
 
