@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow import frugal, mix, utf8
+from .arrow import frugal, mix, release, utf8
 from .common import discard, materialize
 
 LONGEST, LEAST, TOP = 5, 100, 2000
@@ -42,7 +42,7 @@ SHARD, BEGUN = 8 << 20, 32 << 20
 #: Phrase occurrences that a bucket of the sketch is meant for, and counters for each.
 BUCKET, SLACK = 1 << 22, 4
 #: Characters of the phrases of one automaton.
-AUTOMATON = 4 << 20
+AUTOMATON = 2 << 20
 
 #: A-Z lower-cased, piece ends as line feeds, tabs as blanks.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
@@ -208,6 +208,7 @@ def reached(sent: DataFrame, least: int, bits: int, outer: int) -> DataFrame:
             if yes.any():
                 shard.append(s)
                 mask.append(np.packbits(yes).tobytes())
+        release()
         return pa.table({"shard": pa.array(shard, pa.int64()), "bucket": pa.array([t.column("bucket")[0].as_py()] * len(shard), pa.int64()), "mask": pa.array(mask, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(add, "shard long, bucket long, mask binary")
@@ -286,6 +287,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         new = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         ends = pa.array(np.append(new, len(order)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, pa.array([found[i][c] for i in order.tolist()], t)) for c, t in enumerate((pa.string(), pa.int64()))]
+        release()
         return pa.table({"lang": pa.array([name] * len(new), pa.string()), "part": pa.array(bucket[order][new], pa.int64()), "phrases": lists[0], "counts": lists[1]})
 
     def add(t: pa.Table) -> pa.Table:
