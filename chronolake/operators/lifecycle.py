@@ -38,11 +38,6 @@ def hard_delete(parents: DataFrame, children: DataFrame, ids: DataFrame) -> tupl
     return parents.join(ids, "id", "left_anti"), children.join(ids.withColumnRenamed("id", "parent_id"), "parent_id", "left_anti")
 
 
-def unlink_postings(index: DataFrame, gone: DataFrame) -> DataFrame:
-    """Postings (token, id) without the ids that are gone; empty tokens vanish."""
-    return index.join(gone, "id", "left_anti")
-
-
 def keep_referenced(lookup: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Rows of a content-addressed table that something still refers to."""
     return lookup.join(rows.select(F.col(key).alias("id")).distinct(), "id", "left_semi")

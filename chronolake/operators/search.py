@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, entropy_penalty
 
+if TYPE_CHECKING:
+    from .bitmap_index import BitmapIndex
+
 
 def postings(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(token, id): one row for each distinct bigram of each text; partition it by token to keep it."""
@@ -23,13 +28,18 @@ def keyword_tokens(query: str) -> list[list[str]]:
     return out
 
 
-def matches(index: DataFrame, tokens: list[str], fuzzy: bool) -> DataFrame:
-    """(id, hits): strict: all tokens; fuzzy: any, those missing from the index skipped."""
+def matches(index: DataFrame | BitmapIndex, tokens: list[str], fuzzy: bool) -> DataFrame:
+    """(id, hits): strict: all tokens; fuzzy: any, those missing from the index skipped.
+
+    A stored index reads its tokens' bitmaps; postings (token, id) are filtered.
+    """
+    if not isinstance(index, DataFrame):
+        return index.matches(tokens, fuzzy)
     hits = index.filter(F.col("token").isin(tokens)).groupBy("id").agg(F.count("*").alias("hits"))
     return hits if fuzzy else hits.filter(F.col("hits") == len(tokens))
 
 
-def search(texts: DataFrame, index: DataFrame, query: str, fuzzy: bool = False, categories: list[str] | None = None, processes: list[str] | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+def search(texts: DataFrame, index: DataFrame | BitmapIndex, query: str, fuzzy: bool = False, categories: list[str] | None = None, processes: list[str] | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
     """Keyword search over ``texts`` (id, parent_id, text, category, process_name, created_at).
 
     One keyword gives a row for each text: pages run by id down (strict) or by

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as dt
 from ..operators import lifecycle as lc
-from ..operators.search import postings
+from ..operators.bitmap_index import unlinked
+from ..sources.indexes import stored_index
 from ..sources.roles import SQL_CAPTURES, Roles
 from .registry import query
 
@@ -47,7 +48,8 @@ def soft_delete(r: Roles) -> DataFrame:
 
 @query("snk9_unlink_postings", "WITH c AS (SELECT doc_id AS id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM (SELECT doc_id, regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}]', '', 'g') AS t FROM documents)), p AS (SELECT id, c || lead(c) OVER (PARTITION BY id ORDER BY i) AS token FROM c WHERE c <> ''), g AS (SELECT DISTINCT id, token FROM p WHERE token IS NOT NULL) SELECT token, count(*) AS n FROM g WHERE id NOT IN (SELECT doc_id FROM labels) GROUP BY 1")
 def unlink(r: Roles) -> DataFrame:
-    return lc.unlink_postings(postings(r.texts()), r.table("labels").select(F.col("doc_id").alias("id"))).groupBy("token").agg(F.count("*").alias("n"))
+    kept = unlinked(stored_index(r).containers(), r.table("labels").select(F.col("doc_id").alias("id")))
+    return kept.groupBy("token").agg(F.sum("n").alias("n"))
 
 
 @query("snk12_content_ids", "SELECT sha256(text) AS content_hash, min(doc_id) AS id FROM documents GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import search as s
+from ..sources.indexes import stored_index
 from ..sources.roles import Roles
 from .registry import query
 
@@ -41,54 +42,54 @@ THE, AND = s.keyword_tokens("there")[0], s.keyword_tokens("ation")[0]
 
 @query("sea3_bigram_index", f"WITH {GRAMS} SELECT token, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM grams GROUP BY token")
 def bigram_index(r: Roles) -> DataFrame:
-    return s.postings(r.texts()).groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return stored_index(r).containers().groupBy("token").agg(F.sum("n").alias("n"), F.min("low").alias("first_id"), F.max("high").alias("last_id"))
 
 
 @query("set1_strict", f"WITH {GRAMS} {strict_sql(THE)}")
 def strict(r: Roles) -> DataFrame:
-    return s.matches(s.postings(r.texts()), THE, False).select("id")
+    return s.matches(stored_index(r), THE, False).select("id")
 
 
 @query("set2_fuzzy", f"WITH {GRAMS} SELECT id, count(*) AS hits FROM grams WHERE token IN ({', '.join(repr(t) for t in THE)}) GROUP BY id")
 def fuzzy(r: Roles) -> DataFrame:
-    return s.matches(s.postings(r.texts()), THE, True)
+    return s.matches(stored_index(r), THE, True)
 
 
 @query("set3_cross_keyword", f"WITH {GRAMS} SELECT DISTINCT lang AS category, source AS process_name FROM documents WHERE doc_id IN ({strict_sql(THE)}) INTERSECT SELECT DISTINCT lang, source FROM documents WHERE doc_id IN ({strict_sql(AND)})")
 def cross_keyword(r: Roles) -> DataFrame:
-    index, texts = s.postings(r.texts()), r.texts()
+    index, texts = stored_index(r), r.texts()
     sides = [texts.join(s.matches(index, t, False), "id", "left_semi").select("category", "process_name") for t in (THE, AND)]
     return sides[0].intersect(sides[1])
 
 
 @query("set5_single_character", "SELECT doc_id AS id FROM documents WHERE false")
 def single_character(r: Roles) -> DataFrame:
-    return s.search(corpus(r), s.postings(r.texts()), "a").select("id")
+    return s.search(corpus(r), stored_index(r), "a").select("id")
 
 
 @query("sea1_search_strict", f"WITH {GRAMS} SELECT id, source AS process_name FROM (SELECT doc_id AS id, source FROM documents WHERE lang IN ('en', 'fr') AND doc_id IN ({strict_sql(THE)}) ORDER BY doc_id DESC LIMIT 50 OFFSET 10) WHERE source IN ('src1', 'src2', 'src3', 'src4', 'src5')")
 def search_strict(r: Roles) -> DataFrame:
-    return s.search(corpus(r), s.postings(r.texts()), "there", categories=["en", "fr"], processes=[f"src{k}" for k in range(1, 6)], limit=50, offset=10).select("id", "process_name")
+    return s.search(corpus(r), stored_index(r), "there", categories=["en", "fr"], processes=[f"src{k}" for k in range(1, 6)], limit=50, offset=10).select("id", "process_name")
 
 
 @query("sea1_search_fuzzy", f"WITH {GRAMS} SELECT g.id, count(*) AS hits FROM grams g WHERE token IN ({', '.join(repr(t) for t in THE)}) GROUP BY g.id ORDER BY hits DESC, g.id DESC LIMIT 30")
 def search_fuzzy(r: Roles) -> DataFrame:
-    return s.search(corpus(r), s.postings(r.texts()), "there", fuzzy=True, limit=30).select("id", "hits")
+    return s.search(corpus(r), stored_index(r), "there", fuzzy=True, limit=30).select("id", "hits")
 
 
 @query("sea1_search_multi", f"WITH {GRAMS}, p AS (SELECT source FROM documents WHERE doc_id IN ({strict_sql(THE)}) INTERSECT SELECT source FROM documents WHERE doc_id IN ({strict_sql(AND)})) SELECT CAST(replace(source, 'src', '') AS BIGINT) AS parent_id, max(doc_id) AS id FROM documents WHERE source IN (SELECT source FROM p) GROUP BY 1 ORDER BY 1 DESC LIMIT 10")
 def search_multi(r: Roles) -> DataFrame:
-    return s.search(corpus(r), s.postings(r.texts()), "there ation", limit=10).select("parent_id", "id")
+    return s.search(corpus(r), stored_index(r), "there ation", limit=10).select("parent_id", "id")
 
 
 @query("sea2_fallback_listing", "SELECT id FROM (SELECT doc_id AS id, source FROM documents WHERE lang = 'de' ORDER BY doc_id DESC LIMIT 40) WHERE source = 'src7' OR source = 'src8'")
 def fallback(r: Roles) -> DataFrame:
-    return s.search(corpus(r), s.postings(r.texts()), " ... ", categories=["de"], processes=["src7", "src8"], limit=40).select("id")
+    return s.search(corpus(r), stored_index(r), " ... ", categories=["de"], processes=["src7", "src8"], limit=40).select("id")
 
 
 @query("agg23_document_frequency", f"WITH {GRAMS} SELECT token, count(*) AS df FROM grams GROUP BY token HAVING count(*) > 5")
 def document_frequency(r: Roles) -> DataFrame:
-    return s.document_frequency(s.postings(r.texts())).filter("df > 5")
+    return stored_index(r).frequency().filter("df > 5")
 
 
 ENTROPY = "(SELECT coalesce(-sum(p * log2(p)), 0) FROM (SELECT count(*) / length(any_value({0}))::DOUBLE AS p FROM (SELECT unnest(string_split({0}, '')) AS c) WHERE c <> '' GROUP BY c))"
@@ -102,7 +103,7 @@ def link_rows(r: Roles) -> DataFrame:
 @query("sea4_link_scores")
 def link_scores(r: Roles) -> DataFrame:
     texts = r.texts()
-    return s.score_links(links(r).select("link_id", "text"), s.document_frequency(s.postings(texts)), texts.agg(F.count("*").alias("n")))
+    return s.score_links(links(r).select("link_id", "text"), stored_index(r).frequency(), texts.agg(F.count("*").alias("n")))
 
 
 @query("top8_link_ranking", f"WITH {SQL_LINKS} SELECT link_id, row_number() OVER (PARTITION BY page_id ORDER BY length(text) DESC, link_id) AS place FROM links")
