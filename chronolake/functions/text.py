@@ -184,14 +184,37 @@ def title_score(text: Column) -> Column:
     return F.when((n <= 1) | t.rlike("^https?://"), 0.0).otherwise(score)
 
 
-def title_entity(title: Column, editor: Column, apps: tuple[str, ...] = ("Google Chrome", "Microsoft Edge", "Mozilla Firefox"), editors: tuple[str, ...] = ("Visual Studio Code", "Code", "Cursor")) -> Column:
-    """What a title is about: a repository, an editor's project, the last part, or the title cut to 64 characters."""
-    repo = F.regexp_extract(title, r"(?:^|[\s:/·])[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+)", 1)
-    parts = F.filter(F.transform(F.split(title, r"\s+[-|]\s+"), lambda p: F.trim(p)), lambda p: (p != "") & ~F.lower(p).isin([e.lower() for e in editors]))
-    pieces = F.filter(F.transform(F.split(title, r"\s+[-|·]\s+"), lambda p: F.trim(p)), lambda p: p != "")
+#: Fixed values of the title rule: names that end a window title, names that are no subject of one, and editors.
+TITLE_ENDS = ("Google Chrome", "Microsoft Edge", "Mozilla Firefox", "Brave", "Chromium", "Visual Studio Code")
+NO_SUBJECT = ("Google Chrome", "Microsoft Edge", "Mozilla Firefox")
+EDITOR_PROCESSES = ("Code", "Cursor")
+EDITOR_NAMES = ("Visual Studio Code", "Code", "Cursor")
+
+
+def without_title_ends(title: Column, app: Column, site: Column) -> Column:
+    """A title, its blanks single, without the names of the app, the site and known programs that follow a dash, bar or dot at its end."""
+    clean = F.trim(F.regexp_replace(title, r"\s+", " "))
+    for name in (app, site, *map(F.lit, TITLE_ENDS)):
+        end = F.concat(F.lit(r"(?i)\s+[-|·]\s+\Q"), name, F.lit(r"\E$"))
+        clean = F.when(F.coalesce(name, F.lit("")) == "", clean).otherwise(F.trim(F.regexp_replace(clean, end, F.lit(""))))
+    return clean
+
+
+def title_entity(title: Column, process: Column, site: Column) -> Column:
+    """What a title is about: a repository, an editor's project, the last part, or the title cut to 64 characters.
+
+    Names of the program and the site at the end of the title go first.
+    """
+    app = process_label(process)
+    clean = without_title_ends(title, app, site)
+    named = lambda p, names: F.lower(p).isin([x.lower() for x in names])
+    repo = F.regexp_extract(clean, r"(?:^|[\s:/·])[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+)", 1)
+    parts = F.filter(F.transform(F.split(clean, r"\s+[-|]\s+"), lambda p: F.trim(p)), lambda p: (p != "") & ~named(p, EDITOR_NAMES))
+    pieces = F.filter(F.transform(F.split(clean, r"\s+[-|·]\s+"), lambda p: F.trim(p)), lambda p: p != "")
     last = F.try_element_at(pieces, F.lit(-1))
-    fits = (F.size(pieces) > 1) & F.length(last).between(2, 48) & ~F.lower(last).isin([a.lower() for a in apps])
-    short = F.when(F.length(title) > 64, F.concat(F.substring(title, 1, 61), F.lit("..."))).otherwise(title)
+    fits = (F.size(pieces) > 1) & F.length(last).between(2, 48) & ~named(last, NO_SUBJECT)
+    short = F.when(F.length(clean) > 64, F.concat(F.substring(clean, 1, 61), F.lit("..."))).otherwise(clean)
+    editor = F.coalesce(named(app, EDITOR_PROCESSES), F.lit(False))
     return F.when(repo != "", repo).when(editor & (F.size(parts) >= 2), F.try_element_at(parts, F.lit(-1))).when(fits, last).otherwise(short)
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import dot, normalized
 
+#: What a job is known by, and what its vector must have been made with.
+KEY, CONTRACT = ["index_kind", "subject_key"], ["model_id", "model_revision", "embedding_version", "source_fingerprint"]
 QUEUEABLE = ("pending", "failed", "waiting_for_auth")
 
 
@@ -19,28 +21,39 @@ def due(now: Column) -> Column:
     return F.col("status").isin(*QUEUEABLE) & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now))
 
 
-def claimed(jobs: DataFrame, now: Column, run: str) -> DataFrame:
-    """Jobs with what is due processing, under a lease token of the run and the subject; others keep no token."""
+def claimed(jobs: DataFrame, now: Column, token: int) -> DataFrame:
+    """Jobs with what is due processing under the claim's token, its errand's last retry time gone; others keep theirs."""
     take = due(now)
     return jobs.withColumns({
-        "lease_token": F.when(take, F.sha2(F.concat(F.lit(run + "/"), "subject_key"), 256)),
+        "lease_token": F.when(take, F.lit(token).cast("long")).otherwise(F.col("lease_token")),
         "next_retry_at": F.when(~take, F.col("next_retry_at")),
         "status": F.when(take, "processing").otherwise(F.col("status")),
     })
 
 
+def _leased(jobs: DataFrame) -> DataFrame:
+    return jobs.filter(F.col("status") == "processing").select(*KEY, *CONTRACT, F.col("lease_token").alias("token"))
+
+
+def unleased(jobs: DataFrame, updates: DataFrame) -> DataFrame:
+    """The updates (key, contract, token) that no processing job of that contract has a lease for."""
+    return updates.join(_leased(jobs), [*KEY, *CONTRACT, "token"], "left_anti")
+
+
 def settled(jobs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Jobs after ``updates`` (subject_key, token, new_status): only a processing job under that token moves.
+    """Jobs after ``updates`` (key, contract, token, new_status, retry_at): a processing job under that token and contract moves.
 
-    A failure uses up an attempt; waiting, queueing again and discarding don't.
+    A failure uses up an attempt; waiting, queueing again, discarding and
+    completing don't. The lease ends, and the job is due again at ``retry_at``.
     """
-    j = jobs.join(updates, "subject_key", "left")
-    move = F.coalesce((F.col("status") == "processing") & (F.col("lease_token") == F.col("token")), F.lit(False))
-    return j.withColumns({
+    good = updates.join(_leased(jobs), [*KEY, *CONTRACT, "token"], "left_semi").select(*KEY, "new_status", "retry_at", F.lit(True).alias("_move"))
+    move = F.coalesce("_move", F.lit(False))
+    return jobs.join(good, KEY, "left").withColumns({
         "attempts": F.col("attempts") + F.when(move & (F.col("new_status") == "failed"), 1).otherwise(0),
         "lease_token": F.when(~move, F.col("lease_token")),
+        "next_retry_at": F.when(move, F.col("retry_at")).otherwise(F.col("next_retry_at")),
         "status": F.when(move, F.col("new_status")).otherwise(F.col("status")),
-    }).drop("token", "new_status")
+    }).select(*jobs.columns)
 
 
 def excluded(jobs: DataFrame, subjects: DataFrame, version: str = "v1") -> DataFrame:
@@ -52,9 +65,12 @@ def excluded(jobs: DataFrame, subjects: DataFrame, version: str = "v1") -> DataF
 
 
 def cascade(rows: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ids, hashes) to clean up after the rows of ``gone`` (id) go: every id, and each hash that no live row has."""
+    """(ids, hashes) to clean up after the rows of ``gone`` (id) go: every id, and each hash that no live row has.
+
+    A row that is soft-deleted (``is_deleted``) already keeps no hash alive.
+    """
     ids = rows.join(gone, "id", "left_semi")
-    live = rows.join(gone, "id", "left_anti").select("image_hash")
+    live = rows.filter(~F.coalesce("is_deleted", F.lit(False))).join(gone, "id", "left_anti").select("image_hash")
     return ids.select("id"), ids.select("image_hash").distinct().join(live, "image_hash", "left_anti")
 
 
@@ -73,17 +89,35 @@ def current_generations(manifest: DataFrame, epochs: DataFrame) -> DataFrame:
     return j.filter(F.col("epoch") == F.coalesce("_e", F.lit(0))).select(*manifest.columns)
 
 
-def generation(visible: DataFrame, epoch: int) -> DataFrame:
+def tree_checksum(rows: DataFrame, key: str, payload: str, levels: int = 2) -> DataFrame:
+    """One row, ``checksum``: the SHA-256 at the root of a tree over all rows.
+
+    A row's digest is that of its key and payload. Rows stand under the first
+    two hexadecimal digits a level of their key's hash; a node's digest is
+    that of its children's, sorted and joined. So no task holds more than a
+    node's children, whatever the order of the rows, and two states differ in
+    the root if any row does. No rows: the digest of nothing.
+    """
+    at = F.sha2(F.col(key), 256)
+    leaf = F.sha2(F.concat(F.col(key), F.lit("\0"), F.col(payload)), 256)
+    node = rows.select(F.substring(at, 1, 2 * levels).alias("at"), leaf.alias("d"))
+    for level in range(levels, -1, -1):
+        up = F.substring("at", 1, max(2 * (level - 1), 0)) if level else F.lit("")
+        joined = F.sha2(F.array_join(F.sort_array(F.collect_list("d")), ""), 256).alias("d")
+        node = node.groupBy("at").agg(joined).select(up.alias("at"), "d") if level else node.agg(joined)
+    return node.withColumnRenamed("d", "checksum")
+
+
+def generation(visible: DataFrame, epoch: int, levels: int = 2) -> DataFrame:
     """One manifest row of visible vectors (subject_key, dims, model_id, payload): count, dims, model, checksum, epoch.
 
-    Mixed widths or models are an error. The checksum adds up 60 bits of each
-    row's SHA-256, so that it needs no order and no single task.
+    Mixed widths or models are an error.
     """
-    row = F.conv(F.substring(F.sha2(F.concat_ws("\0", "subject_key", "payload"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    one = visible.agg(F.count("*").alias("n"), F.min("dims").alias("dims"), F.max("dims").alias("_d"), F.min("model_id").alias("model_id"), F.max("model_id").alias("_m"), F.sum(row).alias("_s"))
+    one = visible.agg(F.count("*").alias("n"), F.min("dims").alias("dims"), F.max("dims").alias("_d"), F.min("model_id").alias("model_id"), F.max("model_id").alias("_m"))
     same = F.coalesce((F.col("dims") == F.col("_d")) & (F.col("model_id") == F.col("_m")), F.lit(True))
     dims = F.when(same, F.col("dims")).otherwise(F.raise_error(F.lit("mixed widths or models")).cast("int"))
-    return one.select("n", dims.alias("dims"), "model_id", F.coalesce(F.col("_s").cast("string"), F.lit("0")).alias("checksum"), F.lit(epoch).alias("epoch"))
+    # Both sides are one row.
+    return one.join(tree_checksum(visible, "subject_key", "payload", levels)).select("n", dims.alias("dims"), "model_id", "checksum", F.lit(epoch).alias("epoch"))
 
 
 def reconciled(texts: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -92,24 +126,22 @@ def reconciled(texts: DataFrame, jobs: DataFrame) -> DataFrame:
     return texts.join(jobs.select("subject_key"), "subject_key", "left_anti").select("subject_key", F.when(blank, "exclude").otherwise("enqueue").alias("outcome"))
 
 
-def imported(page: DataFrame, kind: str, cursor: int, expected: int) -> DataFrame:
-    """Rows of a migration page to write: all of them, or an error if the cursor moved or a row is of another kind."""
-    if cursor != expected:
-        raise ValueError(f"the run is at {cursor}, not at {expected}")
-    own = F.when(F.col("kind") == kind, F.col("kind")).otherwise(F.raise_error(F.lit("a row of another kind")))
-    return page.withColumn("kind", own)
-
-
 def replaced(existing: DataFrame, incoming: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """All rows of the given groups replaced by the incoming ones of these groups, possibly none."""
     return existing.join(groups, key, "left_anti").unionByName(incoming.join(groups, key, "left_semi").select(*existing.columns))
 
 
 def pending_insert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(id, status, duplicate_of) of incoming captures: duplicate of the oldest row with that hash, or pending."""
-    old = existing.groupBy("image_hash").agg(F.min("id").alias("duplicate_of"))
-    j = incoming.join(old, "image_hash", "left")
-    return j.select("id", F.when(F.col("duplicate_of").isNull(), "pending").otherwise("duplicate").alias("status"), "duplicate_of")
+    """(id, status, duplicate_of) of incoming captures: duplicate of the oldest live row with that hash, or pending.
+
+    Of several incoming rows with one hash the first, by id, is pending and the
+    others are its duplicates. Soft-deleted rows (``is_deleted``) have no duplicates.
+    """
+    old = existing.filter(~F.coalesce("is_deleted", F.lit(False))).groupBy("image_hash").agg(F.min("id").alias("_old"))
+    new = incoming.groupBy("image_hash").agg(F.min("id").alias("_new"))
+    j = incoming.join(new, "image_hash", "left").join(old, "image_hash", "left")
+    of = F.coalesce("_old", F.when(F.col("_new") != F.col("id"), F.col("_new")))
+    return j.select("id", F.when(of.isNull(), "pending").otherwise("duplicate").alias("status"), of.alias("duplicate_of"))
 
 
 def aborted(rows: DataFrame, chosen: Column) -> DataFrame:

@@ -88,10 +88,10 @@ def image_page(r: Roles) -> DataFrame:
 # Writers
 
 
-@query("snk2_pending_insert", CAPS + ", old AS (SELECT image_hash, min(id) AS d FROM captures WHERE k < 50 GROUP BY 1) SELECT id, CASE WHEN d IS NULL THEN 'pending' ELSE 'duplicate' END AS status, d AS duplicate_of FROM captures LEFT JOIN old USING (image_hash) WHERE k >= 50")
+@query("snk2_pending_insert", CAPS + ", old AS (SELECT image_hash, min(id) AS d FROM captures WHERE k < 10 AND value <= 30 GROUP BY 1), new AS (SELECT image_hash, min(id) AS f FROM captures WHERE k >= 10 GROUP BY 1), j AS (SELECT id, coalesce(d, CASE WHEN f <> id THEN f END) AS duplicate_of FROM captures JOIN new USING (image_hash) LEFT JOIN old USING (image_hash) WHERE k >= 10) SELECT id, CASE WHEN duplicate_of IS NULL THEN 'pending' ELSE 'duplicate' END AS status, duplicate_of FROM j")
 def pending_insert(r: Roles) -> DataFrame:
-    c = r.captures()
-    return lg.pending_insert(c.filter("k < 50"), c.filter("k >= 50"))
+    c = r.captures().withColumn("is_deleted", F.col("value") > 30)
+    return lg.pending_insert(c.filter("k < 10"), c.filter("k >= 10"))
 
 
 @query("snk4_abort_pending", SQL_LEDGER + "SELECT subject_key, CASE WHEN status = 'pending' AND attempts > 2 THEN 'aborted' ELSE status END AS status FROM jobs")
@@ -108,12 +108,6 @@ def inline_to_ids(r: Roles) -> DataFrame:
     return b.withColumn("content_hash", F.sha2("text", 256)).join(ids, "content_hash").select("conv_id", "turn", "content_id")
 
 
-@query("snk18_publish_generation", SQL_LEDGER + "SELECT count(*) AS n, 64 AS dims, 'm1' AS model_id, CAST(coalesce(sum(CAST('0x' || substr(sha256(d.subject_key || chr(0) || d.fp), 1, 15) AS BIGINT)), 0) AS VARCHAR) AS checksum, 3 AS epoch FROM docs d JOIN jobs j ON d.subject_key = j.subject_key AND d.fp = j.fp WHERE j.status = 'completed'")
-def publish_generation(r: Roles) -> DataFrame:
-    seen = rel.visible(*ledger(r)).select("subject_key", F.lit(64).alias("dims"), "model_id", F.col("source_fingerprint").alias("payload"))
-    return lg.generation(seen, 3)
-
-
 @query("snk19_summary_upsert", "WITH old AS (SELECT doc_id AS id, source AS title, lang AS summary FROM documents WHERE doc_id < 150), new AS (SELECT page_id AS id, url AS title, CAST(NULL AS VARCHAR) AS summary FROM pages WHERE page_id % 3 <> 0 AND page_id IN (SELECT c_custkey FROM customer)) SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)")
 def summary_upsert(r: Roles) -> DataFrame:
     old = r.texts().filter("id < 150").select("id", F.col("process_name").alias("title"), F.col("category").alias("summary"), F.lit(None).cast("string").alias("ocr_summary"))
@@ -198,30 +192,17 @@ def contract_min_max(r: Roles) -> DataFrame:
 DUE = f"status IN ('pending', 'failed') AND (next_retry_at IS NULL OR next_retry_at <= {NOW})"
 
 
-@query("stm2_claim", SQL_LEDGER + f"SELECT subject_key, CASE WHEN {DUE} THEN 'processing' ELSE status END AS status, CASE WHEN {DUE} THEN sha256('run-1/' || subject_key) END AS lease_token FROM jobs")
-def claim(r: Roles) -> DataFrame:
-    return lg.claimed(ledger(r)[1], F.timestamp_seconds(F.lit(NOW)), "run-1").select("subject_key", "status", "lease_token")
-
-
-@query("stm3_settle", SQL_LEDGER + f", c AS (SELECT *, CASE WHEN {DUE} THEN 'processing' ELSE status END AS s FROM jobs), m AS (SELECT *, s = 'processing' AND CAST(subject_key AS BIGINT) % 4 <> 0 AS move, CASE CAST(subject_key AS BIGINT) % 4 WHEN 1 THEN 'failed' WHEN 2 THEN 'waiting_for_auth' ELSE 'discarded' END AS n FROM c) SELECT subject_key, CASE WHEN move THEN n ELSE s END AS status, attempts + CASE WHEN move AND n = 'failed' THEN 1 ELSE 0 END AS attempts FROM m")
-def settle(r: Roles) -> DataFrame:
-    jobs = lg.claimed(ledger(r)[1], F.timestamp_seconds(F.lit(NOW)), "run-1")
-    n = F.col("subject_key").cast("long") % 4
-    token = F.when(n == 0, "stale").otherwise(F.sha2(F.concat(F.lit("run-1/"), "subject_key"), 256))
-    new = F.when(n == 1, "failed").when(n == 2, "waiting_for_auth").otherwise("discarded")
-    return lg.settled(jobs, jobs.select("subject_key", token.alias("token"), new.alias("new_status"))).select("subject_key", "status", "attempts")
-
-
 @query("stm6_exclude", SQL_LEDGER + "SELECT coalesce(d.subject_key, j.subject_key) AS subject_key, CASE WHEN d.subject_key IS NOT NULL THEN 'excluded' ELSE status END AS status, CASE WHEN d.subject_key IS NOT NULL THEN sha256('v1' || chr(0)) ELSE j.fp END AS fp FROM jobs j FULL OUTER JOIN (SELECT subject_key FROM docs WHERE n_chars < 100) d ON d.subject_key = j.subject_key")
 def exclude(r: Roles) -> DataFrame:
     docs, jobs = ledger(r)
     return lg.excluded(jobs, docs.filter("n_chars < 100").select("subject_key")).select("subject_key", "status", F.col("source_fingerprint").alias("fp"))
 
 
-@query("stm7_cascade", CAPS + ", g AS (SELECT id, image_hash FROM captures WHERE k < 90) SELECT DISTINCT image_hash FROM g WHERE image_hash NOT IN (SELECT image_hash FROM captures WHERE k >= 90)")
+@query("stm7_cascade", CAPS + ", g AS (SELECT id, image_hash FROM captures WHERE k < 90), h AS (SELECT DISTINCT image_hash FROM g WHERE image_hash NOT IN (SELECT image_hash FROM captures WHERE k >= 90 AND value <= 30)) SELECT 'text' AS kind, CAST(id AS VARCHAR) AS subject_key FROM g UNION ALL SELECT 'image', image_hash FROM h")
 def cascade(r: Roles) -> DataFrame:
-    c = r.captures()
-    return lg.cascade(c, c.filter("k < 90").select("id"))[1]
+    c = r.captures().withColumn("is_deleted", F.col("value") > 30)
+    ids, hashes = lg.cascade(c, c.filter("k < 90").select("id"))
+    return ids.select(F.lit("text").alias("kind"), F.col("id").cast("string").alias("subject_key")).unionAll(hashes.select(F.lit("image"), "image_hash"))
 
 
 @query("stm8_epochs", "SELECT lang AS kind, 5 + max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS epoch FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
@@ -238,12 +219,6 @@ def reconcile(r: Roles) -> DataFrame:
     return lg.reconciled(r.texts().select(F.col("id").cast("string").alias("subject_key"), text.alias("index_text")), ledger(r)[1])
 
 
-@query("stm14_import_page", "SELECT 'text' AS kind, doc_id AS id FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 64")
-def import_page(r: Roles) -> DataFrame:
-    page = r.texts().filter("id > 100").orderBy("id").limit(64).select(F.lit("text").alias("kind"), "id")
-    return lg.imported(page, "text", 100, 100)
-
-
 @query("stm16_retry_list", SQL_LEDGER + "SELECT subject_key, row_number() OVER (ORDER BY updated_at, subject_key) <= 32 AS again FROM jobs WHERE status = 'failed'")
 def retry_list(r: Roles) -> DataFrame:
     failed = ledger(r)[1].filter("status = 'failed'").select("subject_key", "updated_at")
@@ -311,13 +286,20 @@ def percent_decode(r: Roles) -> DataFrame:
     return r.table("pages").select("page_id", tx.percent_decoded(F.concat("url", F.lit("%20%E4%BD%A0+5%"))).alias("url"))
 
 
-@query("str22_title_entity", rf"""WITH t AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'me/repo' || page_id || ' at main' WHEN 1 THEN left({TITLE}, 20) || ' | Site ' || page_id WHEN 2 THEN 'a.py - proj' || page_id || ' - Cursor' ELSE {TITLE} END AS t FROM pages),
- s AS (SELECT page_id, t, regexp_extract(t, '(?:^|[\s:/·])[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+)', 1) AS repo, list_filter(list_transform(string_split_regex(t, '\s+[-|·]\s+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM t)
- SELECT page_id, CASE WHEN repo <> '' THEN repo WHEN page_id % 4 = 2 THEN 'proj' || page_id WHEN len(p) > 1 AND length(p[-1]) BETWEEN 2 AND 48 THEN p[-1] WHEN length(t) > 64 THEN substr(t, 1, 61) || '...' ELSE t END AS entity FROM s""")
+@query("str22_title_entity", rf"""WITH t AS (SELECT page_id, page_id % 6 AS n, CASE page_id % 6 WHEN 0 THEN 'Pull requests · me/repo' || page_id || '  - GitHub' WHEN 1 THEN left({TITLE}, 20) || ' | Site ' || page_id || ' - google chrome' WHEN 2 THEN 'a.py - proj' || page_id || ' - Visual Studio Code' WHEN 3 THEN {TITLE} || ' - Mozilla Firefox' WHEN 4 THEN {TITLE} || ' · Notes' ELSE {TITLE} END AS t FROM pages),
+ c AS (SELECT page_id, n, trim(regexp_replace(regexp_replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '(?i) [-|·] (GitHub|Notes|Mozilla Firefox|Visual Studio Code|Google Chrome)$', ''), '', '')) AS t FROM t),
+ s AS (SELECT page_id, n, t, regexp_extract(t, '(?:^|[\s:/·])[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+)', 1) AS repo, list_filter(list_transform(string_split_regex(t, '\s+[-|·]\s+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM c)
+ SELECT page_id, CASE WHEN repo <> '' THEN repo WHEN n = 2 THEN 'proj' || page_id WHEN len(p) > 1 AND length(p[-1]) BETWEEN 2 AND 48 THEN p[-1] WHEN length(t) > 64 THEN substr(t, 1, 61) || '...' ELSE t END AS entity FROM s""")
 def title_entities(r: Roles) -> DataFrame:
-    n = F.col("page_id") % 4
-    p = titles(r).withColumn("t", F.when(n == 0, F.concat(F.lit("me/repo"), "page_id", F.lit(" at main"))).when(n == 1, F.concat(F.substring("title", 1, 20), F.lit(" | Site "), "page_id")).when(n == 2, F.concat(F.lit("a.py - proj"), "page_id", F.lit(" - Cursor"))).otherwise(F.col("title")))
-    return p.select("page_id", tx.title_entity(F.col("t"), n == 2).alias("entity"))
+    n, t = F.col("page_id") % 6, F.col("title")
+    title = (
+        F.when(n == 0, F.concat(F.lit("Pull requests · me/repo"), "page_id", F.lit("  - GitHub")))
+        .when(n == 1, F.concat(F.substring(t, 1, 20), F.lit(" | Site "), "page_id", F.lit(" - google chrome")))
+        .when(n == 2, F.concat(F.lit("a.py - proj"), "page_id", F.lit(" - Visual Studio Code")))
+        .when(n == 3, F.concat(t, F.lit(" - Mozilla Firefox"))).when(n == 4, F.concat(t, F.lit(" · Notes"))).otherwise(t)
+    )
+    process = F.when(n == 2, "Code.exe").when(n == 4, "notes.exe").otherwise("chrome.exe")
+    return titles(r).select("page_id", tx.title_entity(title, process, F.when(n == 0, "GitHub").otherwise("")).alias("entity"))
 
 
 @query("str35_anchor_hash", "SELECT item_id, sha256(text) AS hash FROM benchmark")

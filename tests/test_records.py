@@ -1,5 +1,6 @@
 """Ledger transitions, title rules and JSON redaction at their edges."""
 
+import hashlib
 import json
 
 import pytest
@@ -32,16 +33,21 @@ def test_percent_decoded(spark, url, want):
     assert one(spark, text.percent_decoded, url) == want
 
 
-@pytest.mark.parametrize(("title", "editor", "want"), [
-    ("me/tool: fix it", False, "tool"),
-    ("main.py - tool - Cursor", True, "tool"),
-    ("Some page | Site", False, "Site"),
-    ("Some page - Google Chrome", False, "Some page - Google Chrome"),
-    ("x" * 70, False, "x" * 61 + "..."),
-    (None, False, None),
+@pytest.mark.parametrize(("title", "process", "site", "want"), [
+    ("me/tool: fix it", "chrome.exe", "", "tool"),
+    ("Pull requests · example/paper - GitHub", "chrome.exe", "GitHub", "paper"),
+    ("main.jsx - paper - Visual Studio Code", "Code.exe", "", "paper"),
+    ("main.py - tool - Cursor", "cursor.exe", "", "tool"),
+    ("Some page | Site", "chrome.exe", "", "Site"),
+    ("Some page - Google Chrome", "chrome.exe", "", "Some page"),
+    ("Docs | Site - Google Chrome", "chrome.exe", "", "Site"),
+    ("Notes  for\tme - notes", "notes.exe", "", "Notes for me"),
+    ("x" * 70, None, None, "x" * 61 + "..."),
+    ("a (b) - C++", "x.exe", "C++", "a (b)"),
+    (None, None, None, None),
 ])
-def test_title_entity(spark, title, editor, want):
-    assert one(spark, lambda t: text.title_entity(t, F.lit(editor)), title) == want
+def test_title_entity(spark, title, process, site, want):
+    assert one(spark, lambda t: text.title_entity(t, F.lit(process).cast("string"), F.lit(site).cast("string")), title) == want
 
 
 @pytest.mark.parametrize(("value", "want"), [("", 0.0), ("a", 0.0), ("https://a.bc", 0.0)])
@@ -66,17 +72,24 @@ def test_generation_refuses_mixed_widths_and_ignores_order(spark):
     cols = "subject_key string, dims int, model_id string, payload string"
     a = ledger.generation(spark.createDataFrame(rows, cols), 1).first()
     assert a == ledger.generation(spark.createDataFrame(rows[::-1], cols), 1).first()
-    assert ledger.generation(spark.createDataFrame([], cols), 1).first()["checksum"] == "0"
+    assert a["checksum"] != ledger.generation(spark.createDataFrame([*rows[1:], ("0", 4, "m", "other")], cols), 1).first()["checksum"]
+    assert ledger.generation(spark.createDataFrame([], cols), 1).first()["checksum"] == hashlib.sha256(b"").hexdigest()
     with pytest.raises(Exception, match="mixed"):
         ledger.generation(spark.createDataFrame([*rows, ("x", 5, "m", "p")], cols), 1).collect()
 
 
-def test_import_refuses_a_moved_cursor_and_another_kind(spark):
-    page = spark.createDataFrame([("text", 1), ("image", 2)], "kind string, id int")
-    with pytest.raises(ValueError, match="at 3"):
-        ledger.imported(page, "text", 3, 2)
-    with pytest.raises(Exception, match="another kind"):
-        ledger.imported(page, "text", 2, 2).collect()
+def test_of_equal_new_rows_the_first_is_pending(spark):
+    cols = "id long, image_hash string, is_deleted boolean"
+    old = spark.createDataFrame([(1, "a", False), (2, "b", True), (3, "a", None)], cols)
+    new = spark.createDataFrame([(10, "c", None), (11, "c", None), (12, "a", None), (13, "b", None), (14, "b", None), (15, None, None)], cols)
+    got = {r["id"]: (r["status"], r["duplicate_of"]) for r in ledger.pending_insert(old, new).collect()}
+    assert got == {10: ("pending", None), 11: ("duplicate", 10), 12: ("duplicate", 1), 13: ("pending", None), 14: ("duplicate", 13), 15: ("pending", None)}
+
+
+def test_soft_deleted_rows_keep_no_hash_alive(spark):
+    rows = spark.createDataFrame([(1, "a", False), (2, "a", True), (3, "b", False), (4, "b", False)], "id long, image_hash string, is_deleted boolean")
+    ids, hashes = ledger.cascade(rows, spark.createDataFrame([(1,), (3,)], "id long"))
+    assert sorted(r[0] for r in ids.collect()) == [1, 3] and [r[0] for r in hashes.collect()] == ["a"]
 
 
 def test_a_group_can_be_replaced_by_nothing(spark):

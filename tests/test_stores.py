@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolake.operators import search
+from chronolake.operators.fenced import DerivedIndex
 from chronolake.operators.bitmap_index import BLOCK_BITS, BitmapIndex, packed, unlinked, unpacked
 from chronolake.sources.snapshots import Conflict, Snapshots, Stale
 from chronolake.streaming import index as streaming_index
@@ -180,3 +181,110 @@ def test_a_stream_of_several_batches_equals_one(spark, tmp_path):
     stored = BitmapIndex(Snapshots(spark, f"file://{tmp_path}/ix"))
     assert len(stored.store.read()["tables"]["postings"]["parts"]) == 4
     assert as_sets(stored) == plain(rows)
+
+
+# The ledger
+
+JOB = "index_kind string, subject_key string, model_id string, model_revision string, embedding_version int, source_fingerprint string"
+
+
+def contract(k, fp="f", kind="text"):
+    return (kind, str(k), "m", "r", 1, fp)
+
+
+def jobs_of(spark, *rows):
+    return spark.createDataFrame([(*contract(k), status, 0, None, None) for k, status in rows], JOB + ", status string, attempts int, next_retry_at timestamp, updated_at timestamp")
+
+
+def update(spark, token, new, *keys, fp="f"):
+    return spark.createDataFrame([(*contract(k, fp), token, new, None) for k in keys], JOB + ", token long, new_status string, retry_at timestamp")
+
+
+def vector(spark, token, value, *keys, fp="f"):
+    return spark.createDataFrame([(*contract(k, fp), token, [value, 1.0]) for k in keys], JOB + ", token long, vector array<double>")
+
+
+def subjects(spark, *keys):
+    return spark.createDataFrame([("text", str(k)) for k in keys], "index_kind string, subject_key string")
+
+
+def states(index):
+    return {r["subject_key"]: (r["status"], r["attempts"], r["lease_token"]) for r in index.jobs().collect()}
+
+
+def now():
+    return F.timestamp_seconds(F.lit(1000))
+
+
+def test_a_late_worker_is_fenced(spark, store):
+    index = DerivedIndex(store)
+    index.seed(jobs_of(spark, (1, "pending"), (2, "completed")), spark.createDataFrame([], JOB + ", vector array<double>"))
+    first = index.claim(now())
+    assert states(index)["1"] == ("processing", 0, first)
+    # Start-up recovery puts the job back, and another claim of the same run takes it.
+    index.settle(update(spark, first, "pending", 1))
+    second = index.claim(now())
+    assert second > first
+    for act in (lambda: index.settle(update(spark, first, "failed", 1)), lambda: index.complete(vector(spark, first, 9.0, 1), subjects(spark, 1))):
+        with pytest.raises(Stale):
+            act()
+    with pytest.raises(Stale):
+        index.settle(update(spark, second, "failed", 1, fp="other"))
+    with pytest.raises(ValueError, match="not active"):
+        index.complete(vector(spark, second, 5.0, 1), subjects(spark, 2))
+    assert states(index)["1"] == ("processing", 0, second) and index.vectors().count() == 0
+    index.complete(vector(spark, second, 5.0, 1), subjects(spark, 1))
+    assert states(index)["1"] == ("completed", 0, None) and index.vectors().first()["vector"] == [5.0, 1.0]
+    assert store.guard("epoch/text") == 1
+
+
+def test_settling_is_all_or_none(spark, store):
+    index = DerivedIndex(store)
+    index.seed(jobs_of(spark, (1, "pending"), (2, "pending"), (3, "completed")))
+    token = index.claim(now())
+    with pytest.raises(Stale, match="1 leases"):
+        index.settle(update(spark, token, "failed", 1, 3))
+    assert states(index)["1"] == ("processing", 0, token)
+    index.settle(update(spark, token, "failed", 1).unionAll(update(spark, token, "waiting_for_auth", 2)))
+    assert states(index) == {"1": ("failed", 1, None), "2": ("waiting_for_auth", 0, None), "3": ("completed", 0, None)}
+
+
+def test_a_stale_generation_is_not_recorded(spark, store, monkeypatch):
+    index = DerivedIndex(store)
+    index.seed(jobs_of(spark, (1, "pending"), (2, "pending")), spark.createDataFrame([], JOB + ", vector array<double>"))
+    token = index.claim(now())
+    index.complete(vector(spark, token, 1.0, 1), subjects(spark, 1))
+    record = index.publish("text")
+    assert (record["n"], record["dims"], record["epoch"]) == (1, 2, 1)
+    assert store.table("generation/text").count() == 1
+    # While the next one is written, another worker completes a vector.
+    stage = store.stage
+
+    def slow(df, partition_by=()):
+        monkeypatch.setattr(store, "stage", stage)
+        out = stage(df, partition_by)
+        DerivedIndex(Snapshots(spark, store.path)).complete(vector(spark, token, 2.0, 2), subjects(spark, 2))
+        return out
+
+    monkeypatch.setattr(store, "stage", slow)
+    with pytest.raises(Stale):
+        index.publish("text")
+    assert store.table("generation/text").count() == 1 and store.table("generations").first()["epoch"] == 1
+    assert index.publish("text")["n"] == 2
+
+
+def test_pages_move_the_cursor_with_their_rows(spark, store):
+    index = DerivedIndex(store)
+    index.seed(jobs_of(spark, (1, "completed"), (2, "pending")), spark.createDataFrame([], JOB + ", vector array<double>"))
+    page = vector(spark, 0, 3.0, 1, 2, 3).drop("token").withColumn("outcome", F.when(F.col("subject_key") == "3", "legacy_unverified").otherwise("migrated"))
+    live = subjects(spark, 1, 2, 3)
+    foreign = page.withColumn("index_kind", F.lit("image"))
+    for bad, error in ((lambda: index.import_page("r", "text", page, live, 5, 9), Stale), (lambda: index.import_page("r", "text", page, live, 0, -1), ValueError), (lambda: index.import_page("r", "text", page, subjects(spark, 1, 2), 0, 3), ValueError), (lambda: index.import_page("r", "text", foreign, live, 0, 3), ValueError)):
+        with pytest.raises(error):
+            bad()
+    assert index.vectors().count() == 0 and store.guard("cursor/r") == 0
+    assert index.import_page("r", "text", page, live, 0, 3) == {"migrated": 1, "already_current": 1, "legacy_unverified": 1}
+    assert store.guard("cursor/r") == 3 and {k: v[0] for k, v in states(index).items()} == {"1": "completed", "2": "completed", "3": "completed"}
+    # The same page again, after a reply that was lost: the cursor has moved.
+    with pytest.raises(Stale):
+        index.import_page("r", "text", page, live, 0, 3)
