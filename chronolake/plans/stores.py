@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.fenced import CONTRACT, KEY, DerivedIndex
+from ..operators.ledger import pending_insert
 from ..sources.checkpoints import folder
 from ..sources.roles import Roles
 from ..sources.snapshots import Snapshots
+from ..streaming import frames, queue
 from .registry import query
 from .relations import NOW, SQL_LEDGER, ledger
 
@@ -94,3 +96,27 @@ def import_pages(r: Roles) -> DataFrame:
     seen = index.store.table("imports").select("subject_key", "outcome")
     state = index.jobs().join(index.vectors().select(*KEY, F.col("vector")[1].cast("int").alias("mark")), KEY)
     return seen.join(state.select("subject_key", "status", "mark"), "subject_key")
+
+
+def screen_frames(r: Roles) -> DataFrame:
+    """Captures as frames: the owner's screen, the event type as window, deep values as excluded windows."""
+    c = r.captures().withColumns({"stream": F.col("owner"), "window": F.col("process_name"), "excluded": F.col("k") >= 95})
+    look = F.array(F.xxhash64(F.floor(F.col("value") / 40)), F.col("k").cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return frames.frame_rows(c.withColumn("hash", look), F.col("created_at"))
+
+
+@query("stm13_capture_loop")
+def capture_loop(r: Roles) -> DataFrame:
+    """Every frame through exclusion, focus and interval, look-alikes and equal images, to pending rows."""
+    kept = frames.captured_frames(screen_frames(r), 3_600_000)
+    none = kept.select("id", "image_hash").limit(0).withColumn("is_deleted", F.lit(False))
+    return kept.join(pending_insert(none, kept.select("id", "image_hash")), "id").select("stream", "id", "at_ms", "reason", "status", "duplicate_of")
+
+
+@query("stm10_retry_steps")
+def retry_steps(r: Roles) -> DataFrame:
+    """Each owner's job: views queue it, errors fail it, purchases finish it; 30 days after the last event all have ended."""
+    c = r.captures().withColumn("at_ms", F.unix_millis("created_at"))
+    what = F.when(F.col("process_name") == "error", "fail").when(F.col("process_name") == "purchase", "done").otherwise("enqueue")
+    last = c.agg(F.max("at_ms")).first()[0] or 0
+    return queue.queue_steps(c.select(F.col("owner").alias("subject"), what.alias("what"), F.col("created_at").alias("at"), "at_ms", F.col("id").alias("seq")), last + queue.KEEP_MS)

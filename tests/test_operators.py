@@ -137,16 +137,6 @@ def test_frames_are_compared_with_kept_ones_only(spark):
     assert sorted(r["t"] for r in got.collect()) == [1, 3, 4, 5]
 
 
-def test_streamed_frames(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 1, [0]), (1, 2, [1]), (1, 3, [(1 << 40) - 1])], "s int, created_at int, h array<long>")
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = frames.streamed_suppression(stream, "s", "h").writeStream.format("memory").queryName("kept_frames").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(r["created_at"] for r in spark.table("kept_frames").collect()) == [1, 3]
-
-
 def test_index_picks_up_what_is_new(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
     spark.createDataFrame([(1, "abc")], "id long, text string").write.parquet(src)
