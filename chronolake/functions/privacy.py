@@ -7,11 +7,15 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import words as automata
+
 # Fixed values of the identity-card checksum: weights of the 17 digits, and check characters by remainder.
 ID_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
 ID_CHECKS = "10X98765432"
-#: Entities under this score are dropped.
+#: Entities under this score are dropped (a fixed value of the rule).
 LEAST_SCORE = 0.3
+#: Lists of more words than this are compiled into an automaton; results are the same.
+LONG_LIST = 64
 
 
 def word_pattern(words: list[str], boundary: bool = False) -> str:
@@ -23,6 +27,8 @@ def word_pattern(words: list[str], boundary: bool = False) -> str:
 
 def contains_any(text: Column, words: list[str]) -> Column:
     """Whether a text contains a word of the list, case of ASCII letters aside; null: false."""
+    if len(words) > LONG_LIST:
+        return automata.contains(text, words)
     return F.coalesce(text.rlike(word_pattern(words)), F.lit(False))
 
 
@@ -31,6 +37,8 @@ def masked(text: Column, words: list[str]) -> Column:
 
     Matches and gaps alternate, so the text is rebuilt from both in order.
     """
+    if len(words) > LONG_LIST:
+        return automata.masked(text, words)
     p = word_pattern(words)
     gaps = F.split(text, p, -1)
     hits = F.regexp_extract_all(text, F.lit(p), F.lit(1))
@@ -76,7 +84,7 @@ PATTERNS = {
     "IP": (r"\b((?:[0-9]{1,3}\.){3}[0-9]{1,3})\b", 0.4),
     "PHONE": (r"(\+?[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4})", 0.5),
     "MOBILE": (r"(?<![0-9])(1[3-9][0-9]{9})(?![0-9])", 0.5),
-    "ID_CARD": (r"(?<![0-9])([0-9]{17}[0-9Xx])(?![0-9Xx])", 0.4),
+    "ID_CARD": (r"(?<![0-9])([0-9]{17}[0-9Xx])(?![0-9])", 0.4),
     "BANK_CARD": (r"(?<![0-9])([3-6][0-9]{15,18})(?![0-9])", 0.3),
 }
 
@@ -112,9 +120,9 @@ def mask_pii(text: Column) -> Column:
 
 
 def normalize_digits(text: Column) -> Column:
-    """Full-width digits to ASCII; spaces and dashes between digits dropped."""
+    """Full-width digits to ASCII; spaces and dashes between digits dropped. ``spans.normalize`` has the way back."""
     wide = "".join(chr(0xFF10 + i) for i in range(10))
-    return F.regexp_replace(F.translate(text, wide, "0123456789"), r"(?<=[0-9])[ -]+(?=[0-9])", "")
+    return F.regexp_replace(F.translate(text, wide, "0123456789"), "(?<=[0-9])[ \\-\u2013\u2014]+(?=[0-9])", "")
 
 
 #: A JSON string literal, with the colon that follows it if it is a key.
@@ -131,11 +139,15 @@ def json_contains(json: Column, words: list[str]) -> Column:
 
     Values are searched as they are written, escapes included.
     """
+    if len(words) > LONG_LIST:
+        return automata.json_contains(json, words)
     return F.coalesce(F.exists(leaves(json), lambda x: x.rlike(word_pattern(words))), F.lit(False))
 
 
 def json_masked(json: Column, words: list[str]) -> Column:
     """The JSON text with the words masked in its string values, at any depth."""
+    if len(words) > LONG_LIST:
+        return automata.json_masked(json, words)
     gaps, found = F.split(json, LITERAL, -1), F.regexp_extract_all(json, F.lit(LITERAL), F.lit(0))
     new = F.transform(found, lambda x: F.when(x.endswith(":"), x).otherwise(masked(x, words)))
     return F.array_join(F.zip_with(gaps, new, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
