@@ -90,6 +90,53 @@ def classified(scores: DataFrame, least: float = 0.38) -> DataFrame:
     return best.select("id", F.when(-F.col("b.s") >= least, F.col("b.category")).otherwise("unclassified").alias("category"), (-F.col("b.s")).alias("score"))
 
 
+#: Fixed values of the classification rule: a title below the first is helped by the text, unless a local hit of the second says the same; bonus of a process.
+SURE_TITLE, LOCAL_VETO, PRIOR_BONUS, TITLE_SHARE = 0.55, 0.5, 0.12, 0.8
+
+
+def _best(scores: DataFrame, category: str, score: str) -> DataFrame:
+    best = scores.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "category")).alias("b"))
+    return best.select("id", F.col("b.category").alias(category), (-F.col("b.s")).alias(score))
+
+
+def classification(queries: DataFrame, anchors: DataFrame, prior: dict[str, str], least: float = 0.38, title_share: float = TITLE_SHARE) -> DataFrame:
+    """Each query's category and how it came about, one row a query.
+
+    ``queries``: id, process_name, title_vector and text_vector, which may be
+    null. The title's local and global scores are blended. Where the best of
+    them is under ``SURE_TITLE``, no local hit of ``LOCAL_VETO`` or more agrees
+    with it, and there is a text, the text's blend counts for the rest of
+    ``title_share``. Then the category that goes with the process (``prior``,
+    by lower-cased name) gets its bonus. Ties go to the first name; under
+    ``least`` a query is unclassified and keeps its score.
+
+    (id, category, score, title_category, title_score, local_category,
+    local_score, vetoed, text_used, prior_category)
+    """
+    channel = lambda v, c: category_scores(queries.filter(F.col(v).isNotNull()).select("id", "process_name", F.col(v).alias("vector")), anchors, c)
+    local = channel("title_vector", "local")
+    title, text = blended(local, channel("title_vector", "global")), blended(channel("text_vector", "local"), channel("text_vector", "global"))
+    process, goes = F.lower(F.trim("process_name")), F.lit(None).cast("string")
+    for name, category in prior.items():
+        goes = F.when(process == name, category).otherwise(goes)
+    q = queries.select("id", F.col("text_vector").isNotNull().alias("_text"), goes.alias("prior_category"))
+    q = q.join(_best(title, "title_category", "title_score"), "id", "left").join(_best(local, "local_category", "local_score"), "id", "left")
+    q = q.withColumn("title_score", F.coalesce("title_score", F.lit(0.0)))
+    unsure = F.col("title_score") < SURE_TITLE
+    agrees = F.coalesce((F.col("local_score") >= LOCAL_VETO) & F.col("local_category").eqNullSafe(F.col("title_category")), F.lit(False))
+    q = q.withColumns({"vetoed": unsure & F.col("_text") & agrees, "text_used": unsure & F.col("_text") & ~agrees})
+    both = title.select("id", "category", F.col("score").alias("_t")).join(text.select("id", "category", F.col("score").alias("_o")), ["id", "category"], "full_outer")
+    # The prior's category counts even where no anchor of it was hit.
+    both = both.unionByName(q.filter("prior_category is not null").select("id", F.col("prior_category").alias("category")), allowMissingColumns=True)
+    both = both.groupBy("id", "category").agg(F.max("_t").alias("_t"), F.max("_o").alias("_o"))
+    j = both.join(q.select("id", "text_used", "prior_category"), "id")
+    t, o = F.coalesce("_t", F.lit(0.0)), F.coalesce("_o", F.lit(0.0))
+    score = F.when(F.col("text_used"), title_share * t + (1 - title_share) * o).otherwise(t) + F.when(F.col("category") == F.col("prior_category"), PRIOR_BONUS).otherwise(0.0)
+    out = q.drop("_text").join(_best(j.select("id", "category", score.alias("score")), "_c", "_s"), "id", "left").withColumn("score", F.coalesce("_s", F.lit(0.0)))
+    names = ("title_category", "title_score", "local_category", "local_score", "vetoed", "text_used", "prior_category")
+    return out.select("id", F.when(F.col("score") >= least, F.col("_c")).otherwise("unclassified").alias("category"), "score", *names)
+
+
 def cluster_summary(members: DataFrame) -> DataFrame:
     """(label, n, first, last, process_name): members (label, created_at, process_name, id) of each label, noise (-1) apart.
 

@@ -128,13 +128,6 @@ def named_totals(r: Roles) -> DataFrame:
     return a.join(b, "name", "full_outer").select("name", (zero("bn") - zero("an")).alias("events"), F.round(zero("bv") - zero("av"), 4).alias("bytes"))
 
 
-@query("joi27_anchor_scope", "SELECT e.event_id AS id, n.n_name AS anchor FROM events e JOIN nation n ON n.n_regionkey <> 0 OR n.n_nationkey = e.user_id")
-def anchor_scope(r: Roles) -> DataFrame:
-    n = r.table("nation")
-    fits = (n["n_regionkey"] != 0) | (n["n_nationkey"] == F.col("owner"))
-    return r.captures().join(n, fits).select("id", F.col("n_name").alias("anchor"))
-
-
 @query("agg15_visible_count", SQL_LEDGER + f"SELECT count(*) AS n, count(*) > 0 AS any {DONE}")
 def visible_count(r: Roles) -> DataFrame:
     return rel.visible(*ledger(r)).agg(F.count("*").alias("n"), (F.count("*") > 0).alias("any"))
@@ -276,11 +269,6 @@ def delete_candidates(r: Roles) -> DataFrame:
     return q.join(p, F.col("k") == F.col("_p"), "left").select(F.col("k").alias("id"), F.col("_p").isNull().alias("purge"))
 
 
-@query("snk13_link_set_rows", f"WITH {SQL_PARENTS}, {SQL_CHILDREN} SELECT parent_id, string_agg(CAST(part AS VARCHAR), ',' ORDER BY part) AS parts FROM (SELECT DISTINCT parent_id, part FROM children WHERE NOT is_deleted) GROUP BY 1")
-def link_set_rows(r: Roles) -> DataFrame:
-    return kids(r).groupBy("parent_id").agg(F.array_join(F.array_sort(F.collect_set("part")).cast("array<string>"), ",").alias("parts"))
-
-
 @query("snk16_category_update", CAPS + "SELECT id, coalesce(CASE WHEN id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'flagged' END, category) AS category FROM captures")
 def category_update(r: Roles) -> DataFrame:
     new = r.table("labels").filter("toxic = 1").select("doc_id").distinct()
@@ -300,9 +288,3 @@ def backfill(r: Roles) -> DataFrame:
     return texts.join(r.vectors(), "id", "left_anti")
 
 
-@query("snk29_anchor_removal", f"WITH {SQL_VECTORS} SELECT CAST(label AS VARCHAR) AS category, count(*) AS n FROM vectors WHERE id < 40 AND NOT (label = 3 AND id < 30) GROUP BY 1")
-def anchor_removal(r: Roles) -> DataFrame:
-    a = r.vectors().filter("id < 40").filter(~((F.col("label") == 3) & (F.col("id") < 30)))
-    return a.groupBy(F.col("label").cast("string").alias("category")).agg(F.count("*").alias("n"))
-
-

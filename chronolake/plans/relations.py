@@ -56,12 +56,6 @@ def visible(r: Roles) -> DataFrame:
     return rel.visible(*ledger(r)).select("subject_key", "n_chars")
 
 
-@query("agg13_contract_uniformity", SQL_LEDGER + "SELECT count(*) AS n, min(d.n_chars) AS low, max(d.n_chars) AS high, min(d.n_chars) = max(d.n_chars) AS uniform FROM docs d JOIN jobs j ON d.subject_key = j.subject_key AND d.fp = j.fp WHERE j.status = 'completed'")
-def contract_uniformity(r: Roles) -> DataFrame:
-    v = rel.visible(*ledger(r))
-    return v.agg(F.count("*").alias("n"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"), (F.min("n_chars") == F.max("n_chars")).alias("uniform"))
-
-
 @query("agg14_cache_admission", SQL_LEDGER + "SELECT count(*) AS n, CAST(sum(strlen(d.subject_key)) AS BIGINT) AS key_bytes FROM docs d JOIN jobs j ON d.subject_key = j.subject_key AND d.fp = j.fp WHERE j.status = 'completed'")
 def cache_admission(r: Roles) -> DataFrame:
     return rel.visible(*ledger(r)).agg(F.count("*").alias("n"), F.sum(F.octet_length("subject_key")).alias("key_bytes"))

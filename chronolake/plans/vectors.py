@@ -6,21 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as vx
+from ..operators import similarity as si
 from ..operators import vectors as v
 from ..sources.roles import SQL_VECTORS, Roles
 from .registry import query
 
 Q = f"WITH {SQL_VECTORS}, q AS (SELECT vector AS qv FROM vectors WHERE id = 0), s AS (SELECT id, label, list_dot_product(vector, qv) AS score FROM vectors, q) "
-#: Anchors: the first vectors of each label, a stated set.
-SQL_ANCHORS = f"{SQL_VECTORS}, anchors AS (SELECT id AS anchor, CAST(label AS VARCHAR) AS category, vector AS av, 1.0 + label / 10.0 AS weight, CASE WHEN label % 2 = 0 THEN 'local' ELSE 'global' END AS scope, 'p' || CAST(label AS VARCHAR) AS process_name FROM vectors WHERE id < 40), qs AS (SELECT id, vector, 'p' || CAST(label AS VARCHAR) AS process_name FROM vectors)"
+#: Anchors: the vectors that the benchmark names, a stated set.
+SQL_ANCHORS = f"{SQL_VECTORS}, anchors AS (SELECT id AS anchor, CAST(label AS VARCHAR) AS category, vector AS av, 1.0 + label / 10.0 AS weight, CASE WHEN label % 2 = 0 THEN 'local' ELSE 'global' END AS scope, 'p' || CAST(label AS VARCHAR) AS process_name FROM vectors WHERE id IN (SELECT item_id FROM benchmark)), qs AS (SELECT id, vector, 'p' || CAST(label AS VARCHAR) AS process_name FROM vectors)"
 
 
 def first_vector(r: Roles) -> list[float]:
     return [float(x) for x in r.vectors().filter("id = 0").first()["vector"]]
 
 
+def stated(r: Roles) -> DataFrame:
+    """The vectors that the benchmark names: the stated set of anchors."""
+    return r.vectors().join(r.table("benchmark").select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
+
+
 def anchors(r: Roles) -> DataFrame:
-    return r.vectors().filter("id < 40").select(F.col("label").cast("string").alias("category"), "vector", (1.0 + F.col("label") / 10.0).alias("weight"), F.when(F.col("label") % 2 == 0, "local").otherwise("global").alias("scope"), F.concat(F.lit("p"), F.col("label").cast("string")).alias("process_name"))
+    return stated(r).select(F.col("label").cast("string").alias("category"), "vector", (1.0 + F.col("label") / 10.0).alias("weight"), F.when(F.col("label") % 2 == 0, "local").otherwise("global").alias("scope"), F.concat(F.lit("p"), F.col("label").cast("string")).alias("process_name"))
 
 
 def subjects(r: Roles) -> DataFrame:
@@ -87,7 +93,7 @@ def best_centroid(r: Roles) -> DataFrame:
 
 @query("joi26_prefilter", f"WITH {SQL_ANCHORS} SELECT a.anchor, q.id FROM anchors a, qs q WHERE list_dot_product(a.av, q.vector) >= 0.3")
 def prefilter(r: Roles) -> DataFrame:
-    a = r.vectors().filter("id < 40").select(F.col("id").alias("anchor"), F.col("vector").alias("av"))
+    a = stated(r).select(F.col("id").alias("anchor"), F.col("vector").alias("av"))
     return r.vectors().crossJoin(a).filter(vx.dot(F.col("av"), F.col("vector")) >= 0.3).select("anchor", "id")
 
 
@@ -106,13 +112,6 @@ def channel_blend(r: Roles) -> DataFrame:
     return v.blended(v.category_scores(subjects(r), anchors(r), "local"), v.category_scores(subjects(r), anchors(r), "global")).withColumn("score", F.round("score", 6))
 
 
-@query("clu7_semantic_duplicates", f"WITH {SQL_ANCHORS} SELECT DISTINCT q.id FROM qs q JOIN anchors a ON a.process_name = q.process_name AND a.anchor <> q.id WHERE list_dot_product(a.av, q.vector) > 0.25")
-def semantic_duplicates(r: Roles) -> DataFrame:
-    a = r.vectors().filter("id < 40").select(F.col("id").alias("anchor"), F.concat(F.lit("p"), F.col("label").cast("string")).alias("process_name"), F.col("vector").alias("av"))
-    s = subjects(r).join(a, "process_name")
-    return s.filter((F.col("anchor") != F.col("id")) & (vx.dot(F.col("av"), F.col("vector")) > 0.25)).select("id").distinct()
-
-
 @query("agg16_cluster_summary", "WITH m AS (SELECT user_id % 10 AS label, ts, event_type, event_id FROM events), c AS (SELECT label, event_type, count(*) AS n, min(event_id) AS f FROM m GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, f) AS p FROM c) SELECT m.label, count(*) AS n, CAST(floor(epoch(min(ts))) AS BIGINT) AS first, CAST(floor(epoch(max(ts))) AS BIGINT) AS last, any_value(o.event_type) AS process_name FROM m JOIN o ON o.label = m.label AND o.p = 1 GROUP BY 1")
 def cluster_summary(r: Roles) -> DataFrame:
     m = r.captures().select((F.col("owner") % 10).alias("label"), "created_at", "process_name", "id")
@@ -151,3 +150,53 @@ def backfill_seconds(r: Roles) -> DataFrame:
 @query("vec12_nice_bucket", "SELECT event_id AS id, CASE WHEN value * 1e7 / 150 <= 60000 THEN 60000 WHEN value * 1e7 / 150 <= 300000 THEN 300000 WHEN value * 1e7 / 150 <= 900000 THEN 900000 WHEN value * 1e7 / 150 <= 1800000 THEN 1800000 WHEN value * 1e7 / 150 <= 3600000 THEN 3600000 WHEN value * 1e7 / 150 <= 21600000 THEN 21600000 ELSE 86400000 END AS bucket FROM events")
 def nice_bucket(r: Roles) -> DataFrame:
     return r.captures().select("id", vx.nice_bucket(F.col("value") * 1e7).alias("bucket"))
+
+
+PRIOR = {"p1": "1", "p2": "7"}
+SQL_CHANNELS = f"""WITH {SQL_ANCHORS}, sides AS (SELECT id, process_name, 'title' AS side, vector FROM qs UNION ALL SELECT id, process_name, 'text', list_reverse(vector) FROM qs WHERE id % 3 <> 0),
+ p AS (SELECT q.id, q.side, a.scope, a.category, a.weight, list_dot_product(q.vector, a.av) AS cos FROM sides q JOIN anchors a ON a.scope <> 'local' OR a.process_name = q.process_name),
+ g AS (SELECT id, side, scope, category, max(cos) + 0.05 * (arg_max(weight, cos * 1000 + weight / 1000) - 1) AS score FROM p WHERE cos >= 0.3 GROUP BY ALL),
+ kinds AS (SELECT id, side, count(*) FILTER (WHERE score > 0) AS n FROM g WHERE scope = 'local' GROUP BY ALL),
+ b AS (SELECT id, side, category, sum(CASE WHEN scope = 'local' THEN 0 ELSE score END) + coalesce(max(CASE WHEN n >= 4 THEN 0.5 WHEN n >= 2 THEN 0.3 WHEN n = 1 THEN 0.15 END), 0) * sum(CASE WHEN scope = 'local' THEN score ELSE 0 END) AS score FROM g LEFT JOIN kinds USING (id, side) GROUP BY id, side, category),
+ best AS (SELECT id, category AS title_category, score AS title_score FROM b WHERE side = 'title' QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, category) = 1),
+ lbest AS (SELECT id, category AS local_category, score AS local_score FROM g WHERE side = 'title' AND scope = 'local' QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, category) = 1),
+ q AS (SELECT qs.id, title_category, coalesce(title_score, 0) AS title_score, local_category, local_score, CASE process_name WHEN 'p1' THEN '1' WHEN 'p2' THEN '7' END AS prior_category,
+   coalesce(title_score, 0) < 0.55 AND qs.id % 3 <> 0 AS open, coalesce(local_score >= 0.5 AND local_category = title_category, false) AS agrees FROM qs LEFT JOIN best USING (id) LEFT JOIN lbest USING (id)),
+ cats AS (SELECT id, category FROM b UNION SELECT id, prior_category FROM q WHERE prior_category IS NOT NULL),
+ f AS (SELECT c.id, c.category, CASE WHEN q.open AND NOT q.agrees THEN 0.8 * coalesce(t.score, 0) + (1 - 0.8) * coalesce(o.score, 0) ELSE coalesce(t.score, 0) END + CASE WHEN c.category = q.prior_category THEN 0.12 ELSE 0 END AS score
+   FROM cats c JOIN q USING (id) LEFT JOIN b t ON t.id = c.id AND t.category = c.category AND t.side = 'title' LEFT JOIN b o ON o.id = c.id AND o.category = c.category AND o.side = 'text'),
+ w AS (SELECT id, category AS c, score FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, category) = 1) """
+
+
+def classified_rows(r: Roles) -> DataFrame:
+    q = subjects(r).select("id", "process_name", F.col("vector").alias("title_vector"), F.when(F.col("id") % 3 != 0, F.reverse("vector")).alias("text_vector"))
+    out = v.classification(q, anchors(r), PRIOR)
+    return out.withColumns({c: F.round(c, 6) for c in ("score", "title_score", "local_score")})
+
+
+@query("clu4_classification", SQL_CHANNELS + "SELECT q.id, CASE WHEN coalesce(score, 0) >= 0.38 THEN c ELSE 'unclassified' END AS category, round(coalesce(score, 0), 6) AS score FROM q LEFT JOIN w USING (id)")
+def classification(r: Roles) -> DataFrame:
+    return classified_rows(r).select("id", "category", "score")
+
+
+@query("clu16_trace", SQL_CHANNELS + "SELECT q.id, CASE WHEN coalesce(score, 0) >= 0.38 THEN c ELSE 'unclassified' END AS category, round(coalesce(score, 0), 6) AS score, title_category, round(title_score, 6) AS title_score, local_category, round(local_score, 6) AS local_score, open AND agrees AS vetoed, open AND NOT agrees AS text_used, prior_category FROM q LEFT JOIN w USING (id)")
+def trace(r: Roles) -> DataFrame:
+    return classified_rows(r)
+
+
+def feedback(r: Roles) -> DataFrame:
+    """Each vector as a correction: its label the category, what it says in three ways."""
+    turned = F.reverse("vector")
+    return r.vectors().select(
+        F.col("id").alias("seq"), F.col("label").cast("string").alias("category"), F.concat(F.lit("title "), "id").alias("title"), F.concat(F.lit("clean "), "id").alias("clean_title"),
+        (F.col("id") % 2 == 0).alias("informative"), F.repeat(F.lit("text "), 5).alias("ocr_text"), F.when(F.col("id") % 4 != 3, F.concat(F.lit("p"), (F.col("id") % 3).cast("string"))).alias("process_name"),
+        F.col("vector").alias("title_vector"), F.col("vector").alias("clean_vector"), turned.alias("ocr_vector"),
+    )
+
+
+@query("clu8_anchor_learning")
+def anchor_learning(r: Roles) -> DataFrame:
+    """All corrections learned in their order, none like an anchor of its category and scope; the stated vectors are anchors before."""
+    old = stated(r).select((F.col("id") - (1 << 40)).alias("id"), F.col("label").cast("string").alias("category"), F.lit("global").alias("scope"), F.lit("").alias("process_name"), "vector")
+    asked = si.anchor_candidates(feedback(r))
+    return si.learned_anchors(old, asked).select("id", "category", "scope", "process_name", "text", "weight", "source")
