@@ -39,7 +39,8 @@ def choose_pivots(vectors: DataFrame, most: int = PIVOTS) -> np.ndarray:
 
 
 def visits(vectors: DataFrame, pivots: np.ndarray, angle: float) -> DataFrame:
-    """(grp, cell, id, vector, home): a row at home and one in each cell visited."""
+    """(grp, cell, id, vector, home, ...): a row at home and one in each cell visited, other columns with it."""
+    rest = [c for c in vectors.columns if c not in ("grp", "id", "vector")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -50,61 +51,67 @@ def visits(vectors: DataFrame, pivots: np.ndarray, angle: float) -> DataFrame:
                 goes = far <= far[np.arange(len(home)), home][:, None] + 2 * angle + SLACK
                 goes &= np.arange(len(pivots)) <= home[:, None]
                 row, cell = np.nonzero(goes)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(cell.astype(np.int32)), part.column(1).take(take), part.column(2).take(take), pa.array(home[row] == cell)], names=["grp", "cell", "id", "vector", "home"])
+                moved = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*moved.columns, pa.array(cell.astype(np.int32)), pa.array(home[row] == cell)], names=[*moved.schema.names, "cell", "home"])
 
-    kind = vectors.schema["vector"].dataType.simpleString()
-    return vectors.select("grp", "id", "vector").mapInArrow(run, f"grp string, cell int, id long, vector {kind}, home boolean")
+    sent = vectors.select("grp", "id", "vector", *rest)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema)
+    return sent.mapInArrow(run, f"{fields}, cell int, home boolean")
 
 
-def near_pairs(vectors: DataFrame, above: float, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """(grp, a, b, cos), a < b: all pairs of rows (grp, id, vector) of one group with a cosine above the bound.
-
-    Vectors are of one length and not zero; ids differ. A bound of -1 or less
-    would be every pair, and is refused.
-    """
+def dealt(vectors: DataFrame, above: float, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """Rows (grp, id, vector, ...) by (grp, cell, low, high): each pair with a cosine above the bound meets in one such group, in ``pairs_of``."""
     if above <= -1:
         raise ValueError("every pair is above -1")
     points = choose_pivots(vectors, pivots)
     if not len(points):
-        return vectors.sparkSession.createDataFrame([], "grp string, a long, b long, cos double")
-    angle = float(np.arccos(np.clip(above, -1, 1)))
-    rows = written(visits(vectors, points, angle))
+        points = np.ones((1, 1))
+    rows = written(visits(vectors, points, float(np.arccos(np.clip(above, -1, 1)))))
     # A row for each cell that is too long for one task.
     hot = rows.groupBy("grp", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
-    dealt = rows.join(hot, ["grp", "cell"], "left").withColumn("own", F.expr("cast(pmod(xxhash64(id), coalesce(blocks, 1)) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")))
-    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("blocks", "other")
+    out = rows.join(hot, ["grp", "cell"], "left").withColumn("own", F.expr("cast(pmod(xxhash64(id), coalesce(blocks, 1)) as int)"))
+    out = out.withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")))
+    return out.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("blocks", "other")
+
+
+def pairs_of(t: pa.Table, above: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, cosine) of the pairs that a group of ``dealt`` is to compare, some rows at a time."""
+    x = _units(t.column("vector"))
+    own, home = t.column("own").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
+    low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+    left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    for at in range(0, len(left), 256):
+        i = left[at : at + 256]
+        c = x[i] @ x[right].T
+        r, k = np.nonzero(c > above)
+        u, v, w = i[r], right[k], c[r, k]
+        use = (home[u] | home[v]) & ((u < v) if low == high else True)
+        yield u[use], v[use], w[use]
+
+
+def near_pairs(vectors: DataFrame, above: float, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """(grp, a, b, cos), a < b: all pairs of rows (grp, id, vector) of one group with a cosine above the bound.
+
+    Vectors are of one length and not zero; ids differ. A bound of -1 or less
+    would be every pair, and is refused.
+    """
 
     def compare(t: pa.Table) -> pa.Table:
-        x, ids = _units(t.column("vector")), t.column("id").to_numpy()
-        own, home = t.column("own").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
-        left = np.flatnonzero(own == own.min()) if t.column("low")[0].as_py() != t.column("high")[0].as_py() else np.arange(len(ids))
-        right = np.flatnonzero(own == t.column("high")[0].as_py()) if len(left) < len(ids) else left
-        same = right is left
-        rows, cols, cos = [], [], []
-        for at in range(0, len(left), 256):
-            i = left[at : at + 256]
-            c = x[i] @ x[right].T
-            r, k = np.nonzero(c > above)
-            u, v, w = i[r], right[k], c[r, k]
-            use = (home[u] | home[v]) & ((u < v) if same else True)
-            rows.append(ids[u[use]])
-            cols.append(ids[v[use]])
-            cos.append(w[use])
-        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (rows, cols))
-        return pa.table({"grp": pa.array([t.column("grp")[0].as_py()] * len(a), pa.string()), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "cos": pa.array(np.concatenate(cos) if cos else np.zeros(0))})
-
-    return dealt.groupBy("grp", "cell", "low", "high").applyInArrow(compare, "grp string, a long, b long, cos double")
+        ids = t.column("id").to_numpy()
+        found = [(ids[u], ids[v], w) for u, v, w in pairs_of(t, above)]
+        a, b, cos = (np.concatenate(z) for z in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *found, strict=True))
+        return pa.table({"grp": pa.array([t.column("grp")[0].as_py()] * len(a), pa.string()), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "cos": pa.array(cos)})
+
+    return dealt(vectors.select("grp", "id", "vector"), above, pivots, block).groupBy("grp", "cell", "low", "high").applyInArrow(compare, "grp string, a long, b long, cos double")
 
 
 def first_come(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id) of the nodes that a loop in the order of ids keeps: those with no earlier kept neighbour in ``edges`` (a < b).
 
     By rounds: a node without an earlier undecided neighbour is kept, and its
-    later neighbours go. Each round decides at least the first of every
-    component, and halves most; a path whose ids rise along it takes half its
-    length of rounds. Rounds are written, so none is computed twice.
+    later neighbours go. Each round decides at least the first node of every
+    component; a path whose ids rise along it takes half its length of rounds.
+    Rounds are written, so none is computed twice.
     """
     left, edges = written(nodes.select("id").distinct()), written(edges.select("a", "b").distinct())
     kept = []

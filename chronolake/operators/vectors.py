@@ -49,15 +49,26 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
     return whole.select(label, normalized(F.col("o.m")).alias("centroid"), "n")
 
 
+#: Points that one row holds: what is broadcast is at most so many vectors.
+POINTS_A_ROW = 4096
+
+
 def nearest(vectors: DataFrame, points: DataFrame, name: str, least: float) -> DataFrame:
-    """(id, name, score): the best of ``points`` (name, centroid) for each vector, if at least ``least``.
+    """(id, name, score): the best of ``points`` (name, centroid) for each vector, if at least ``least``, else -1.
 
-    ``points`` is the query side, a stated set; Spark broadcasts it only where
-    it is measured to be small enough. Ties go to the smallest name.
+    Points travel as arrays of at most ``POINTS_A_ROW``; a vector is scored
+    against an array in its own row, so up to that many points nothing is
+    shuffled, and beyond it a row for each array. Ties go to the smallest
+    name. No points: no rows.
     """
-    pairs = vectors.crossJoin(points.select(F.col(name).alias("_name"), "centroid")).withColumn("score", dot(F.col("vector"), F.col("centroid")))
-    best = pairs.groupBy("id").agg(F.min(F.struct(-F.col("score"), F.col("_name"))).alias("b")).select("id", F.col("b._name").alias(name), (-F.col("b.col1")).alias("score"))
-    return best.withColumn(name, F.when(F.col("score") >= least, F.col(name)).otherwise(-1))
+    n = points.count()
+    packs = points.groupBy(F.pmod(F.xxhash64(name), F.lit(-(-n // POINTS_A_ROW) or 1)).alias("_pack")).agg(F.collect_list(F.struct(F.col(name).alias("name"), "centroid")).alias("_points"))
+    score = F.array_min(F.transform("_points", lambda p: F.struct((-dot(F.col("vector"), p["centroid"])).alias("s"), p["name"].alias("name"))))
+    best = vectors.join(F.broadcast(packs) if n <= POINTS_A_ROW else packs).select("id", score.alias("b"))
+    if n > POINTS_A_ROW:
+        best = best.groupBy("id").agg(F.min("b").alias("b"))
+    none = F.lit(-1).cast(points.schema[name].dataType)
+    return best.select("id", F.when(-F.col("b.s") >= least, F.col("b.name")).otherwise(none).alias(name), (-F.col("b.s")).alias("score"))
 
 
 def category_scores(queries: DataFrame, anchors: DataFrame, channel: str = "all", floor: float = 0.3, top: int = 3) -> DataFrame:

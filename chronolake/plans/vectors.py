@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as vx
+from ..operators import density as dn
 from ..operators import similarity as si
 from ..operators import vectors as v
 from ..sources.roles import SQL_VECTORS, Roles
@@ -200,3 +201,21 @@ def anchor_learning(r: Roles) -> DataFrame:
     old = stated(r).select((F.col("id") - (1 << 40)).alias("id"), F.col("label").cast("string").alias("category"), F.lit("global").alias("scope"), F.lit("").alias("process_name"), "vector")
     asked = si.anchor_candidates(feedback(r))
     return si.learned_anchors(old, asked).select("id", "category", "scope", "process_name", "text", "weight", "source")
+
+
+@query("clu1_density_clusters")
+def density_clusters(r: Roles) -> DataFrame:
+    """Every vector's density cluster; null is noise."""
+    out = dn.clusters(r.vectors().select("id", "vector"), 5, 3, 0.3, steps=5)
+    return out.select("id", "cluster", F.round("stability", 6).alias("stability"))
+
+
+@query("clu2_sampled_clusters")
+def sampled_clusters(r: Roles) -> DataFrame:
+    """Clusters of a sample by hash; all other vectors go to the nearest cluster's centroid, or to none."""
+    vectors = r.vectors().select("id", "vector")
+    sample = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == 0)
+    found = dn.clusters(sample, 5, 2, 0.28, steps=5).filter("cluster is not null").select("id", "cluster")
+    centres = v.centroids(vectors.join(found, "id"), "cluster")
+    rest = v.nearest(vectors.join(sample.select("id"), "id", "left_anti"), centres, "cluster", 0.3)
+    return found.unionByName(rest.select("id", F.nullif(F.col("cluster"), F.lit("-1")).alias("cluster")))
