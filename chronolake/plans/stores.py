@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.fenced import CONTRACT, KEY, DerivedIndex
 from ..operators.ledger import pending_insert
+from ..operators.scoring import ScoringQueue, enabled_pairs
 from ..sources.checkpoints import folder
 from ..sources.roles import Roles
 from ..sources.snapshots import Snapshots
@@ -120,3 +121,17 @@ def retry_steps(r: Roles) -> DataFrame:
     what = F.when(F.col("process_name") == "error", "fail").when(F.col("process_name") == "purchase", "done").otherwise("enqueue")
     last = c.agg(F.max("at_ms")).first()[0] or 0
     return queue.queue_steps(c.select(F.col("owner").alias("subject"), what.alias("what"), F.col("created_at").alias("at"), "at_ms", F.col("id").alias("seq")), last + queue.KEEP_MS)
+
+
+@query("clu9_batch_scoring", """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT item_id AS cluster_id, e AS a, item_id % 7 / 10.0 AS threshold FROM benchmark JOIN v ON id = item_id WHERE item_id % 3 <> 0)
+ SELECT cluster_id, v.id, (v.id * 7 + cluster_id * 13) % 100 / 100.0 AS score FROM v, c WHERE list_dot_product(v.e, c.a) >= 0.4 AND (v.id * 7 + cluster_id * 13) % 100 / 100.0 >= threshold""")
+def batch_scoring(r: Roles) -> DataFrame:
+    """All vectors queued and scored in batches against the clusters that the benchmark names; the score is an input."""
+    vectors = r.vectors().select("id", F.col("vector").cast("array<double>").alias("vector"))
+    n = r.table("benchmark").select(F.col("item_id").alias("cluster_id")).distinct()
+    clusters = n.join(vectors.withColumnRenamed("id", "cluster_id"), "cluster_id").select("cluster_id", "vector", (F.col("cluster_id") % 7 / 10).alias("threshold"), (F.col("cluster_id") % 3 != 0).alias("enabled"))
+    queued = ScoringQueue(Snapshots(r.spark, f"{folder(r.spark)}/scoring-{uuid.uuid4().hex}"))
+    queued.put(vectors.select("id", F.col("id").alias("queued_ms")))
+    pairs = enabled_pairs(vectors, clusters).select("id", "cluster_id", ((F.col("id") * 7 + F.col("cluster_id") * 13) % 100 / 100).alias("score"))
+    queued.run(vectors, clusters, pairs, rows=max(1, vectors.count() // 3))
+    return queued.assignments()

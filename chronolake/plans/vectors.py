@@ -206,7 +206,7 @@ def anchor_learning(r: Roles) -> DataFrame:
 @query("clu1_density_clusters")
 def density_clusters(r: Roles) -> DataFrame:
     """Every vector's density cluster; null is noise."""
-    out = dn.clusters(r.vectors().select("id", "vector"), 5, 3, 0.3, steps=5)
+    out = dn.clusters(r.vectors().select("id", "vector"), 5, 3, 0.3, steps=3)
     return out.select("id", "cluster", F.round("stability", 6).alias("stability"))
 
 
@@ -215,7 +215,7 @@ def sampled_clusters(r: Roles) -> DataFrame:
     """Clusters of a sample by hash; all other vectors go to the nearest cluster's centroid, or to none."""
     vectors = r.vectors().select("id", "vector")
     sample = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == 0)
-    found = dn.clusters(sample, 5, 2, 0.28, steps=5).filter("cluster is not null").select("id", "cluster")
-    centres = v.centroids(vectors.join(found, "id"), "cluster")
+    found = dn.clusters(sample, 5, 2, 0.28, steps=3).select("id", "cluster")
+    centres = v.centroids(vectors.join(found.filter("cluster is not null"), "id"), "cluster")
     rest = v.nearest(vectors.join(sample.select("id"), "id", "left_anti"), centres, "cluster", 0.3)
     return found.unionByName(rest.select("id", F.nullif(F.col("cluster"), F.lit("-1")).alias("cluster")))
