@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.fenced import CONTRACT, KEY, DerivedIndex
 from ..operators.ledger import pending_insert
 from ..operators.scoring import ScoringQueue, enabled_pairs
+from ..sources import line_files
 from ..sources.checkpoints import folder
 from ..sources.roles import Roles
 from ..sources.snapshots import Snapshots
@@ -135,3 +136,22 @@ def batch_scoring(r: Roles) -> DataFrame:
     pairs = enabled_pairs(vectors, clusters).select("id", "cluster_id", ((F.col("id") * 7 + F.col("cluster_id") * 13) % 100 / 100).alias("score"))
     queued.run(vectors, clusters, pairs, rows=max(1, vectors.count() // 3))
     return queued.assignments()
+
+
+@query("src18_event_csv", "SELECT event_type AS process, CAST(event_id AS VARCHAR) AS event, CAST(user_id AS VARCHAR) AS owner, CAST(NULL AS VARCHAR) AS path FROM events")
+def event_csv(r: Roles) -> DataFrame:
+    """The events as logs with a delimiter and column names of their own, found and read back."""
+    where = f"{folder(r.spark)}/logs-{uuid.uuid4().hex}"
+    c = r.captures().select(F.col("process_name").alias("Process Name"), F.col("id").alias("Event ID"), F.col("owner").alias("Owner (user)"))
+    c.write.option("header", True).option("sep", ";").csv(where)
+    return line_files.read_event_csv(r.spark, where, {"process": ["processname"], "event": ["eventid"], "owner": [], "path": ["filepath"]})
+
+
+@query("src19_jsonl", "SELECT event_id AS id, event_type AS process_name, user_id AS owner FROM events")
+def jsonl(r: Roles) -> DataFrame:
+    """The events appended as lines of JSON in two commits, and read back."""
+    where = f"{folder(r.spark)}/lines-{uuid.uuid4().hex}"
+    c = r.captures().select("id", "process_name", "owner")
+    for rest in (0, 1):
+        line_files.append_jsonl(c.filter(F.col("id") % 2 == rest), where)
+    return line_files.read_jsonl(r.spark, where, "id long, process_name string, owner long")

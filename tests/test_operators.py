@@ -147,14 +147,6 @@ def test_index_picks_up_what_is_new(spark, tmp_path):
     assert got == [("ab", 1), ("bc", 1), ("bc", 2), ("cd", 2)]
 
 
-def test_event_csv_is_sniffed(spark, tmp_path):
-    from chronolake.sources import logs
-
-    (tmp_path / "a.csv").write_text("Process Name;Event ID;Size (bytes)\np;1;20\n")
-    got = logs.read_event_csv(spark, str(tmp_path / "a.csv"), {"process": ["processname"], "bytes": ["size"], "path": ["file"]})
-    assert [tuple(r) for r in got.collect()] == [("p", "20", None)]
-
-
 def test_vectors_are_packed_and_checked(spark):
     import pytest
 
