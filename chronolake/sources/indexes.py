@@ -1,11 +1,14 @@
-"""The stored index of a data folder's documents."""
+"""What is stored of a data folder: the index of its documents and the blocks of its vectors."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from ..operators.bitmap_index import BitmapIndex
+from ..operators.vector_blocks import packed
 from . import checkpoints
 from .roles import Roles
-from .snapshots import Snapshots
+from .snapshots import Snapshots, Stale
 
 
 def stored_index(r: Roles) -> BitmapIndex:
@@ -20,3 +23,15 @@ def stored_index(r: Roles) -> BitmapIndex:
     if not store.guard(f"batches/{index.name}"):
         index.add(r.texts(), batch=0)
     return index
+
+
+def stored_blocks(r: Roles) -> DataFrame:
+    """The packed blocks of the embeddings as their files are now, built by the first query that asks for them."""
+    embeddings = f"{r.path}/embeddings.parquet"
+    store = Snapshots(r.spark, f"{checkpoints.folder(r.spark)}/blocks-{checkpoints.fingerprint(r.spark, embeddings)}")
+    if not store.guard("built"):
+        try:
+            store.commit(add={"blocks": store.stage(packed(r.vectors()))}, expect={"built": 0}, guards={"built": 1})
+        except Stale:
+            pass
+    return store.table("blocks")
