@@ -33,6 +33,13 @@ def soft_delete(parents: DataFrame, children: DataFrame, doomed: Column) -> tupl
     return p, c.drop("_id"), counts
 
 
+def soft_delete_ids(parents: DataFrame, children: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``soft_delete`` of the given parents (id); the counts also say how many different ids were requested."""
+    asked = ids.select("id").distinct().withColumn("_asked", F.lit(True))
+    p, c, counts = soft_delete(parents.join(asked, "id", "left"), children, F.coalesce("_asked", F.lit(False)))
+    return p.drop("_asked"), c, asked.agg(F.count("*").alias("requested")).join(counts)
+
+
 def hard_delete(parents: DataFrame, children: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the given parents (id)."""
     return parents.join(ids, "id", "left_anti"), children.join(ids.withColumnRenamed("id", "parent_id"), "parent_id", "left_anti")

@@ -7,16 +7,20 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import lifecycle as lc
+from ..operators.changes import ChangeLog, deleted_range, finalized
 from ..operators.fenced import CONTRACT, KEY, DerivedIndex
 from ..operators.ledger import pending_insert
 from ..operators.scoring import ScoringQueue, enabled_pairs
+from ..functions.rules import member
 from ..sources import line_files
 from ..sources.checkpoints import folder
-from ..sources.roles import Roles
+from ..sources.roles import SQL_CAPTURES, SQL_CHILDREN, SQL_PARENTS, Roles
 from ..sources.snapshots import Snapshots
 from ..streaming import frames, queue
 from .registry import query
-from .relations import NOW, SQL_LEDGER, ledger
+from ..operators.relations import expired_subjects
+from .relations import CUTOFF, NOW, SQL_LEDGER, ledger
 
 DUE = f"status IN ('pending', 'failed', 'waiting_for_auth') AND (next_retry_at IS NULL OR next_retry_at <= {NOW})"
 KIND = "CAST(subject_key AS BIGINT) % 4"
@@ -155,3 +159,66 @@ def jsonl(r: Roles) -> DataFrame:
     for rest in (0, 1):
         line_files.append_jsonl(c.filter(F.col("id") % 2 == rest), where)
     return line_files.read_jsonl(r.spark, where, "id long, process_name string, owner long")
+
+
+CAPS = f"WITH {SQL_CAPTURES} "
+BOTH = f"WITH {SQL_PARENTS}, {SQL_CHILDREN} "
+
+
+@query("stm7_change_upkeep", CAPS + """, l AS (SELECT id, CASE WHEN k BETWEEN 60 AND 79 THEN 'again' ELSE image_hash END AS image_hash, process_name FROM captures WHERE k < 50 OR k >= 60 AND k < 80),
+ h AS (SELECT DISTINCT image_hash FROM captures WHERE image_hash NOT IN (SELECT image_hash FROM l))
+ SELECT 'image' AS what, image_hash AS subject_key, CAST(NULL AS BIGINT) AS n FROM h UNION ALL SELECT 'text', CAST(id AS VARCHAR), NULL FROM captures WHERE id NOT IN (SELECT id FROM l)
+ UNION ALL SELECT 'hash', image_hash, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'kind', process_name, count(*) FROM l GROUP BY 2""")
+def change_upkeep(r: Roles) -> DataFrame:
+    """All captures put, the later half deleted, some of those put again with another image: what is left, and what to clean up."""
+    c = r.captures().select("id", F.col("id").alias("seq"), F.lit("put").alias("op"), "image_hash", F.col("process_name").alias("kind"), "k")
+    log = ChangeLog(Snapshots(r.spark, f"{folder(r.spark)}/changes-{uuid.uuid4().hex}"))
+    log.apply(c)
+    log.apply(c.filter("k >= 50").withColumn("op", F.lit("delete")))
+    log.apply(c.filter("k >= 60 AND k < 80").withColumn("image_hash", F.lit("again")))
+    none = F.lit(None).cast("long").alias("n")
+    counts = log.hash_counts().select(F.lit("hash").alias("what"), F.col("image_hash").alias("subject_key"), "n").unionAll(log.kind_counts().select(F.lit("kind"), "kind", "n"))
+    return log.cleanup().select("what", "subject_key", none).unionByName(counts)
+
+
+@query("stm18_expire", BOTH + f", s AS (SELECT CAST(doc_id AS VARCHAR) AS subject_key FROM labels UNION SELECT CAST(vec_id * 40 AS VARCHAR) FROM embeddings) SELECT s.subject_key FROM s JOIN parents p ON CAST(p.id AS VARCHAR) = s.subject_key WHERE p.created_at >= TIMESTAMP '{CUTOFF}'")
+def expire(r: Roles) -> DataFrame:
+    """Subjects of vectors and jobs that are left when those without a live parent, or with an old one, are deleted."""
+    subjects = r.table("labels").select(F.col("doc_id").cast("string").alias("subject_key")).union(r.vectors().select((F.col("id") * 40).cast("string"))).distinct()
+    return subjects.join(expired_subjects(subjects, r.parents(), F.lit(CUTOFF).cast("timestamp")), "subject_key", "left_anti")
+
+
+RANGE = "created_at BETWEEN TIMESTAMP '1997-01-01 00:00:00' AND TIMESTAMP '1997-12-31 23:59:59'"
+
+
+@query("snk6_delete_range", BOTH + f", g AS (SELECT id FROM parents WHERE {RANGE}) SELECT (SELECT count(*) FROM g) AS parents, (SELECT count(*) FROM children WHERE parent_id IN (SELECT id FROM g)) AS children, (SELECT count(*) FROM parents WHERE id NOT IN (SELECT id FROM g)) AS parents_left, (SELECT count(*) FROM children WHERE parent_id NOT IN (SELECT id FROM g)) AS children_left")
+def delete_range(r: Roles) -> DataFrame:
+    p, c, counts = deleted_range(r.parents(), r.children(), F.expr(RANGE))
+    return counts.join(p.agg(F.count("*").alias("parents_left"))).join(c.agg(F.count("*").alias("children_left")))
+
+
+@query("snk8_soft_delete_ids", BOTH + ", g AS (SELECT DISTINCT doc_id AS id FROM labels) SELECT (SELECT count(*) FROM g) AS requested, (SELECT count(*) FROM parents WHERE status <> 'P' AND id IN (SELECT id FROM g)) AS parents, (SELECT count(*) FROM children JOIN parents p ON p.id = parent_id WHERE p.status <> 'P' AND p.id IN (SELECT id FROM g)) AS children")
+def soft_delete_ids(r: Roles) -> DataFrame:
+    p = r.parents().withColumn("is_deleted", F.col("status") == "P")
+    return lc.soft_delete_ids(p, r.children().select("parent_id", "position", "is_deleted"), r.table("labels").select(F.col("doc_id").alias("id")))[2]
+
+
+@query("snk11_finalize_deletes", BOTH + ", q AS (SELECT id FROM parents WHERE status <> 'O'), k AS (SELECT parent_id FROM children WHERE NOT is_deleted), g AS (SELECT id FROM q WHERE id NOT IN (SELECT parent_id FROM k)) SELECT 'parent' AS what, id FROM parents WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'queued', id FROM q WHERE id NOT IN (SELECT id FROM g)")
+def finalize_deletes(r: Roles) -> DataFrame:
+    """Closed orders are queued; those whose children are all gone leave both the table and the queue."""
+    p = r.parents()
+    left, queued = finalized(p, r.children().filter("NOT is_deleted"), p.filter("status <> 'O'").select("id"))
+    return left.select(F.lit("parent").alias("what"), "id").unionByName(queued.select(F.lit("queued").alias("what"), "id"))
+
+
+@query("snk26_vector_upsert", "SELECT CAST(vec_id AS VARCHAR) AS key, CASE WHEN vec_id IN (SELECT doc_id FROM labels) THEN 2 ELSE 1 END AS version FROM embeddings UNION ALL SELECT CAST(doc_id AS VARCHAR), 2 FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def vector_upsert(r: Roles) -> DataFrame:
+    """Vectors keyed by the id as text; those of labelled documents are written again, or anew."""
+    old = r.vectors().select(F.col("id").cast("string").alias("key"), F.lit(1).alias("version"), F.col("vector").cast("array<double>").alias("vector"))
+    new = r.table("labels").select(F.col("doc_id").cast("string").alias("key"), F.lit(2).alias("version"), F.array(F.col("quality").cast("double")).alias("vector"))
+    return lc.latest_wins(old, new, ["key"], "version").select("key", "version")
+
+
+@query("fil7_system_windows", "SELECT event_id AS id, lower(event_type) IN ('error', 'signup') AS system FROM events")
+def system_windows(r: Roles) -> DataFrame:
+    return r.captures().select("id", member(F.upper("process_name"), ["Error", "SignUp"]).alias("system"))
