@@ -252,3 +252,14 @@ def analyzed(text: Column, kinds: tuple[str, ...] = KINDS, least: float = LEAST_
         return pd.Series(out)
 
     return run(text)
+
+
+def replaced(text: str, entities: list[dict], least: float = LEAST_SCORE) -> str:
+    """``masked`` of a text at hand."""
+    good = sorted((e for e in entities if e["score"] >= least and e["start"] < e["end"] <= len(text)), key=lambda e: (e["start"], -e["end"]))
+    out, at, reach = [], 0, 0
+    for e in good:
+        if e["start"] >= reach:
+            out += [text[at : e["start"]], f"[{e['kind']}]"]
+        reach = at = max(reach, e["end"])
+    return "".join([*out, text[at:]])

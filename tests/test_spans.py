@@ -160,3 +160,28 @@ def test_masks_of_overlapping_spans(spark):
     df = spark.createDataFrame(rows, f"i int, x string, e {spans.SPAN}")
     got = {r["i"]: r["y"] for r in df.select("i", spans.masked(F.col("x"), F.col("e")).alias("y")).collect()}
     assert got == {i: plain_mask(text, ents) for i, text, ents in rows}
+
+
+def test_replaced_equals_masked():
+    rng = random.Random(12)
+    for _ in range(300):
+        text = "".join(rng.choice("abc") for _ in range(15))
+        ents = [(rng.choice("XYZ"), a := rng.randrange(16), a + rng.randrange(5), rng.choice([0.2, 0.3, 0.9])) for _ in range(rng.randrange(6))]
+        assert spans.replaced(text, [dict(zip(("kind", "start", "end", "score"), e, strict=True)) for e in ents]) == plain_mask(text, ents)
+
+
+def test_records_under_each_mode(spark):
+    from chronolake.operators import redaction as rd
+
+    kind = "id int, title string, url string, links array<struct<url: string, text: string>>, boxes array<string>"
+    rows = [(1, "ok", "http://a/%73ecret", [("u", "the Secret"), ("v", "fine")], ["a", "my secret", None]), (2, None, None, None, None), (3, "secret", "http://b", [("u", "secret")], []), (4, "call 138 0013-8000", "http://b", [], ["x@y.zz"])]
+    df = spark.createDataFrame(rows, kind)
+    tier = rd.Words(("secret",))
+    out = lambda t, m: {r["id"]: (r["title"], r["url"], r["links"] and [tuple(x) for x in r["links"]], r["boxes"]) for r in rd.redacted_records(df, t, m).collect()}
+    assert set(out(tier, "reject")) == {2, 4}
+    c = "[censored]"
+    assert out(tier, "remove_paragraph") == {1: ("ok", c, [("v", "fine")], ["a", None]), 2: (None, None, None, None), 3: (c, "http://b", None, []), 4: (rows[3][1], "http://b", None, ["x@y.zz"])}
+    assert out(tier, "mask") == {1: ("ok", c, [("u", "the ██████"), ("v", "fine")], ["a", "my ██████", None]), 2: (None, None, None, None), 3: ("██████", "http://b", [("u", "██████")], []), 4: (rows[3][1], "http://b", None, ["x@y.zz"])}
+    assert out(rd.Entities(), "mask")[4] == ("call [MOBILE]", "http://b", None, ["[EMAIL]"]) and set(out(rd.Entities(), "reject")) == {1, 2, 3}
+    with pytest.raises(ValueError):
+        rd.redacted_records(df, tier, "other")
