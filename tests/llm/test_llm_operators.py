@@ -218,6 +218,33 @@ def test_embeddings(spark, odd):
     assert bag(rows(Q["op5_embedding_dedup"](spark, odd)), "vec_id", "n_links", "component_id", "kept") == want
 
 
+@pytest.mark.parametrize(("whole", "block"), [(1 << 30, 1024), (20, 1024), (20, 7)])
+def test_embedding_lists_dealt_in_any_way_give_the_same(spark, whole, block):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(5, 8))[rng.integers(5, size=160)] + 0.12 * rng.normal(size=(160, 8))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    df = spark.createDataFrame([(i, 1 + i % 2, v.tolist()) for i, v in enumerate(x)], "node long, copies long, vector array<double>")
+    pivots = x[rng.permutation(160)[:12]]
+    near = x @ pivots.T
+    prefix = [set(r) for r in np.argpartition(-near, 7, axis=1)[:, :8]]
+    want, linked = collections.Counter(), []
+    for a in range(160):
+        for b in range(a + 1, 160):
+            if x[a] @ x[b] >= 0.95 and len(prefix[a] & prefix[b]) > 1:
+                want[a] += 1 + b % 2
+                want[b] += 1 + a % 2
+                linked.append((a, b))
+    got, root = collections.Counter(), list(range(160))
+    for r in embedding_dedup.verified(embedding_dedup.postings(df, pivots), 0.95, whole, block).collect():
+        if r["b"] is None:
+            got[r["a"]] += r["n"]
+        else:
+            old, new = root[r["a"]], root[r["b"]]
+            root = [new if k == old else k for k in root]
+    assert got == want and len(linked) > 200
+    assert all(root[a] == root[b] for a, b in linked)
+
+
 @pytest.mark.parametrize(("size", "n"), [(64, 3000), (64, 9000), (384, 3000)])
 def test_embedding_recall(spark, size, n):
     """Made vectors in clusters with cosines of 0.9 to 0.99 among them, most near the threshold."""
