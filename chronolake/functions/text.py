@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,9 +82,10 @@ def process_from_path(path: Column) -> Column:
 
 
 def process_label(process: Column, known: dict[str, str] | None = None) -> Column:
-    """A known label, or the name without .exe: up to three characters in upper case, else title case."""
+    """A known label, or the name without .exe: up to three characters in upper case, else each word with a capital."""
     name = F.regexp_replace(F.trim(process), r"(?i)\.exe$", "")
-    plain = F.when(F.length(name) <= 3, F.upper(name)).otherwise(F.initcap(F.regexp_replace(name, r"[_-]+", " ")))
+    words = F.transform(F.split(F.regexp_replace(name, r"[_-]+", " "), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30)))
+    plain = F.when(F.length(name) <= 3, F.upper(name)).otherwise(F.array_join(words, " "))
     out = plain
     for k, v in (known or {}).items():
         out = F.when(F.lower(name) == k, F.lit(v)).otherwise(out)
@@ -195,18 +197,27 @@ def without_title_ends(title: Column, app: Column, site: Column) -> Column:
     """A title, its blanks single, without the names of the app, the site and known programs that follow a dash, bar or dot at its end."""
     clean = F.trim(F.regexp_replace(title, r"\s+", " "))
     for name in (app, site, *map(F.lit, TITLE_ENDS)):
-        end = F.concat(F.lit(r"(?i)\s+[-|·]\s+\Q"), name, F.lit(r"\E$"))
-        clean = F.when(F.coalesce(name, F.lit("")) == "", clean).otherwise(F.trim(F.regexp_replace(clean, end, F.lit(""))))
+        # A name that isn't there is a pattern that fits nowhere.
+        end = F.when(F.coalesce(name, F.lit("")) == "", F.lit(r"[^\s\S]")).otherwise(F.concat(F.lit(r"(?i)\s+[-|·]\s+\Q"), name, F.lit(r"\E$")))
+        clean = F.trim(F.regexp_replace(clean, end, F.lit("")))
     return clean
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it stands in the result."""
+    return F.transform(F.array(value), use)[0]
+
+
 def title_entity(title: Column, process: Column, site: Column) -> Column:
     """What a title is about: a repository, an editor's project, the last part, or the title cut to 64 characters.
 
     Names of the program and the site at the end of the title go first.
     """
     app = process_label(process)
-    clean = without_title_ends(title, app, site)
+    return bound(without_title_ends(title, app, site), lambda clean: _entity_of(clean, app))
+
+
+def _entity_of(clean: Column, app: Column) -> Column:
     named = lambda p, names: F.lower(p).isin([x.lower() for x in names])
     repo = F.regexp_extract(clean, r"(?:^|[\s:/·])[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+)", 1)
     parts = F.filter(F.transform(F.split(clean, r"\s+[-|]\s+"), lambda p: F.trim(p)), lambda p: (p != "") & ~named(p, EDITOR_NAMES))

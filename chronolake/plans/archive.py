@@ -112,22 +112,6 @@ def related(r: Roles) -> DataFrame:
     return near.orderBy(F.abs(gap), F.desc("created_at"), "id").limit(5).select("id", "relation")
 
 
-@query("joi19_image_hydration", f"WITH {SQL_BOXES}, w AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY parent_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM boxes WHERE text <> ''), p AS (SELECT parent_id, string_agg(text, ' ' ORDER BY position) AS body FROM w WHERE b < 1000 GROUP BY 1) SELECT vec_id AS id, coalesce(substr(body, 1, 1000), '') AS body FROM embeddings LEFT JOIN p ON parent_id = vec_id WHERE label = 4")
-def image_hydration(r: Roles) -> DataFrame:
-    body = text_prefix(r.boxes(), "parent_id", ["position"], 1000)
-    v = r.vectors().filter("label = 4")
-    return v.join(body, v["id"] == F.col("parent_id"), "left").select("id", F.coalesce(F.substring("body", 1, 1000), F.lit("")).alias("body"))
-
-
-@query("joi21_named_totals", "WITH a AS (SELECT event_type AS name, count(*) AS n, sum(value) AS v FROM events WHERE user_id < 75 AND event_type <> 'view' GROUP BY 1), b AS (SELECT event_type AS name, count(*) AS n, sum(value) AS v FROM events WHERE user_id >= 75 AND event_type <> 'error' GROUP BY 1) SELECT coalesce(a.name, b.name) AS name, coalesce(b.n, 0) - coalesce(a.n, 0) AS events, round(coalesce(b.v, 0) - coalesce(a.v, 0), 4) AS bytes FROM a FULL OUTER JOIN b ON a.name = b.name")
-def named_totals(r: Roles) -> DataFrame:
-    c = r.captures()
-    a = c.filter("owner < 75 AND process_name <> 'view'").groupBy(F.col("process_name").alias("name")).agg(F.count("*").alias("an"), F.sum("value").alias("av"))
-    b = c.filter("owner >= 75 AND process_name <> 'error'").groupBy(F.col("process_name").alias("name")).agg(F.count("*").alias("bn"), F.sum("value").alias("bv"))
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    return a.join(b, "name", "full_outer").select("name", (zero("bn") - zero("an")).alias("events"), F.round(zero("bv") - zero("av"), 4).alias("bytes"))
-
-
 @query("agg15_visible_count", SQL_LEDGER + f"SELECT count(*) AS n, count(*) > 0 AS any {DONE}")
 def visible_count(r: Roles) -> DataFrame:
     return rel.visible(*ledger(r)).agg(F.count("*").alias("n"), (F.count("*") > 0).alias("any"))
@@ -139,20 +123,6 @@ def rate_delta(r: Roles) -> DataFrame:
     return s.select("owner", F.round(F.col("a") / 100.0, 6).alias("baseline_rate"), F.round(F.col("b") / 200.0, 6).alias("workload_rate"), F.round(F.greatest(F.col("b") / 200.0 - F.col("a") / 100.0, F.lit(0.0)) * 100.0, 4).alias("excess"))
 
 
-@query("agg21_embedding_comparison", f"WITH {SQL_VECTORS}, p AS (SELECT a.id, a.vector AS x, b.vector AS y FROM vectors a JOIN vectors b ON b.id = a.id + 1) SELECT count(*) AS n, round(min(list_dot_product(x, y)), 5) AS least, round(avg(list_dot_product(x, y)), 5) AS mean, round(max(abs(sqrt(list_dot_product(x, x)) - 1)), 5) AS norm_error FROM p")
-def embedding_comparison(r: Roles) -> DataFrame:
-    a = r.vectors().select("id", F.col("vector").alias("x"))
-    b = r.vectors().select((F.col("id") - 1).alias("id"), F.col("vector").alias("y"))
-    c, n = dot(F.col("x"), F.col("y")), F.sqrt(dot(F.col("x"), F.col("x")))
-    return a.join(b, "id").agg(F.count("*").alias("n"), F.round(F.min(c), 5).alias("least"), F.round(F.avg(c), 5).alias("mean"), F.round(F.max(F.abs(n - 1)), 5).alias("norm_error"))
-
-
-@query("agg27_cold_runs", "SELECT l_shipmode AS backend, round(quantile_cont(x, 0.5), 4) AS p50, round(max(x), 4) AS most FROM (SELECT l_linestatus AS l_shipmode, l_extendedprice + l_quantity AS x FROM lineitem) GROUP BY 1")
-def cold_runs(r: Roles) -> DataFrame:
-    x = r.table("lineitem").select(F.col("l_linestatus").alias("backend"), (F.col("l_extendedprice") + F.col("l_quantity")).alias("x"))
-    return x.groupBy("backend").agg(F.round(F.percentile("x", F.lit(0.5)), 4).alias("p50"), F.round(F.max("x"), 4).alias("most"))
-
-
 @query("str2_url_host", r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)), '^(www|m|app)\.', '') AS host FROM pages")
 def url_hosts(r: Roles) -> DataFrame:
     from ..functions.text import host
@@ -246,15 +216,6 @@ def claim_batch(r: Roles) -> DataFrame:
     return j.select("subject_key", F.when(F.col("_k").isNull(), "gone").when(F.col("source_fingerprint") != F.col("_fp"), "changed").otherwise("leased").alias("outcome"))
 
 
-@query("api6_task_clusters", "SELECT user_id AS task, count(*) AS n, CASE WHEN user_id % 10 = 7 THEN '[censored]' ELSE 'task ' || CAST(user_id AS VARCHAR) END AS label FROM events GROUP BY 1")
-def task_clusters(r: Roles) -> DataFrame:
-    from ..functions.privacy import redacted
-
-    tasks = r.captures().groupBy(F.col("owner").alias("task")).agg(F.count("*").alias("n"))
-    label = F.concat(F.lit("task "), F.col("task").cast("string"))
-    return tasks.select("task", "n", F.when(F.col("task") % 10 == 7, redacted(label, ["task"], "remove")).otherwise(label).alias("label"))
-
-
 @query("api8_corpus_page", f"WITH {SQL_BOXES}, b AS (SELECT parent_id, string_agg(text, ' ' ORDER BY position) AS body FROM boxes WHERE text <> '' GROUP BY 1), p AS (SELECT vec_id AS id FROM embeddings WHERE label = 5 ORDER BY vec_id LIMIT 30) SELECT id, body FROM p JOIN b ON b.parent_id = p.id")
 def corpus_page(r: Roles) -> DataFrame:
     page = r.vectors().filter("label = 5").orderBy("id").limit(30).select("id")
@@ -276,12 +237,6 @@ def category_update(r: Roles) -> DataFrame:
     return c.select("id", F.coalesce(F.when(F.col("doc_id").isNotNull(), "flagged"), "category").alias("category"))
 
 
-@query("snk27_cold_archive", "SELECT label, 'cold' AS layer, count(*) AS n FROM embeddings WHERE vec_id < 250 GROUP BY 1 UNION ALL SELECT label, 'hot', count(*) FROM embeddings WHERE vec_id >= 250 GROUP BY 1")
-def cold_archive(r: Roles) -> DataFrame:
-    layer = F.when(F.col("id") < 250, "cold").otherwise("hot")
-    return r.vectors().groupBy("label", layer.alias("layer")).agg(F.count("*").alias("n"))
-
-
 @query("snk28_backfill", "SELECT doc_id AS id FROM documents WHERE trim(text) <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def backfill(r: Roles) -> DataFrame:
     texts = r.texts().filter(F.trim("text") != "").select("id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, lifecycle, outward, privacy, records, relations, search, stores, telemetry, timeline, vectors  # noqa: F401
+from . import archive, compared, lifecycle, outward, privacy, records, relations, search, stores, telemetry, timeline, vectors  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

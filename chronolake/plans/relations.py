@@ -181,12 +181,6 @@ def monotone_delta(r: Roles) -> DataFrame:
     return d.join(before, (F.col("owner") == F.col("_o")) & (F.col("day") == F.col("_d")), "left").select("owner", "day", F.round(rel.monotone_delta(F.col("_v"), F.col("v")), 2).alias("delta"))
 
 
-@query("joi23_agreement", "SELECT count(*) AS n, round(avg(CASE WHEN (l.quality = 1) = (d.n_chars > 500) THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
-def agreement(r: Roles) -> DataFrame:
-    j = r.table("labels").join(r.table("documents").select("doc_id", "n_chars"), "doc_id")
-    return j.agg(F.count("*").alias("n"), F.round(F.avg(((F.col("quality") == 1) == (F.col("n_chars") > 500)).cast("double")), 6).alias("agreement"))
-
-
 @query("joi28_speed_up", "WITH a AS (SELECT l_linenumber AS size, quantile_cont(l_extendedprice, 0.5) AS p FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), b AS (SELECT l_linenumber AS size, quantile_cont(l_extendedprice, 0.5) AS p FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) SELECT a.size, round(a.p / nullif(b.p, 0), 6) AS speed_up FROM a JOIN b ON a.size = b.size")
 def speed_up(r: Roles) -> DataFrame:
     li = r.table("lineitem")

@@ -106,13 +106,6 @@ def link_scores(r: Roles) -> DataFrame:
     return s.score_links(links(r).select("link_id", "text"), stored_index(r).frequency(), texts.agg(F.count("*").alias("n")))
 
 
-@query("top8_link_ranking", f"WITH {SQL_LINKS} SELECT link_id, row_number() OVER (PARTITION BY page_id ORDER BY length(text) DESC, link_id) AS place FROM links")
-def link_ranking(r: Roles) -> DataFrame:
-    from pyspark.sql import Window
-
-    return links(r).select("link_id", F.row_number().over(Window.partitionBy("page_id").orderBy(F.length("text").desc(), "link_id")).alias("place"))
-
-
 @query("str1_bigrams", f"WITH {GRAMS} SELECT id, count(*) AS n FROM grams GROUP BY id")
 def bigram_counts(r: Roles) -> DataFrame:
     return r.texts().select("id", F.size(tx.bigrams(F.col("text"))).alias("n")).filter("n > 0")

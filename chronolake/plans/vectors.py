@@ -119,12 +119,6 @@ def cluster_summary(r: Roles) -> DataFrame:
     return v.cluster_summary(m).withColumns({k: F.unix_timestamp(k) for k in ("first", "last")})
 
 
-@query("clu17_provenance", "SELECT vec_id AS id FROM embeddings WHERE CASE WHEN label > 4 THEN 'm1' END IS NOT DISTINCT FROM CASE WHEN vec_id > 100 THEN 'm1' END")
-def provenance(r: Roles) -> DataFrame:
-    stored, current = F.when(F.col("label") > 4, "m1"), F.when(F.col("id") > 100, "m1")
-    return r.vectors().filter(stored.eqNullSafe(current)).select("id")
-
-
 @query("vec5_normalize", f"WITH {SQL_VECTORS} SELECT id, round(list_dot_product(vector, vector) / list_dot_product(vector, vector), 6) AS length FROM vectors")
 def normalize(r: Roles) -> DataFrame:
     u = r.vectors().withColumn("u", vx.normalized(F.transform("vector", lambda x: x * 3)))
