@@ -218,14 +218,16 @@ def in_scope(queries: DataFrame, anchors: DataFrame) -> DataFrame:
     """Queries (id, process_name) with each anchor (anchor, scope, process_name) that counts for them.
 
     Local anchors join by process; global ones are a stated set that every row
-    gets, so they travel as one array and nothing is shuffled.
+    gets, so they travel as arrays of a checked size and nothing is shuffled.
     """
+    from .vectors import packed_rows
+
     name = F.lower(F.trim("process_name"))
     local = anchors.filter("scope = 'local'").select("anchor", name.alias("_p")).filter("_p <> ''")
-    everywhere = anchors.filter("scope <> 'local'").agg(F.collect_list("anchor").alias("_all"))
+    packs, few = packed_rows(anchors.filter("scope <> 'local'").select("anchor"), "anchor")
     q = queries.select("id", name.alias("_p"))
     mine = q.join(local, "_p").select("id", "anchor")
-    return mine.unionByName(q.join(F.broadcast(everywhere)).select("id", F.explode("_all").alias("anchor")))
+    return mine.unionByName(q.join(F.broadcast(packs) if few else packs).select("id", F.explode("_points").alias("anchor")))
 
 
 def semantic_duplicates(vectors: DataFrame, anchors: DataFrame, above: float = 0.95) -> DataFrame:

@@ -24,18 +24,21 @@ def enrich(df: DataFrame, lookup: DataFrame, key: str, lookup_key: str, inline:
 def nearest_in_time(df: DataFrame, group: str, ts: str, id_col: str, k: int) -> DataFrame:
     """(id, other, relation, seconds): the ``k`` rows of the same group nearest in time.
 
-    Only the k rows before and the k after can be among the nearest, so
-    positions k apart are joined and no group is joined with itself whole.
+    Only the k rows before and the k after can be among the nearest, so one
+    pass over each group in the order of time has them all in its rows.
     """
     w = Window.partitionBy(group).orderBy(ts, id_col)
-    placed = df.select(group, id_col, ts, F.row_number().over(w).alias("_p"))
-    near = placed.select(F.col(group).alias("_g"), F.col(id_col).alias("other"), F.col(ts).alias("_ts"), F.explode(F.sequence(F.col("_p") - k, F.col("_p") + k)).alias("_q"))
-    pairs = placed.join(near, (F.col(group) == F.col("_g")) & (F.col("_p") == F.col("_q")) & (F.col(id_col) != F.col("other")))
-    gap = F.col("_ts").cast("double") - F.col(ts).cast("double")
-    relation = F.when(gap < 0, "before").when(gap > 0, "after").otherwise("nearby")
-    ranked = pairs.withColumn("gap", F.abs(gap)).withColumn("relation", relation)
-    by = Window.partitionBy(id_col).orderBy("gap", F.desc("_ts"), "other")
-    return ranked.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= k).select(id_col, "other", "relation", "gap", "place")
+    row = F.struct(F.col(id_col).alias("other"), F.col(ts).alias("ts"))
+    beside = df.select(id_col, ts, F.array_compact(F.array(*[f(row, i).over(w) for i in range(1, k + 1) for f in (F.lag, F.lead)])).alias("_near"))
+
+    def judged(x: Column) -> Column:
+        gap = x["ts"].cast("double") - F.col(ts).cast("double")
+        relation = F.when(gap < 0, "before").when(gap > 0, "after").otherwise("nearby")
+        return F.struct(F.abs(gap).alias("gap"), (-x["ts"].cast("double")).alias("late"), x["other"].alias("other"), relation.alias("relation"))
+
+    ranked = F.slice(F.sort_array(F.transform("_near", judged)), 1, k)
+    out = beside.select(id_col, F.posexplode(ranked).alias("at", "n"))
+    return out.select(id_col, "n.other", "n.relation", "n.gap", (F.col("at") + 1).alias("place"))
 
 
 def compare_totals(a: DataFrame, b: DataFrame, keys: list[str], value: str, seconds_a: float, seconds_b: float) -> DataFrame:

@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def descendants(edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(id): all that ``roots`` (id) lead to over ``edges`` (parent, id), cycles included once.
 
-    A round joins only what the last one found; it ends when nothing is new.
-    A root counts only if an edge leads back to it. Trees deeper than
-    ``rounds`` raise an error.
+    A round joins only what the last one found; it ends when nothing is new,
+    however deep the tree. What was found is kept as a few written tables, so
+    plans stay short. A root counts only if an edge leads back to it.
     """
     from ..sources.checkpoints import written
 
-    seen = None
+    parts: list[DataFrame] = []
     front = roots.select("id")
-    for _ in range(rounds):
+    while True:
         found = edges.join(front.select(F.col("id").alias("_p")), F.col("parent") == F.col("_p")).select("id").distinct()
-        front = written(found if seen is None else found.join(seen, "id", "left_anti"))
+        for seen in parts:
+            found = found.join(seen, "id", "left_anti")
+        front = written(found)
         if front.isEmpty():
-            return seen if seen is not None else front
-        seen = front if seen is None else seen.unionAll(front)
-    raise ValueError(f"the tree is deeper than {rounds}")
+            return functools.reduce(DataFrame.unionAll, parts) if parts else front
+        parts.append(front)
+        if len(parts) == 8:
+            parts = [written(functools.reduce(DataFrame.unionAll, parts))]
 
 
 def counter_deltas(samples: DataFrame, key: str, ts: list[str], value: str) -> DataFrame:

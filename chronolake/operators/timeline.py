@@ -66,9 +66,9 @@ def process_share(df: DataFrame, name: str = "process_name") -> DataFrame:
 
 def top_and_others(df: DataFrame, name: str, n: str, k: int = 8) -> DataFrame:
     """The ``k`` largest groups and the sum of the rest as ``others``, if above 0."""
-    rank = F.row_number().over(Window.orderBy(F.desc(n), name))
-    g = df.withColumn("_r", rank).groupBy(F.when(F.col("_r") <= k, F.col(name)).otherwise("others").alias(name)).agg(F.sum(n).alias(n))
-    return g.filter((F.col(name) != "others") | (F.col(n) > 0))
+    best = df.orderBy(F.desc(n), name).limit(k).select(name, n)
+    rest = df.join(best.select(name), name, "left_anti").agg(F.sum(n).alias(n)).filter(F.col(n) > 0)
+    return best.unionByName(rest.select(F.lit("others").alias(name), n))
 
 
 def monthly(df: DataFrame, ts: str = "created_at") -> Column:

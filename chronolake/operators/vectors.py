@@ -53,6 +53,13 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
 POINTS_A_ROW = 4096
 
 
+def packed_rows(points: DataFrame, column: str) -> tuple[DataFrame, bool]:
+    """(rows of ``_points``, arrays of at most some ``POINTS_A_ROW`` values of the column; whether it is one row): a stated set that meets each row of a table in that row."""
+    n = points.count()
+    pack = F.pmod(F.xxhash64(column), F.lit(-(-n // POINTS_A_ROW) or 1))
+    return points.groupBy(pack.alias("_pack")).agg(F.collect_list(column).alias("_points")).drop("_pack"), n <= POINTS_A_ROW
+
+
 def nearest(vectors: DataFrame, points: DataFrame, name: str, least: float) -> DataFrame:
     """(id, name, score): the best of ``points`` (name, centroid) for each vector, if at least ``least``, else -1.
 
@@ -61,11 +68,10 @@ def nearest(vectors: DataFrame, points: DataFrame, name: str, least: float) -> D
     shuffled, and beyond it a row for each array. Ties go to the smallest
     name. No points: no rows.
     """
-    n = points.count()
-    packs = points.groupBy(F.pmod(F.xxhash64(name), F.lit(-(-n // POINTS_A_ROW) or 1)).alias("_pack")).agg(F.collect_list(F.struct(F.col(name).alias("name"), "centroid")).alias("_points"))
+    packs, few = packed_rows(points.select(F.struct(F.col(name).alias("name"), "centroid").alias("p")), "p")
     score = F.array_min(F.transform("_points", lambda p: F.struct((-dot(F.col("vector"), p["centroid"])).alias("s"), p["name"].alias("name"))))
-    best = vectors.join(F.broadcast(packs) if n <= POINTS_A_ROW else packs).select("id", score.alias("b"))
-    if n > POINTS_A_ROW:
+    best = vectors.join(F.broadcast(packs) if few else packs).select("id", score.alias("b"))
+    if not few:
         best = best.groupBy("id").agg(F.min("b").alias("b"))
     none = F.lit(-1).cast(points.schema[name].dataType)
     return best.select("id", F.when(-F.col("b.s") >= least, F.col("b.name")).otherwise(none).alias(name), (-F.col("b.s")).alias("score"))
@@ -78,10 +84,14 @@ def category_scores(queries: DataFrame, anchors: DataFrame, channel: str = "all"
     query set. Cosines under ``floor`` are dropped and ``top`` kept a category.
     Global anchors count everywhere, local ones for their own process.
     """
-    a = anchors.select("category", "weight", "scope", F.lower(F.trim("process_name")).alias("_process"), F.col("vector").alias("_anchor"))
-    mine = (F.col("scope") == "local") & (F.col("_process") != "") & (F.col("_process") == F.lower(F.trim("process_name")))
-    fits = {"all": (F.col("scope") != "local") | mine, "global": F.col("scope") != "local", "local": mine}[channel]
-    p = queries.join(a, fits).withColumn("cos", dot(F.col("vector"), F.col("_anchor"))).filter(F.col("cos") >= floor)
+    a = F.struct("category", "weight", (F.col("scope") == "local").alias("local"), F.lower(F.trim("process_name")).alias("process"), F.col("vector").alias("anchor"))
+    process = F.lower(F.trim("process_name"))
+    mine = lambda x: x["local"] & (x["process"] != "") & (x["process"] == process)
+    fits = {"all": lambda x: ~x["local"] | mine(x), "global": lambda x: ~x["local"], "local": mine}[channel]
+    packs, few = packed_rows(anchors.select(a.alias("a")), "a")
+    near = lambda x: F.coalesce(fits(x), F.lit(False))
+    scored = F.transform(F.filter("_points", near), lambda x: F.struct(x["category"].alias("category"), x["weight"].alias("weight"), dot(F.col("vector"), x["anchor"]).alias("cos")))
+    p = queries.join(F.broadcast(packs) if few else packs).select("id", F.explode(F.filter(scored, lambda x: x["cos"] >= floor)).alias("h")).select("id", "h.*")
     rank = F.row_number().over(Window.partitionBy("id", "category").orderBy(F.desc("cos"), F.desc("weight")))
     best = p.withColumn("_r", rank).filter(F.col("_r") <= top)
     return best.groupBy("id", "category").agg(F.max("cos").alias("cos"), F.max_by("weight", F.struct("cos", "weight")).alias("w"), F.count("*").alias("hits")).select("id", "category", (F.col("cos") + 0.05 * (F.col("w") - 1)).alias("score"), "hits")

@@ -94,8 +94,9 @@ def best_centroid(r: Roles) -> DataFrame:
 
 @query("joi26_prefilter", f"WITH {SQL_ANCHORS} SELECT a.anchor, q.id FROM anchors a, qs q WHERE list_dot_product(a.av, q.vector) >= 0.3")
 def prefilter(r: Roles) -> DataFrame:
-    a = stated(r).select(F.col("id").alias("anchor"), F.col("vector").alias("av"))
-    return r.vectors().crossJoin(a).filter(vx.dot(F.col("av"), F.col("vector")) >= 0.3).select("anchor", "id")
+    packs, few = v.packed_rows(stated(r).select(F.struct(F.col("id").alias("anchor"), F.col("vector").alias("av")).alias("a")), "a")
+    near = F.filter("_points", lambda a: vx.dot(a["av"], F.col("vector")) >= 0.3)
+    return r.vectors().join(F.broadcast(packs) if few else packs).select("id", F.explode(near).alias("a")).select("a.anchor", "id")
 
 
 @query("win5_topk_per_category", f"WITH {SQL_ANCHORS}, p AS (SELECT q.id, a.category, a.weight, list_dot_product(q.vector, a.av) AS cos FROM qs q JOIN anchors a ON a.scope <> 'local' OR a.process_name = q.process_name), r AS (SELECT *, row_number() OVER (PARTITION BY id, category ORDER BY cos DESC, weight DESC) AS rn FROM p WHERE cos >= 0.3) SELECT id, category, round(max(cos) + 0.05 * (arg_max(weight, cos) - 1), 6) AS score, count(*) AS hits FROM r WHERE rn <= 3 GROUP BY 1, 2")

@@ -40,6 +40,9 @@ def test_matches_sql(spark, con, name):
     assert rows == want
 
 
-def test_the_others_run(spark):
-    for name in sorted(set(catalog.QUERIES) - set(catalog.SQL)):
-        assert catalog.QUERIES[name](spark, SF).columns, name
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
+def test_the_others_run(spark, name):
+    """Queries without SQL have tests of their own; here each runs to its end over whole tables."""
+    out = catalog.QUERIES[name](spark, SF)
+    out.write.format("noop").mode("overwrite").save()
+    assert out.columns
