@@ -79,10 +79,10 @@ def embedding_comparison(r: Roles) -> DataFrame:
 SERIES = {"startup": "l_quantity", "load": "l_extendedprice", "inference": "l_extendedprice * l_discount", "load_and_inference": "l_extendedprice + l_extendedprice * l_discount"}
 
 
-@query("agg27_cold_runs", "SELECT l_linestatus AS backend, count(*) AS runs, " + ", ".join(f"round(quantile_cont({x}, 0.5), 4) AS {n}_p50, round(quantile_cont({x}, 0.95), 4) AS {n}_p95, round(max({x}), 4) AS {n}_most" for n, x in SERIES.items()) + " FROM lineitem GROUP BY 1")
+@query("agg27_cold_runs", "SELECT l_linestatus AS backend, count(*) AS runs, " + ", ".join(f"round(quantile_cont({x}, 0.5), 2) AS {n}_p50, round(quantile_cont({x}, 0.95), 2) AS {n}_p95, round(max({x}), 2) AS {n}_most" for n, x in SERIES.items()) + " FROM lineitem GROUP BY 1")
 def cold_runs(r: Roles) -> DataFrame:
     """Four series of each backend's runs, the last of them load and first inference of the same run."""
-    each = [f.alias(f"{n}_{k}") for n, x in SERIES.items() for k, f in (("p50", F.round(F.percentile(F.expr(x), F.lit(0.5)), 4)), ("p95", F.round(F.percentile(F.expr(x), F.lit(0.95)), 4)), ("most", F.round(F.max(F.expr(x)), 4)))]
+    each = [f.alias(f"{n}_{k}") for n, x in SERIES.items() for k, f in (("p50", F.round(F.percentile(F.expr(x), F.lit(0.5)), 2)), ("p95", F.round(F.percentile(F.expr(x), F.lit(0.95)), 2)), ("most", F.round(F.max(F.expr(x)), 2)))]
     return r.table("lineitem").groupBy(F.col("l_linestatus").alias("backend")).agg(F.count("*").alias("runs"), *each)
 
 
