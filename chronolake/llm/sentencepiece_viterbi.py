@@ -6,6 +6,11 @@ Distinct words are encoded once and remembered. Words of equal length advance
 together: at each end, the substrings of each length are looked up by their
 hashes in the sorted keys of the pieces, and one vectorised maximum for each
 length stores the back-pointers. Characters that no piece covers become bytes.
+A word of over ``LONG`` characters, as texts without spaces are, is cut where no
+piece of the model that occurs there reaches across: every segmentation has those
+cuts, so the parts are words of their own and advance with others of their length.
+What is still long after that takes the same maxima a character at a time, over
+the matches alone, which are found for a block of the text at once.
 
 The segmentation is the one with the greatest sum of the model's piece scores,
 the unigram rule of SentencePiece. A model trained as BPE states merge order as
@@ -33,6 +38,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN_PENALTY = 10.0
 SLICE_BYTES, MOST_WORDS = 1 << 20, 200_000
+#: Characters of a word that is cut before it is encoded, and of a block of one.
+LONG, BLOCK = 256, 1 << 16
 
 
 class Model:
@@ -156,17 +163,94 @@ def encode_equal(m: Model, words: list[str]) -> list[np.ndarray]:
     return out
 
 
+def matches(m: Model, codes: np.ndarray, begin: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, ends, ids, scores) of the pieces that occur in a text and end after ``begin``, by length."""
+    g = np.zeros(len(codes) + 1, np.uint64)
+    for k in range(1, min(m.longest, len(codes)) + 1):
+        g = g[:-1] * BASE + codes[k - 1 :] + np.uint64(1)
+        if k not in m.tables:
+            continue
+        keys, ids, scores, present = m.tables[k]
+        first = max(begin - k + 1, 0)
+        h = mix(g[first:].copy())
+        some = np.flatnonzero(present[(h >> np.uint64(48)).view(np.int64)])
+        at = np.searchsorted(keys, h[some])
+        at[at == len(keys)] = 0
+        same = keys[at] == h[some]
+        yield k, some[same] + first + k, ids[at[same]], scores[at[same]]
+
+
+def blocks(m: Model, word: str) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """(place of the block, ends before it, codes, ends in it from there on) of a long word: blocks that overlap by the longest piece."""
+    for at in range(0, len(word), BLOCK):
+        begin = max(at - m.longest, 0)
+        part = word[begin : at + BLOCK]
+        yield begin, at - begin, np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64), at
+
+
+def cut(m: Model, word: str) -> list[str]:
+    """The parts of a word between the places that no occurring piece reaches across."""
+    crossed = np.zeros(len(word) + 1, np.int32)
+    for place, before, codes, _ in blocks(m, word):
+        for k, ends, _, _ in matches(m, codes, before):
+            if k > 1:
+                # The places after each of a piece's characters but the last.
+                np.add.at(crossed, ends + place - k + 1, 1)
+                np.add.at(crossed, ends + place, -1)
+    free = np.flatnonzero(np.cumsum(crossed)[1:-1] == 0) + 1
+    cuts = [0, *free.tolist(), len(word)]
+    return [word[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def encode_long(m: Model, word: str) -> np.ndarray:
+    """Ids of a word that can't be cut, by the maxima of ``encode_equal`` over its matches in order."""
+    n = len(word)
+    best, back, piece = [0.0] * (n + 1), np.ones(n + 1, np.int16), np.full(n + 1, -1, np.int32)
+    for place, before, codes, at in blocks(m, word):
+        found = list(matches(m, codes, before))
+        ends = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+        sizes = np.concatenate([np.full(len(f[1]), f[0]) for f in found]) if found else ends
+        # Of equal sums the longest last piece wins.
+        order = np.lexsort((-sizes, ends))
+        rows = zip((ends + place)[order].tolist(), sizes[order].tolist(), np.concatenate([f[2] for f in found])[order].tolist() if found else (), np.concatenate([f[3] for f in found])[order].tolist() if found else (), strict=True)
+        row = next(rows, None)
+        for end in range(at + 1, min(at + BLOCK, n) + 1):
+            top, size, which = best[end - 1] + m.miss, 1, -1
+            while row is not None and row[0] == end:
+                total = best[end - row[1]] + row[3]
+                if total > top:
+                    top, size, which = total, row[1], row[2]
+                row = next(rows, None)
+            best[end], back[end], piece[end] = top, size, which
+    out: list[np.ndarray] = []
+    end = n
+    while end:
+        p = int(piece[end])
+        out.append(np.array([p], np.int32) if p >= 0 else m.uncovered(word[end - 1]))
+        end -= int(back[end])
+    return np.concatenate(out[::-1]).astype(np.int32)
+
+
 def encode_words(m: Model, words: list[str]) -> dict[str, np.ndarray]:
-    """Ids of each distinct word; at most a million characters advance at once."""
-    by_size: dict[int, list[str]] = {}
-    for w in words:
-        by_size.setdefault(len(w), []).append(w)
+    """Ids of each distinct word; at most a million characters advance at once.
+
+    A long word is cut into parts first, which leaves its best sum as it is:
+    scores that are whole numbers, as those of merges are, add up exactly, and
+    other scores may round a tie differently.
+    """
     out: dict[str, np.ndarray] = {}
     with np.errstate(over="ignore"):
+        parted = {w: cut(m, w) for w in words if len(w) > LONG}
+        parts = {p for found in parted.values() for p in found}
+        by_size: dict[int, list[str]] = {}
+        for w in dict.fromkeys([*(w for w in words if w not in parted), *(p for p in parts if len(p) <= LONG)]):
+            by_size.setdefault(len(w), []).append(w)
         for size, own in by_size.items():
             step = max(1, (1 << 20) // size)
             for at in range(0, len(own), step):
                 out.update(zip(own[at : at + step], encode_equal(m, own[at : at + step]), strict=True))
+        out.update((p, encode_long(m, p)) for p in parts if len(p) > LONG)
+    out.update((w, np.concatenate([out[p] for p in found])) for w, found in parted.items())
     return out
 
 
