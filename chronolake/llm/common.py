@@ -65,11 +65,35 @@ def materialize(df: DataFrame, *replaces: DataFrame, codec: str = "zstd") -> Dat
         df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    for made in _recording:
+        made.append(out)
     for old in replaces:
         discard(old)
     return out
 
 
+_recording: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def recording():
+    """A list that gets the tables that ``materialize`` writes meanwhile."""
+    made: list[DataFrame] = []
+    _recording.append(made)
+    try:
+        yield made
+    finally:
+        _recording.remove(made)
+
+
+def discard_unread(tables: list[DataFrame], reader: DataFrame) -> None:
+    """Delete the written tables but those that ``reader`` reads, however indirectly."""
+    read = " ".join(reader.inputFiles())
+    for t in tables:
+        if t._written_to not in read:
+            discard(t)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the written table behind a result of ``materialize``."""
     if path := getattr(df, "_written_to", None):

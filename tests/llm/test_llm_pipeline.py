@@ -28,3 +28,21 @@ def test_run(spark, odd):
 
 def test_empty(spark, empty):
     assert corpus_pipeline.run(spark, empty).collect() == []
+
+
+def test_a_stage_deletes_what_the_one_before_left_unless_it_is_read(spark, odd, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    path = lambda t: t._written_to.removeprefix("file:")
+    docs = spark.read.parquet(f"{odd}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    out = corpus_pipeline.drop_near_copies(spark, docs, odd)
+    left = list(corpus_pipeline._left)
+    assert any(os.path.exists(path(t)) for t in left)
+    # Not written by the caller: the next stage reads the table, so it stays.
+    n = out.count()
+    assert corpus_pipeline.cut_repeats(spark, out, odd).count() == n
+    out.write.parquet(f"{tmp_path}/out")
+    corpus_pipeline.cut_repeats(spark, spark.read.parquet(f"{tmp_path}/out"), odd)
+    assert not any(os.path.exists(path(t)) for t in left if path(t) not in " ".join(out.inputFiles()))
