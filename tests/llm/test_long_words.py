@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 
 from chronolake.llm import sentencepiece_viterbi as sv
