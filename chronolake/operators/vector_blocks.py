@@ -85,16 +85,18 @@ def packed(vectors: DataFrame, rows: int = ROWS, pivots: int = PIVOTS) -> DataFr
     return dealt.mapInArrow(pack, BLOCK)
 
 
-def scanned(blocks: DataFrame, queries: np.ndarray, k: int, floor: float | None = None) -> DataFrame:
+def scanned(blocks: DataFrame, queries: np.ndarray, k: int, floor: float | None = None, normalize: bool = True) -> DataFrame:
     """``HIT`` rows of one scan: each task's best ``k`` a query, and with a null id its blocks and how many it passed over.
 
-    Scores are dot products with the queries at length 1, in double precision.
-    Blocks of another width than the queries' are an error.
+    Scores are dot products in double precision, with the queries at length 1 or,
+    without ``normalize``, as they come: a query rounded to floats is some 1e-8 off
+    length 1. Blocks of another width than the queries' are an error.
     """
     if queries.ndim != 2 or not queries.shape[1]:
         raise ValueError("an empty query has no neighbours")
     length = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
     unit = queries / np.where(length > 0, length, 1)
+    asked, reach = (unit, np.ones(len(unit))) if normalize else (queries, length[:, 0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in unit]
@@ -104,7 +106,7 @@ def scanned(blocks: DataFrame, queries: np.ndarray, k: int, floor: float | None
                 raise ValueError(f"a query has {unit.shape[1]} dimensions, the store {b.column(0).to_pylist()[0]}")
             centre = np.asarray(b.column(2).flatten()).reshape(b.num_rows, -1)
             away = np.maximum(np.arccos(np.clip(unit @ centre.T, -1, 1)) - np.asarray(b.column(3)), 0)
-            bound = np.asarray(b.column(4)) * np.cos(away) + SLACK
+            bound = np.asarray(b.column(4)) * np.cos(away) * reach[:, None] + SLACK * np.maximum(reach, 1)[:, None]
             seen += b.num_rows
             opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for q in range(len(unit)):
@@ -118,7 +120,7 @@ def scanned(blocks: DataFrame, queries: np.ndarray, k: int, floor: float | None
                         opened[i] = (np.frombuffer(b.column(6)[i].as_py(), "<f4").reshape(-1, unit.shape[1]).astype(np.float64), np.asarray(b.column(5)[i].values))
                     x, own = opened[i]
                     # Added up row by row in one order, so that equal vectors have equal scores.
-                    new = np.add.reduce(x * unit[q], axis=1)
+                    new = np.add.reduce(x * asked[q], axis=1)
                     scores, ids = np.concatenate([scores, new]), np.concatenate([ids, own])
                     if floor is not None:
                         scores, ids = scores[scores >= floor], ids[scores >= floor]
@@ -147,8 +149,11 @@ def blocks_read(hits: DataFrame) -> DataFrame:
     return hits.filter("id is null").groupBy("query").agg(F.sum("blocks").alias("blocks"), F.sum(F.col("blocks") - F.col("passed")).alias("opened"))
 
 
-def top_k(blocks: DataFrame, queries: list[list[float]], k: int, floor: float | None = None) -> DataFrame:
-    """(query, id, score): the ``k`` best of each query by exact score, at least ``floor``, ties by id; one job."""
+def top_k(blocks: DataFrame, queries: list[list[float]], k: int, floor: float | None = None, normalize: bool = True) -> DataFrame:
+    """(query, id, score): the ``k`` best of each query by exact score, at least ``floor``, ties by id; one job.
+
+    Without ``normalize`` queries are taken as they come (``scanned``).
+    """
     if k < 1 or not queries:
         return blocks.sparkSession.createDataFrame([], "query int, id long, score double")
-    return best_of(scanned(blocks, np.array(queries, np.float64), k, floor), k)
+    return best_of(scanned(blocks, np.array(queries, np.float64), k, floor, normalize), k)

@@ -167,7 +167,7 @@ NEAR = f"WITH {SQL_VECTORS}, q AS (SELECT vector AS qv FROM vectors WHERE id = 0
 def nearest(r: Roles, mode: str) -> DataFrame:
     """The nearest vectors' documents: over-fetched, filtered, paged, then redacted."""
     q = [float(x) for x in r.vectors().filter("id = 0").first()["vector"]]
-    hits = vb.top_k(stored_blocks(r), [q], 50).join(r.texts().select("id", F.col("process_name").alias("title"), "text"), "id")
+    hits = vb.top_k(stored_blocks(r), [q], 50, normalize=False).join(r.texts().select("id", F.col("process_name").alias("title"), "text"), "id")
     page = overfetch_page(hits, F.col("title") != "src3", 5, 20)
     return rd.redacted_results(page, LISTED, MAIL, mode).select("id", F.round("score", 6).alias("score"), "title", "text")
 

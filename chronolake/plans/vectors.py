@@ -38,7 +38,7 @@ def subjects(r: Roles) -> DataFrame:
 
 @query("top1_text_topk", Q + "SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 26")
 def topk(r: Roles) -> DataFrame:
-    return vb.top_k(stored_blocks(r), [first_vector(r)], 26).select("id", F.round("score", 6).alias("score"))
+    return vb.top_k(stored_blocks(r), [first_vector(r)], 26, normalize=False).select("id", F.round("score", 6).alias("score"))
 
 
 @query("top2_image_topk", Q + "SELECT id, round(score, 6) AS score FROM s WHERE label = 1 ORDER BY s.score DESC, id LIMIT 10")
@@ -220,13 +220,13 @@ def sampled_clusters(r: Roles) -> DataFrame:
 def text_neighbours(r: Roles) -> DataFrame:
     """The query's 40 nearest by exact score, ordered anew by another score, 10 of them."""
     scores = r.table("labels").select(F.col("doc_id").alias("id"), (F.col("quality") + F.col("doc_id") / 1e6).alias("rescore"))
-    return v.rescored(vb.top_k(stored_blocks(r), [first_vector(r)], 40).drop("query"), scores, 10).select("id", F.round("score", 6).alias("score"), "rescore")
+    return v.rescored(vb.top_k(stored_blocks(r), [first_vector(r)], 40, normalize=False).drop("query"), scores, 10).select("id", F.round("score", 6).alias("score"), "rescore")
 
 
 @query("clu12_image_neighbours", f"WITH {SQL_VECTORS}, q AS (SELECT id AS query_id, vector AS qv FROM vectors WHERE id IN (SELECT item_id FROM benchmark)), s AS (SELECT query_id, id, list_dot_product(vector, qv) AS score FROM vectors, q) SELECT query_id, id, round(1 - score, 6) + 0.0 AS distance, round(score, 6) AS similarity FROM s WHERE score >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
 def image_neighbours(r: Roles) -> DataFrame:
     """The ten nearest vectors of each that the benchmark names, none under the floor: one scan for all."""
     asked = sorted((x["id"], [float(c) for c in x["vector"]]) for x in stated(r).collect())
-    hits = vb.top_k(stored_blocks(r), [q for _, q in asked], 10, 0.15)
+    hits = vb.top_k(stored_blocks(r), [q for _, q in asked], 10, 0.15, normalize=False)
     number = F.element_at(F.array(*[F.lit(i).cast("long") for i, _ in asked]), F.col("query") + 1) if asked else F.lit(None).cast("long")
     return hits.select(number.alias("query_id"), "id", (F.round(1 - F.col("score"), 6) + 0.0).alias("distance"), F.round("score", 6).alias("similarity"))

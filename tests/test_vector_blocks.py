@@ -62,3 +62,13 @@ def test_other_widths_are_refused(spark):
     assert vb.top_k(blocks, [], 3).count() == 0
     none = vb.packed(spark.createDataFrame([], KIND))
     assert vb.top_k(none, [[1.0]], 3).count() == 0
+
+
+def test_queries_as_they_come(spark):
+    rows = data(5)
+    blocks = vb.packed(spark.createDataFrame(rows, KIND), 16, 20)
+    q = [x * 3 for x in rows[9][1]]
+    want = sorted((-float(np.add.reduce(np.array(v, np.float32).astype(float) * np.array(q))), i) for i, v in rows if i is not None and v is not None and not any(x is None or np.isnan(x) for x in v))
+    want = [(i, -s) for s, i in want if -s >= 2.0][:30]
+    got = sorted(((r["id"], r["score"]) for r in vb.top_k(blocks, [q], 30, 2.0, normalize=False).collect()), key=lambda x: (-x[1], x[0]))
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-13)
