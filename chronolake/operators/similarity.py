@@ -6,6 +6,8 @@ within (angle to its own pivot) + 2 t of the other's pivot, so it visits the
 cells of earlier pivots up to that angle, and every pair meets in exactly one
 cell. Pivots are a bounded sample; they decide how many cells there are and
 never which pairs are found. Cells with many rows are dealt in pairs of blocks.
+Where the bound is so wide that rows would visit most cells, a whole group is one
+cell: a count of the copies that either way sends decides.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from ..functions.vector import dot, normalized
 from ..sources.checkpoints import written
 
-PIVOTS, BLOCK = 256, 1024
+#: Rows of a block at most: a task holds two. Cells of fewer rows are dealt too, in up to ``SIDES`` blocks of ``LEAST`` rows or more, so that there are tasks for all cores.
+PIVOTS, BLOCK = 256, 32768
+LEAST, SIDES = 4096, 8
 SLACK = 1e-7
 
 
@@ -38,55 +42,105 @@ def choose_pivots(vectors: DataFrame, most: int = PIVOTS) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if len(x) else x
 
 
+def _visited(part: pa.Array, pivots: np.ndarray, angle: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home of each vector, which cells it stands in)."""
+    far = np.arccos(np.clip(_units(part) @ pivots.T, -1, 1))
+    home = far.argmin(axis=1)
+    goes = far <= far[np.arange(len(home)), home][:, None] + 2 * angle + SLACK
+    return home, goes & (np.arange(len(pivots)) <= home[:, None])
+
+
 def visits(vectors: DataFrame, pivots: np.ndarray, angle: float) -> DataFrame:
     """(grp, cell, id, vector, home, ...): a row at home and one in each cell visited, other columns with it."""
     rest = [c for c in vectors.columns if c not in ("grp", "id", "vector")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                far = np.arccos(np.clip(_units(part.column(2)) @ pivots.T, -1, 1))
-                home = far.argmin(axis=1)
-                goes = far <= far[np.arange(len(home)), home][:, None] + 2 * angle + SLACK
-                goes &= np.arange(len(pivots)) <= home[:, None]
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                home, goes = _visited(part.column(2), pivots, angle)
                 row, cell = np.nonzero(goes)
-                moved = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*moved.columns, pa.array(cell.astype(np.int32)), pa.array(home[row] == cell)], names=[*moved.schema.names, "cell", "home"])
+                for i in range(0, len(row), 4096):
+                    r, c = row[i : i + 4096], cell[i : i + 4096]
+                    moved = part.take(pa.array(r))
+                    yield pa.RecordBatch.from_arrays([*moved.columns, pa.array(c.astype(np.int32)), pa.array(home[r] == c)], names=[*moved.schema.names, "cell", "home"])
 
     sent = vectors.select("grp", "id", "vector", *rest)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema)
     return sent.mapInArrow(run, f"{fields}, cell int, home boolean")
 
 
+def cell_sizes(vectors: DataFrame, pivots: np.ndarray, angle: float) -> DataFrame:
+    """(grp, cell, n): the rows of ``visits`` by cell, counted where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = b.column(0).dictionary_encode(null_encoding="encode")
+            names, which = of.dictionary, of.indices.to_numpy()
+            count = np.zeros((len(names), len(pivots)), np.int64)
+            for at in range(0, b.num_rows, 1024):
+                np.add.at(count, which[at : at + 1024], _visited(b.column(1).slice(at, 1024), pivots, angle)[1])
+            g, c = np.nonzero(count)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(g)), pa.array(c.astype(np.int32)), pa.array(count[g, c])], names=["grp", "cell", "n"])
+
+    return vectors.select("grp", "vector").mapInArrow(run, "grp string, cell int, n long").groupBy("grp", "cell").agg(F.sum("n").alias("n"))
+
+
 def dealt(vectors: DataFrame, above: float, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """Rows (grp, id, vector, ...) by (grp, cell, low, high): each pair with a cosine above the bound meets in one such group, in ``pairs_of``."""
     if above <= -1:
         raise ValueError("every pair is above -1")
+    angle = float(np.arccos(np.clip(above, -1, 1)))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.least(F.lit(SIDES), F.ceil(F.col("n") / LEAST))).cast("int")
+    whole = vectors.groupBy("grp").agg(F.count("*").alias("n")).select("grp", F.lit(0).alias("cell"), "n", blocks.alias("blocks"))
     points = choose_pivots(vectors, pivots)
-    if not len(points):
-        points = np.ones((1, 1))
-    rows = written(visits(vectors, points, float(np.arccos(np.clip(above, -1, 1)))))
+    rows, sizes = vectors.withColumns({"cell": F.lit(0), "home": F.lit(True)}), whole
+    if len(points) > 1:
+        cells = cell_sizes(vectors, points, angle).select("grp", "cell", "n", blocks.alias("blocks"))
+        sent = lambda c: c.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+        if sent(cells) < sent(whole):
+            rows, sizes = visits(vectors, points, angle), cells
     # A row for each cell that is too long for one task.
-    hot = rows.groupBy("grp", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
+    hot = sizes.filter("blocks > 1").select("grp", "cell", "blocks")
     out = rows.join(hot, ["grp", "cell"], "left").withColumn("own", F.expr("cast(pmod(xxhash64(id), coalesce(blocks, 1)) as int)"))
     out = out.withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")))
     return out.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("blocks", "other")
 
 
-def pairs_of(t: pa.Table, above: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, row, cosine) of the pairs that a group of ``dealt`` is to compare, some rows at a time."""
-    x = _units(t.column("vector"))
+def sides_of(t: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Unit vectors of a group of ``dealt``, and what is to be compared: (rows, rows) sets; within one set each pair twice.
+
+    Two rows are compared where one of them is at home.
+    """
     own, home = t.column("own").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
     low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-    left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-    for at in range(0, len(left), 256):
-        i = left[at : at + 256]
-        c = x[i] @ x[right].T
-        r, k = np.nonzero(c > above)
-        u, v, w = i[r], right[k], c[r, k]
-        use = (home[u] | home[v]) & ((u < v) if low == high else True)
-        yield u[use], v[use], w[use]
+    at = lambda side, h: np.flatnonzero((own == side) & (home == h))
+    if low == high:
+        sides = [(at(low, True), at(low, True)), (at(low, True), at(low, False))]
+    else:
+        sides = [(at(low, True), np.flatnonzero(own == high)), (at(low, False), at(high, True))]
+    return _units(t.column("vector")), [(a, b) for a, b in sides if len(a) and len(b)]
+
+
+#: Cosines of one step of a task.
+STEP = 1 << 21
+
+
+def pairs_of(t: pa.Table, above: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, cosine) of the pairs that a group of ``dealt`` is to compare, some rows at a time."""
+    x, sides = sides_of(t)
+    for left, right in sides:
+        same = left[0] == right[0]
+        y = x[right].T
+        step = max(1, STEP // len(right))
+        for at in range(0, len(left), step):
+            i = left[at : at + step]
+            c = x[i] @ y
+            r, k = np.nonzero(c > above)
+            if same:
+                use = at + r < k
+                r, k = r[use], k[use]
+            yield i[r], right[k], c[r, k]
 
 
 def near_pairs(vectors: DataFrame, above: float, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
@@ -96,11 +150,12 @@ def near_pairs(vectors: DataFrame, above: float, pivots: int = PIVOTS, block: in
     would be every pair, and is refused.
     """
 
-    def compare(t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        found = [(ids[u], ids[v], w) for u, v, w in pairs_of(t, above)]
-        a, b, cos = (np.concatenate(z) for z in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *found, strict=True))
-        return pa.table({"grp": pa.array([t.column("grp")[0].as_py()] * len(a), pa.string()), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "cos": pa.array(cos)})
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        ids, grp = t.column("id").to_numpy(), t.column("grp")[0].as_py()
+        for u, v, w in pairs_of(t, above):
+            a, b = ids[u], ids[v]
+            yield pa.RecordBatch.from_arrays([pa.array([grp] * len(a), pa.string()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(w)], names=["grp", "a", "b", "cos"])
 
     return dealt(vectors.select("grp", "id", "vector"), above, pivots, block).groupBy("grp", "cell", "low", "high").applyInArrow(compare, "grp string, a long, b long, cos double")
 
@@ -178,7 +233,7 @@ def learned_anchors(existing: DataFrame, candidates: DataFrame, above: float = D
     both = written(both.select("id", "old", grp.alias("grp"), normalized(F.col("vector").cast("array<double>")).alias("vector")))
     sound = both.filter("exists(vector, x -> x <> 0)")
     # Of equal vectors of a group only the first can stay: what an earlier copy is like, a later one is.
-    first = sound.groupBy("grp", "vector").agg(F.min("id").alias("id"))
+    first = written(sound.groupBy("grp", "vector").agg(F.min("id").alias("id")))
     again = sound.join(first.select(F.col("id").alias("_first")), F.col("id") == F.col("_first"), "left_anti").filter("NOT old").select("id")
     pairs = near_pairs(first, above)
     old = both.filter("old").select("id")

@@ -112,3 +112,29 @@ def test_learning_query_equals_the_loop(spark):
     asked = [(x["id"], x["category"], x["scope"], x["process_name"], list(x["vector"])) for x in si.anchor_candidates(feedback(r)).collect()]
     got = sorted(x["id"] for x in QUERIES["clu8_anchor_learning"](spark, r.path).collect())
     assert got == plain_learned(old, asked, si.DUPLICATE) and len(got) < len(asked)
+
+
+def test_wide_bounds_send_few_copies(spark):
+    rng = np.random.default_rng(6)
+    rows = [("g", i, rng.normal(size=16).tolist()) for i in range(600)] + [(None, 1000 + i, [1.0] * 15 + [i / 10]) for i in range(4)]
+    df = spark.createDataFrame(rows, "grp string, id long, vector array<double>")
+    # Every pair may be within the bound: rows that visited cells went to most of them.
+    assert si.dealt(df, 0.3, 100).count() == len(rows)
+    assert si.dealt(df, 0.3, 100, 100).count() <= 7 * len(rows)
+    want = plain_pairs(rows[:600], 0.3) | plain_pairs(rows[600:], 0.3)
+    assert {(r["a"], r["b"]) for r in si.near_pairs(df, 0.3, 100, 100).collect()} == set(want)
+
+
+def test_semantic_duplicates_by_brute_force(spark):
+    from chronolake.operators.ledger import semantic_duplicates
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(6, 5))
+    rows = [(i, "ab"[i % 2], i % 3, (base[rng.integers(6)] + 0.2 * rng.normal(size=5)).tolist()) for i in range(120)]
+    rows += [(200, "a", 0, [1.0, 0.0]), (201, "a", 0, [1.0, 0.01]), (202, "a", 0, [0.0] * 5), (203, "a", 0, None), (204, None, 0, rows[0][3]), (205, "a", 0, rows[0][3])]
+    known = [r for r in rows if r[0] % 4 == 0 or r[0] == 201] + [(300, "b", 1, rows[1][3])]
+    cols = "id long, category string, scope int, vector array<double>"
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))) if a and b and len(a) == len(b) and any(a) and any(b) else -1.0
+    want = {r[0]: any(r[1] and r[1:3] == k[1:3] and r[0] != k[0] and cos(r[3], k[3]) > 0.95 for k in known) for r in rows}
+    got = {r["id"]: r["duplicate"] for r in semantic_duplicates(spark.createDataFrame(rows, cols), spark.createDataFrame(known, cols)).collect()}
+    assert got == want and 5 < sum(want.values()) < 120 and want[200] and want[1]
