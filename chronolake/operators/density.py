@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import normalized
 from ..sources.checkpoints import written
-from .similarity import BLOCK, PIVOTS, dealt, pairs_of
+from .similarity import BLOCK, PIVOTS, STEP, dealt, pairs_of, sides_of
 
 GROUP = ("grp", "cell", "low", "high")
 #: Distances under this count as it.
@@ -46,13 +46,35 @@ def core_distances(cells: DataFrame, nodes: DataFrame, k: int, above: float) ->
 
     def nearest(t: pa.Table) -> pa.Table:
         ids, copies = t.column("id").to_numpy(), t.column("copies").to_numpy()
-        found = [(np.concatenate([u, v]), np.concatenate([v, u]), np.tile(_distance(w), 2)) for u, v, w in pairs_of(t, above)]
-        a, b, d = (np.concatenate(z) for z in zip((np.zeros(0, int), np.zeros(0, int), np.zeros(0)), *found, strict=True))
-        order = np.lexsort((d, a))
-        a, b, d = a[order], b[order], d[order]
-        first = np.searchsorted(a, a)
-        use = np.arange(len(a)) - first < k
-        return pa.table({"id": pa.array(ids[a[use]]), "d": pa.array(d[use]), "n": pa.array(copies[b[use]])})
+        x, sides = sides_of(t)
+        best, who = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), int)
+
+        def take(rows: np.ndarray, others: np.ndarray, cos: np.ndarray) -> None:
+            """Those of a row and what it has: the k best."""
+            own = np.unique(rows)
+            a, b, c = np.concatenate([np.repeat(own, k), rows]), np.concatenate([who[own].ravel(), others]), np.concatenate([best[own].ravel(), cos])
+            order = np.lexsort((-c, a))
+            a, b, c = a[order], b[order], c[order]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            use = place < k
+            best[a[use], place[use]], who[a[use], place[use]] = c[use], b[use]
+
+        for left, right in sides:
+            same, y = left[0] == right[0], x[right].T
+            step = max(1, STEP // len(right))
+            for at in range(0, len(left), step):
+                i = left[at : at + step]
+                c = x[i] @ y
+                if same:
+                    c[np.arange(len(i)), at + np.arange(len(i))] = -np.inf
+                for m, rows, others in ((c, i, right), (c.T, right, i))[: 1 if same else 2]:
+                    good = m > np.maximum(best[rows, -1], above)[:, None]
+                    if np.count_nonzero(good) > 16 * k * len(rows) and m.shape[1] > k:
+                        good &= m >= np.partition(m, m.shape[1] - k, axis=1)[:, -k][:, None]
+                    r, q = np.nonzero(good)
+                    take(rows[r], others[q], m[r, q])
+        r, q = np.nonzero(best > -np.inf)
+        return pa.table({"id": pa.array(ids[r]), "d": pa.array(_distance(best[r, q])), "n": pa.array(copies[who[r, q]])})
 
     near = cells.groupBy(*GROUP).applyInArrow(nearest, "id long, d double, n long")
     own = nodes.filter("copies > 1").select("id", F.lit(LEAST).alias("d"), (F.col("copies") - 1).alias("n"))
@@ -63,36 +85,72 @@ def core_distances(cells: DataFrame, nodes: DataFrame, k: int, above: float) ->
     return both.select("id", F.aggregate("near", start, step, lambda acc: acc["core"]).alias("core")).filter("core is not null")
 
 
-def reach_forests(cells: DataFrame, cores: DataFrame, above: float) -> DataFrame:
-    """(a, b, w): the spanning forests of the groups, weighted by mutual reachability."""
+#: Distances at which a forest under way knows its components.
+KNOWN = 64
+
+
+def lightest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which edges of ``n`` nodes make a minimum spanning forest, distances, the component of every node at each of those)."""
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    order = np.argsort(w, kind="stable")
+    used, levels, labels = [], [], []
+
+    def know(weight: float) -> None:
+        p = np.array(parent)
+        while (p != p[p]).any():
+            p = p[p]
+        levels.append(weight)
+        labels.append(p)
+
+    every = max(1, min(n, len(w)) // KNOWN)
+    for e, u, v in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        p, q = root(u), root(v)
+        if p != q:
+            parent[p] = q
+            used.append(e)
+            if len(used) % every == 0:
+                know(float(w[e]))
+    if used:
+        know(float(w[used[-1]]))
+    return np.array(used, int), np.array(levels), np.array(labels).reshape(len(levels), n)
+
+
+def reach_forests(cells: DataFrame, above: float) -> DataFrame:
+    """(a, b, w): the spanning forests of the groups, weighted by mutual reachability; rows have their ``core``.
+
+    Pairs that lighter ones connect already go as they come, so a task holds
+    its rows, the forest so far and a few pairs a row.
+    """
 
     def forest(t: pa.Table) -> pa.Table:
         ids, core = t.column("id").to_numpy(), t.column("core").to_numpy()
-        parent = np.arange(len(ids))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        out: list[tuple[int, int, float]] = []
-        for u, v, w in pairs_of(t, above):
-            # The forest so far and the next pairs: what closes a cycle with lighter ones goes.
-            d = np.maximum(np.maximum(core[u], core[v]), _distance(w))
-            pairs = [*out, *zip(u.tolist(), v.tolist(), d.tolist(), strict=True)]
-            pairs.sort(key=lambda e: e[2])
-            parent[:] = np.arange(len(ids))
-            out = []
-            for a, b, x in pairs:
-                p, q = root(a), root(b)
-                if p != q:
-                    parent[p] = q
-                    out.append((a, b, x))
-        a, b = (np.array([e[i] for e in out], int) for i in (0, 1))
-        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b]), "w": pa.array([e[2] for e in out], pa.float64())})
-
-    return cells.join(cores, "id").groupBy(*GROUP).applyInArrow(forest, "a long, b long, w double")
+        n = len(ids)
+        a, b, w = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        levels, labels = np.zeros(0), np.zeros((0, n), int)
+        fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for u, v, c in pairs_of(t, above):
+            d = np.maximum(np.maximum(core[u], core[v]), _distance(c))
+            if len(levels):
+                at = np.searchsorted(levels, d, "right") - 1
+                open_ = (at < 0) | (labels[at, u] != labels[at, v])
+                u, v, d = u[open_], v[open_], d[open_]
+            fresh.append((u, v, d))
+            if sum(len(f[0]) for f in fresh) > 2 * n:
+                a, b, w = (np.concatenate(z) for z in zip((a, b, w), *fresh, strict=True))
+                used, levels, labels = lightest(n, a, b, w)
+                a, b, w, fresh = a[used], b[used], w[used], []
+        a, b, w = (np.concatenate(z) for z in zip((a, b, w), *fresh, strict=True))
+        used, _, _ = lightest(n, a, b, w)
+        return pa.table({"a": pa.array(ids[a[used]]), "b": pa.array(ids[b[used]]), "w": pa.array(w[used])})
+
+    return cells.groupBy(*GROUP).applyInArrow(forest, "a long, b long, w double")
 
 
 def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -204,9 +262,10 @@ def clusters(vectors: DataFrame, least: int = 5, k: int = 5, above: float = 0.3,
     v = normalized(F.col("vector").cast("array<double>"))
     rows = written(vectors.select("id", v.alias("vector")).withColumn("sound", F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))))
     nodes = written(rows.filter("sound").groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("grp", F.lit("")))
-    cells = dealt(nodes, above, pivots, block)
-    cores = written(core_distances(cells, nodes, k, above))
-    forest, _ = spanning_forest(written(reach_forests(cells, cores, above)))
+    cores = written(core_distances(dealt(nodes, above, pivots, block), nodes, k, above))
+    # The vectors meet their cores before they are dealt: it is the copies that are many.
+    reached = written(nodes.join(cores, "id"))
+    forest, _ = spanning_forest(written(reach_forests(dealt(reached, above, pivots, block), above)))
     if levels is None:
         # That many numbers.
         q = forest.agg(F.percentile_approx("w", [i / steps for i in range(1, steps + 1)], 10_000)).first()[0]

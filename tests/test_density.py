@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronolake.operators import density
 
@@ -123,3 +124,30 @@ def test_nothing_to_cluster(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "id long, vector array<double>")
     assert as_sets(density.clusters(df)) == {1: None, 2: None}
     assert density.clusters(df.limit(0)).count() == 0
+
+
+def test_dense_groups_keep_their_forest_small(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2500, 3)) + [2.0, 0, 0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    core = rng.uniform(0, 0.05, size=len(x))
+    df = spark.createDataFrame([("", i, v, c) for i, (v, c) in enumerate(zip(x.tolist(), core.tolist(), strict=True))], "grp string, id long, vector array<double>, core double")
+    # No more copies than there are blocks, however wide the reach.
+    assert density.dealt(df, 0.1, 50, 1000).count() <= 3 * len(x)
+    d = np.maximum(np.maximum(core[:, None], core[None]), density._distance(x @ x.T))
+    d[x @ x.T <= 0.1] = np.inf
+    far, done, weight = d[0].copy(), np.zeros(len(x), bool), 0.0
+    done[0] = True
+    for _ in range(len(x) - 1):
+        i = int(np.where(done, np.inf, far).argmin())
+        weight, done[i] = weight + far[i], True
+        far = np.minimum(far, d[i])
+    for block in (10_000, 1000):
+        edges = density.reach_forests(density.dealt(df, 0.1, 50, block), 0.1)
+        forest, _ = density.spanning_forest(edges)
+        got = forest.collect()
+        assert len(got) == len(x) - 1 and sum(r["w"] for r in got) == pytest.approx(weight)
+    nodes = df.withColumn("copies", F.lit(1).cast("long"))
+    want = np.sort(np.where(np.eye(len(x), dtype=bool), np.inf, density._distance(x @ x.T)), axis=1)[:, 3]
+    got = {r["id"]: r["core"] for r in density.core_distances(density.dealt(nodes, 0.1, 50, 1000), nodes, 4, 0.1).collect()}
+    assert len(got) == len(x) and np.allclose([got[i] for i in range(len(x))], want)
