@@ -6,10 +6,14 @@ join or one projection, so that a state of any size moves in one pass.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import dot, normalized
+from ..functions.vector import normalized
+from ..sources.checkpoints import written
+from .similarity import dealt, pairs_of
 
 #: What a job is known by, and what its vector must have been made with.
 KEY, CONTRACT = ["index_kind", "subject_key"], ["model_id", "model_revision", "embedding_version", "source_fingerprint"]
@@ -234,7 +238,23 @@ def semantic_duplicates(vectors: DataFrame, anchors: DataFrame, above: float = 0
     """(id, duplicate): whether an anchor of the same category and scope, another row, has a cosine above the bound.
 
     Both sides are (id, category, scope, vector); ``anchors`` is the stated set.
+    Rows of a category, scope and width are compared in the groups of ``dealt``;
+    a group sends the ids that are like an anchor, not the pairs.
     """
-    a = anchors.select("category", "scope", F.col("id").alias("_id"), normalized(F.col("vector")).alias("_v"))
-    hit = vectors.withColumn("vector", normalized(F.col("vector"))).join(a, ["category", "scope"]).filter((F.col("id") != F.col("_id")) & (dot(F.col("vector"), F.col("_v")) > above))
+    rows = vectors.withColumn("anchor", F.lit(False)).select("id", "category", "scope", "vector", "anchor").unionByName(anchors.select("id", "category", "scope", "vector", F.lit(True).alias("anchor")))
+    sound = "category is not null and scope is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x)) and exists(vector, x -> x <> 0)"
+    rows = rows.filter(sound).select("id", "anchor", normalized(F.col("vector").cast("array<double>")).alias("vector"), F.to_json(F.struct("category", "scope", F.size("vector").alias("width"))).alias("grp"))
+    # Shorter vectors of other groups are filled up with zeros, which change no cosine.
+    width = rows.agg(F.max(F.size("vector"))).first()[0] or 0
+    rows = written(rows.withColumn("vector", F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("vector")))))
+
+    def like(t: pa.Table) -> pa.Table:
+        ids, anchor = t.column("id").to_numpy(), t.column("anchor").to_numpy(zero_copy_only=False)
+        out = np.zeros(len(ids), bool)
+        for u, v, _ in pairs_of(t, above):
+            use = (anchor[u] != anchor[v]) & (ids[u] != ids[v])
+            out[np.where(anchor[u], v, u)[use]] = True
+        return pa.table({"id": pa.array(ids[out])})
+
+    hit = dealt(rows, above).groupBy("grp", "cell", "low", "high").applyInArrow(like, "id long")
     return vectors.join(hit.select("id").distinct().withColumn("_h", F.lit(True)), "id", "left").select("id", F.coalesce("_h", F.lit(False)).alias("duplicate"))
