@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot
+from .similarity import BLOCK, LEAST, SIDES, STEP
 
 #: Fixed values of the gates: confidences that decide a class, and what equal embeddings must reach.
 CONFIDENCES, LEAST_COSINE, MOST_ERROR = (0.38, 0.50, 0.55), 0.99999, 1e-4
@@ -62,21 +63,30 @@ def agreement(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return one.withColumn("passed", passed).withColumn("n", n).drop("_other")
 
 
-def pairwise_delta(rows: DataFrame, block: int = 1024) -> DataFrame:
+def pairwise_delta(rows: DataFrame, block: int | None = None) -> DataFrame:
     """One row: the largest difference between x_i . x_j and y_i . y_j over all pairs of rows (x, y).
 
-    Rows are dealt into blocks; a task compares two blocks and sends one number.
+    Rows are dealt into blocks, each sent once for each block there is; a task
+    compares two blocks a few rows at a time and sends one number.
     """
     dealt = rows.select(F.col("x").cast("array<double>"), F.col("y").cast("array<double>"), F.xxhash64("x", "y").alias("h"))
-    blocks = -(-max(dealt.count(), 1) // block)
+    n = max(dealt.count(), 1)
+    blocks = -(-n // block) if block else max(-(-n // BLOCK), min(SIDES, -(-n // LEAST)))
     own = dealt.withColumn("own", F.pmod("h", F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = own.select("x", "y", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def compare(t: pa.Table) -> pa.Table:
         x, y = (np.asarray(t.column(c).combine_chunks().flatten()).reshape(t.num_rows, -1) for c in ("x", "y"))
         side = t.column("own").to_numpy()
-        a, b = (side == t.column(c)[0].as_py() for c in ("low", "high"))
-        most = max((float(np.abs(x[i : i + 1] @ x[b].T - y[i : i + 1] @ y[b].T).max()) for i in np.flatnonzero(a)), default=0.0) if b.any() else 0.0
+        a, b = (np.flatnonzero(side == t.column(c)[0].as_py()) for c in ("low", "high"))
+        most = 0.0
+        if len(b):
+            p, q, step = x[b].T, y[b].T, max(1, STEP // len(b))
+            for at in range(0, len(a), step):
+                i = a[at : at + step]
+                d = x[i] @ p
+                d -= y[i] @ q
+                most = max(most, float(d.max()), -float(d.min()))
         return pa.table({"d": [most]})
 
     return pairs.groupBy("low", "high").applyInArrow(compare, "d double").agg(F.max("d").alias("pairwise_delta"))
