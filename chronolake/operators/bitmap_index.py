@@ -13,14 +13,22 @@ merges them all. Each step is one commit of the store (``sources.snapshots``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams
+from ..sources.checkpoints import written
 from ..sources.snapshots import Snapshots, Stale
 
 BLOCK_BITS = 15
 BUCKETS = 64
+#: Blocks that a written file spans, as a power of two, and the tasks that write a segment.
+SPAN_BITS, PARTS = 4, 256
 
 
 def token_bucket(token: Column) -> Column:
@@ -38,6 +46,25 @@ def packed(postings: DataFrame) -> DataFrame:
     return out.select("token", "block", "bits", F.bitmap_count("bits").alias("n"), "low", "high")
 
 
+def segment(containers: DataFrame) -> DataFrame:
+    """Containers dealt as a segment is written: files of a bucket and a span of blocks, sorted for the row groups' bounds."""
+    rows = containers.withColumn("bucket", token_bucket(F.col("token")))
+    # A stated number, as partitions that look small would be joined: bitmaps are sorted at 4 KB each, and exchanged at a few bytes.
+    return rows.repartition(PARTS, "bucket", F.shiftright("block", SPAN_BITS)).sortWithinPartitions("bucket", "token", "block")
+
+
+@contextmanager
+def apart(spark: SparkSession) -> Iterator[None]:
+    """Partitions of an exchange stay as they are while this lasts, for the same reason."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def places(bits: Column) -> Column:
     """The places of the bits that are set; bytes without one cost a comparison each."""
     byte = lambda i: F.conv(F.hex(F.substring(bits, i + 1, F.lit(1))), 16, 10).cast("int")
@@ -55,16 +82,33 @@ def unlinked(containers: DataFrame, gone: DataFrame) -> DataFrame:
     """Containers without the ids that are gone (id); tokens that have none left vanish.
 
     If both sides have a ``turn``, an id has gone from containers of earlier
-    turns only. Just the blocks that an id has gone from are taken apart.
+    turns only. The ids that are gone are bitmaps too, one a block and turn, and
+    are taken out of the blocks' containers as they lie.
     """
     names, turns = ("token", "block", "bits", "n", "low", "high"), "turn" in containers.columns and "turn" in gone.columns
     c = containers if turns else containers.withColumn("turn", F.lit(0))
     g = gone.select(F.col("id").alias("_id"), (F.col("turn") if turns else F.lit(1)).alias("_turn")).filter("_id is not null")
-    hit = g.groupBy(F.shiftright("_id", BLOCK_BITS).alias("block")).agg(F.max("_turn").alias("_last"))
-    j = c.join(hit, "block", "left")
-    whole = j.filter("_last is null or _last <= turn").select(*names)
-    left = unpacked(j.filter("_last > turn"), "token", "turn").join(g, (F.col("id") == F.col("_id")) & (F.col("turn") < F.col("_turn")), "left_anti")
-    return whole.unionByName(packed(left.select("token", "id")))
+    each = g.join(c.select("turn").distinct(), F.col("turn") < F.col("_turn"))
+    masks = written(each.groupBy(F.shiftright("_id", BLOCK_BITS).alias("block"), "turn").agg(F.bitmap_construct_agg(F.col("_id").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))).alias("_mask")))
+    j = c.join(masks, ["block", "turn"], "left").select(*names, "_mask")
+
+    def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                bits, mask = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (2, 6))
+                left = bits & ~mask
+                some = left.any(axis=1)
+                left, block = left[some], b.column(1).to_numpy()[some]
+                each = np.unpackbits(left, axis=1, bitorder="little")
+                first, last = each.argmax(axis=1), each.shape[1] - 1 - each[:, ::-1].argmax(axis=1)
+                body = pa.array([x.tobytes() for x in left], pa.binary())
+                base = block.astype(np.int64) << BLOCK_BITS
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), pa.array(block), body, pa.array(each.sum(axis=1, dtype=np.int64)), pa.array(base + first), pa.array(base + last)], names=list(names))
+
+    hit = j.filter("_mask is not null")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hit.select(*names).schema)
+    return j.filter("_mask is null").select(*names).unionByName(hit.mapInArrow(take_out, fields))
 
 
 class BitmapIndex:
@@ -86,9 +130,9 @@ class BitmapIndex:
             return False
         turn = self.store.claim(f"turn/{self.name}")
         tokens = texts.select(F.col(id_col).cast("long").alias("id"), F.explode(bigrams(F.col(text_col))).alias("token"))
-        rows = packed(tokens).withColumns({"turn": F.lit(turn).cast("long"), "bucket": token_bucket(F.col("token"))})
-        # Rows of a bucket stand in one file a task, sorted for the row groups' bounds.
-        staged = self.store.stage(rows.repartition("bucket").sortWithinPartitions("bucket", "token", "block"), ("bucket",))
+        rows = segment(packed(tokens).withColumn("turn", F.lit(turn).cast("long")))
+        with apart(self.store.spark):
+            staged = self.store.stage(rows, ("bucket",))
         try:
             self.store.commit(add={self.name: staged}, **({} if batch is None else {"expect": {seen: batch}, "guards": {seen: batch + 1}}))
         except Stale:
@@ -105,8 +149,9 @@ class BitmapIndex:
         """All segments as one, without the ids that are gone; ``Conflict`` if a writer came between."""
         base = self.store.read()
         turn = base["guards"].get(f"turn/{self.name}", 0)
-        rows = self.containers(manifest=base).withColumns({"turn": F.lit(turn).cast("long"), "bucket": token_bucket(F.col("token"))})
-        staged = self.store.stage(rows.repartition("bucket").sortWithinPartitions("bucket", "token", "block"), ("bucket",))
+        rows = segment(self.containers(manifest=base).withColumn("turn", F.lit(turn).cast("long")))
+        with apart(self.store.spark):
+            staged = self.store.stage(rows, ("bucket",))
         replace = {self.name: staged}
         if self.gone in base["tables"]:
             replace[self.gone] = {"parts": [], "schema": base["tables"][self.gone]["schema"]}

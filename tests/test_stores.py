@@ -288,3 +288,29 @@ def test_pages_move_the_cursor_with_their_rows(spark, store):
     # The same page again, after a reply that was lost: the cursor has moved.
     with pytest.raises(Stale):
         index.import_page("r", "text", page, live, 0, 3)
+
+
+def test_small_bitmaps_are_not_sorted_in_one_task(spark, tmp_path):
+    """Bitmaps compress to nearly nothing, so partitions that look small would be joined to one of any number of bitmaps."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}") for i in range(2000)]
+    index = BitmapIndex(Snapshots(spark, str(tmp_path)))
+    index.add(spark.createDataFrame(rows, "id long, text string"))
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+    files = [len(list(f.glob("*.parquet"))) for f in tmp_path.glob("data/*/bucket=*")]
+    names = {f.name.split("-")[1] for f in tmp_path.glob("data/*/bucket=*/*.parquet")}
+    assert len(files) > 40 and set(files) == {1} and len(names) > 20
+    assert {(r["token"], r["id"]) for r in unpacked(index.containers(), "token").collect()} == {(t, i) for i, t in rows}
+
+
+def test_unlinked_by_turns_and_blocks(spark):
+    rng = random.Random(3)
+    size = 1 << BLOCK_BITS
+    rows = [(turn, rng.choice("abc"), rng.randrange(3 * size)) for turn in (1, 3) for _ in range(400)]
+    gone = [(2, i) for t, _, i in rows if t == 1 and i % 2] + [(4, i) for _, _, i in rows if i % 5 == 0] + [(9, None)]
+    df = spark.createDataFrame(rows, "turn long, token string, id long")
+    segments = [packed(df.filter(F.col("turn") == t)).withColumn("turn", F.lit(t).cast("long")) for t in (1, 3)]
+    out = unlinked(segments[0].unionByName(segments[1]), spark.createDataFrame(gone, "turn long, id long"))
+    got = sorted((r["token"], r["id"]) for r in unpacked(out, "token").collect())
+    want = sorted({(t, k, i) for t, k, i in rows if not any(i == g and t < turn for turn, g in gone)})
+    assert got == sorted((k, i) for _, k, i in want)
+    assert all(r["low"] == min(i for k, i in got if k == r["token"] and i >> BLOCK_BITS == r["block"] and r["low"] <= i <= r["high"]) and r["n"] > 0 for r in out.collect())
