@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot
+from ..sources.checkpoints import written
 from .similarity import BLOCK, LEAST, SIDES, STEP
 
 #: Fixed values of the gates: confidences that decide a class, and what equal embeddings must reach.
@@ -108,3 +109,43 @@ def archived(clusters: DataFrame, vectors: DataFrame, cutoff: Column) -> tuple[D
     """(cold rows, hot vectors): clusters (label, centroid, start, end, n) that ended before the cutoff, keyed by label and start, and the vectors (id, at, ...) that are not older."""
     key = F.concat_ws("_", F.lit("cold_cluster"), "label", F.unix_timestamp("start").cast("string"))
     return clusters.filter(F.col("end") < cutoff).select(key.alias("key"), "label", "centroid", "start", "end", "n", F.lit("cold").alias("layer")), vectors.filter(F.col("at") >= cutoff)
+
+
+
+#: Buckets between a power of two and the next, for values of ``quantiles``.
+FINE = 4096
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(*keys, n, most, q0, q1, ...): rows, maximum and interpolated quantiles of each group's values, exact; nulls have no rank.
+
+    Ranks are found by counts, first of buckets that rise with the value, then of
+    the different values in the buckets that hold a rank, so that no task or
+    buffer has all values of a group.
+    """
+    x = F.col("_x")
+    size = F.abs(x)
+    power = F.when(size > 0, F.floor(F.log2(size)))
+    # Rising in |x|, whichever way the logarithm is rounded; of equal sign and power, the part of the way to the next.
+    part = F.least(F.greatest(F.floor((size / F.pow(F.lit(2.0), power) - 1) * FINE), F.lit(0)), F.lit(FINE - 1))
+    bucket = F.when(F.isnan("_x"), 2e18).when(size == float("inf"), F.signum(x) * 1e18).when(size > 0, F.signum(x) * ((power + 1100) * FINE + part)).otherwise(0.0)
+    # Structs of keys are equal where both have a null.
+    named, keys = keys, ["_k"]
+    rows = rows.select(F.struct(*named).alias("_k"), F.col(value).cast("double").alias("_x"))
+    values = rows.filter("_x is not null").withColumn("_b", bucket)
+    counts = values.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    rising = Window.partitionBy(*keys).orderBy("_b")
+    ranked = counts.withColumns({"_to": F.sum("_n").over(rising), "_all": F.sum("_n").over(Window.partitionBy(*keys))}).withColumn("_from", F.col("_to") - F.col("_n"))
+    place = lambda s: F.lit(s) * (F.col("_all") - 1)
+    ends = [f(place(s)) for s in shares for f in (F.floor, F.ceil)]
+    held = F.lit(False)
+    for e in ends:
+        held = held | ((F.col("_from") <= e) & (e < F.col("_to")))
+    few = written(ranked.filter(held).select(*keys, "_b", "_from", "_all"))
+    total = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("_x").alias("most"))
+    each = values.join(few, [*keys, "_b"]).groupBy(*keys, "_b", "_from", "_all", "_x").agg(F.count("*").alias("_n"))
+    inside = each.withColumn("_to", F.col("_from") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_x"))).withColumn("_at", F.col("_to") - F.col("_n"))
+    hit = lambda e: F.max(F.when((F.col("_at") <= e) & (e < F.col("_to")), x))
+    found = inside.groupBy(*keys, "_all").agg(*[hit(e).alias(f"_e{i}") for i, e in enumerate(ends)])
+    between = [(F.col(f"_e{2 * i}") + (F.col(f"_e{2 * i + 1}") - F.col(f"_e{2 * i}")) * (place(s) - F.floor(place(s)))).alias(f"q{i}") for i, s in enumerate(shares)]
+    return total.join(found.select(*keys, *between), keys, "left").select("_k.*", "n", "most", *[f"q{i}" for i in range(len(shares))])
