@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -162,6 +162,16 @@ def find(text: str, kinds: tuple[str, ...], surnames: re.Pattern, context: re.Pa
 KINDS = (*PATTERNS, "NAME", "ADDRESS")
 
 
+ARROW_MAP = pa.struct([("text", pa.string()), ("pieces", pa.list_(pa.struct([("at", pa.int32()), ("shift", pa.int32())])))])
+ARROW_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+
+
+def few_at_a_time(texts: pa.Array, run: Callable, kind: pa.DataType, rows: int = 64) -> pa.Array:
+    """``run`` of each text; Python holds so many texts and results at once, whatever the batch."""
+    out = [pa.array([run(t) for t in texts.slice(at, rows).to_pylist()], kind) for at in range(0, len(texts), rows)]
+    return pa.concat_arrays(out) if out else pa.array([], kind)
+
+
 def _patterns(surnames: tuple[str, ...]) -> tuple[str, str]:
     family = "|".join(map(re.escape, sorted(surnames, key=lambda x: (-len(x), x)))) or r"[^\s\S]"
     return family, f"(?=({'|'.join(sorted(NAME_CONTEXT, key=len))}))"
@@ -170,10 +180,13 @@ def _patterns(surnames: tuple[str, ...]) -> tuple[str, str]:
 def normalize(text: Column) -> Column:
     """``MAP`` of a text: its normalized form and the pieces of the way back; null stays null."""
 
-    @F.pandas_udf(MAP)
-    def run(s: pd.Series) -> pd.DataFrame:
-        rows = [normalized(t) if t is not None else (None, None) for t in s]
-        return pd.DataFrame({"text": [r[0] for r in rows], "pieces": [r[1] and [{"at": a, "shift": b} for a, b in r[1]] for r in rows]})
+    def one(t: str | None) -> dict:
+        form, pieces = normalized(t) if t is not None else (None, None)
+        return {"text": form, "pieces": pieces and [{"at": a, "shift": b} for a, b in pieces]}
+
+    @F.arrow_udf(MAP)
+    def run(texts: pa.Array) -> pa.Array:
+        return few_at_a_time(texts, one, ARROW_MAP)
 
     out = run(text)
     return F.when(text.isNotNull(), out)
@@ -186,10 +199,10 @@ def found(text: Column, kinds: tuple[str, ...] = KINDS, surnames: tuple[str, ...
     """
     family, context = _patterns(surnames)
 
-    @F.pandas_udf(SPAN)
-    def run(s: pd.Series) -> pd.Series:
+    @F.arrow_udf(SPAN)
+    def run(texts: pa.Array) -> pa.Array:
         a, b = re.compile(family), re.compile(context)
-        return pd.Series([find(t, kinds, a, b) if t else [] for t in s])
+        return few_at_a_time(texts, lambda t: find(t, kinds, a, b) if t else [], ARROW_SPAN)
 
     return run(text)
 
@@ -240,16 +253,17 @@ def analyzed(text: Column, kinds: tuple[str, ...] = KINDS, least: float = LEAST_
     """
     family, context = _patterns(surnames)
 
-    @F.pandas_udf(SPAN)
-    def run(s: pd.Series) -> pd.Series:
+    @F.arrow_udf(SPAN)
+    def run(texts: pa.Array) -> pa.Array:
         a, b = re.compile(family), re.compile(context)
-        out = []
-        for t in s:
+
+        def one(t: str | None) -> list[dict]:
             form, pieces = normalized(t or "")
             starts = [p[0] for p in pieces]
-            back = lambda place: place + pieces[bisect.bisect_right(starts, place) - 1][1]  # noqa: E731, B023
-            out.append([e | {"start": back(e["start"]), "end": back(e["end"]), "score": round(e["score"], 4)} for e in find(form, kinds, a, b) if e["score"] >= least])
-        return pd.Series(out)
+            back = lambda place: place + pieces[bisect.bisect_right(starts, place) - 1][1]
+            return [e | {"start": back(e["start"]), "end": back(e["end"]), "score": round(e["score"], 4)} for e in find(form, kinds, a, b) if e["score"] >= least]
+
+        return few_at_a_time(texts, one, ARROW_SPAN)
 
     return run(text)
 
