@@ -10,6 +10,8 @@ present state; ``compact`` folds them into one row each.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from ..sources.checkpoints import written
 from ..sources.snapshots import Snapshots
 
 TURN = "turn/changes"
+#: Rows of all sides of a join that a task should get, where the sides are dealt by their number.
+SHARE = 1_000_000
 ROW = ["image_hash", "kind"]
 EMPTY = {
     "rows": "id long, sign int, image_hash string, kind string, turn long",
@@ -115,7 +119,22 @@ def deleted_range(parents: DataFrame, children: DataFrame, inside) -> tuple[Data
     return parents.join(gone, "id", "left_anti"), children.join(gone.withColumnRenamed("id", "parent_id"), "parent_id", "left_anti"), counts
 
 
+def dealt(key: str, *sides: DataFrame) -> list[DataFrame]:
+    """The sides of joins by ``key`` in the same partitions, so many that each gets some ``SHARE`` rows.
+
+    Adaptive execution puts partitions together by their compressed size. Keys
+    that come in order take a few bytes there and seventy where a task sorts
+    them, and joins that follow one another are sorted in one task. Up to
+    ``SHARE`` rows are left to it.
+    """
+    rows = functools.reduce(DataFrame.unionAll, [s.select(F.lit(1)) for s in sides]).count()
+    spark = sides[0].sparkSession
+    n = max(rows // SHARE + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return [s.repartition(n, key) if rows > SHARE else s for s in sides]
+
+
 def finalized(parents: DataFrame, children: DataFrame, queue: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parents, queue) after the queued parents (id) that have no children left are deleted, with their queue entries."""
-    ready = queue.select("id").join(children.select(F.col("parent_id").alias("id")), "id", "left_anti")
+    parents, queue, live = dealt("id", parents, queue, children.select(F.col("parent_id").alias("id")))
+    ready = queue.select("id").join(live, "id", "left_anti")
     return parents.join(ready, "id", "left_anti"), queue.join(ready, "id", "left_anti")

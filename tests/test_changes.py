@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from chronolake.operators import changes
 from chronolake.operators.changes import ChangeLog
 from chronolake.sources.snapshots import Snapshots, Stale
 
@@ -67,3 +69,18 @@ def test_a_batch_that_was_overtaken_is_refused(spark, tmp_path, monkeypatch):
     assert state(log) == ({}, {}, {}, {("text", "1"), ("image", "a")})
     log.apply(spark.createDataFrame([(1, 0, "put", "b", "x")], CHANGE))
     assert state(log) == ({1: ("b", "x")}, {"b": 1}, {"x": 1}, {("image", "a")})
+
+
+def test_finalized_tasks_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(changes, "SHARE", 500, raising=False)
+    parents = spark.range(4000).unionByName(spark.range(1).select(F.lit(None).cast("long").alias("id")))
+    queue = parents.filter("id is null or id % 2 = 0")
+    children = spark.range(4000).filter("id % 3 <> 0").select(F.col("id").alias("parent_id"))
+    left, queued = changes.finalized(parents, children, queue)
+    gone = {i for i in range(0, 4000, 2) if i % 3 == 0}
+    assert sorted(r[0] for r in left.collect() if r[0] is not None) == [i for i in range(4000) if i not in gone]
+    assert sorted(r[0] for r in queued.collect() if r[0] is not None) == [i for i in range(0, 4000, 2) if i not in gone]
+    assert left.filter("id is null").count() == queued.filter("id is null").count() == 1
+    # Adaptive execution would put these few bytes into one partition.
+    sizes = [r["count"] for r in left.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 500
