@@ -34,6 +34,8 @@ SHINGLE, WIDE, LEAST = 5, 16, 4
 SCREEN, LOOSE, FAR, SMALL, SMALL_FAR = 3, 54, 200, 8, 250
 #: Words that are added to the fingerprints of what has candidates, and bits that may then differ: 468 of 3072 do at a similarity of 0.8, 20 being the standard deviation.
 MORE, SHARP = 32, 545
+#: Candidates of a node that are ranked by long fingerprints, rows of a bitmap.
+FEW, SPAN = 8, 1 << 15
 
 
 def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -434,41 +436,56 @@ def nearest(nodes: DataFrame, width: int, count: int) -> DataFrame:
     return dealt.mapInArrow(frugal(compare), "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
-def pairs_between(nodes: DataFrame, width: int, count: int) -> DataFrame:
+def pairs_between(nodes: DataFrame, sharp: DataFrame, width: int, count: int) -> DataFrame:
     """(a, b): all pairs of ``nodes`` (node, n, fp, root) of different roots that meet and may be similar.
 
     An anchor of over ``HOT`` rows is dealt: rows of its commonest root in
     blocks, the others in blocks, and each pair of blocks with others in it is
     a group of its own. Rows of the commonest root are not compared with each other.
+    Rows that may be similar to another of their group get their long fingerprints
+    (``sharp``) and are compared again, so that these join rows and not pairs.
     """
 
+    def near(t: pa.RecordBatch, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        group, side, anchor, node, root, n = (t.column(k).to_numpy() for k in range(6))
+
+        def out(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for at in range(0, len(i), 1 << 12):
+                x, y = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
+                use = _near(fps, n, x, y)
+                x, y = x[use], y[use]
+                if len(x):
+                    # A pair that meets at several anchors is named at the first.
+                    own = [segment_anchors(np.ascontiguousarray(fps[k]), width, count)[1].reshape(-1, count) for k in (x, y)]
+                    first = own[0][np.arange(len(x)), (own[0] == own[1]).argmax(axis=1)] == anchor[x].view(np.uint64)
+                    yield x[first], y[first]
+
+        for i, j in _small_pairs(group):
+            use = (root[i] != root[j]) & _meet(side[i], side[j])
+            yield from out(i[use], j[use])
+        for s, e in _large_groups(group):
+            b = np.arange(s, e)
+            for at in range(s, e, 256):
+                a = np.arange(at, min(at + 256, e))
+                use = (root[a][:, None] != root[b][None, :]) & _meet(side[a][:, None], side[b][None, :]) & (a[:, None] < b[None, :])
+                r, c = np.nonzero(use)
+                yield from out(a[r], b[c])
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            use = np.zeros(t.num_rows, bool)
+            for x, y in near(t, words_of(t.column(6), WIDE)):
+                use[x] = use[y] = True
+            if use.any():
+                yield t.select(list(range(6))).filter(pa.array(use))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            group, side, anchor, node, root, n = (t.column(k).to_numpy() for k in range(6))
-            fps = words_of(t.column(6), WIDE)
-
-            def out(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-                for at in range(0, len(i), 1 << 12):
-                    x, y = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
-                    use = _near(fps, n, x, y)
-                    x, y = x[use], y[use]
-                    if len(x):
-                        # A pair that meets at several anchors is named at the first.
-                        own = [segment_anchors(np.ascontiguousarray(fps[k]), width, count)[1].reshape(-1, count) for k in (x, y)]
-                        first = own[0][np.arange(len(x)), (own[0] == own[1]).argmax(axis=1)] == anchor[x].view(np.uint64)
-                        x, y = node[x[first]], node[y[first]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-            for i, j in _small_pairs(group):
-                use = (root[i] != root[j]) & _meet(side[i], side[j])
-                yield from out(i[use], j[use])
-            for s, e in _large_groups(group):
-                b = np.arange(s, e)
-                for at in range(s, e, 256):
-                    a = np.arange(at, min(at + 256, e))
-                    use = (root[a][:, None] != root[b][None, :]) & _meet(side[a][:, None], side[b][None, :]) & (a[:, None] < b[None, :])
-                    r, c = np.nonzero(use)
-                    yield from out(a[r], b[c])
+            node, n, fps = t.column(3).to_numpy(), t.column(5).to_numpy(), words_of(t.column(6), WIDE + MORE)
+            for x, y in near(t, np.ascontiguousarray(fps[:, :WIDE])):
+                use = (_distance(fps[x], fps[y]) <= SHARP) | (np.where(node[x] > node[y], n[x], n[y]) <= SMALL)
+                x, y = node[x[use]], node[y[use]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     sent = _replicas(nodes, width, count, WIDE, "root")
     per_root = sent.groupBy("anchor", "root").agg(F.count("*").alias("c"))
@@ -486,7 +503,10 @@ def pairs_between(nodes: DataFrame, width: int, count: int) -> DataFrame:
     group = F.when(F.col("main").isNull(), F.col("anchor")).otherwise(F.xxhash64("anchor", "g.i", "g.j"))
     dealt = own.select(group.alias("group"), F.col("g.side").alias("side"), "anchor", "node", "root", "n", "head")
     n = partitions(nodes.sparkSession)
-    return dealt.repartition(n, "group").sortWithinPartitions("group").mapInArrow(frugal(compare), "a long, b long")
+    dealt = dealt.repartition(n, "group").sortWithinPartitions("group")
+    again = materialize(dealt.mapInArrow(frugal(screen), "group long, side int, anchor long, node long, root long, n int"))
+    again = again.join(sharp.select("node", "fp"), "node").select("group", "side", "anchor", "node", "root", "n", "fp")
+    return again.repartition(n, "group").sortWithinPartitions("group").mapInArrow(frugal(compare), "a long, b long")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -510,11 +530,14 @@ def measured(pairs: DataFrame, sharp: DataFrame) -> DataFrame:
 
 
 def closest(found: DataFrame, sharp: DataFrame) -> DataFrame:
-    """(a, b, next): for each b of ``found`` (a, b) the a that differs least in long fingerprints, and the one after it or null.
+    """(a, b, next): for each b of ``found`` the a that differs least in long fingerprints, and the one after it or null.
 
-    ``found`` has at most one a for each b and anchor. A b without an a that may be similar is left out.
+    ``found`` (a, b, d) has at most one a for each b and anchor; of those the ``FEW`` that differ least by d are
+    measured, which only says what is tried first. A b without an a that may be similar is left out.
     """
-    ranked = measured(found, sharp).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("d", "a"))).alias("near"))
+    few = found.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "a"))), 1, FEW).alias("near"))
+    few = few.select(F.explode("near.a").alias("a"), "b")
+    ranked = measured(few, sharp).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("d", "a"))).alias("near"))
     return ranked.select(F.col("near")[0]["a"].alias("a"), "b", F.get(F.col("near"), F.lit(1))["a"].alias("next"))
 
 
@@ -544,6 +567,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(frugal(run), "a long, b long")
 
 
+def row_bits(rows: DataFrame, row_col: str) -> DataFrame:
+    """(block, bits): a bit for each row number of ``rows``, in bitmaps of ``SPAN``."""
+    place = F.col(row_col)
+    return materialize(rows.groupBy(F.floor(place / SPAN).alias("block")).agg(F.bitmap_construct_agg(place % SPAN).alias("bits")))
+
+
+def chosen(docs: DataFrame, bits: DataFrame, row_col: str) -> DataFrame:
+    """The rows of ``docs`` whose bit is set. A bit a document is broadcast, so texts stay where they lie."""
+    named = F.broadcast(bits.toDF("_block", "_bits"))
+    byte = F.expr(f"cast(conv(hex(substring(_bits, cast({row_col} % {SPAN} as int) div 8 + 1, 1)), 16, 10) as int)")
+    is_set = F.getbit(byte, (F.col(row_col) % 8).cast("int")) == 1
+    return docs.join(named, F.floor(F.col(row_col) / SPAN) == F.col("_block")).filter(is_set).drop("_block", "_bits")
+
+
 def similar_links(nodes: DataFrame, docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
     """(node, root) of the components that verified links make.
 
@@ -557,7 +594,8 @@ def similar_links(nodes: DataFrame, docs: DataFrame, row_col: str, text_col: str
     found = materialize(nearest(wide, width, count))
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
     live = materialize(wide.join(ends, "node", "left_semi").select("node", "rep", "n", "fp"))
-    texts = docs.select(F.col(row_col).alias("rep"), F.col(text_col).alias("text")).join(live.select("rep", "node"), "rep")
+    bits = row_bits(live, "rep")
+    texts = chosen(docs.select(F.col(row_col).alias("rep"), F.col(text_col).alias("text")), bits, "rep").join(live.select("rep", "node"), "rep")
     sets = materialize(shingle_sets(texts), codec="none")
     sharp = materialize(live.join(sets.select("node", "more"), "node").select("node", "n", F.concat("fp", "more").alias("fp")))
     first = materialize(closest(found.filter("a is not null"), sharp))
@@ -566,10 +604,10 @@ def similar_links(nodes: DataFrame, docs: DataFrame, row_col: str, text_col: str
     links = links.unionAll(materialize(verified(second, sets)))
     roots = materialize(connected_components(links))
     rooted = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = materialize(measured(pairs_between(rooted, width, count), sharp))
-    more = materialize(verified(rest.select("a", "b"), sets))
+    rest = materialize(pairs_between(rooted, sharp, width, count))
+    more = materialize(verified(rest, sets))
     out = connected_components(links.unionAll(more))
-    for old in (found, live, sets, sharp, roots, rest, first):
+    for old in (found, live, bits, sets, sharp, roots, rest, first):
         discard(old)
     return out
 
@@ -591,7 +629,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     roots = similar_links(nodes, docs, "_row", text_col)
     rooted = nodes.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))
-    return materialize(docs.join(stay, "_row", "left_semi").drop("_row"), docs, marks, nodes)
+    bits = row_bits(stay, "_row")
+    return materialize(chosen(docs, bits, "_row").drop("_row"), docs, marks, nodes, bits)
 
 
 QUERIES = {"op4_simhash": op4_simhash}

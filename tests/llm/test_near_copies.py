@@ -71,3 +71,43 @@ def test_one_row_of_each_group(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(3, a), (7, a), (7, b), (None, c), (None, c), (5, c), (3, a), (None, "alone without an id here")]
     assert sorted(kept(spark, rows), key=str) == sorted([(3, a), (7, b), (5, c), (None, "alone without an id here")], key=str)
+
+
+def test_rows_by_bits(spark):
+    docs = spark.range(100_000).selectExpr("id + if(id < 70000, 0, 8589934592) as _row", "cast(id as string) as text")
+    rows = docs.filter("_row % 7 in (1, 3) or _row in (0, 32767, 32768, 69999)").select("_row")
+    got = simhash.chosen(docs, simhash.row_bits(rows, "_row"), "_row")
+    assert got.columns == docs.columns
+    assert sorted(r[0] for r in got.select("_row").collect()) == sorted(r[0] for r in rows.collect())
+
+
+def test_texts_stay_where_they_lie(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.random()}" for _ in range(2000)) for _ in range(100)]
+    table(spark, enumerate(texts + [t + " tail" for t in texts[:50]])).repartition(4).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    was, limit = sent(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stay = corpus_pipeline.drop_near_copies(spark, docs.filter("doc_id < 100"), "").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert stay == 100
+    assert sent() - was < sum(map(len, texts)) / 4
+
+
+def test_few_candidates_are_ranked(spark, monkeypatch):
+    seen, real = [], simhash.measured
+    monkeypatch.setattr(simhash, "measured", lambda pairs, sharp: seen.append(pairs.count()) or real(pairs, sharp))
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for i in range(120):
+        w = list(base)
+        for k in rng.sample(range(100), 2):
+            w[k] = f"x{i}-{k}"
+        texts.append(" ".join(w))
+    kept(spark, enumerate(texts))
+    # The candidates of a node, and none of the pairs that are left.
+    assert len(seen) == 1 and seen[0] <= 120 * simhash.FEW
