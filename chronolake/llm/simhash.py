@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -442,8 +443,8 @@ def pairs_between(nodes: DataFrame, sharp: DataFrame, width: int, count: int) ->
     An anchor of over ``HOT`` rows is dealt: rows of its commonest root in
     blocks, the others in blocks, and each pair of blocks with others in it is
     a group of its own. Rows of the commonest root are not compared with each other.
-    Rows that may be similar to another of their group get their long fingerprints
-    (``sharp``) and are compared again, so that these join rows and not pairs.
+    What may be similar is dealt in tiles of some 64 rows by 64, whose rows get their long fingerprints
+    (``sharp``) and say with which others they are compared, so that these join rows and not pairs.
     """
 
     def near(t: pa.RecordBatch, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -464,28 +465,38 @@ def pairs_between(nodes: DataFrame, sharp: DataFrame, width: int, count: int) ->
             use = (root[i] != root[j]) & _meet(side[i], side[j])
             yield from out(i[use], j[use])
         for s, e in _large_groups(group):
-            b = np.arange(s, e)
-            for at in range(s, e, 256):
-                a = np.arange(at, min(at + 256, e))
-                use = (root[a][:, None] != root[b][None, :]) & _meet(side[a][:, None], side[b][None, :]) & (a[:, None] < b[None, :])
-                r, c = np.nonzero(use)
-                yield from out(a[r], b[c])
+            for at in range(s, e, 64):
+                a = np.arange(at, min(at + 64, e))
+                for to in range(at, e, 64):
+                    b = np.arange(to, min(to + 64, e))
+                    use = (root[a][:, None] != root[b][None, :]) & _meet(side[a][:, None], side[b][None, :]) & (a[:, None] < b[None, :])
+                    r, c = np.nonzero(use)
+                    yield from out(a[r], b[c])
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = TaskContext.get().partitionId() << 33
         for t in whole_groups(batches):
-            use = np.zeros(t.num_rows, bool)
+            node, n = t.column(3).to_numpy(), t.column(5).to_numpy()
             for x, y in near(t, words_of(t.column(6), WIDE)):
-                use[x] = use[y] = True
-            if use.any():
-                yield t.select(list(range(6))).filter(pa.array(use))
+                if len(x):
+                    rows, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+                    x, y = place[: len(x)], place[len(x) :]
+                    edge = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(rows)))])
+                    others = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(y[np.argsort(x, kind="stable")], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), deal)), pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(node[rows]), pa.array(n[rows]), others], names=["deal", "place", "node", "n", "others"])
+                    deal += 1
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            node, n, fps = t.column(3).to_numpy(), t.column(5).to_numpy(), words_of(t.column(6), WIDE + MORE)
-            for x, y in near(t, np.ascontiguousarray(fps[:, :WIDE])):
-                use = (_distance(fps[x], fps[y]) <= SHARP) | (np.where(node[x] > node[y], n[x], n[y]) <= SMALL)
-                x, y = node[x[use]], node[y[use]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            deal, node, n, fps = t.column(0).to_numpy(), t.column(2).to_numpy(), t.column(3).to_numpy(), words_of(t.column(5), WIDE + MORE)
+            edge = _edges(deal)
+            x = np.repeat(np.arange(len(deal)), t.column(4).value_lengths().to_numpy())
+            y = np.repeat(edge[:-1], np.diff(edge))[x] + t.column(4).flatten().to_numpy()
+            for at in range(0, len(x), 1 << 12):
+                i, j = x[at : at + (1 << 12)], y[at : at + (1 << 12)]
+                use = (_distance(fps[i], fps[j]) <= SHARP) | (np.where(node[i] > node[j], n[i], n[j]) <= SMALL)
+                i, j = node[i[use]], node[j[use]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
 
     sent = _replicas(nodes, width, count, WIDE, "root")
     per_root = sent.groupBy("anchor", "root").agg(F.count("*").alias("c"))
@@ -504,9 +515,9 @@ def pairs_between(nodes: DataFrame, sharp: DataFrame, width: int, count: int) ->
     dealt = own.select(group.alias("group"), F.col("g.side").alias("side"), "anchor", "node", "root", "n", "head")
     n = partitions(nodes.sparkSession)
     dealt = dealt.repartition(n, "group").sortWithinPartitions("group")
-    again = materialize(dealt.mapInArrow(frugal(screen), "group long, side int, anchor long, node long, root long, n int"))
-    again = again.join(sharp.select("node", "fp"), "node").select("group", "side", "anchor", "node", "root", "n", "fp")
-    return again.repartition(n, "group").sortWithinPartitions("group").mapInArrow(frugal(compare), "a long, b long")
+    again = materialize(dealt.mapInArrow(frugal(screen), "deal long, place int, node long, n int, others array<int>"))
+    again = again.join(sharp.select("node", "fp"), "node").select("deal", "place", "node", "n", "others", "fp")
+    return again.repartition(n, "deal").sortWithinPartitions("deal", "place").mapInArrow(frugal(compare), "a long, b long")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
