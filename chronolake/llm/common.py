@@ -51,18 +51,23 @@ def _conf(spark: SparkSession, **pairs: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, *replaces: DataFrame, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, *replaces: DataFrame, codec: str = "zstd", wide: bool = False) -> DataFrame:
     """Write ``df`` under ``work_dir`` and read it back.
 
     The shuffle files of the write are dropped when it ends, and the tables of
     ``replaces`` (results of earlier calls that nothing reads any more) with
-    them, so that disk holds one step and not the history.
+    them, so that disk holds one step and not the history. ``wide``: rows are
+    of megabytes, and a row group has two of them; else its size is looked at
+    after some 100, which a reader would take into memory at once.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/table-{uuid.uuid4().hex}"
     with _conf(spark, **{CLEANUP: "true"}, **BATCH):
         # Small row groups: a writer holds one in memory, and a reader one of long binary values.
-        df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
+        to = df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP)
+        if wide:
+            to = to.option("parquet.block.row.count.limit", 2)
+        to.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     for made in _recording:

@@ -41,8 +41,10 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 SHARD, BEGUN = 8 << 20, 32 << 20
 #: Phrase occurrences that a bucket of the sketch is meant for, and counters for each.
 BUCKET, SLACK = 1 << 22, 4
-#: Characters of the phrases of one automaton.
-AUTOMATON = 2 << 20
+#: Bytes of the phrases of one automaton.
+AUTOMATON = 1 << 20
+#: Bytes of a shard whose words are read at a time, phrase occurrences whose counters are, and phrases whose counts are sent at a time.
+CHUNK, SLICE, SENT = 1 << 20, 1 << 20, 1 << 17
 
 #: A-Z lower-cased, piece ends as line feeds, tabs as blanks.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
@@ -111,13 +113,22 @@ class Shard:
     def __init__(self, lang: str, body: bytes):
         self.body = body
         data = np.frombuffer(body, np.uint8)
-        blank = np.flatnonzero(data == 32)
+        blank = np.flatnonzero(data == 32).astype(np.int32)
         word = data[blank[:-1] + 1] != 10
         self.start, self.end = blank[:-1][word], blank[1:][word] + 1
-        self.piece = np.cumsum(~word)[word]
-        words = body.split()
-        code = {w: i for i, w in enumerate(set(words))}
-        self.codes = np.fromiter(map(code.__getitem__, words), np.int32, len(words))
+        self.piece = np.cumsum(~word, dtype=np.int32)[word]
+        del blank, word
+        code: dict[bytes, int] = {}
+        codes, at = [np.zeros(0, np.int32)], 0
+        while at < len(body):
+            # To the end of a piece.
+            end = body.find(b"\n", at + CHUNK) + 1 or len(body)
+            words = body[at:end].split()
+            for w in set(words) - code.keys():
+                code[w] = len(code)
+            codes.append(np.fromiter(map(code.__getitem__, words), np.int32, len(words)))
+            at = end
+        self.codes = np.concatenate(codes)
         seed = xxhash.xxh64_intdigest(lang.encode())
         both = [xxhash.xxh3_128_intdigest(w, seed) for w in code]
         low = (1 << 64) - 1
@@ -145,11 +156,30 @@ class Shard:
             out.append(g)
         return tuple(out)
 
+    def slices(self, bits: int, outer: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
+        """(counters rising, hits of each, (bucket, begin, end) of each bucket in them): some whole buckets at a time."""
+        found, n = np.empty(LONGEST * len(self.codes), np.uint64), 0
+        for _, at, c in self.hashes(bits):
+            found[n : n + len(at)] = c
+            n += len(at)
+        found = found[:n]
+        found.sort()
+        shift, at = np.uint64(bits - outer), 0
+        while at < n:
+            last = found[min(at + SLICE, n) - 1] >> shift
+            end = int(np.searchsorted(found, (last + np.uint64(1)) << shift))
+            part = found[at:end]
+            new = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            counter = part[new]
+            bucket = (counter >> shift).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+            yield counter, np.diff(np.append(new, len(part))), list(zip(bucket[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            at = end
+
     def hits(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(counters rising, hits of each)."""
-        found = np.sort(np.concatenate([c for _, _, c in self.hashes(bits)]))
-        new = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-        return found[new], np.diff(np.append(new, len(found)))
+        both = [(counter, hits) for counter, hits, _ in self.slices(bits, 0)]
+        return tuple(np.concatenate(x) for x in zip(*both, strict=True))
 
 
 def sketch_size(words: int) -> tuple[int, int]:
@@ -169,16 +199,14 @@ def cells(parts: DataFrame, bits: int, outer: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, lang, body in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                counter, hits = Shard(lang, body).hits(bits)
-                bucket = (counter >> np.uint64(bits - outer)).astype(np.int64)
-                inner = (counter & np.uint64((1 << (bits - outer)) - 1)).astype(np.uint32)
-                hits = np.minimum(hits, 255).astype(np.uint8)
-                cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-                out = []
-                for i, j in zip(cut[:-1], cut[1:], strict=True):
-                    gap = np.diff(inner[i:j], prepend=np.uint32(0)).astype("<u4")
-                    out.append(np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 4).T).tobytes() + hits[i:j].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array([shard] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "shard", "cell"])
+                for counter, hits, buckets in Shard(lang, body).slices(bits, outer):
+                    inner = (counter & np.uint64((1 << (bits - outer)) - 1)).astype(np.uint32)
+                    hits = np.minimum(hits, 255).astype(np.uint8)
+                    out = []
+                    for _, i, j in buckets:
+                        gap = np.diff(inner[i:j], prepend=np.uint32(0)).astype("<u4")
+                        out.append(np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 4).T).tobytes() + hits[i:j].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in buckets], pa.int64()), pa.array([shard] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "shard", "cell"])
 
     return parts.select("shard", "lang", "body").mapInArrow(frugal(run), "bucket long, shard long, cell binary")
 
@@ -214,35 +242,49 @@ def reached(sent: DataFrame, least: int, bits: int, outer: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(add, "shard long, bucket long, mask binary")
 
 
-def candidates(shard: Shard, bits: int, outer: int, masks: dict[int, bytes]) -> list[str]:
-    """The phrases of a shard, blanks around, whose counters reach the threshold."""
-    counter, _ = shard.hits(bits)
-    bucket = (counter >> np.uint64(bits - outer)).astype(np.int64)
-    hot = np.zeros(len(counter), bool)
-    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-    for i, j in zip(cut[:-1], cut[1:], strict=True):
-        mask = masks.get(int(bucket[i]))
-        if mask:
-            hot[i:j] = np.unpackbits(np.frombuffer(mask, np.uint8), count=j - i).astype(bool)
-    hot = counter[hot]
+def candidates(shard: Shard, bits: int, outer: int, masks: dict[int, bytes]) -> Iterator[list[str]]:
+    """The phrases of a shard, blanks around, whose counters reach the threshold: each once, those of an automaton at a time."""
+    hot = [np.zeros(0, np.uint64)]
+    for counter, _, buckets in shard.slices(bits, outer):
+        for bucket, i, j in buckets:
+            mask = masks.get(bucket)
+            if mask:
+                hot.append(counter[i:j][np.unpackbits(np.frombuffer(mask, np.uint8), count=j - i).astype(bool)])
+    hot = np.concatenate(hot)
+    if not len(hot):
+        return
     low = np.uint64((1 << 22) - 1)
     maybe = np.zeros(1 << 22, bool)
     maybe[hot & low] = True
-    out = []
+    places, last = [], []
     for k, at, c in shard.hashes(bits):
         use = np.flatnonzero(maybe[c & low])
         c = c[use]
         place = np.minimum(np.searchsorted(hot, c), len(hot) - 1)
-        at = at[use[hot[place] == c]]
+        at = at[use[hot[place] == c]].astype(np.int32)
+        del use, c, place
         if not len(at):
             continue
         one, two = shard.names(at, k)
-        order = np.argsort(one)
+        order = np.lexsort((two, one))
         one, two, at = one[order], two[order], at[order]
-        # A place for each phrase: more than one where first hashes collide, which the automaton merges.
+        # A place for each phrase.
         at = at[np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))]
-        out += [shard.body[i:j].decode() for i, j in zip(shard.start[at].tolist(), shard.end[at + k - 1].tolist(), strict=True)]
-    return out
+        places.append(at)
+        last.append(at + np.int32(k - 1))
+        del one, two, order
+    del hot, maybe
+    if not places:
+        return
+    at, last = np.concatenate(places), np.concatenate(last)
+    # Phrases that begin alike stand together, so that an automaton shares what they begin with.
+    order = np.argsort(shard.codes[at], kind="stable")
+    begin, end = shard.start[at[order]], shard.end[last[order]]
+    del places, at, last, order
+    size = np.cumsum(end - begin, dtype=np.int64)
+    cut = [0, *(np.flatnonzero(np.diff(size // AUTOMATON)) + 1).tolist(), len(size)]
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        yield [shard.body[a:b].decode() for a, b in zip(begin[i:j].tolist(), end[i:j].tolist(), strict=True)]
 
 
 def matches(text: str, phrases: list[str]) -> Iterator[tuple[str, int]]:
@@ -268,27 +310,40 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """
     if not 0 < least <= 255:
         raise ValueError("least must be between 1 and 255")
-    parts = materialize(shards(docs, text_col, lang_col))
+    parts = materialize(shards(docs, text_col, lang_col), wide=True)
     words = parts.groupBy("lang").agg(F.sum("words").alias("n"))
     total = materialize(words)
     # One number.
     bits, outer = sketch_size(total.agg(F.sum("n")).first()[0] or 0)
     masks = materialize(reached(cells(parts, bits, outer), least, bits, outer))
 
-    def scan(shard: pa.Table, answers: pa.Table) -> pa.Table:
-        name, found = None, []
-        if answers.num_rows and shard.num_rows:
-            name, body = shard.column("lang")[0].as_py(), shard.column("body")[0].as_py()
-            have = dict(zip(answers.column("bucket").to_pylist(), answers.column("mask").to_pylist(), strict=True))
-            found = [(p[1:-1], n) for p, n in matches(body.decode(), candidates(Shard(name, body), bits, outer, have)) if n]
-        # A row for each bucket of phrases: a shard's counts travel packed, and are unpacked where they are summed.
+    def packed(lang: str, found: list[tuple[str, int]]) -> pa.RecordBatch:
+        # A row for each bucket of phrases: counts travel packed, and are unpacked where they are summed.
         bucket = np.array([zlib.crc32(p.encode()) for p, _ in found], np.int64) & ((1 << outer) - 1)
         order = np.argsort(bucket, kind="stable")
         new = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         ends = pa.array(np.append(new, len(order)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, pa.array([found[i][c] for i in order.tolist()], t)) for c, t in enumerate((pa.string(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(new), pa.string()), pa.array(bucket[order][new], pa.int64()), *lists], names=["lang", "part", "phrases", "counts"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, body, have = None, None, {}
+        for b in batches:
+            for i in np.flatnonzero(b.column(2).is_valid()).tolist():
+                lang, body = b.column(1)[i].as_py(), b.column(2)[i].as_py()
+            have |= {k: m for k, m in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True) if m}
+        if have and body is not None:
+            text, found = body.decode(), []
+            for some in candidates(Shard(lang, body), bits, outer, have):
+                found += [(p[1:-1], n) for p, n in matches(text, some) if n]
+                if len(found) >= SENT:
+                    yield packed(lang, found)
+                    found = []
+            if found:
+                yield packed(lang, found)
+            del text, found
+        del body, have
         release()
-        return pa.table({"lang": pa.array([name] * len(new), pa.string()), "part": pa.array(bucket[order][new], pa.int64()), "phrases": lists[0], "counts": lists[1]})
 
     def add(t: pa.Table) -> pa.Table:
         flat = pa.table({c: pa.chunked_array([x.flatten() for x in t.column(name).chunks]) for c, name in (("phrase", "phrases"), ("f", "counts"))})
@@ -296,8 +351,9 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         total = total.filter(pa.compute.greater_equal(total.column("f_sum"), least))
         return pa.table({"lang": pa.array([t.column("lang")[0].as_py()] * total.num_rows, pa.string()), "phrase": total.column("phrase"), "f": total.column("f_sum")})
 
-    both = parts.select("shard", "lang", "body").groupBy("shard").cogroup(masks.groupBy("shard"))
-    sent = both.applyInArrow(scan, "lang string, part long, phrases array<string>, counts array<long>")
+    # A shard and its answers in one group, which sends what it has counted an automaton or more at a time.
+    both = parts.select("shard", "lang", "body").unionByName(masks, allowMissingColumns=True).select("shard", "lang", "body", "bucket", "mask")
+    sent = both.groupBy("shard").applyInArrow(scan, "lang string, part long, phrases array<string>, counts array<long>")
     counts = sent.groupBy("lang", "part").applyInArrow(add, "lang string, phrase string, f long")
     counts = counts.withColumn("size", F.size(F.split("phrase", " ")))
     return materialize(counts, parts, masks), total

@@ -2,6 +2,8 @@
 
 import collections
 import re
+import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -254,3 +256,33 @@ def test_matches_overlap_and_share_blanks(monkeypatch):
     assert dict(phrases.matches(text, list(want) * 2)) == want
     monkeypatch.setattr(phrases, "AUTOMATON", 1)
     assert dict(phrases.matches(text, list(want))) == want
+
+
+def test_a_shard_is_counted_some_phrases_at_a_time(monkeypatch):
+    rng = np.random.default_rng(3)
+    body = b"\n".join(b" " + b" ".join(b"w%d" % i for i in row) + b" " for row in rng.integers(0, 3000, (1500, 30)))
+    shard, bits, outer = phrases.Shard("x", body), 32, 8
+    for name in ("SLICE", "AUTOMATON", "CHUNK"):
+        monkeypatch.setattr(phrases, name, 1 << 14)
+    masks = {b: b"\xff" * ((j - i + 7) // 8) for _, _, buckets in shard.slices(bits, outer) for b, i, j in buckets}
+    assert max(len(c) for c, _, _ in shard.slices(bits, outer)) < 2 << 14
+    tracemalloc.start()
+    before, seen, most = tracemalloc.get_traced_memory()[0], 0, 0
+    for some in phrases.candidates(shard, bits, outer, masks):
+        assert sum(map(len, some)) < 2 << 14
+        seen, most = seen + len(some), max(most, sum(map(sys.getsizeof, some)))
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    want = {tuple(p.split()[i : i + k]) for p in body.split(b"\n") for k in range(1, 6) for i in range(len(p.split()) - k + 1)}
+    assert seen == len(want)
+    # Numbers of fixed size for each phrase, and strings of one automaton.
+    assert peak < 64 * 8 * len(shard.codes) and most < 8 << 14
+
+
+def test_shards_are_read_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD", 1 << 20)
+    text = ("abc defg " * 128 + ".") * 1024
+    docs = spark.createDataFrame([(text, "x")] * 24, "text string, lang string").coalesce(1)
+    parts = phrases.materialize(phrases.shards(docs, "text", "lang"), wide=True)
+    sizes = [f.metadata.row_group(i).num_rows for p in parts.inputFiles() for f in [pq.ParquetFile(p.removeprefix("file:"))] for i in range(f.metadata.num_row_groups)]
+    assert sum(sizes) >= 24 and max(sizes) <= 2
