@@ -19,17 +19,22 @@ Equal vectors are one node that counts as many points.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vector import normalized
 from ..sources.checkpoints import written
-from .similarity import BLOCK, PIVOTS, STEP, dealt, pairs_of, sides_of
+from .similarity import GROUP, PIVOTS, dealt, sides_of
 
-GROUP = ("grp", "cell", "low", "high")
+#: Rows of a block at most: a task holds two, in double and in single precision.
+BLOCK = 65536
+#: Rows and columns of cosines that are looked at together, rows that a first bound is taken from, and pairs whose exact cosines are taken together.
+ROWS, COLUMNS, PROBE, HELD = 512, 1024, 1024, 1 << 15
 #: Distances under this count as it.
 LEAST = 1e-3
 
@@ -38,6 +43,95 @@ def _distance(cos: np.ndarray) -> np.ndarray:
     return np.maximum(np.sqrt(np.maximum(2 - 2 * cos, 0)), LEAST)
 
 
+def _slack(x: np.ndarray) -> float:
+    """What a cosine of unit vectors may be off in single precision."""
+    return (x.shape[1] + 4) * float(np.finfo(np.float32).eps)
+
+
+def _close(x: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, row) of the pairs to compare whose cosine, in single precision, is above the bound of either; within one set each pair once.
+
+    Bounds may rise meanwhile.
+    """
+    for left, right in sides:
+        same, y = left[0] == right[0], x[right]
+        for a in range(0, len(left), ROWS):
+            i = left[a : a + ROWS]
+            z = x[i]
+            for b in range(a // COLUMNS * COLUMNS if same else 0, len(right), COLUMNS):
+                j = right[b : b + COLUMNS]
+                c = z @ y[b : b + COLUMNS].T
+                good = c > bound[i][:, None]
+                good |= c > bound[j][None, :]
+                if same and b < a + len(i):
+                    good &= b + np.arange(len(j)) > a + np.arange(len(i))[:, None]
+                flat = good.ravel()
+                if len(flat) % 8:
+                    at = np.flatnonzero(flat)
+                else:
+                    # Eight at a time, as few are.
+                    some = np.flatnonzero(flat.view(np.uint64))
+                    r, q = np.nonzero(flat.reshape(-1, 8)[some])
+                    at = some[r] * 8 + q
+                if len(at):
+                    r, q = np.divmod(at, len(j))
+                    yield i[r], j[q]
+
+
+def _in_steps(pairs: Iterator[tuple[np.ndarray, np.ndarray]], x: np.ndarray, above: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, cosine) of the pairs above the bound, in double precision, ``HELD`` or more at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def exact() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u, v = (np.concatenate(z) for z in zip(*held, strict=True))
+        c = np.concatenate([np.einsum("ij,ij->i", x[u[at : at + HELD]], x[v[at : at + HELD]]) for at in range(0, len(u), HELD)])
+        use = c > above
+        return u[use], v[use], c[use]
+
+    for pair in pairs:
+        held.append(pair)
+        if sum(len(u) for u, _ in held) >= HELD:
+            yield exact()
+            held = []
+    if held:
+        yield exact()
+
+
+def _probes(x: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, others, cosines in single precision): each row with some of those it is compared with; its own is minus infinity."""
+    for left, right in sides:
+        same = left[0] == right[0]
+        for rows, others in ((left, right),) if same else ((left, right), (right, left)):
+            some = others[:PROBE]
+            y = x[some].T
+            for at in range(0, len(rows), COLUMNS):
+                i = rows[at : at + COLUMNS]
+                c = x[i] @ y
+                if same and at < len(some):
+                    n = min(len(i), len(some) - at)
+                    c[np.arange(n), at + np.arange(n)] = -np.inf
+                yield i, some, c
+
+
+def _first_bounds(x: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], k: int, above: float) -> np.ndarray:
+    """A number no larger than each row's k-th best cosine: the k-th best of some of the rows it is compared with."""
+    slack = _slack(x)
+    bound = np.full(len(x), above - slack, np.float32)
+    for i, some, c in _probes(x, sides):
+        if len(some) > k:
+            bound[i] = np.maximum(bound[i], np.partition(c, len(some) - k, axis=1)[:, -k] - 2 * slack)
+    return bound
+
+
+def _first_pairs(x: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], above: float, k: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, row): each row with the nearest of some of the rows it is compared with."""
+    for i, some, c in _probes(x, sides):
+        few = np.argpartition(c, -min(k, len(some)), axis=1)[:, -min(k, len(some)) :]
+        r, q = np.nonzero(np.take_along_axis(c, few, 1) > above)
+        if len(r):
+            yield i[r], some[few[r, q]]
+
+
 def core_distances(cells: DataFrame, nodes: DataFrame, k: int, above: float) -> DataFrame:
     """(id, core): distance to the k-th other point; nodes that have fewer within the reach are left out.
 
@@ -47,6 +141,8 @@ def core_distances(cells: DataFrame, nodes: DataFrame, k: int, above: float) ->
     def nearest(t: pa.Table) -> pa.Table:
         ids, copies = t.column("id").to_numpy(), t.column("copies").to_numpy()
         x, sides = sides_of(t)
+        small = x.astype(np.float32)
+        slack, bound = _slack(small), _first_bounds(small, sides, k, above)
         best, who = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), int)
 
         def take(rows: np.ndarray, others: np.ndarray, cos: np.ndarray) -> None:
@@ -58,21 +154,12 @@ def core_distances(cells: DataFrame, nodes: DataFrame, k: int, above: float) ->
             place = np.arange(len(a)) - np.searchsorted(a, a)
             use = place < k
             best[a[use], place[use]], who[a[use], place[use]] = c[use], b[use]
+            bound[own] = np.maximum(bound[own], best[own, -1] - slack)
 
-        for left, right in sides:
-            same, y = left[0] == right[0], x[right].T
-            step = max(1, STEP // len(right))
-            for at in range(0, len(left), step):
-                i = left[at : at + step]
-                c = x[i] @ y
-                if same:
-                    c[np.arange(len(i)), at + np.arange(len(i))] = -np.inf
-                for m, rows, others in ((c, i, right), (c.T, right, i))[: 1 if same else 2]:
-                    good = m > np.maximum(best[rows, -1], above)[:, None]
-                    if np.count_nonzero(good) > 16 * k * len(rows) and m.shape[1] > k:
-                        good &= m >= np.partition(m, m.shape[1] - k, axis=1)[:, -k][:, None]
-                    r, q = np.nonzero(good)
-                    take(rows[r], others[q], m[r, q])
+        for u, v, c in _in_steps(_close(small, sides, bound), x, above):
+            for rows, others in ((u, v), (v, u)):
+                good = c > best[rows, -1]
+                take(rows[good], others[good], c[good])
         r, q = np.nonzero(best > -np.inf)
         return pa.table({"id": pa.array(ids[r]), "d": pa.array(_distance(best[r, q])), "n": pa.array(copies[who[r, q]])})
 
@@ -101,51 +188,85 @@ def lightest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.nd
 
     order = np.argsort(w, kind="stable")
     used, levels, labels = [], [], []
+    p, lower, upper = np.arange(n, dtype=np.int32), [], []
 
     def know(weight: float) -> None:
-        p = np.array(parent)
-        while (p != p[p]).any():
-            p = p[p]
+        nonlocal p
+        p = p.copy()
+        # Roots that were put below others since.
+        p[lower] = upper
+        lower.clear()
+        upper.clear()
+        while (p != (up := p[p])).any():
+            p = up
         levels.append(weight)
         labels.append(p)
 
     every = max(1, min(n, len(w)) // KNOWN)
     for e, u, v in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
-        p, q = root(u), root(v)
-        if p != q:
-            parent[p] = q
+        x, y = root(u), root(v)
+        if x != y:
+            parent[x] = y
+            lower.append(x)
+            upper.append(y)
             used.append(e)
             if len(used) % every == 0:
                 know(float(w[e]))
     if used:
         know(float(w[used[-1]]))
-    return np.array(used, int), np.array(levels), np.array(labels).reshape(len(levels), n)
+    return np.array(used, int), np.array(levels), np.array(labels, np.int32).reshape(len(levels), n)
 
 
 def reach_forests(cells: DataFrame, above: float) -> DataFrame:
     """(a, b, w): the spanning forests of the groups, weighted by mutual reachability; rows have their ``core``.
 
     Pairs that lighter ones connect already go as they come, so a task holds
-    its rows, the forest so far and a few pairs a row.
+    its rows, the forest so far and a few pairs a row. A row that is in the
+    large component at some distance asks only for nearer ones.
     """
 
+    def joined(levels: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """The distance from which on each row is in the component that is the first to hold half of all; infinite if it never is."""
+        n = labels.shape[1]
+        for row in labels:
+            size = np.bincount(row, minlength=n)
+            if 2 * size.max() >= n:
+                node = int((row == size.argmax()).argmax())
+                there = labels == labels[:, node][:, None]
+                return np.where(there[-1], levels[there.argmax(axis=0)], np.inf)
+        return np.full(n, np.inf)
+
+    def settled(n: int, edges: list, bound: np.ndarray, slack: float) -> tuple:
+        """(ends, ends and distances of the forest of these, the levels and components that it knows); bounds rise by it."""
+        a, b, w = (np.concatenate(z) for z in zip(*edges, strict=True))
+        used, levels, labels = lightest(n, a, b, w)
+        bound[:] = np.maximum(above, 1 - np.minimum(joined(levels, labels), 2) ** 2 / 2) - slack
+        return a[used], b[used], w[used], levels, labels
+
     def forest(t: pa.Table) -> pa.Table:
         ids, core = t.column("id").to_numpy(), t.column("core").to_numpy()
         n = len(ids)
+        x, sides = sides_of(t)
+        small = x.astype(np.float32)
+        slack = _slack(small)
+        bound = np.full(n, above - slack, np.float32)
         a, b, w = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-        levels, labels = np.zeros(0), np.zeros((0, n), int)
+        levels, labels = np.zeros(0), np.zeros((0, n), np.int32)
         fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for u, v, c in pairs_of(t, above):
-            d = np.maximum(np.maximum(core[u], core[v]), _distance(c))
-            if len(levels):
-                at = np.searchsorted(levels, d, "right") - 1
-                open_ = (at < 0) | (labels[at, u] != labels[at, v])
-                u, v, d = u[open_], v[open_], d[open_]
-            fresh.append((u, v, d))
-            if sum(len(f[0]) for f in fresh) > 2 * n:
-                a, b, w = (np.concatenate(z) for z in zip((a, b, w), *fresh, strict=True))
-                used, levels, labels = lightest(n, a, b, w)
-                a, b, w, fresh = a[used], b[used], w[used], []
+        for first, pairs in ((True, _first_pairs(small, sides, above)), (False, _close(small, sides, bound))):
+            for u, v, c in _in_steps(pairs, x, above):
+                d = np.maximum(np.maximum(core[u], core[v]), _distance(c))
+                if len(levels):
+                    at = np.searchsorted(levels, d, "right") - 1
+                    open_ = (at < 0) | (labels[at, u] != labels[at, v])
+                    u, v, d = u[open_], v[open_], d[open_]
+                fresh.append((u, v, d))
+                if not first and sum(len(f[0]) for f in fresh) > 2 * n:
+                    a, b, w, levels, labels = settled(n, [(a, b, w), *fresh], bound, slack)
+                    fresh = []
+            if first:
+                a, b, w, levels, labels = settled(n, [(a, b, w), *fresh], bound, slack)
+                fresh = []
         a, b, w = (np.concatenate(z) for z in zip((a, b, w), *fresh, strict=True))
         used, _, _ = lightest(n, a, b, w)
         return pa.table({"a": pa.array(ids[a[used]]), "b": pa.array(ids[b[used]]), "w": pa.array(w[used])})
@@ -260,12 +381,17 @@ def clusters(vectors: DataFrame, least: int = 5, k: int = 5, above: float = 0.3,
     distances. Null and zero vectors are noise. Vectors are of one length.
     """
     v = normalized(F.col("vector").cast("array<double>"))
-    rows = written(vectors.select("id", v.alias("vector")).withColumn("sound", F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))))
-    nodes = written(rows.filter("sound").groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("grp", F.lit("")))
-    cores = written(core_distances(dealt(nodes, above, pivots, block), nodes, k, above))
+    # Floats are sent as they come, which is half the bytes: tasks bring them to length 1.
+    short = vectors.schema["vector"].dataType == T.ArrayType(T.FloatType(), vectors.schema["vector"].dataType.containsNull)
+    rows = vectors.select("id", v.alias("vector"), *([F.col("vector").alias("raw")] if short else []))
+    rows = written(rows.withColumn("sound", F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))))
+    raw = [F.min_by("raw", "id").alias("raw")] if short else []
+    nodes = written(rows.filter("sound").groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *raw).withColumn("grp", F.lit("")))
+    sent = nodes.select("grp", "id", F.col("raw" if short else "vector").alias("vector"), "copies")
+    cores = written(core_distances(dealt(sent, above, pivots, block), nodes, k, above), clean=True)
     # The vectors meet their cores before they are dealt: it is the copies that are many.
-    reached = written(nodes.join(cores, "id"))
-    forest, _ = spanning_forest(written(reach_forests(dealt(reached, above, pivots, block), above)))
+    reached = written(sent.drop("copies").join(cores, "id"))
+    forest, _ = spanning_forest(written(reach_forests(dealt(reached, above, pivots, block), above), clean=True))
     if levels is None:
         # That many numbers.
         q = forest.agg(F.percentile_approx("w", [i / steps for i in range(1, steps + 1)], 10_000)).first()[0]

@@ -25,7 +25,11 @@ from ..sources.checkpoints import written
 #: Rows of a block at most: a task holds two. Cells of fewer rows are dealt too, in up to ``SIDES`` blocks of ``LEAST`` rows or more, so that there are tasks for all cores.
 PIVOTS, BLOCK = 256, 32768
 LEAST, SIDES = 4096, 8
+#: Partitions of pairs of blocks at most.
+MOST = 4096
 SLACK = 1e-7
+#: What is compared in one task.
+GROUP = ("grp", "cell", "low", "high")
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -93,18 +97,31 @@ def dealt(vectors: DataFrame, above: float, pivots: int = PIVOTS, block: int = B
     angle = float(np.arccos(np.clip(above, -1, 1)))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.least(F.lit(SIDES), F.ceil(F.col("n") / LEAST))).cast("int")
     whole = vectors.groupBy("grp").agg(F.count("*").alias("n")).select("grp", F.lit(0).alias("cell"), "n", blocks.alias("blocks"))
+
+    def counted(sizes: DataFrame) -> tuple[int, int]:
+        """(copies that are sent, pairs of blocks of the cells that are dealt)."""
+        copies, dealt_in = F.sum(F.col("n") * F.col("blocks")), F.sum(F.expr("if(blocks > 1, blocks * (blocks + 1) div 2, 0)"))
+        return tuple(x or 0 for x in sizes.agg(copies, dealt_in).first())
+
     points = choose_pivots(vectors, pivots)
     rows, sizes = vectors.withColumns({"cell": F.lit(0), "home": F.lit(True)}), whole
     if len(points) > 1:
         cells = cell_sizes(vectors, points, angle).select("grp", "cell", "n", blocks.alias("blocks"))
-        sent = lambda c: c.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
-        if sent(cells) < sent(whole):
-            rows, sizes = visits(vectors, points, angle), cells
-    # A row for each cell that is too long for one task.
+        of_cells, of_whole = counted(cells), counted(whole)
+        pairs = of_whole[1]
+        if of_cells[0] < of_whole[0]:
+            rows, sizes, pairs = visits(vectors, points, angle), cells, of_cells[1]
+    else:
+        pairs = counted(whole)[1]
+    # A row for each cell that is too long for one task, so one for thousands of rows.
     hot = sizes.filter("blocks > 1").select("grp", "cell", "blocks")
-    out = rows.join(hot, ["grp", "cell"], "left").withColumn("own", F.expr("cast(pmod(xxhash64(id), coalesce(blocks, 1)) as int)"))
+    out = rows.join(F.broadcast(hot), ["grp", "cell"], "left").withColumn("own", F.expr("cast(pmod(xxhash64(id), coalesce(blocks, 1)) as int)"))
     out = out.withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")))
-    return out.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("blocks", "other")
+    out = out.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("blocks", "other")
+    # By all four: a join's exchange by the cell would do for Spark, and one task would have all pairs of its blocks. As many
+    # partitions as there are such pairs, which are not put together by their bytes: it is the comparisons that are many.
+    least = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(min(max(least, 2 * pairs), MOST), *GROUP) if pairs else out.repartition(*GROUP)
 
 
 def sides_of(t: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:

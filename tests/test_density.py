@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,42 @@ def test_dense_groups_keep_their_forest_small(spark):
     want = np.sort(np.where(np.eye(len(x), dtype=bool), np.inf, density._distance(x @ x.T)), axis=1)[:, 3]
     got = {r["id"]: r["core"] for r in density.core_distances(density.dealt(nodes, 0.1, 50, 1000), nodes, 4, 0.1).collect()}
     assert len(got) == len(x) and np.allclose([got[i] for i in range(len(x))], want)
+
+
+def test_pairs_of_blocks_are_dealt_over_tasks(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([("", i, v) for i, v in enumerate((rng.normal(size=(3000, 4)) + [2.0, 0, 0, 0]).tolist())], "grp string, id long, vector array<double>")
+
+    def where(t: pa.Table) -> pa.Table:
+        from pyspark import TaskContext
+
+        return pa.table({"low": t.column("low")[:1], "high": t.column("high")[:1], "task": pa.array([TaskContext.get().partitionId()])})
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        # Joins by exchange, as where sizes are not known before they run.
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = density.dealt(df, 0.1, 50, 500).groupBy(*density.GROUP).applyInArrow(where, "low int, high int, task long").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(rows) == 21 and len({r["task"] for r in rows}) >= 7
+
+
+def test_few_pairs_of_a_group_are_compared_exactly():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    small, sides, k, above = x.astype(np.float32), [(np.arange(1700), np.arange(1700)), (np.arange(1700), np.arange(1700, 3000))], 3, 0.3
+    asked = np.zeros((3000, 3000), bool)
+    asked[:1700] = True
+    asked |= asked.T
+    asked[1700:, 1700:] = False
+    c = np.where(asked & ~np.eye(3000, dtype=bool), x @ x.T, -np.inf)
+    bound = density._first_bounds(small, sides, k, above)
+    kth = np.sort(c, axis=1)[:, -k]
+    assert (bound <= np.maximum(kth, above)).all()
+    u, v, got = (np.concatenate(z) for z in zip(*density._in_steps(density._close(small, sides, bound), x, above), strict=True))
+    found = set(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True))
+    want = {(min(i, j), max(i, j)) for i, j in np.argwhere(c > np.maximum(above, np.minimum(kth[:, None], kth[None]) - 1e-12)).tolist()}
+    assert want <= found and len(found) == len(u) < asked.sum() / 20
+    assert np.allclose(got, c[u, v], atol=1e-12)
