@@ -16,9 +16,13 @@ def literal(v: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in v])
 
 
-def normalized(v: Column) -> Column:
-    """v over its length; a zero vector stays."""
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+def length(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def normalized(v: Column, n: Column | None = None) -> Column:
+    """v over its length; a zero vector stays. ``n``: its length, where that is a column already."""
+    n = length(v) if n is None else n
     return F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vector import normalized
+from ..functions.vector import length, normalized
 from ..sources.checkpoints import written
 from .similarity import GROUP, PIVOTS, dealt, sides_of
 
@@ -274,18 +274,59 @@ def reach_forests(cells: DataFrame, above: float) -> DataFrame:
     return cells.groupBy(*GROUP).applyInArrow(forest, "a long, b long, w double")
 
 
+#: Edges that are left of Boruvka's rounds from which on one task goes through the others.
+FEW = 1 << 16
+
+
+def _last_rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, w, x, y) edges to (a, b, w) of their forest and (id, root) of their components x and y, by the rules of ``spanning_forest``."""
+    t = pa.Table.from_batches(list(batches), pa.schema([("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64()), ("x", pa.int64()), ("y", pa.int64())]))
+    a, b, w, x, y = (t.column(c).to_numpy() for c in "abwxy")
+    order = np.lexsort((b, a, w))
+    ids, place = np.unique(np.concatenate([x[order], y[order]]), return_inverse=True)
+    x, y = place[: len(order)], place[len(order) :]
+    taken, label, left = np.zeros(len(order), bool), np.arange(len(ids)), np.arange(len(order))
+    while True:
+        left = left[label[x[left]] != label[y[left]]]
+        if not len(left):
+            break
+        best = np.full(len(ids), len(order))
+        for end in (x, y):
+            np.minimum.at(best, label[end[left]], left)
+        own = np.flatnonzero(best < len(order))
+        edge = best[own]
+        taken[edge] = True
+        up = np.arange(len(ids))
+        up[own] = label[x[edge]] + label[y[edge]] - own
+        first = own[(up[up[own]] == own) & (own < up[own])]
+        up[first] = first
+        while (up != up[up]).any():
+            up = up[up]
+        label = up[label]
+    use, n = order[taken], len(ids)
+    yield pa.RecordBatch.from_arrays([pa.array(a[use]), pa.array(b[use]), pa.array(w[use]), pa.nulls(len(use), pa.int64()), pa.nulls(len(use), pa.int64())], names=["a", "b", "w", "id", "root"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(ids), pa.array(ids[label])], names=["a", "b", "w", "id", "root"])
+
+
 def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((a, b, w) of a minimum spanning forest of ``edges``, (id, root) of every node), by Boruvka's rounds.
 
     In a round each component takes its lightest edge out, ties by (a, b), and
     joins the component beyond; so the number of components that can still
     grow halves at least. Joined components find their root by doubling.
-    Edges within a component are dropped. Every round is written.
+    Edges within a component are dropped. Every round is written. The last
+    ``FEW`` edges are few enough for one task, and cost no rounds of jobs.
     """
     left = written(edges.filter("a <> b").select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y")))
     label = written(left.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("root", F.col("id")))
     taken = left.select("a", "b", "w").limit(0)
-    while not left.isEmpty():
+    while n := left.count():
+        if n <= FEW:
+            rest = written(left.coalesce(1).mapInArrow(_last_rounds, "a long, b long, w double, id long, root long"))
+            taken = taken.unionByName(rest.filter("id is null").select("a", "b", "w"))
+            new = rest.filter("id is not null").select(F.col("id").alias("root"), F.col("root").alias("_new"))
+            label = written(label.join(new, "root", "left").select("id", F.coalesce("_new", "root").alias("root")))
+            break
         ends = left.select("x", "y", "a", "b", "w").unionAll(left.select("y", "x", "a", "b", "w"))
         best = written(ends.groupBy("x").agg(F.min(F.struct("w", "a", "b", "y")).alias("e")).select("x", "e.*"))
         taken = written(taken.unionByName(best.select("a", "b", "w").distinct()))
@@ -380,10 +421,12 @@ def clusters(vectors: DataFrame, least: int = 5, k: int = 5, above: float = 0.3,
     read the tree at, rising; else ``steps`` equal shares of the forest's
     distances. Null and zero vectors are noise. Vectors are of one length.
     """
-    v = normalized(F.col("vector").cast("array<double>"))
     # Floats are sent as they come, which is half the bytes: tasks bring them to length 1.
     short = vectors.schema["vector"].dataType == T.ArrayType(T.FloatType(), vectors.schema["vector"].dataType.containsNull)
-    rows = vectors.select("id", v.alias("vector"), *([F.col("vector").alias("raw")] if short else []))
+    keep = ["raw"] if short else []
+    rows = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"), *[F.col("vector").alias(c) for c in keep])
+    # The length is a column of its own, as a lambda would take it anew for each number.
+    rows = rows.withColumn("length", length(F.col("vector"))).select("id", normalized(F.col("vector"), F.col("length")).alias("vector"), *keep)
     rows = written(rows.withColumn("sound", F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))))
     raw = [F.min_by("raw", "id").alias("raw")] if short else []
     nodes = written(rows.filter("sound").groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *raw).withColumn("grp", F.lit("")))

@@ -191,3 +191,15 @@ def test_few_pairs_of_a_group_are_compared_exactly():
     want = {(min(i, j), max(i, j)) for i, j in np.argwhere(c > np.maximum(above, np.minimum(kth[:, None], kth[None]) - 1e-12)).tolist()}
     assert want <= found and len(found) == len(u) < asked.sum() / 20
     assert np.allclose(got, c[u, v], atol=1e-12)
+
+
+def test_few_edges_in_one_task_are_the_same_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b), round(float(w), 1)) for a, b, w in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.random(150), strict=True)]
+    df = spark.createDataFrame(edges + [(100, 101, 0.5)], "a long, b long, w double")
+    got = []
+    for few in (0, 40, 1000):
+        monkeypatch.setattr(density, "FEW", few)
+        forest, label = density.spanning_forest(df)
+        got.append((sorted(map(tuple, forest.collect())), sorted(map(tuple, label.collect()))))
+    assert got[0] == got[1] == got[2] and len(got[0][1]) > 50
